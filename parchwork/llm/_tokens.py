@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space and controls beyond blank and line feed; texts that hold any are encoded as a whole.
-_ODD = "\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿"
-_ODD_ANY = re.compile(f"[{_ODD}]")
-_ODD_OR_RUN = re.compile(f"[{_ODD}]|[ \n][ \n]")
+_MARKS = string.punctuation
+#: `str.split` cuts at these; the tokenizers don't.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,7 +46,7 @@ class Encoder:
     cuts are unknown here, go through the library as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -55,65 +55,109 @@ class Encoder:
             told = json.load(f)
         self._keep = keep
         self._cache: dict[str, bytes] = {}
-        before = told.get("pre_tokenizer") or {}
+        before, self._starts, self._ends = told.get("pre_tokenizer") or {}, None, None
+
+        def marked(holds) -> np.ndarray:
+            out = np.zeros(self._tokenizer.get_vocab_size() + 1, dtype=bool)
+            out[[i for t, i in self._tokenizer.get_vocab().items() if holds(t)]] = True
+            return out
+
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer"):
-            self._cut = self._cut_byte_level
+            self._cut, self._starts = self._cut_byte_level, marked(lambda t: t.startswith("Ġ"))
+            self._feed = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
         elif told.get("model", {}).get("end_of_word_suffix") and "\\s+" in json.dumps(told.get("normalizer")).replace("\\\\", "\\"):
-            self._cut = self._cut_words
+            suffix = told["model"]["end_of_word_suffix"]
+            self._cut, self._ends = self._cut_words, marked(lambda t: t.endswith(suffix))
         else:
             self._cut = lambda text: None
 
     @staticmethod
     def _cut_byte_level(text: str) -> list[str] | None:
-        if _ODD_OR_RUN.search(text):
+        """Only where all white space is a single blank or line feed between words."""
+        if "\x01" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return None
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
     @staticmethod
     def _cut_words(text: str) -> list[str] | None:
-        return None if _ODD_ANY.search(text) else text.split()
+        return None if any(c in text for c in _SEPARATORS) else text.split()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str], cache: dict[str, bytes]) -> None:
-        """Letters and one mark after them are two pre-tokens, so such a piece is put together from both."""
-        ended = [x for x in new if len(x) > 1 and x[-1] in ".," and x[:-1].lstrip(" ").isalpha()]
-        stems = {x[:-1] for x in ended}
-        plain = [x for x in {*new, *stems, ".", ","}.difference(ended) if x not in cache]
-        for a in range(0, len(plain), 4096):
-            some = plain[a : a + 4096]
-            cache.update(zip(some, self._encode(some), strict=True))
-        cache.update({x: cache[x[:-1]] + cache[x[-1]] for x in ended})
+    def _learn(self, new: set[str], cache: dict[str, bytes]) -> None:
+        """Adds the ids of `new` pieces. Letters and the marks after them are two pre-tokens, so such a piece
+        is put together from both; pieces of letters alone are one pre-token each and go in one string."""
+        words, ended, others = set(), [], set()
+        for x in new:
+            if x.lstrip(" ").isalpha():
+                words.add(x)
+            elif (stem := x.rstrip(_MARKS)).lstrip(" ").isalpha():
+                ended.append((x, stem, x[len(stem) :]))
+                words.add(stem)
+                others.add(x[len(stem) :])
+            else:
+                others.add(x)
+        spaced = [x for x in words if x[0] == " " and x not in cache]
+        bare = [x for x in words if x[0] != " " and x not in cache]
+        plain = [x for x in others if x not in cache]
+        for some, encode in ((spaced, self._encode_words), (bare, self._encode_words), (plain, self._encode)):
+            for a in range(0, len(some), 2048):
+                part = some[a : a + 2048]
+                cache.update(zip(part, encode(part), strict=True))
+        cache.update({x: cache[stem] + cache[marks] for x, stem, marks in ended})
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words, all or none with a blank before them, as one string; the ids are told apart by the tokens
+        that mark a word's start or end, or stand for a line feed between. Without as many marks as words
+        each goes by itself."""
+        ids = np.empty(0, "<u4")
+        if self._ends is not None or self._starts is not None:
+            between = " " if self._ends is not None else "" if words[0][0] == " " else "\n"
+            ids = np.array(self._tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        if self._ends is not None:
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            starts = np.append(0, ends[:-1])
+        elif self._starts is not None and words[0][0] == " ":
+            starts = np.flatnonzero(self._starts[ids])
+            ends = np.append(starts[1:], len(ids))
+        elif self._starts is not None:
+            feeds = np.flatnonzero(ids == self._feed)
+            starts, ends = np.append(0, feeds + 1), np.append(feeds, len(ids))
+        else:
+            return self._encode(words)
+        if len(starts) != len(words) or starts[0] or ends[-1] != len(ids):
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
-        cache, out, whole = self._cache, [], []
+        cache = self._cache
         parts = [self._cut(t) for t in texts]
-        new = set()
+        flat = list(chain.from_iterable(p for p in parts if p is not None))
+        found = list(map(cache.get, flat))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            new = {flat[i] for i in missing}
+            known = cache if len(cache) < self._keep else _Over(cache)
+            self._learn(new, known)
+            for i in missing:
+                found[i] = known[flat[i]]
+        out, at = [], 0
         for p in parts:
-            if p is not None:
-                new.update(p)
-        new = [x for x in new if x not in cache]
-        if len(cache) + len(new) > self._keep:
-            cache = _Over(cache)
-        self._learn(new, cache)
-        for p in parts:
-            out.append(b"" if p is None else b"".join(map(cache.__getitem__, p)))
+            n = 0 if p is None else len(p)
+            out.append(b"".join(found[at : at + n]))
+            at += n
         whole = [i for i, p in enumerate(parts) if p is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return [np.frombuffer(x, dtype="<u4") for x in out]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each path and Python process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A task makes its own, so that an idle Python process holds no cache."""
+    return Encoder(path)
 
 
 def text_batches(texts: list, limit: int = 1 << 20):
