@@ -173,9 +173,9 @@ WITH i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT
 iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS k
        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
-at AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS k
+pos AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS k
        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
-m AS (SELECT DISTINCT r, s, at.n, item_id FROM at JOIN iw ON at.n = iw.n AND at.k = iw.k),
+m AS (SELECT DISTINCT r, s, pos.n, item_id FROM pos JOIN iw ON pos.n = iw.n AND pos.k = iw.k),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
 ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS joined
         FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m) GROUP BY r)

@@ -6,17 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.llm import packing, sharding, token_files
+from parchwork.llm import chat, decontamination, near_duplicates, packing, sharding, token_files, topk
 from parchwork.plans.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op3_token_files": token_files.op3_token_files,
+    "op5_near_duplicates": near_duplicates.op5_near_duplicates,
+    "op6_chat": chat.op6_chat,
+    "op7_top_k": topk.op7_top_k,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
 
+_ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE_SQL,
+    "op5_near_duplicates": near_duplicates.ORACLE_SQL,
+    "op6_chat": chat.ORACLE_SQL,
+    "op7_top_k": topk.ORACLE_SQL,
+}
+
 
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +42,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
