@@ -1,10 +1,61 @@
-"""The corpus pipeline: stages over `documents`, each written and read again."""
+"""The corpus pipeline: `documents` through quality, near-duplicates, repeats, benchmark leaks and packing.
+
+Each stage takes what the one before has written and kept. All but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchwork.llm import decontamination, near_duplicates, packing, quality, suffixes
+from parchwork.llm._tokens import tokenizer_path
+from parchwork.plans.session import materialize, ship
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on labels, doesn't reject."""
+    ship(spark)
+    model = quality.train(docs, quality.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.classify(docs, model).where(quality.kept()).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity of 0.8 or more)."""
+    ship(spark)
+    found = near_duplicates.near_duplicates(docs, width=5, percent=80)
+    # no row of kept documents goes with them: an id is dropped only if it leads no group
+    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that an earlier document has; n_chars follows."""
+    ship(spark)
+    left = suffixes.without_repeats(docs, 50)
+    return left.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else left
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of the benchmark."""
+    ship(spark)
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 ids."""
+    ship(spark)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("suffix_dedup", without_repeats), ("decontamination", without_leaks), ("packing", packed)]
+
+#: SQL has no tokenizer, regression or hash family of these stages; they are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

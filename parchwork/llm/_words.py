@@ -118,3 +118,20 @@ def words_of(texts: list, separators: bytes, limit: int = 1 << 20) -> Iterator[t
         for k in range(len(part)):
             s = slice(cuts[k], cuts[k + 1])
             yield a + k, starts[s] - offsets[k], hashes[s]
+
+
+def grams_of(texts: list, separators: bytes, width: int, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of text, hashes of all its runs of `width` bytes), lower-cased in A-Z, separators as one kind, a blank at both ends."""
+    table = bytes(0x20 if c in separators else c for c in LOWER)
+    for a, b in batched(texts, limit):
+        part = [b" " + t + b" " for t in texts[a:b]]
+        buf = np.frombuffer(b"".join(part).translate(table), dtype=np.uint8)
+        power, inverse = _powers(len(buf) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+            np.cumsum(_VALUES[buf] * power[: len(buf)], out=sums[1:])
+            hashes = mix((sums[width:] - sums[:-width]) * inverse[: max(0, len(buf) + 1 - width)]) if len(buf) >= width else np.empty(0, np.uint64)
+        start = 0
+        for k, t in enumerate(part):
+            yield a + k, hashes[start : max(start, start + len(t) - width + 1)]
+            start += len(t)

@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.llm import chat, decontamination, near_duplicates, packing, sharding, token_files, topk
+from parchwork.llm import chat, decontamination, html_extraction, near_duplicates, packing, quality, sharding, suffixes, token_files, topk
 from parchwork.plans.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_token_files": token_files.op3_token_files,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op6_chat": chat.op6_chat,
     "op7_top_k": topk.op7_top_k,
+    "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
