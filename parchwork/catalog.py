@@ -1,15 +1,33 @@
-"""Registry of the engine's queries over the driver's tables."""
+"""Registry of the engine's queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id")
+from pyspark.sql import DataFrame, SparkSession
 
+from parchwork.plans import text_queries
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_modules = [text_queries]
 
 
-def oracle_sql() -> dict:
-    return {}
+def _ready() -> None:
+    """Some queries are built from Column objects, which need a session."""
+    if "src05_file_kind" not in text_queries.QUERIES:
+        text_queries.register_files()
+        text_queries.register_numbers()
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return queries()["txt19_clean_markdown"](spark, "/root/testdata/sf0.001")
+
+
+def queries() -> dict[str, Query]:
+    _ready()
+    return {name: q for m in _modules for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    _ready()
+    return {name: sql for m in _modules for name, sql in m.SQL.items()}
