@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from parchwork.llm._memory import tidy
 
-TREE, LEAF, FANOUT, QUERIES = 8192, 128, 16, 256
+TREE, LEAF, FANOUT, QUERIES = 16_384, 256, 16, 1024
 #: Bounds are widened by this share against rounding in distances; scores are whole numbers and exact.
 SLACK = 1e-6
 
@@ -183,7 +184,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     forest = dealt(rows, "rows", "tree", trees)
     questions = dealt(queries, "asked", "block", blocks).select("asked", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    hits = questions.join(forest, "tree").select("tree", "rows", "asked").mapInArrow(_answer(k, width, norm), _HITS)
+    hits = questions.join(forest, "tree").select("tree", "rows", "asked").mapInArrow(tidy(_answer(k, width, norm)), _HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
