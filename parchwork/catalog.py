@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.plans import text_queries
+from parchwork.plans import layout_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [text_queries]
+_modules = [text_queries, layout_queries]
 
 
 def _ready() -> None:
