@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import string
@@ -9,11 +10,16 @@ from itertools import chain
 
 import numpy as np
 
+from parchwork.llm._memory import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _MARKS = string.punctuation
 #: `str.split` cuts at these; the tokenizers don't.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: All white space but blank and line feed, the mark that is used here to cut, and runs of white space.
+_ODD = ("\x01", "\t", "\x0b", "\x0c", "\r", *_SEPARATORS, "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,39 +28,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Over(dict):
-    """Additions for one batch over a full cache."""
-
-    def __init__(self, below: dict[str, bytes]):
-        super().__init__()
-        self._below = below
-
-    def __missing__(self, key: str) -> bytes:
-        return self._below[key]
-
-    def __contains__(self, key: object) -> bool:
-        return super().__contains__(key) or key in self._below
-
-
 class Encoder:
     """Ids of whole texts, equal to `Tokenizer.encode(text, add_special_tokens=False)`.
 
     Strings of special tokens inside a text are ordinary text. A text is cut where the
     pre-tokenizer always cuts (white space), each distinct piece goes through the library
-    once, and the ids of the first `keep` pieces are kept; that bounds memory and changes
-    no result. Texts with unusual white space, and all texts of tokenizers whose
+    once, and the ids of the first `keep` pieces, and of a task's first `extra` others, are
+    kept; that bounds memory and changes no result. Texts with unusual white space, and all texts of tokenizers whose
     cuts are unknown here, go through the library as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000, extra: int = 200_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self._keep = keep
+        self._keep, self._room = keep, extra
         self._cache: dict[str, bytes] = {}
+        self._extra: dict[str, bytes] = {}
         before, self._starts, self._ends = told.get("pre_tokenizer") or {}, None, None
 
         def marked(holds) -> np.ndarray:
@@ -73,8 +66,8 @@ class Encoder:
 
     @staticmethod
     def _cut_byte_level(text: str) -> list[str] | None:
-        """Only where all white space is a single blank or line feed between words."""
-        if "\x01" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        """Only where all white space is single blanks and line feeds."""
+        if any(c in text for c in _ODD) or any(c in text for c in _RUNS):
             return None
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
@@ -85,27 +78,37 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str], cache: dict[str, bytes]) -> None:
-        """Adds the ids of `new` pieces. Letters and the marks after them are two pre-tokens, so such a piece
-        is put together from both; pieces of letters alone are one pre-token each and go in one string."""
-        words, ended, others = set(), [], set()
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of `new` pieces. Letters and the marks after them are two pre-tokens, so such a piece is put
+        together from both; pieces of letters alone are one pre-token each and go in one string."""
+        cache, extra, got = self._cache, self._extra, {}
+        spaced, bare, ended, others = set(), set(), [], set()
         for x in new:
-            if x.lstrip(" ").isalpha():
-                words.add(x)
-            elif (stem := x.rstrip(_MARKS)).lstrip(" ").isalpha():
-                ended.append((x, stem, x[len(stem) :]))
-                words.add(stem)
-                others.add(x[len(stem) :])
-            else:
+            stem = x if x.isalpha() else x.rstrip(_MARKS)
+            if not stem.isalpha() and not (stem[:1] == " " and stem[1:].isalpha()):
                 others.add(x)
-        spaced = [x for x in words if x[0] == " " and x not in cache]
-        bare = [x for x in words if x[0] != " " and x not in cache]
-        plain = [x for x in others if x not in cache]
-        for some, encode in ((spaced, self._encode_words), (bare, self._encode_words), (plain, self._encode)):
+                continue
+            if len(stem) < len(x):
+                ended.append((x, stem))
+                others.add(x[len(stem) :])
+            (spaced if stem[0] == " " else bare).add(stem)
+        for words, encode in ((spaced, self._encode_words), (bare, self._encode_words), (others, self._encode)):
+            some = []
+            for x in words:
+                if (known := cache.get(x) or extra.get(x)) is None:
+                    some.append(x)
+                else:
+                    got[x] = known
             for a in range(0, len(some), 2048):
                 part = some[a : a + 2048]
-                cache.update(zip(part, encode(part), strict=True))
-        cache.update({x: cache[stem] + cache[marks] for x, stem, marks in ended})
+                got.update(zip(part, encode(part), strict=True))
+        for x, stem in ended:
+            got[x] = got[stem] + got[x[len(stem) :]]
+        if len(cache) < self._keep:
+            cache.update(got)
+        elif len(extra) < self._room:
+            extra.update(got)
+        return got
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words, all or none with a blank before them, as one string; the ids are told apart by the tokens
@@ -133,31 +136,49 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
-        cache = self._cache
+        return [np.frombuffer(x, dtype="<u4") for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers, and `end` after them."""
+        gc.disable()  # millions of strings in a few lists, and no cycle among them
+        try:
+            return self._encode_bytes(texts, end)
+        finally:
+            gc.enable()
+
+    def _encode_bytes(self, texts: list[str], end: bytes) -> list[bytes]:
         parts = [self._cut(t) for t in texts]
         flat = list(chain.from_iterable(p for p in parts if p is not None))
-        found = list(map(cache.get, flat))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            new = {flat[i] for i in missing}
-            known = cache if len(cache) < self._keep else _Over(cache)
-            self._learn(new, known)
+        found = list(map(self._cache.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None] if None in found else []
+        if missing and self._extra:
             for i in missing:
-                found[i] = known[flat[i]]
+                found[i] = self._extra.get(flat[i])
+            missing = [i for i in missing if found[i] is None]
+        if missing:
+            got = self._learn({flat[i] for i in missing})
+            for i in missing:
+                found[i] = got[flat[i]]
         out, at = [], 0
         for p in parts:
             n = 0 if p is None else len(p)
-            out.append(b"".join(found[at : at + n]))
+            out.append(b"".join((*found[at : at + n], end)))
             at += n
         whole = [i for i, p in enumerate(parts) if p is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return [np.frombuffer(x, dtype="<u4") for x in out]
+            out[i] = ids + end
+        return out
+
+
+_encoders: dict[str, Encoder] = CACHES.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:
-    """A task makes its own, so that an idle Python process holds no cache."""
-    return Encoder(path)
+    """One for each path and Python process; a task begins without the pieces that were only the last one's."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    _encoders[path]._extra.clear()
+    return _encoders[path]
 
 
 def text_batches(texts: list, limit: int = 1 << 20):

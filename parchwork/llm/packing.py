@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchwork.llm._memory import tidy
 from parchwork.llm._tokens import encoder, text_batches, tokenizer_path
 from parchwork.plans.session import materialize
 
@@ -102,19 +103,18 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, tail = encoder(path).encode_bytes, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             texts = [t or "" for t in texts]
             rows: list[tuple] = []
             for a, b in text_batches(texts):
-                for doc, tokens in zip(ids[a:b], encode(texts[a:b]), strict=True):
-                    tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                    n = len(tokens)
+                for doc, tokens in zip(ids[a:b], encode(texts[a:b], tail), strict=True):
+                    n = len(tokens) // 4
                     ends = range(n if n <= capacity else n % capacity or capacity, n + 1, capacity)
                     start = 0
                     for k, end in enumerate(ends):
-                        rows.append((doc, k, start, end - start, zlib.crc32(tokens[start:end].tobytes())))
+                        rows.append((doc, k, start, end - start, zlib.crc32(tokens[4 * start : 4 * end])))
                         start = end
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
@@ -151,7 +151,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     numbered = pieces.withColumn("__row", F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece")))
     schema = T.StructType([*(f for f in pieces.schema.fields if f.name != "__part"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(tidy(run, "encoders"), schema)
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -163,7 +163,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> Da
     on its own. An empty table gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(docs.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES), "pieces")
+    pieces = materialize(docs.mapInArrow(tidy(_cut(tokenizer, end_id, capacity), "encoders"), PIECES), "pieces")
     return place(pieces, capacity)
 
 

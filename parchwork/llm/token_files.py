@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchwork.llm._memory import tidy
 from parchwork.llm._tokens import encoder, text_batches, tokenizer_path
 from parchwork.plans.session import fresh_path
 
@@ -71,16 +72,16 @@ def _encode(path: str, end_id: int):
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
+        encode, part, tail = encoder(path).encode_bytes, TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         chunk = before = held = 0
         docs: list[int] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal chunk, before, held
-            ids = np.concatenate(parts)
+            ids = np.frombuffer(b"".join(parts), dtype="<u4")
             index, planes = pack_planes(ids)
-            row = (part, chunk, docs[0], docs[-1], len(ids), before, np.array(docs, dtype="<i8").tobytes(), np.array([len(p) for p in parts], dtype="<u4").tobytes(), index, planes)
+            row = (part, chunk, docs[0], docs[-1], len(ids), before, np.array(docs, dtype="<i8").tobytes(), np.array([len(p) // 4 for p in parts], dtype="<u4").tobytes(), index, planes)
             chunk, before, held = chunk + 1, before + len(ids), 0
             docs.clear()
             parts.clear()
@@ -89,10 +90,10 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in text_batches(texts):
-                for doc, tokens in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                for doc, tokens in zip(ids[a:b], encode(texts[a:b], tail), strict=True):
                     docs.append(doc)
-                    parts.append(np.append(tokens, np.uint32(end_id)).astype("<u4"))
-                    held += len(tokens) + 1
+                    parts.append(tokens)
+                    held += len(tokens) // 4
                     if held >= CHUNK:
                         yield flush()
         if docs:
@@ -113,7 +114,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     docs = docs.withColumn("doc_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))))
-    in_order.mapInArrow(_encode(tokenizer, end_id), CHUNKS).write.option("compression", "none").parquet(path)
+    in_order.mapInArrow(tidy(_encode(tokenizer, end_id), "encoders"), CHUNKS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -140,7 +141,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return chunks.join(starts, "part").select("n_ids", "before", "part_start", "doc_ids", "sizes", "index", "planes").mapInArrow(run, T.StructType(fields))
+    return chunks.join(starts, "part").select("n_ids", "before", "part_start", "doc_ids", "sizes", "index", "planes").mapInArrow(tidy(run), T.StructType(fields))
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
