@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.plans import layout_queries, text_queries
+from parchwork.plans import batch_queries, layout_queries, rule_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [text_queries, layout_queries]
+_modules = [text_queries, layout_queries, batch_queries, rule_queries]
 
 
 def _ready() -> None:
@@ -20,7 +20,7 @@ def _ready() -> None:
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return queries()["txt19_clean_markdown"](spark, "/root/testdata/sf0.001")
+    return queries()["document_audit"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:

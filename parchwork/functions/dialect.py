@@ -74,9 +74,8 @@ def count_sql(expression: str, pattern: str) -> str:
 
 
 def first_only(text: Column, pattern: str, put: str) -> Column:
-    """Replace the first match alone. `pattern` has no group; `put` is literal."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when(text.rlike(pattern), F.concat(F.substring(text, F.lit(1), at - 1), F.lit(put), F.substring(text, at + F.length(F.regexp_substr(text, F.lit(pattern))), F.length(text)))).otherwise(text)
+    """Replace the first match alone; `put` is literal."""
+    return F.regexp_replace(text, f"(?s)\\A(.*?)(?:{pattern})", "$1" + put.replace("\\", "\\\\").replace("$", "\\$"))
 
 
 def round_half_up(x: Column) -> Column:

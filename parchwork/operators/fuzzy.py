@@ -9,6 +9,8 @@ from parchwork.functions.text import search_key
 
 #: A whole passage, or a window of its words, is taken from these similarities on.
 WHOLE, WINDOW = 0.70, 0.78
+#: Passages of a canonical table at most: every snippet is compared with each.
+DIMENSION = 20_000
 
 
 def key_similarity(a: Column, b: Column) -> Column:
@@ -50,8 +52,7 @@ def best_matches(snippets: DataFrame, canonical: DataFrame) -> DataFrame:
     and their windows of as many words as the snippet, one more and one less; the first of the best in order of
     ord, whole before windows, that size order and place. Snippets whose key has fewer than 3 letters match nothing.
 
-    The canonical table is a dimension: its windows are joined under a range of word counts, and candidates whose
-    length alone rules out the threshold are dropped before any distance is computed.
+    The canonical table is a dimension of a checked size: whole passages are broadcast, windows meet snippets by their number of words.
     """
     s = snippets.select("snippet_id", search_key(F.col("text")).alias("key")).where(F.length("key") >= 3)
     s = s.withColumn("words", F.size(F.filter(F.split("key", " "), lambda w: w != "")))
@@ -63,7 +64,9 @@ def best_matches(snippets: DataFrame, canonical: DataFrame) -> DataFrame:
     asked = asked.where(~((F.col("words") >= 2) & (F.col("size") < 2)) & ~((F.col("words") >= 3) & (F.col("size") < F.col("words") - 1)))
     by_window = asked.join(windows, "size").where(F.col("words") <= F.col("of")).select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", (F.col("size") == F.col("of")).alias("whole"), F.lit(WINDOW).alias("least"))
     whole = c.select("ord", F.lit(0).alias("kind"), F.lit(0).alias("rank"), F.lit(0).alias("at"), F.col("normalized").alias("phrase"), F.lit(True).alias("whole"), F.lit(WHOLE).alias("least"))
-    by_whole = s.join(F.broadcast(whole) if canonical.sparkSession.conf.get("parchwork.broadcastCanonical", "false") == "true" else whole, F.lit(True)).select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", "whole", "least")
+    if canonical.count() > DIMENSION:
+        raise ValueError(f"a canonical table has {DIMENSION} passages at most")
+    by_whole = s.join(F.broadcast(whole), F.lit(True)).select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", "whole", "least")
     scored = by_whole.unionByName(by_window).withColumn("score", key_similarity(F.col("key"), F.col("phrase"))).where("score >= least")
     first = Window.partitionBy("snippet_id").orderBy(F.desc("score"), "ord", "kind", "rank", "at")
     return scored.withColumn("n", F.row_number().over(first)).where("n = 1").select("snippet_id", "ord", "score", "whole", "phrase")

@@ -139,8 +139,14 @@ def complete_cuts(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, HORSES, HORSES_FULL.replace("$", "\\$")), SCIENCES, SCIENCES_FULL)
 
 
-def repaired(text: Column, file_name: Column) -> Column:
-    """The auditor's rewrites of a text in their order: title, headings, numbering, repetition, completion."""
-    done = complete_cuts(collapse_repeats(renumber_letters(promote_headings(add_title(text, file_name)))))
-    return F.when(trim(text) == "", text).otherwise(done)
+def repaired(df: DataFrame, column: str = "text", file_name: str = "file_name") -> DataFrame:
+    """The auditor's rewrites of `column` in their order, one projection each: title, headings, numbering, repetition, completion. Blank texts stay."""
+    t = F.col(column)
 
+    def step(done: Column) -> Column:
+        return F.when(trim(t) == "", t).otherwise(done)
+
+    out = df.withColumn(column, step(add_title(t, F.col(file_name))))
+    for rewrite_step in (promote_headings, renumber_letters, collapse_repeats, complete_cuts):
+        out = out.withColumn(column, step(rewrite_step(t)))
+    return out
