@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.plans import batch_queries, layout_queries, rule_queries, text_queries
+from parchwork.plans import batch_queries, format_queries, layout_queries, rule_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [text_queries, layout_queries, batch_queries, rule_queries]
+_modules = [text_queries, layout_queries, batch_queries, rule_queries, format_queries]
 
 
 def _ready() -> None:
