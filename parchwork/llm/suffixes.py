@@ -9,13 +9,15 @@ their leading key and one bucket is sorted at a time, in memory that its size bo
    common offset below PERIOD at which both have a sample position, so they share a sample
    string of length - PERIOD + 1 bytes. Only sample suffixes, under a quarter of all, are dealt into buckets and
    ranked; those alone in their tie can't be part of a repeated window.
-2. Long ties. Windows with a tied sample suffix within PERIOD positions are left. They are dealt by the key of
-   their `length` bytes, sorted bucket by bucket, and each tie gets its first document.
+2. Long ties. Windows with a tied sample suffix within PERIOD positions are left. Consecutive ones whose least
+   MINIMIZER-byte key is the same travel as one piece of text to that key's bucket, where equal windows meet; a
+   bucket's windows are sorted at a time, and each tie gets its first document.
 3. Windows of later documents are removed; where they overlap their union is.
 
 Documents are held in blocks of a bounded size, in a table bucketed by block, so that answers find
 their documents without another shuffle of text. Before anything leaves a block its equal keys become
-one, so a string in all documents is sent once per block. Keys travel sorted, as differences in byte planes under zstandard.
+one and equal pieces one, so a string in all documents is sent once per block. Keys travel sorted, as differences in
+byte planes under zstandard.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parchwork.llm._memory import tidy
 from parchwork.llm._words import _VALUES, _powers, mix
 from parchwork.plans.session import fresh_path, materialize
 
@@ -39,10 +42,12 @@ _U = np.uint64
 #: A perfect difference cover: each non-zero difference modulo PERIOD occurs once among COVER.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Text in a block, and keys in a bucket, about.
-BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_KEYS = 2 << 20, 1 << 20
+#: Bytes of the key that names a window's bucket, and windows in a piece at most.
+MINIMIZER, PIECE = 20, 200
 #: A block remembers its tied sample keys by this many low bits; a chance hit only leaves a window for step 2.
-TABLE_BITS = 24
-_CHUNK = 1 << 19
+TABLE_BITS = 23
+_CHUNK = 1 << 17
 _LAST = (1 << 63) - 1
 
 
@@ -87,7 +92,7 @@ class Block:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
-    def _pieces(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def _chunks(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Chunks of positions: (first position, position within document, bytes to the document's end, prefix sums)."""
         power, _ = _powers(_CHUNK + width + 1)
         for a in range(0, len(self.data), _CHUNK):
@@ -112,24 +117,46 @@ class Block:
         width = self.length - PERIOD + 1
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
-        for a, within, room, sums in self._pieces(width):
+        for a, within, room, sums in self._chunks(width):
             at = np.flatnonzero(cover[within % PERIOD] & (room >= width))
             yield a + at, self._keys(sums, at, width)
 
-    def windows(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, keys) of the windows that a tied sample leaves open. `tied`: a table of low key bits."""
+    def pieces(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, windows, bucket key, key of the text) of the pieces that tied samples leave open. `tied`: a table of low key bits."""
         near = np.zeros(len(self.data) + PERIOD + 1, dtype=np.int32)
         mask = _U((1 << TABLE_BITS) - 1)
         for at, keys in self.samples():
             near[at[tied[(keys >> _U(64 - KEY_BITS)) & mask]] + 1] = 1
         np.cumsum(near, out=near)
-        positions, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for a, within, room, sums in self._pieces(self.length):
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
+        span = self.length - MINIMIZER + 1
+        for a, within, room, sums in self._chunks(self.length):
             n = len(within)
             at = np.flatnonzero((near[a + PERIOD : a + PERIOD + n] > near[a : a + n]) & (room >= self.length))
-            positions.append(a + at)
-            found.append(self._keys(sums, at, self.length))
-        return np.concatenate(positions), np.concatenate(found)
+            if not len(at):
+                continue
+            least, width = self._keys(sums, np.arange(len(sums) - MINIMIZER), MINIMIZER), 1
+            while 2 * width <= span:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            if width < span:
+                least = np.minimum(least[: width - span], least[span - width :])
+            key = least[at]
+            new = (np.diff(at, prepend=-2) != 1) | (np.diff(key, prepend=key[:1]) != 0)
+            first = np.flatnonzero(new)
+            new |= (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % PIECE == 0
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(at)))
+            with np.errstate(over="ignore"):
+                text = self._spans(sums, at[first], at[first] + many + self.length - 1)
+            out.append((a + at[first], many, mix(key[first] ^ _U(0x94D049BB133111EB)), text))  # least keys are small ones; dealt anew they spread evenly
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    @staticmethod
+    def _spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        _, inverse = _powers(len(sums))
+        with np.errstate(over="ignore"):
+            return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
     def owners(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, positions, "right")
@@ -210,16 +237,20 @@ def _send_samples(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             block = _restored(r["rows"], length)
-            keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for at, k in block.samples():
-                keys.append(k >> _U(64 - KEY_BITS))
-                owners.append(block.owners(at))
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(keys, kind="stable")
-            keys, owners = keys[order], owners[order]
+            found = [(at, k >> _U(64 - KEY_BITS)) for at, k in block.samples()]
+            at = np.concatenate([np.empty(0, np.int64), *(x for x, _ in found)])
+            keys = np.concatenate([np.empty(0, np.uint64), *(x for _, x in found)])
+            low = _U(64 - KEY_BITS)
+            if len(block.data) < 1 << (64 - KEY_BITS):  # key and position in one number
+                packed = np.sort(keys << low | at.astype(np.uint64))
+                keys, at = packed >> low, (packed & ((_U(1) << low) - _U(1))).astype(np.int64)
+            else:
+                order = np.argsort(keys, kind="stable")
+                keys, at = keys[order], at[order]
             first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _U(1))) if len(keys) else np.empty(0, np.int64)
             last = np.append(first[1:], len(keys)) - 1 if len(first) else first
-            keys, twice = keys[first], owners[first] != owners[last]
+            keys, twice, again = keys[first], np.zeros(len(first), dtype=bool), np.flatnonzero(first != last)
+            twice[again] = block.owners(at[first[again]]) != block.owners(at[last[again]])
             yield _rows([(b, r["block"], pack_sorted(keys[x:y]), np.packbits(twice[x:y]).tobytes(), y - x) for b, x, y in _runs(_bucket_of(keys, buckets, KEY_BITS))], _SENT_ARROW)
 
     return run
@@ -229,8 +260,7 @@ def _rank_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """One bucket at a time: the low bits of each block's keys that two documents have."""
     for r in _each(batches):
         sent = [(x["block"], unpack_sorted(x["keys"]), np.unpackbits(np.frombuffer(x["docs"], np.uint8), count=x["base"]).astype(bool)) for x in r["sent"]]
-        every = np.concatenate([k for _, k, _ in sent])
-        every.sort(kind="stable")
+        every = np.sort(np.concatenate([k for _, k, _ in sent]))
         shared = np.unique(every[1:][every[1:] == every[:-1]])
         answers = []
         for block, keys, twice in sent:
@@ -241,67 +271,101 @@ def _rank_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _rows(answers, _ANSWER_ARROW)
 
 
-def _open_windows(row: dict, length: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, positions in order of key, their documents, where each distinct key begins, the distinct keys)."""
-    block = _restored(row["rows"], length)
-    table = np.zeros(1 << TABLE_BITS, dtype=bool)
-    for a in row["tied"] or []:
-        table[unpack_sorted(a["answer"])] = True
-    positions, keys = block.windows(table) if row["tied"] else (np.empty(0, np.int64), np.empty(0, np.uint64))
-    order = np.argsort(keys, kind="stable")
-    keys, positions = keys[order], positions[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _U(1))) if len(keys) else np.empty(0, np.int64)
-    return block, positions, block.owners(positions), first, keys[first]
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[1], ...: `size` numbers from each start."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Opened:
+    """A block's open pieces: `order` sorts them by bucket and text, `first` are the first of each distinct one in that order."""
 
+    def __init__(self, row: dict, length: int, buckets: int):
+        self.block = _restored(row["rows"], length)
+        table = np.zeros(1 << TABLE_BITS, dtype=bool)
+        for a in row["tied"] or []:
+            table[unpack_sorted(a["answer"])] = True
+        start, many, key, text = self.block.pieces(table)
+        bucket = _bucket_of(key, buckets, 64)
+        order = np.lexsort((text, bucket))  # stable: positions, and so documents, ascend among equals
+        self.start, self.many, self.bucket = start[order], many[order], bucket[order]
+        text = text[order]
+        new = (np.diff(text, prepend=text[:1] + _U(1)) != 0) | (np.diff(self.bucket, prepend=-1) != 0) if len(text) else np.empty(0, bool)
+        self.first = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.docs = self.block.doc_ids[self.block.owners(self.start)]
 
-def _send_windows(length: int, buckets: int):
-    """Each block's distinct window keys by bucket, with the first document that has each."""
+
+def _send_pieces(length: int, buckets: int):
+    """Each block's distinct pieces by bucket: their text, windows and first documents."""
+    import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for r in _each(batches):
-            block, _, owners, first, keys = _open_windows(r, length)
-            docs = block.doc_ids[owners[first]]
-            out = []
-            for b, x, y in _runs(_bucket_of(keys, buckets, 64)):
+            o = Opened(r, length, buckets)
+            start, many, docs = o.start[o.first], o.many[o.first], o.docs[o.first]
+            for b, x, y in _runs(o.bucket[o.first]):
                 base = int(docs[x:y].min())
-                out.append((b, r["block"], pack_sorted(keys[x:y]), pack_numbers((docs[x:y] - base).astype(np.uint64)), base))
-            yield _rows(out, _SENT_ARROW)
+                text = o.block.data[_ragged(start[x:y], many[x:y] + length - 1)]
+                yield _rows([(b, r["block"], pack(many[x:y].astype(np.uint8).tobytes() + text.tobytes()), pack_numbers((docs[x:y] - base).astype(np.uint64)), base)], _SENT_ARROW)
 
     return run
 
 
-def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket at a time: for each block's keys, whether an earlier document has the window."""
-    import zstandard
+def _sort_windows(length: int):
+    """One bucket at a time: for each window of each block's pieces, whether an earlier document has it."""
 
-    for r in _each(batches):
-        keys = [unpack_sorted(x["keys"]) for x in r["sent"]]
-        docs = np.concatenate([unpack_numbers(x["docs"]).astype(np.int64) + x["base"] for x in r["sent"]])
-        every = np.concatenate(keys)
-        order = np.lexsort((docs, every))
-        every = every[order]
-        new = np.diff(every, prepend=every[:1] + _U(1)) != 0
-        leader = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = np.empty(len(docs), dtype=bool)
-        later[order] = docs[order] > leader
-        ends = np.cumsum([len(k) for k in keys])
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield _rows([(x["block"], r["bucket"], pack(np.packbits(later[e - len(k) : e]).tobytes())) for x, k, e in zip(r["sent"], keys, ends.tolist(), strict=True)], _ANSWER_ARROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for r in _each(batches):
+            keys, docs, sizes = [], [], []
+            for x in r["sent"]:
+                own = unpack_numbers(x["docs"]).astype(np.int64) + x["base"]
+                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["keys"]), dtype=np.uint8)
+                many, text = data[: len(own)].astype(np.int64), data[len(own) :]
+                ends = np.cumsum(many + length - 1)
+                at = _ragged(ends - many - length + 1, many)
+                power, _ = _powers(len(text) + 1)
+                sums = np.zeros(len(text) + 1, dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    np.cumsum(_VALUES[text] * power[: len(text)], out=sums[1:])
+                keys.append(Block._keys(sums, at, length))
+                docs.append(np.repeat(own, many))
+                sizes.append(len(at))
+            every = np.concatenate(keys)
+            keys.clear()
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.diff(every, prepend=every[:1] + _U(1)))
+            many = np.diff(np.append(first, len(every)))
+            every = np.concatenate(docs)[order]
+            docs.clear()
+            later = np.empty(len(every), dtype=bool)
+            later[order] = every > np.repeat(np.minimum.reduceat(every, first), many)
+            ends = np.cumsum(sizes).tolist()
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield _rows([(x["block"], r["bucket"], pack(np.packbits(later[e - n : e]).tobytes())) for x, n, e in zip(r["sent"], sizes, ends, strict=True)], _ANSWER_ARROW)
 
+    return run
 
-def _remove(length: int, buckets: int, schema: pa.Schema):
+
+def _remove(length: int, buckets: int, schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for r in _each(batches):
-            block, positions, owners, first, keys = _open_windows(r, length)
+            o = Opened(r, length, buckets)
+            block, many = o.block, o.many[o.first]
             told = {x["bucket"]: x["answer"] for x in r["later"] or []}
             later = [np.empty(0, np.uint8)]
-            for b, x, y in _runs(_bucket_of(keys, buckets, 64)):
-                later.append(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(told[b]), np.uint8), count=y - x))
+            for b, x, y in _runs(o.bucket[o.first]):
+                later.append(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(told[b]), np.uint8), count=int(many[x:y].sum())))
             later = np.concatenate(later).astype(bool)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(positions)))) if len(first) else np.empty(0, np.int64)
-            gone = positions[later[group] | (block.doc_ids[owners] > block.doc_ids[owners[first]][group])]
+            begin = (np.cumsum(many) - many)[o.group]
+            gone = later[_ragged(begin, o.many)] | np.repeat(o.docs > o.docs[o.first][o.group], o.many)
+            gone = _ragged(o.start, o.many)[gone]
             edges = np.zeros(len(block.data) + 1, dtype=np.int32)
             edges[gone] += 1
             edges[gone + length] -= 1
@@ -319,13 +383,19 @@ def _remove(length: int, buckets: int, schema: pa.Schema):
                 else:
                     spans.append([])
                     kept.append(block.data[a:b].tobytes())
-            columns = [*out.columns, pa.array(block.ends - block.starts), pa.array(removed), pa.array(spans, schema.field("removed_spans").type), pa.array(kept, pa.binary())]
+            if as_text:
+                at = out.schema.get_field_index("text")
+                texts = [k.decode("utf-8", "ignore") if valid else None for k, valid in zip(kept, out.column(at).is_valid().to_pylist(), strict=True)]
+                left = np.flatnonzero((removed == 0) | (removed < block.ends - block.starts))
+                columns = out.set_column(at, "text", pa.array(texts, pa.string())).take(pa.array(left)).columns
+            else:
+                columns = [*out.columns, pa.array(block.ends - block.starts), pa.array(removed), pa.array(spans, schema.field("removed_spans").type), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], names=schema.names)
 
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
     """`df` with n_bytes, n_removed, removed_spans (half-open, in bytes) and kept (the remaining bytes).
 
     `df` has doc_id (integer) and text. A byte goes if a string of `length` bytes that covers it also
@@ -334,14 +404,17 @@ def remove_repeats(df: DataFrame, length: int = 50) -> DataFrame:
     from each other; a null doc_id counts as greater than all others. Columns of the new names in the
     input are replaced. An empty table gives no rows. Keys are 64-bit: two different windows agree by
     chance with a probability of the squared number of open windows over 2**65.
+
+    With `as_text` the result has the columns of `df`, the remaining text among them, and no documents of which
+    nothing remains; a character that is cut in part goes as a whole.
     """
     if length < 2 * PERIOD:
         raise ValueError(f"strings must have {2 * PERIOD} bytes at least")
     spark = df.sparkSession
-    docs = df.drop("n_bytes", "n_removed", "removed_spans", "kept").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    docs = (df if as_text else df.drop("n_bytes", "n_removed", "removed_spans", "kept")).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"parchwork_blocks_{uuid.uuid4().hex}"
-    written = docs.mapInArrow(_to_blocks, "block long, rows binary")
+    written = docs.mapInArrow(tidy(_to_blocks), "block long, rows binary")
     written.write.option("compression", "none").option("path", fresh_path(spark, "blocks")).bucketBy(parts, "block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -349,31 +422,17 @@ def remove_repeats(df: DataFrame, length: int = 50) -> DataFrame:
 
     def answered(sent: DataFrame, sort, label: str, column: str) -> DataFrame:
         in_bucket = sent.groupBy("bucket").agg(F.collect_list(F.struct("block", "keys", "docs", "base")).alias("sent"))
-        answers = materialize(in_bucket.mapInArrow(sort, _ANSWER), label)
+        answers = materialize(in_bucket.mapInArrow(tidy(sort), _ANSWER), label)
         return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(column))
 
-    tied = answered(blocks.mapInArrow(_send_samples(length, buckets), _SENT), _rank_samples, "tied", "tied")
+    tied = answered(blocks.mapInArrow(tidy(_send_samples(length, buckets)), _SENT), _rank_samples, "tied", "tied")
     opened = blocks.join(tied, "block", "left")
-    later = answered(opened.mapInArrow(_send_windows(length, buckets), _SENT), _sort_windows, "later", "later")
+    later = answered(opened.mapInArrow(tidy(_send_pieces(length, buckets)), _SENT), _sort_windows(length), "later", "later")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", span), T.StructField("kept", T.BinaryType())])
-    return opened.join(later, "block", "left").mapInArrow(_remove(length, buckets, to_arrow_schema(schema)), schema)
-
-
-def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        valid = batch.column("text").is_valid().to_pylist()
-        texts = [k.decode("utf-8", "ignore") if v else None for v, k in zip(valid, batch.column("kept").to_pylist(), strict=True)]
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["kept"])
-
-
-def without_repeats(df: DataFrame, length: int = 50) -> DataFrame:
-    """`df` with the remaining text, and without documents of which nothing remains.
-
-    A character that is cut in part goes as a whole. Null and empty texts stay as they are.
-    """
-    left = remove_repeats(df, length).where("n_removed = 0 or n_removed < n_bytes").select(*df.columns, "kept")
-    return left.mapInArrow(_kept_text, T.StructType([f for f in left.schema.fields if f.name != "kept"]))
+    more = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", span), T.StructField("kept", T.BinaryType())]
+    schema = T.StructType([*docs.schema.fields, *([] if as_text else more)])
+    out = opened.join(later, "block", "left").mapInArrow(tidy(_remove(length, buckets, to_arrow_schema(schema), as_text)), schema)
+    return out.select(*df.columns) if as_text else out
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
