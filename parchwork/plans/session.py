@@ -14,9 +14,15 @@ _shipped: set[str] = set()
 _own_folder: list[str] = []
 
 
+#: Rows in a batch between Spark and Python, where the session has the default: rows are whole documents here.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, and keep batches of documents small."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
