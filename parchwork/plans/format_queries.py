@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from parchwork.functions import html_tables, images, presentation
 from parchwork.functions import text as X
-from parchwork.functions.dialect import quoted, rewrite, rewrite_sql
-from parchwork.plans.fixtures import CORPUS_SQL, corpus
-from parchwork.sources import docx
+from parchwork.functions.dialect import quoted, rewrite, rewrite_sql, trim_sql
+from parchwork.operators import conversion
+from parchwork.plans.fixtures import CORPUS_SQL, corpus, values_sql
+from parchwork.sources import docx, pages
 from parchwork.streaming import resume
 
 QUERIES: dict = {}
@@ -76,3 +77,49 @@ def _rescue(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["sch05_rescued_pages"] = _rescue
 SQL["sch05_rescued_pages"] = "SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN conv_id % 3 = 0 AND turn >= 2 THEN text ELSE '> ' || text END AS page FROM conversations"
+
+
+def _layers(spark, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.when(F.col("turn") % 3 < 2, F.col("text")).alias("page"))
+    return pages.text_layer(turns)
+
+
+QUERIES["src01_text_layer"] = lambda spark, sf_dir: _layers(spark, sf_dir).select("doc_id", F.length("raw").alias("chars"), "total_pages", "pages_with_text", "digital", "route")
+_X = trim_sql("x")
+SQL["src01_text_layer"] = (
+    "WITH p AS (SELECT conv_id AS doc_id, list(CASE WHEN turn % 3 < 2 THEN coalesce(text, '') ELSE '' END ORDER BY turn) AS ps FROM conversations GROUP BY 1), "
+    f"q AS (SELECT doc_id, array_to_string(ps, chr(10) || chr(10) || '{X.MARKER}' || chr(10) || chr(10)) AS raw, len(ps)::INTEGER AS n, len(list_filter(ps, lambda x: {_X} <> ''))::INTEGER AS k FROM p) "
+    f"SELECT doc_id, length(raw)::INTEGER AS chars, n AS total_pages, k AS pages_with_text, length(regexp_replace(raw, '[ \\n\\t\\r]+', '', 'g')) > {pages.DIGITAL} AS digital, CASE WHEN k > 0 AND k / n::DOUBLE >= {pages.COVERAGE} THEN 'direct' ELSE 'recognize' END AS route FROM q"
+)
+QUERIES["src02_uploads"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", pages.decoded(F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.encode("p_name", "UTF-8")))).cast("string").alias("content"))
+SQL["src02_uploads"] = "SELECT p_partkey, p_name AS content FROM part"
+QUERIES["src09_page_counts"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", pages.page_count(F.when(F.col("p_size") > 5, F.col("p_size"))).alias("pages"))
+SQL["src09_page_counts"] = "SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size ELSE 1 END AS pages FROM part"
+QUERIES["src10_health"] = lambda spark, sf_dir: spark.range(1).select(F.lit("ok").alias("status"))
+SQL["src10_health"] = "SELECT 'ok' AS status"
+QUERIES["ai02_parts_sent"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", F.md5(conversion.context_part(F.col("text"))).alias("head"), F.md5(conversion.grammar_part(F.col("text"))).alias("tail"))
+SQL["ai02_parts_sent"] = f"WITH {CORPUS_SQL} SELECT doc_id, md5(substr(text, 1, {conversion.CONTEXT_HEAD})) AS head, md5(substr(text, greatest(1, length(text) - {conversion.GRAMMAR_TAIL - 1}))) AS tail FROM corpus"
+QUERIES["ai01_offline_stage"] = lambda spark, sf_dir: conversion.each_row(corpus(spark, sf_dir), "text", None).select("doc_id", F.length("answer").alias("n"), "status")
+SQL["ai01_offline_stage"] = f"WITH {CORPUS_SQL} SELECT doc_id, length(text)::INTEGER AS n, 'offline' AS status FROM corpus"
+QUERIES["str09_repeated_lines"] = lambda spark, sf_dir: conversion.repeated_lines(corpus(spark, sf_dir))
+SQL["str09_repeated_lines"] = (
+    f"WITH {CORPUS_SQL}, a AS (SELECT doc_id, string_split(text, chr(10)) AS v FROM corpus), l AS (SELECT doc_id, unnest(v) AS line, generate_subscripts(v, 1)::INTEGER AS line_no FROM a), "
+    "b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l WHERE line <> '') SELECT doc_id, line_no, line FROM b WHERE line = before AND length(line) BETWEEN 5 AND 50"
+)
+CONTENTS: tuple[tuple[int, str], ...] = (
+    (1, "# فهرس المحتويات\n| الموضوع | الصفحة |\n|---|---|\n| سورة الملك | 9 |\n| باب (ثان) | 3 |\n\n## الملك\nنص\n---PAGE_BREAK---\n**باب (ثان)** نص\n"), (2, "no table"), (3, "| المكي كذا | |\nx"),
+)
+QUERIES["str13_contents"] = lambda spark, sf_dir: conversion.calibrated_contents(spark.createDataFrame(list(CONTENTS), "doc_id int, text string"))
+SQL["str13_contents"] = f"SELECT doc_id, CASE WHEN doc_id = 1 THEN replace(text, '| سورة الملك | 9 |', '| سورة الملك | 2 |') ELSE text END AS text, CASE WHEN doc_id = 1 THEN 1 ELSE 0 END AS moved FROM {values_sql(CONTENTS, 'doc_id, text')}"
+QUERIES["str10_comparison"] = lambda spark, sf_dir: spark.createDataFrame(list(CONTENTS), "doc_id int, text string").select("doc_id", conversion.completed_comparison(F.col("text")).alias("text"))
+SQL["str10_comparison"] = f"SELECT doc_id, CASE WHEN doc_id = 3 THEN '| المكي كذا  | {conversion.MADANI} |' || chr(10) || 'x' ELSE text END AS text FROM {values_sql(CONTENTS, 'doc_id, text')}"
+QUERIES["txt35_date_labels"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", conversion.date_label(F.col("o_orderdate"), F.lit("1995-03-15").cast("date")).alias("label"))
+_MONTHS = ", ".join(f"'{m}'" for m in conversion.MONTHS)
+SQL["txt35_date_labels"] = (
+    f"SELECT o_orderkey, translate(CASE WHEN o_orderdate::DATE = DATE '1995-03-15' THEN '{conversion.TODAY}' ELSE day(o_orderdate) || ' ' || [{_MONTHS}][month(o_orderdate)] || '، ' END "
+    f"|| strftime(o_orderdate, '%I:%M') || CASE WHEN hour(o_orderdate) < 12 THEN ' ص' ELSE ' م' END, '0123456789', '{conversion.DIGITS}') AS label FROM orders"
+)
+QUERIES["snk03_archives"] = lambda spark, sf_dir: conversion.archives(
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("archive_id"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+).select("archive_id", (F.length("zip") > 0).alias("made"))
+SQL["snk03_archives"] = "SELECT DISTINCT conv_id AS archive_id, TRUE AS made FROM conversations"
