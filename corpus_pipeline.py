@@ -32,7 +32,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that an earlier document has; n_chars follows."""
     ship(spark)
-    left = suffixes.without_repeats(docs, 50)
+    left = suffixes.remove_repeats(docs, 50, as_text=True)
     return left.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else left
 
 

@@ -38,7 +38,7 @@ class Encoder:
     cuts are unknown here, go through the library as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 800_000, extra: int = 200_000):
+    def __init__(self, path: str, keep: int = 1_000_000, extra: int = 200_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -85,7 +85,9 @@ class Encoder:
         spaced, bare, ended, others = set(), set(), [], set()
         for x in new:
             stem = x if x.isalpha() else x.rstrip(_MARKS)
-            if not stem.isalpha() and not (stem[:1] == " " and stem[1:].isalpha()):
+            bare_stem = stem if stem[:1] != " " else stem[1:]
+            # some letters are lowered to a letter and a mark
+            if not bare_stem.isalpha() or not (bare_stem.isascii() or bare_stem.lower().isalpha()):
                 others.add(x)
                 continue
             if len(stem) < len(x):

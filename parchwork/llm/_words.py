@@ -32,7 +32,7 @@ _inv = np.ones(1, dtype=np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             for name, base in (("_pow", _BASE), ("_inv", _INV)):
                 out = np.full(n, base, dtype=np.uint64)

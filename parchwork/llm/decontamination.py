@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchwork.llm._memory import CACHES, tidy
 from parchwork.llm._words import LOWER, NON_WORD
 
 #: Benchmark text in one automaton, in bytes; a node takes some 50 bytes and a text ten nodes a byte at most.
@@ -52,7 +53,7 @@ def windows(items: list[tuple[int, str | None]], width: int) -> dict[str, tuple[
     return {k.decode("latin-1"): (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
 
 
-_automata: dict = {}
+_automata: dict = CACHES.setdefault("automata", {})
 
 
 def _automaton(key: int, patterns: dict[str, tuple[int, tuple[int, ...]]]):
@@ -133,7 +134,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, width: int = 10) ->
     for g in range(groups):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
         told = spark.sparkContext.broadcast(windows([tuple(r) for r in mine.collect()], width))
-        out = out.mapInArrow(_scan(told, g == 0), schema)
+        out = out.mapInArrow(tidy(_scan(told, g == 0), "automata"), schema)
     return out
 
 

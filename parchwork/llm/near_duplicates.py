@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchwork.llm import _words
+from parchwork.llm._memory import tidy
 from parchwork.llm._oph import OnePermutation, jaccard_linked
 from parchwork.llm.components import connected_components
 from parchwork.plans.session import materialize
@@ -134,7 +135,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch(width, bands, rows), _SKETCH), "sketch")
+    sketch = materialize(docs.mapInArrow(tidy(_sketch(width, bands, rows)), _SKETCH), "sketch")
     with_set = sketch.where("n > 0 and doc_id is not null")
     classes = materialize(with_set.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")
     first = F.col("doc_id") == F.col("rep")
@@ -149,7 +150,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     pairs = stars.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v"))
     pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
-    links = materialize(pairs.mapInArrow(_confirm(width, percent), _LINKS), "links")
+    links = materialize(pairs.mapInArrow(tidy(_confirm(width, percent)), _LINKS), "links")
     once = materialize(connected_components(links), "components")
 
     def component(name: str, of: str) -> DataFrame:
@@ -165,7 +166,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     blocks = materialize(parted.groupBy("c", "side", "chunk").agg(F.collect_list(F.struct("m", "component", "text")).alias("docs")), "blocks")
     a = blocks.where("side = 1").select("c", F.col("chunk").alias("a_chunk"), F.col("docs").alias("a"))
     b = blocks.select("c", "side", "chunk", F.col("docs").alias("b"))
-    crossed = a.join(b, "c").where("side = 0 or chunk >= a_chunk").select("a", "b").mapInArrow(_cross(width, percent), _LINKS)
+    crossed = a.join(b, "c").where("side = 0 or chunk >= a_chunk").select("a", "b").mapInArrow(tidy(_cross(width, percent)), _LINKS)
     more = materialize(crossed, "links")
     final = materialize(connected_components(more.unionByName(once.select(F.col("id").alias("u"), F.col("component").alias("v")))), "components")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchwork.llm import _words
+from parchwork.llm._memory import tidy
 from parchwork.plans.session import materialize
 
 _U = np.uint64
@@ -210,12 +211,12 @@ def train(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model | N
     if len(sizes) < 2:
         return None
     steps = max(sizes)
-    counts = sum(np.frombuffer(zlib.decompress(r["counts"]), dtype="<i4").reshape(steps + 1, CELLS) for r in rows.coalesce(TASKS).mapInArrow(_count(steps), "counts binary").collect())
+    counts = sum(np.frombuffer(zlib.decompress(r["counts"]), dtype="<i4").reshape(steps + 1, CELLS) for r in rows.coalesce(TASKS).mapInArrow(tidy(_count(steps)), "counts binary").collect())
     chosen = select_cells(counts, np.array([sizes.get(k, 0) for k in range(steps + 1)]))
     column = np.full(CELLS, -1, dtype=np.int32)
     column[chosen] = 0
     told = docs.sparkSession.sparkContext.broadcast(column)
-    found = rows.mapInArrow(_collect(told), "doc_id long, grade int, cells binary, shares array<double>").collect()
+    found = rows.mapInArrow(tidy(_collect(told)), "doc_id long, grade int, cells binary, shares array<double>").collect()
     found.sort(key=lambda r: (r["doc_id"], r["grade"], r["cells"]))
     return fit(chosen, [np.frombuffer(r["cells"], dtype=np.int32) for r in found], np.array([r["shares"] for r in found]), np.array([r["grade"] for r in found]))
 
@@ -244,7 +245,7 @@ def classify(df: DataFrame, model: Model | None, top: int = 2) -> DataFrame:
         return out.withColumns({"expected_grade": F.lit(None).cast("double"), "p_top": F.lit(None).cast("double")})
     told = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*out.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
-    return out.mapInArrow(_score(told, min(top, len(model.thresholds)), ("expected_grade", "p_top")), schema)
+    return out.mapInArrow(tidy(_score(told, min(top, len(model.thresholds)), ("expected_grade", "p_top"))), schema)
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchwork.llm._memory import tidy
 from parchwork.llm._words import mix
 
 _U = np.uint64
@@ -67,7 +68,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 40) -> DataF
     piece = F.pmod(F.xxhash64(key), F.lit(PIECES)).cast("int").alias("__piece")
 
     def placed(rows: DataFrame, as_type: T.StructType) -> DataFrame:
-        return rows.mapInArrow(_with_shards(key, shards), as_type).select("*", piece)
+        return rows.mapInArrow(tidy(_with_shards(key, shards)), as_type).select("*", piece)
 
     keys = df.select(key)
     sizes = placed(keys, T.StructType([*keys.schema.fields, *schema.fields[-2:]])).groupBy("shard", "__piece").agg(F.count("*").alias("__n"))
