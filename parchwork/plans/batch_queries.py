@@ -120,7 +120,7 @@ QUERIES["sch02_cooldowns"] = lambda spark, sf_dir: _messages(spark).select("mess
 SQL["sch02_cooldowns"] = f"WITH {_M}, k AS (SELECT *, {_KIND} AS kind FROM m) SELECT message, CASE kind WHEN 'quota_daily' THEN coalesce(wait + 10, 86400) WHEN 'quota_minute' THEN coalesce(least(75, wait + 2), 15) WHEN 'busy' THEN 4 END AS seconds FROM k"
 QUERIES["agg07_least_cooldown"] = lambda spark, sf_dir: _messages(spark).agg(F.min(batch.retry_seconds(F.col("message"))).alias("seconds"))
 SQL["agg07_least_cooldown"] = f"WITH {_M} SELECT min(wait) AS seconds FROM m"
-MODELS: tuple[tuple, ...] = ((0, "flash-lite", 50, False), (1, "flash", None, True), (2, "latest", 70, True), (3, "large", None, False), (4, "small", 200, False))
+MODELS: tuple[tuple, ...] = ((0, "quick", 50, False), (1, "broad", None, True), (2, "newest", 70, True), (3, "large", None, False), (4, "small", 200, False))
 _MODEL_SQL = values_sql(MODELS, "ord, model, cooled_until, blacklisted")
 QUERIES["sch01_models"] = lambda spark, sf_dir: batch.available_models(spark.createDataFrame(list(MODELS), "ord int, model string, cooled_until long, blacklisted boolean"), F.lit(100)).select("ord", "model")
 SQL["sch01_models"] = f"WITH a AS (SELECT *, coalesce(cooled_until > 100, FALSE) AS cooling FROM {_MODEL_SQL} WHERE NOT blacklisted OR (cooled_until IS NOT NULL AND cooled_until <= 100)) SELECT ord, model FROM a WHERE NOT cooling OR (SELECT count(*) FROM a WHERE NOT cooling) = 0"

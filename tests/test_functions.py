@@ -85,3 +85,13 @@ def test_image_kernels(spark):
     row = spark.createDataFrame([(("a", 20, 30, 3, 16, bytearray(px.tobytes())),), (("b", 9, 9, 3, 16, bytearray(b"xx")),)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
     got = {r.origin: r for r in images.enhance(row).collect()}
     assert got["a"].aged and bytes(got["b"].data) == b"xx" and got["b"].aged is None
+
+
+def test_script_run_counts_follow_the_runs(spark):
+    from parchwork.plans.more_queries import script_run_counts
+
+    values = ["", "abc", "كلمة", "كلمة abc كلمة", "1 كلمة", "漢 كلمة 漢漢 x كلمة", " . ", "كلمة漢", "a漢b", "漢aكلمة 1"]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    for r in script_run_counts(df).collect():
+        runs = presentation.script_runs(values[r.doc_id])
+        assert (r.arabic, r.other) == (sum(a for _, a in runs), sum(not a for _, a in runs)), values[r.doc_id]
