@@ -1,7 +1,6 @@
 """The layout engine: each page's tables, lists and punctuation (LAY-3 to LAY-8).
 
-A page is one value, so the whole engine is a projection over its lines and needs no shuffle: runs of table
-lines are found by folding over the array of lines. Roll-ups group by document.
+A page is one value, so the whole engine is a projection over its lines and needs no shuffle. Roll-ups group by document.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ BALANCED = "تمت موازنة خلايا الجدول وتثبيت الأعم
 HEADED = "إدراج سطر ترويسة الجدول وتثبيت محاذاة اليمين (RTL Columns Locked)"
 LISTED = "ضبط ترقيم ومسافة البند: \"{}...\""
 CROWDED_LINES, CROWDED_TABLES, LEAST_SCORE = 55, 2, 90
+#: Non-characters of Unicode, which no text holds: a table line's start and end, a list item, and what stands between lines.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 
 
 def cells(line: Column) -> Column:
@@ -31,12 +32,16 @@ def is_separator(row: Column) -> Column:
     return F.forall(row, lambda c: c.rlike(f"\\A[{BLANKS}:\\-]+{END}"))
 
 
-def stabilized(rows: Column) -> Column:
-    """Of an array of cell arrays: as many cells in each, separators as `---:`, and one after the first row.
+def width_of(rows: Column) -> Column:
+    return F.array_max(F.transform(rows, F.size))
 
-    A struct of lines, columns, balanced (some row was short) and headed (a separator was put in).
+
+def stabilized(rows: Column, width: Column) -> Column:
+    """Of an array of cell arrays and the cells of its longest row: as many cells in each, separators as `---:`, and one after the first row.
+
+    A struct of lines, columns, balanced (some row was short) and headed (a separator was put in). Both arguments are used for
+    each row, so they should be columns, not expressions.
     """
-    width = F.array_max(F.transform(rows, F.size))
     separator = F.array_repeat(F.lit("---:"), width)
     even = F.transform(rows, lambda r: F.when(is_separator(r), separator).otherwise(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
     headless = (F.size(even) < 2) | ~is_separator(F.try_element_at(even, F.lit(2)))
@@ -50,27 +55,25 @@ def stabilized(rows: Column) -> Column:
 
 def audit_pages(paged: DataFrame) -> DataFrame:
     """doc_id, page_no, and of each page: text, tables, lists, rtl_lines, table_issues, list_issues, n_lines, status."""
-    lines = paged.select("doc_id", "page_no", F.split("page", "\n", -1).alias("lines"))
-    kinds = F.transform("lines", lambda x: F.when(is_table_line(x), "table").when(is_list_line(x), "list").otherwise("text"))
-    numbered = lines.withColumn("kinds", kinds).select("doc_id", "page_no", F.arrays_zip("lines", "kinds").alias("l"))
-    # groups: a run of table lines is one, any other line is one
-    empty = F.expr("cast(array() as array<struct<kind: string, lines: array<string>>>)")
-
-    def grow(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = F.coalesce((x["kinds"] == "table") & (last["kind"] == "table"), F.lit(False))
-        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.lit("table").alias("kind"), F.concat(last["lines"], F.array(x["lines"])).alias("lines"))))
-        return F.when(same, joined).otherwise(F.concat(done, F.array(F.struct(x["kinds"].alias("kind"), F.array(x["lines"]).alias("lines")))))
-
-    grouped = numbered.select("doc_id", "page_no", F.aggregate("l", empty, grow).alias("groups"))
-    line = F.element_at
+    # lines are marked by kind and joined, and neighbouring table lines become one piece: runs without a fold
+    table, ends, item, between = MARKS
+
+    def marked(x: Column) -> Column:
+        return F.when(is_table_line(x), F.concat(F.lit(table), x, F.lit(ends))).when(is_list_line(x), F.concat(F.lit(item), x)).otherwise(x)
+
+    joined = F.replace(F.array_join(F.transform(F.split("page", "\n", -1), marked), between), F.lit(ends + between + table), F.lit("\n"))
+    pieces = paged.select("doc_id", "page_no", F.split(joined, between, -1).alias("pieces"))
+    kind = lambda g: F.when(g.startswith(table), "table").when(g.startswith(item), "list").otherwise("text")
+    grouped = pieces.select("doc_id", "page_no", F.transform("pieces", lambda g: F.struct(kind(g).alias("kind"), F.split(F.translate(g, table + ends + item, ""), "\n", -1).alias("lines"))).alias("groups"))
+    # cells, then widths, are values of their own before a row asks for them
+    grouped = grouped.select("doc_id", "page_no", F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["lines"][0].alias("line"), F.when(g["kind"] == "table", F.transform(g["lines"], cells)).alias("cells"))).alias("groups"))
+    grouped = grouped.select("doc_id", "page_no", F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["line"].alias("line"), g["cells"].alias("cells"), width_of(g["cells"]).alias("width"), F.when(g["kind"] == "list", trim(g["line"])).otherwise(g["line"]).alias("plain"))).alias("groups"))
     none = F.expr("cast(null as struct<lines: array<string>, columns: int, balanced: boolean, headed: boolean>)")
     made = F.transform(
         "groups",
         lambda g: F.struct(
-            g["kind"].alias("kind"), line(g["lines"], 1).alias("line"),
-            F.when(g["kind"] == "table", stabilized(F.transform(g["lines"], cells))).otherwise(none).alias("table"),
-            F.when(g["kind"] == "list", line_punctuation(trim(line(g["lines"], 1)))).when(g["kind"] == "text", line_punctuation(line(g["lines"], 1))).alias("fixed"),
+            g["kind"].alias("kind"), g["plain"].alias("plain"), F.when(g["kind"] == "table", stabilized(g["cells"], g["width"])).otherwise(none).alias("table"),
+            F.when(g["kind"] != "table", line_punctuation(g["plain"])).alias("fixed"),
         ),
     )
     blank = F.array(F.lit(""))
@@ -79,8 +82,8 @@ def audit_pages(paged: DataFrame) -> DataFrame:
     issues = F.flatten(F.transform(tables, lambda g: F.filter(F.array(
         F.when(g["table"]["balanced"], F.concat(F.lit(BALANCED.split("{}")[0]), g["table"]["columns"].cast("string"), F.lit(BALANCED.split("{}")[1]))), F.when(g["table"]["headed"], F.lit(HEADED)),
     ), lambda x: x.isNotNull())))
-    changed = F.filter(lists, lambda g: g["fixed"] != trim(g["line"]))
-    listed = F.transform(changed, lambda g: F.concat(F.lit(LISTED.split("{}")[0]), F.substring(trim(g["line"]), 1, 25), F.lit(LISTED.split("{}")[1])))
+    changed = F.filter(lists, lambda g: g["fixed"] != g["plain"])
+    listed = F.transform(changed, lambda g: F.concat(F.lit(LISTED.split("{}")[0]), F.substring(g["plain"], 1, 25), F.lit(LISTED.split("{}")[1])))
     out = F.flatten(F.transform("m", lambda g: F.when(g["kind"] == "table", F.concat(blank, g["table"]["lines"], blank)).otherwise(F.array(g["fixed"]))))
     kept = F.regexp_replace(F.array_join(out, "\n"), f"(?:\\n{S}*+)++\\z|\\A{S}*+\\z", "")
     report = built.select(

@@ -105,10 +105,11 @@ def repair_targets(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def complete(text: Column) -> Column:
-    """Known cuts completed, the first occurrence of each."""
+    """Known cuts completed, the first occurrence of each. Texts without Arabic letters aren't searched."""
+    done = text
     for c in COMPLETIONS:
-        text = first_only(text, c.pattern, c.put)
-    return text
+        done = first_only(done, c.pattern, c.put)
+    return F.when(has_arabic(text), done).otherwise(text)
 
 
 def grammar(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchwork.functions.dialect import BLANKS, BOL, EDGE, END, EOL, S, Step, rewrite, trim
-from parchwork.functions.text import MARKER, is_table_line
+from parchwork.functions.text import MARKER, has_arabic, is_table_line
 
 # Particles that leave a sentence open, patterns of headings, phrases of running headers, corrections and messages.
 PARTICLES = f"(?:بـ|في|من|إلى|عن|على|مع|أن|لأن|حيث{S}+إن|التي|الذي|الذين|بما{S}+فيها|وهو{S}+أن|كـ){S}*(?:\\.*|…){S}*{END}"
@@ -129,9 +129,13 @@ def renumber_letters(text: Column) -> Column:
     return F.when(wanted, rewrite(text, LETTERED)).otherwise(text)
 
 
-def collapse_repeats(text: Column) -> Column:
-    """Running headers said twice, and lines of 5 to 50 characters that follow themselves, are said once."""
-    text = F.regexp_replace(text, RUNNING, "$1")
+def collapse_headers(text: Column) -> Column:
+    """Running headers said twice are said once."""
+    return F.regexp_replace(text, RUNNING, "$1")
+
+
+def collapse_lines(text: Column) -> Column:
+    """Lines of 5 to 50 characters that follow themselves are said once."""
     return F.regexp_replace(text, f"{BOL}([^\\n]{{5,50}})\\n++\\1{EOL}", "$1")
 
 
@@ -147,6 +151,6 @@ def repaired(df: DataFrame, column: str = "text", file_name: str = "file_name")
         return F.when(trim(t) == "", t).otherwise(done)
 
     out = df.withColumn(column, step(add_title(t, F.col(file_name))))
-    for rewrite_step in (promote_headings, renumber_letters, collapse_repeats, complete_cuts):
-        out = out.withColumn(column, step(rewrite_step(t)))
-    return out
+    for rewrite_step in (promote_headings, renumber_letters, collapse_headers, complete_cuts):
+        out = out.withColumn(column, F.when(has_arabic(t), step(rewrite_step(t))).otherwise(t))  # they concern Arabic phrases alone
+    return out.withColumn(column, step(collapse_lines(t)))

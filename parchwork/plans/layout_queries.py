@@ -55,7 +55,8 @@ register(
 def _tables(spark, sf_dir: str) -> DataFrame:
     rows = segment.table_blocks(segment.lines(_pages(spark, sf_dir))).withColumn("cells", layout.cells(F.col("line")))
     grouped = rows.groupBy("doc_id", "page_no", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "cells"))).alias("r"))
-    return grouped.withColumn("t", layout.stabilized(F.transform("r", lambda x: x["cells"]))).select(
+    rows = grouped.withColumn("rows", F.transform("r", lambda x: x["cells"])).withColumn("width", layout.width_of(F.col("rows")))
+    return rows.withColumn("t", layout.stabilized(F.col("rows"), F.col("width"))).select(
         "doc_id", "page_no", "block", F.array_join("t.lines", "\n").alias("markdown"), F.col("t.columns").alias("columns"), F.col("t.balanced").alias("balanced"), F.col("t.headed").alias("headed")
     )
 

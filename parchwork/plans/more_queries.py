@@ -105,7 +105,7 @@ def word_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["src03_word_round_trip"] = word_round_trip
-QUERIES["src03d_markdown_tables"] = lambda spark, sf_dir: table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))).alias("r")).select("n_regionkey", F.array_join(layout.stabilized(F.col("r"))["lines"], "\n").alias("markdown"))
+QUERIES["src03d_markdown_tables"] = lambda spark, sf_dir: table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))).alias("r")).select("n_regionkey", F.array_join(layout.stabilized(F.col("r"), F.lit(2))["lines"], "\n").alias("markdown"))
 SQL["src03d_markdown_tables"] = (
     "WITH r AS (SELECT n_regionkey, list('| ' || n_nationkey || ' | ' || n_name || ' |' ORDER BY n_nationkey::VARCHAR) AS v FROM nation GROUP BY 1) SELECT n_regionkey, array_to_string(list_concat(v[1:1], ['| ---: | ---: |'], v[2:]), chr(10)) AS markdown FROM r"
 )
