@@ -197,6 +197,10 @@ LABELLED = (
     f'<article data-keep><p><a href=1>{_MID}</a></p><p>{_MID}</p></article>',
     f'<article data-keep><p><a href=1>{_LONG}</a></p><p>{_LONG}</p><p>So.</p></article>',
     f'<nav><a href=1>{_MID}</a></nav><article data-keep><p>{_LONG}</p></article>',
+    f'<article data-keep><p>{_LONG}</p><p><a href=1>{_MID}</a></p><p>The end.</p></article><footer>&copy;</footer>',
+    f'<article data-keep><p><a href=1>Yes.</a></p><p>No.</p></article><footer>2001</footer>',
+    f'<article data-keep><p><a href=1>{_MID}</a></p><p>Or not.</p><p>So.</p></article>',
+    f'<main data-keep><p><a href=1>{_MID}</a></p><p>But then it did.</p></main>',
 )
 
 _trained: list[Leaf | Split] = []
