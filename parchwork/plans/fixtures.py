@@ -42,6 +42,7 @@ TEXTS: tuple[str, ...] = (
     "Unit 1\nUnitary\nس 1 ما الجواب\n3. Question three\nالوحدة الأولى\nChapter: one\n\nLESSON",
     "سلاح الأزهري سلاح الأزهري سلاح الأزهري\nمبادئ علوم القرآن\nأ. تعريف القرآن\nب. موضوعه",
     "حرفَّ مشدد وَّ آخر ﺍﻟﺪﺭﺱ ① ½ ﬁ",
+    "ختام الباب\nبيع الحاضر للبادي",
 )
 
 FILES: tuple[tuple[str, str, int], ...] = (
