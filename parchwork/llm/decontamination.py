@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def windows(items: list[tuple[int, str | None]], width: int) -> dict[str, tuple[
 _automata: dict = CACHES.setdefault("automata", {})
 
 
-def _automaton(key: int, patterns: dict[str, tuple[int, tuple[int, ...]]]):
+def _automaton(key: str, patterns: dict[str, tuple[int, tuple[int, ...]]]):
     import ahocorasick
 
     if key not in _automata:
@@ -83,10 +84,12 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(told, first: bool):
     """Adds what this automaton finds to what earlier ones found."""
+    # made on the driver and sent with the closure; an address in a worker may be that of another benchmark, freed
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = told.value
-        automaton = _automaton(told.id if hasattr(told, "id") else id(patterns), patterns)
+        automaton = _automaton(key, patterns)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n = len(texts)

@@ -29,6 +29,20 @@ def test_contamination_equals_brute_force(spark, documents, monkeypatch):
     assert all(not r.items for r in decontamination.find_contamination(documents(rows), bench.where("item_id > 99")).collect())
 
 
+def test_automaton_is_not_taken_from_another_benchmark():
+    import pyarrow as pa
+
+    class Told:  # a broadcast of workers: it has no id, and its value may stand where a freed one stood
+        value: dict = {}
+
+    batch = pa.RecordBatch.from_pydict({"text": ["one two", "three four"]})
+    for text, want in (("one two", [[7], []]), ("three four", [[], [7]])):
+        Told.value.clear()
+        Told.value.update(decontamination.windows([(7, text)], 10))
+        (found,) = decontamination._scan(Told(), True)(iter([batch]))
+        assert found.column("items").to_pylist() == want
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style></head><body><header><a href=1>Site</a></header><nav><ul><li><a href=1>A</a></li><li><a href=2>B</a></ul></nav>
 <div class="ad">Buy this now and save a lot of money today.</div><article><h1>Head &amp; shoulders</h1><p>First   para <b>bold</b>&nbsp;x<br>y<p>Second.<p>A &lt; B &copy; &#233;<script>var a = "</p>";</script><!-- <p>no</p> --><section class="comments"><p>A reader said this
 here.</p></section></article><aside><p>Other stories that you may like to read too.</p></aside><form><label>Mail</label><input><button>Go</button></form><footer>All rights &middot; reserved</footer>"""
