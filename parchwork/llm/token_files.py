@@ -4,9 +4,10 @@ The files form a table in any file system that Spark writes to. A row is a chunk
 whole documents in doc_id order:
 
     part, chunk     the chunk's place; (part, chunk) follows doc_id order
-    first, last     least and greatest doc_id within
+    first, last     least and greatest doc_id within; null if no document has one
     n_ids, before   ids in the chunk, ids of the chunks before it in its part
-    doc_ids, sizes  little-endian int64 ids and uint32 token counts of the documents
+    doc_ids, sizes  little-endian int64 ids and uint32 token counts of the documents;
+                    documents of null doc_id stand last and have a count, but no id
     index           little-endian uint32 lengths of the compressed planes, four to a block
     planes          the planes, one after another
 
@@ -74,14 +75,16 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, tail = encoder(path).encode_bytes, TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         chunk = before = held = 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         parts: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal chunk, before, held
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             index, planes = pack_planes(ids)
-            row = (part, chunk, docs[0], docs[-1], len(ids), before, np.array(docs, dtype="<i8").tobytes(), np.array([len(p) // 4 for p in parts], dtype="<u4").tobytes(), index, planes)
+            known = [d for d in docs if d is not None]
+            first, last = (known[0], known[-1]) if known else (None, None)
+            row = (part, chunk, first, last, len(ids), before, np.array(known, dtype="<i8").tobytes(), np.array([len(p) // 4 for p in parts], dtype="<u4").tobytes(), index, planes)
             chunk, before, held = chunk + 1, before + len(ids), 0
             docs.clear()
             parts.clear()
@@ -102,23 +105,27 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, null_ids: bool = False) -> None:
     """Encode every whole text and write the chunks in ascending doc_id order to `path`.
 
-    A null text is empty and leaves its end id alone; a row with a null doc_id is an error,
-    as it has no place in the order. Rows of equal doc_id stand side by side, in order of
-    their texts. Columns besides doc_id and text are ignored; an empty table gives no chunks.
+    A null text is empty and leaves its end id alone. Rows of null doc_id stand last if
+    `null_ids` is set, and are an error if not. Rows of equal or null doc_id stand side by
+    side, in order of their texts' CRC-32, then of the texts. Columns besides doc_id and text
+    are ignored; an empty table gives no chunks.
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("doc_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id")))
+    if not null_ids:
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))))
+    # the checksum deals rows of one id, or of none, over several tasks
+    order = [F.col("doc_id").asc_nulls_last(), F.crc32(F.coalesce("text", F.lit("")))]
+    in_order = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.coalesce("text", F.lit("")))
     in_order.mapInArrow(tidy(_encode(tokenizer, end_id), "encoders"), CHUNKS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """A row for each document: doc_id, start, n_tokens, ids_crc32, and its ids if asked."""
+    """A row for each document, of null doc_id too: doc_id, start, n_tokens, ids_crc32, and its ids if asked."""
     chunks = spark.read.schema(CHUNKS).parquet(path)
     # one row for each part, as many as the writer had tasks
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -133,8 +140,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 sizes = np.frombuffer(r["sizes"], dtype="<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 own = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+                known = pa.array(np.frombuffer(r["doc_ids"], dtype="<i8"))
                 columns = [
-                    pa.array(np.frombuffer(r["doc_ids"], dtype="<i8")), pa.array(ends - sizes + r["before"] + r["part_start"]),
+                    pa.concat_arrays([known, pa.nulls(len(sizes) - len(known), pa.int64())]), pa.array(ends - sizes + r["before"] + r["part_start"]),
                     pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
                 ]
                 if with_ids:
@@ -146,5 +154,5 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path("word_bpe_49k.json"), end_id=1, null_ids=True)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -68,6 +68,20 @@ def test_token_files_round_trip(spark, documents, monkeypatch):
         token_files.write_tokens(documents([(None, "a")]), fresh_path(spark, "t"), tokenizer_path(NAMES[0]), 1)
 
 
+def test_token_files_keep_rows_without_an_id(spark, documents, monkeypatch, tmp_path):
+    rows = [(7, "x y"), (None, "b"), (None, None), (-3, "a"), (None, "a b c"), (None, "b"), (7, ""), *((None, f"t {k}") for k in range(60))]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(token_files, "CHUNK", 40)
+    got = sorted(token_files.op3_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    encode, start = library(NAMES[0]), 0
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] or ""))
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, want):
+        ids = [*encode(t or ""), 1]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), crc(ids))
+        start += len(ids)
+
+
 def test_planes():
     for n in (0, 1, token_files.BLOCK, token_files.BLOCK * 2 + 7):
         ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
