@@ -23,8 +23,14 @@ from parchwork.llm._memory import tidy
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
+)
+#: Read as text up to their end tag; without one, script and style go to the end of the page.
+RAW = frozenset("script style title".split())
+#: Left out where they are closed; without an end tag of its own such a start tag alone is passed over.
+EMBEDDED = frozenset("noscript template iframe svg object canvas audio video annotation annotation-xml".split())
 FORM = frozenset("form button select option textarea fieldset input datalist".split())
 BOILER = frozenset("nav footer aside menu dialog".split()) | FORM
 CLOSES_ITSELF = frozenset("li dt dd tr td th option p".split())
@@ -39,6 +45,7 @@ ARTICLE = frozenset("article main".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--(?:.*?-->|.*\Z)|<[!?/][^>]*>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|data-keep|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
+_PAIR = r"""<!--(?:.*?-->|.*\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\b|\Z)|<(/?){}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
 _SPACE = re.compile(r"\s+")
 
 
@@ -52,6 +59,18 @@ class TextBlock(NamedTuple):
     keep: int
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Where elements of this name begin → where they end; those without an end tag of their own are left out."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(_PAIR.format(name), page, re.DOTALL | re.IGNORECASE):
+        if m[2] and begun:
+            found[begun.pop()] = m.end()
+        elif m[2] == "" and not m[3].endswith("/"):
+            begun.append(m.start())
+    return found
+
+
 def blocks(page: str) -> list[TextBlock]:
     """The page's text blocks in order; blocks without visible text are none."""
     out: list[TextBlock] = []
@@ -60,6 +79,8 @@ def blocks(page: str) -> list[TextBlock]:
     #: Open elements: name, and what they add: article, boiler, link, heading, keep.
     stack: list[tuple[str, int, int, int, int, int]] = []
     article = boiler = link = heading = keep = 0
+    closed: dict[str, dict[int, int]] = {}
+    untitled = False
 
     def flush() -> None:
         if parts:
@@ -94,6 +115,8 @@ def blocks(page: str) -> list[TextBlock]:
         name = name.lower()
         if name not in INLINE:
             flush()
+        elif name in ("mtd", "mtr"):
+            parts.append(" ")
         if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -101,9 +124,18 @@ def blocks(page: str) -> list[TextBlock]:
                     break
             continue
         if name in RAW:
-            if not rest.endswith("/") or name in ("script", "style", "title", "head"):
-                found = re.compile(rf"</{name}\b[^>]*>|<body\b" if name == "head" else rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = n if not found else found.start() if found[0][:2] != "</" else found.end()
+            found = None if untitled and name == "title" else re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
+            untitled |= name == "title" and not found
+            at = found.end() if found else at if name == "title" else n
+            continue
+        if name in EMBEDDED:
+            if not rest.endswith("/"):
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                at = closed[name].get(m.start(), at)
+            continue
+        # what stands in a head besides titles, scripts and styles has no text; anything else ends it, with or without its end tag
+        if name == "head":
             continue
         if name in VOID:
             continue

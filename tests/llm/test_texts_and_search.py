@@ -60,6 +60,23 @@ def test_extraction(spark):
     assert html_extraction.extract_text(df.limit(0)).count() == 0
 
 
+def test_extraction_goes_on_behind_missing_end_tags():
+    said = "The river rose again in the night and by morning the lower fields lay under water as far as the mill."
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    assert texts("<head><title>T</title><meta name=x><script>'<p>no</p>'</script><p>text") == ["text"]
+    assert html_extraction.main_text(f"<!doctype html><head><title>T</title><article><p>{said}<p>{said}</article>") == f"{said}\n{said}"
+    for name in ("video", "audio", "svg", "canvas", "object", "template", "noscript", "iframe"):
+        assert texts(f"<p>a</p><{name}><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{name}>no<!-- <{name}> --></{name}><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{name} x='>'><p>b</p><{name.upper()}>no</{name}><p>c</p>") == ["a", "b", "c"]
+    assert texts("<svg><svg><text>no</text></svg><svg/><text>no</text></svg><p>a</p>") == ["a"]
+    assert texts("<p>a</p><script>no<p>b</p>") == ["a"] and texts("<title>T<p>b</p>")[-1] == "b"
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=TeX>x=1</annotation></semantics></math>"
+    assert texts(f"<p>Let {math} hold.</p>") == ["Let x=1 hold."]
+    assert texts("<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math></p>") == ["1 2"]
+    assert len(texts("<svg><p>b" * 20_000 + "<title>x" * 20_000)) == 40_000
+
+
 def test_tree_learns_its_labels_and_link_density_alone_will_do():
     found = [html_extraction.blocks(p) for p in html_extraction.LABELLED]
     rows = [(r, b.keep) for bs in found for r, b in zip(html_extraction.features(bs), bs, strict=True)]
