@@ -26,8 +26,6 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 #: Stands for a turn's text to find where the template puts it.
 _MARK = "\U0010fffd"
-#: Above this many turns, growth is rendered from a turn and the one before it, and the whole is checked.
-_LONG = 64
 
 
 def escape(text: str) -> str:
@@ -60,19 +58,6 @@ def parse(formatted: str) -> Turns:
 def spans(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int]], int]:
     """The whole output, each turn's span, and the first turn that rewrites history (-1: none does)."""
     whole = template(turns)
-    if len(turns) > _LONG:
-        pieces = [template(turns[:1])]
-        for k in range(1, len(turns)):
-            one, two = template(turns[k - 1 : k]), template(turns[k - 1 : k + 1])
-            if not two.startswith(one):
-                break
-            pieces.append(two[len(one) :])
-        probes = {2**k for k in range(1, len(turns).bit_length()) if 2**k < len(turns)}
-        if len(pieces) == len(turns) and "".join(pieces) == whole and all("".join(pieces[:k]) == template(turns[:k]) for k in probes):
-            ends = [0]
-            for p in pieces:
-                ends.append(ends[-1] + len(p))
-            return whole, list(zip(ends, ends[1:], strict=False)), -1
     out, before = [], ""
     for k in range(1, len(turns) + 1):
         now = whole if k == len(turns) else template(turns[:k])
@@ -85,9 +70,10 @@ def spans(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int]],
 
 def text_span(template: Template, turns: Turns, k: int, span: tuple[int, int], whole: str) -> tuple[int, int] | None:
     """Where the text of turn `k` stands within its span, by rendering a mark in its place."""
-    first = max(0, k - 1) if len(turns) > _LONG else 0
-    before = template(turns[first:k]) if k > first else ""
-    marked = template([*turns[first:k], (turns[k][0], _MARK)])[len(before) :]
+    marked = template([*turns[:k], (turns[k][0], _MARK)])
+    if not marked.startswith(whole[: span[0]]):
+        return None
+    marked = marked[span[0] :]
     at = marked.find(_MARK)
     start, end = span[0] + at, span[1] - (len(marked) - at - len(_MARK))
     ok = at >= 0 and start <= end and whole[span[0] : start] == marked[:at] and whole[end : span[1]] == marked[at + len(_MARK) :]
@@ -127,7 +113,8 @@ def format_conversations(df: DataFrame, template: Template = chat_template, trai
     and text, nulls first; repeated rows are turns of their own. A null role or text is empty;
     rows of null conv_id form one conversation. Spans are half-open, in code points. rewrites_at
     is -1, or the first turn (from 0) that changes the output before it; there are no loss spans then.
-    A conversation is one string in one task; an empty table gives no rows.
+    A conversation is one string in one task, and each of its prefixes is rendered: time goes by the
+    square of its length. An empty table gives no rows.
     """
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("row"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))

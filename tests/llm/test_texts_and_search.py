@@ -108,6 +108,23 @@ def test_templates_that_rewrite_history_are_found():
     assert at == -1 and found[-1][1] == len(whole) and [whole[a:b] for a, b in found[:2]] == ["[0]q0", "[1]a1"]
 
 
+def test_long_conversations_are_judged_like_short_ones(spark):
+    plain = lambda ts: "".join(f"<{t}>" for _, t in ts)
+    fickle = lambda ts: plain(ts).upper() if len(ts) == 21 else plain(ts)  # noqa: E731  rewrites at one prefix and back at the next
+    seen = lambda ts: "".join(f"<{t}>" if k < 3 or r == "user" else f"({ts[0][1]}{t})" for k, (r, t) in enumerate(ts))  # noqa: E731  uses the first turn
+    for n in (40, 65, 150):
+        turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(n)]
+        assert chat.spans(fickle, turns)[1:] == ([], 20)
+        whole, found, at = chat.spans(seen, turns)
+        assert at == -1 and len(found) == n
+        for k in range(1, n, 2):
+            a, b = chat.text_span(seen, turns, k, found[k], whole)
+            assert whole[a:b] == f"t{k}"
+    df = spark.createDataFrame([(1, k, *x) for k, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_conversations(df, fickle).collect()
+    assert (row.rewrites_at, row.turn_spans, row.loss_spans) == (20, [], [])
+
+
 def brute_top(ids, v, k):
     out = {}
     for q, x in zip(ids, v):
