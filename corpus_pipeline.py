@@ -13,6 +13,9 @@ from parchwork.llm import decontamination, near_duplicates, packing, quality, su
 from parchwork.llm._tokens import tokenizer_path
 from parchwork.plans.session import materialize, ship
 
+#: The key of a row in the near-duplicate stage.
+ROW = "pipeline_row"
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labels, doesn't reject."""
@@ -22,11 +25,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity of 0.8 or more)."""
+    """One row of each group of near-duplicates (five words, similarity of 0.8 or more), one of its least doc_id.
+
+    Rows are told apart by a key of their own, so that rows of one doc_id are judged by their texts.
+    Rows of null doc_id stay.
+    """
     ship(spark)
-    found = near_duplicates.near_duplicates(docs, width=5, percent=80)
-    # no row of kept documents goes with them: an id is dropped only if it leads no group
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # written, so that the keys stay what they are
+    rows = materialize(docs.withColumn(ROW, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = near_duplicates.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), width=5, percent=80)
+    grouped = found.select(F.col("doc_id").alias(ROW), "component_id").where(f"{ROW} is not null")
+    placed = materialize(rows.select(ROW, "doc_id").join(grouped, ROW), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW))[ROW].alias("first"))
+    gone = placed.join(first, "component_id").where(f"{ROW} <> first").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +49,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of the benchmark."""
+    """Documents that hold no window of ten words of the benchmark, whether its rows have ids or not."""
     ship(spark)
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.decontaminate(docs, items.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text"))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,25 @@ def test_stages(stages, spark):
     assert {r.doc_id for r in after} == {r.doc_id for r in before}
 
 
+def test_rows_of_one_id_are_judged_apart(spark, documents):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a + " end"), (1, a), (1, a), (2, a + " more"), (2, b), (None, a), (None, a), (9, b), (0, b + " end"), (7, None), (7, None)]
+    docs = documents(rows)
+    left = corpus_pipeline.distinct(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in left.collect())) == sorted([(1, a), (0, b + " end"), (0, a), (0, a), (7, ""), (7, "")])
+    # the clean row of an id stays where another of it is a copy
+    left = corpus_pipeline.distinct(spark, documents([(1, a), (2, a), (2, b)]), "")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (2, b)]
+
+
+def test_leaks_of_items_without_an_id(spark, documents, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(12))
+    spark.createDataFrame([(None, passage), (None, None), (3, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.without_leaks(spark, documents([(1, f"so {passage} so"), (2, "clean"), (3, "X, y"), (4, None)]), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {2, 4}
+
+
 def test_registered(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
