@@ -13,13 +13,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _modules = [text_queries, layout_queries, batch_queries, rule_queries, format_queries, more_queries]
 
 
-def _ready() -> None:
-    """Some queries are built from Column objects, which need a session."""
-    if "src05_file_kind" not in text_queries.QUERIES:
-        text_queries.register_files()
-        text_queries.register_numbers()
-
-
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -33,10 +26,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    _ready()
     return {name: _shipped(q) for m in _modules for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    _ready()
     return {name: sql for m in _modules for name, sql in m.SQL.items()}

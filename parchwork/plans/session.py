@@ -37,11 +37,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, a single machine) a local folder stands in.
+    Only where the session names none and runs on one machine (tests) a local folder stands in;
+    on a cluster executors would write to disks of their own, so that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(Path(tempfile.mkdtemp(prefix="parchwork-shared-")).as_uri())
     return _own_folder[0]

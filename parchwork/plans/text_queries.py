@@ -154,8 +154,9 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FILES), "name string, mime string, size long")
 
 
-def per_file(name: str, columns: dict[str, tuple[Column, str]]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: files(spark).select("name", *(f.alias(c) for c, (f, _) in columns.items()))
+def per_file(name: str, columns: dict[str, tuple[Callable[[Column, Column], Column], str]]) -> None:
+    """A query with a row for each file; `columns`: expression of name and type, and SQL."""
+    QUERIES[name] = lambda spark, sf_dir: files(spark).select("name", *(f(F.col("name"), F.col("mime")).alias(c) for c, (f, _) in columns.items()))
     SQL[name] = f"SELECT name, {', '.join(f'{sql} AS {c}' for c, (_, sql) in columns.items())} FROM {values_sql(FILES, 'name, mime, size')}"
 
 
@@ -163,41 +164,36 @@ _LOW = "lower(name)"
 _IMAGE = f"(starts_with(mime, 'image/') OR regexp_matches({_LOW}, '\\.(?:png|jpe?g|bmp|webp|gif|{{}})$'))"
 
 
-def register_files() -> None:
-    n, m = F.col("name"), F.col("mime")
-    per_file("src05_file_kind", {
-        "kind": (X.file_kind(n, m), f"CASE WHEN ends_with({_LOW}, '.pdf') OR mime = 'application/pdf' THEN 'pdf' WHEN {_IMAGE.format('svg')} THEN 'image' WHEN regexp_matches({_LOW}, '\\.docx?$') OR contains(mime, 'word') OR contains(mime, 'officedocument') THEN 'word' END"),
-        "image": (X.is_image_file(n, m), _IMAGE.format("tiff?")),
-    })
-    per_file("txt26_base_names", {
-        c: (rewrite(n, used), rewrite_sql("name", used))
-        for c, used in (("any_suffix", [X.ANY_SUFFIX]), ("pdf", [X.PDF_SUFFIX]), ("docx", [X.DOCX_SUFFIX]), ("download", X.DOWNLOAD_SUFFIX), ("without_pages", [X.ANY_SUFFIX, X.PAGE_RANGE]))
-    })
-    urls = (("data:application/pdf;base64,JVBERi0=",), ("data:image/png;base64,AAAA",), ("JVBERi0=",), ("data:,x",))
-    QUERIES["txt27_data_urls"] = lambda spark, sf_dir: spark.createDataFrame(list(urls), "url string").select("url", X.data_url_payload(F.col("url")).alias("payload"), X.data_url_mime(F.col("url")).alias("mime"))
-    SQL["txt27_data_urls"] = f"SELECT url, regexp_replace(url, '^data:[^;,]*(?:;[^,]*)?,', '') AS payload, CASE WHEN regexp_matches(url, '^data:[^;,]+') THEN regexp_extract(url, '^data:([^;,]+)', 1) END AS mime FROM {values_sql(urls, 'url')}"
-    QUERIES["src06_queue_dedupe"] = lambda spark, sf_dir: files(spark).unionByName(files(spark).where("size > 100")).join(files(spark).where("size % 20 = 0").select("name", "size"), ["name", "size"], "left_anti").select("name", "size")
-    f = values_sql(FILES, "name, mime, size")
-    SQL["src06_queue_dedupe"] = f"WITH f AS {f} SELECT name, size::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE size > 100) WHERE (name, size) NOT IN (SELECT (name, size) FROM f WHERE size % 20 = 0)"
-
-
-def register_numbers() -> None:
-    def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 7919 - 5).alias("n"))
-
-    QUERIES["txt33_format_bytes"] = lambda spark, sf_dir: sizes(spark, sf_dir).select("o_orderkey", X.format_bytes(F.col("n")).alias("shown"))
-    k = "least(greatest(floor(ln(n) / ln(1024.0)), 0), 4)"
-    SQL["txt33_format_bytes"] = f"SELECT o_orderkey, CASE WHEN n > 0 THEN regexp_replace(printf('%.1f', n / pow(1024.0, {k})), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][{k}::INTEGER + 1] ELSE '0 B' END AS shown FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 7919 - 5)::DOUBLE AS n FROM orders)"
-    QUERIES["txt34_format_duration"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", X.format_duration((F.col("o_orderkey") % 9000) / F.lit(1.5) - 2).alias("shown"))
-    rest = "floor(s - floor(s / 60) * 60 + 0.5)::BIGINT"
-    tail = f"CASE WHEN {rest} > 0 THEN ' و ' || {rest} || ' ثانية' ELSE '' END"
-    SQL["txt34_format_duration"] = (
-        "SELECT o_orderkey, CASE WHEN s <= 0 THEN 'لحظات قليلة...' WHEN s < 6 THEN 'أقل من 5 ثوانٍ' WHEN s < 60 THEN 'حوالي ' || floor(s + 0.5)::BIGINT || ' ثانية' "
-        f"WHEN m = 1 THEN CASE WHEN {rest} > 0 THEN 'حوالي دقيقة' || {tail} ELSE 'حوالي دقيقة واحدة' END WHEN m = 2 THEN 'حوالي دقيقتين' || {tail} WHEN m <= 10 THEN 'حوالي ' || m || ' دقائق' || {tail} WHEN m < 60 THEN 'حوالي ' || m || ' دقيقة' || {tail} "
-        "ELSE 'حوالي ' || m // 60 || ' ساعة و ' || m % 60 || ' دقيقة' END AS shown FROM (SELECT *, floor(s / 60)::BIGINT AS m FROM (SELECT o_orderkey, (o_orderkey % 9000) / 1.5 - 2 AS s FROM orders))"
-    )
-    QUERIES["fuz02_pairs"] = lambda spark, sf_dir: spark.createDataFrame(list(PAIRS), "a string, b string").select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 9).alias("score"))
-    SQL["fuz02_pairs"] = f"SELECT a, b, round({similarity_sql('a', 'b')}, 9) AS score FROM {values_sql(PAIRS, 'a, b')}"
+per_file("src05_file_kind", {
+    "kind": (X.file_kind, f"CASE WHEN ends_with({_LOW}, '.pdf') OR mime = 'application/pdf' THEN 'pdf' WHEN {_IMAGE.format('svg')} THEN 'image' WHEN regexp_matches({_LOW}, '\\.docx?$') OR contains(mime, 'word') OR contains(mime, 'officedocument') THEN 'word' END"),
+    "image": (X.is_image_file, _IMAGE.format("tiff?")),
+})
+per_file("txt26_base_names", {
+    c: (lambda n, m, used=used: rewrite(n, used), rewrite_sql("name", used))
+    for c, used in (("any_suffix", [X.ANY_SUFFIX]), ("pdf", [X.PDF_SUFFIX]), ("docx", [X.DOCX_SUFFIX]), ("download", X.DOWNLOAD_SUFFIX), ("without_pages", [X.ANY_SUFFIX, X.PAGE_RANGE]))
+})
+URLS = (("data:application/pdf;base64,JVBERi0=",), ("data:image/png;base64,AAAA",), ("JVBERi0=",), ("data:,x",))
+QUERIES["txt27_data_urls"] = lambda spark, sf_dir: spark.createDataFrame(list(URLS), "url string").select("url", X.data_url_payload(F.col("url")).alias("payload"), X.data_url_mime(F.col("url")).alias("mime"))
+SQL["txt27_data_urls"] = f"SELECT url, regexp_replace(url, '^data:[^;,]*(?:;[^,]*)?,', '') AS payload, CASE WHEN regexp_matches(url, '^data:[^;,]+') THEN regexp_extract(url, '^data:([^;,]+)', 1) END AS mime FROM {values_sql(URLS, 'url')}"
+QUERIES["src06_queue_dedupe"] = lambda spark, sf_dir: files(spark).unionByName(files(spark).where("size > 100")).join(files(spark).where("size % 20 = 0").select("name", "size"), ["name", "size"], "left_anti").select("name", "size")
+SQL["src06_queue_dedupe"] = f"WITH f AS {values_sql(FILES, 'name, mime, size')} SELECT name, size::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE size > 100) WHERE (name, size) NOT IN (SELECT (name, size) FROM f WHERE size % 20 = 0)"
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 7919 - 5).alias("n"))
+
+
+QUERIES["txt33_format_bytes"] = lambda spark, sf_dir: sizes(spark, sf_dir).select("o_orderkey", X.format_bytes(F.col("n")).alias("shown"))
+_UNIT = "least(greatest(floor(ln(n) / ln(1024.0)), 0), 4)"
+SQL["txt33_format_bytes"] = f"SELECT o_orderkey, CASE WHEN n > 0 THEN regexp_replace(printf('%.1f', n / pow(1024.0, {_UNIT})), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][{_UNIT}::INTEGER + 1] ELSE '0 B' END AS shown FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 7919 - 5)::DOUBLE AS n FROM orders)"
+QUERIES["txt34_format_duration"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", X.format_duration((F.col("o_orderkey") % 9000) / F.lit(1.5) - 2).alias("shown"))
+_REST = "floor(s - floor(s / 60) * 60 + 0.5)::BIGINT"
+_TAIL = f"CASE WHEN {_REST} > 0 THEN ' و ' || {_REST} || ' ثانية' ELSE '' END"
+SQL["txt34_format_duration"] = (
+    "SELECT o_orderkey, CASE WHEN s <= 0 THEN 'لحظات قليلة...' WHEN s < 6 THEN 'أقل من 5 ثوانٍ' WHEN s < 60 THEN 'حوالي ' || floor(s + 0.5)::BIGINT || ' ثانية' "
+    f"WHEN m = 1 THEN CASE WHEN {_REST} > 0 THEN 'حوالي دقيقة' || {_TAIL} ELSE 'حوالي دقيقة واحدة' END WHEN m = 2 THEN 'حوالي دقيقتين' || {_TAIL} WHEN m <= 10 THEN 'حوالي ' || m || ' دقائق' || {_TAIL} WHEN m < 60 THEN 'حوالي ' || m || ' دقيقة' || {_TAIL} "
+    "ELSE 'حوالي ' || m // 60 || ' ساعة و ' || m % 60 || ' دقيقة' END AS shown FROM (SELECT *, floor(s / 60)::BIGINT AS m FROM (SELECT o_orderkey, (o_orderkey % 9000) / 1.5 - 2 AS s FROM orders))"
+)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -217,3 +213,7 @@ def similarity_sql(a: str, b: str) -> str:
         return f"translate({KEY_SQL.replace('text', x)}, '{letters}', '{single}')"
 
     return key_similarity_sql(key(a), key(b))
+
+
+QUERIES["fuz02_pairs"] = lambda spark, sf_dir: spark.createDataFrame(list(PAIRS), "a string, b string").select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 9).alias("score"))
+SQL["fuz02_pairs"] = f"SELECT a, b, round({similarity_sql('a', 'b')}, 9) AS score FROM {values_sql(PAIRS, 'a, b')}"

@@ -1,5 +1,9 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; the others run and have a stable schema."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -10,8 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _names():
-    with_files = ["src05_file_kind", "txt26_base_names", "txt27_data_urls", "src06_queue_dedupe", "txt33_format_bytes", "txt34_format_duration", "fuz02_pairs"]
-    return sorted({n for m in catalog._modules for n in m.QUERIES} | set(with_files))
+    return sorted(n for m in catalog._modules for n in m.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +42,11 @@ def test_query(spark, duck, name):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert rows == sorted(tuple(told(r[i]) for i in at) for r in rel.fetchall())
+
+
+def test_queries_and_sql_can_be_listed_without_a_session():
+    """In a process of its own, as a driver does before it starts Spark."""
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; q, s = e.queries(), e.oracle_sql(); assert SparkContext._active_spark_context is None; assert set(s) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) >= 140
