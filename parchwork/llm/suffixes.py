@@ -2,17 +2,21 @@
 
 A suffix array sorts all suffixes at once; what is asked here is which suffixes agree on
 their first `length` bytes and which document of such a tie comes first. As in blockwise
-suffix sorting with a difference cover (Karkkainen 2007), suffixes are dealt into buckets of
-their leading key and one bucket is sorted at a time, in memory that its size bounds:
+suffix sorting with a difference cover (Karkkainen 2007), one bucket of suffixes is sorted at a
+time, in memory that the bucket's size bounds, and long ties go by ranks of a cover sample:
 
-1. Cover sample. With a difference cover D modulo `PERIOD`, any two equal windows have a
+1. Which suffixes. With a difference cover D modulo `PERIOD`, any two equal windows have a
    common offset below PERIOD at which both have a sample position, so they share a sample
-   string of length - PERIOD + 1 bytes. Only sample suffixes, under a quarter of all, are dealt into buckets and
-   ranked; those alone in their tie can't be part of a repeated window.
-2. Long ties. Windows with a tied sample suffix within PERIOD positions are left. Consecutive ones whose least
-   MINIMIZER-byte key is the same travel as one piece of text to that key's bucket, where equal windows meet; a
-   bucket's windows are sorted at a time, and each tie gets its first document.
-3. Windows of later documents are removed; where they overlap their union is.
+   string of length - PERIOD + 1 bytes. Keys of the sample suffixes, under a quarter of all, are dealt into buckets
+   and counted; a window without a sample key that two documents have can't be repeated and goes no further. Keys
+   are hashes: one that two strings share by chance only lets windows pass.
+2. Buckets. Consecutive windows that are left and whose least MINIMIZER-byte key is the same travel as one piece
+   of text to that key's bucket, where equal windows meet.
+3. Sorting a bucket (`earlier`). The bucket's cover sample is sorted by its first `length` bytes and ranked. Its windows
+   are sorted by their first PERIOD bytes. Of windows that tie there, any two have a common offset at which both
+   reach a sample suffix: their ranks tell whether the windows agree to the end, and so which document has each first.
+   Equality is of bytes throughout.
+4. Windows of later documents are removed; where they overlap their union is.
 
 Documents are held in blocks of a bounded size, in a table bucketed by block, so that answers find
 their documents without another shuffle of text. Before anything leaves a block its equal keys become
@@ -41,8 +45,10 @@ from parchwork.plans.session import fresh_path, materialize
 _U = np.uint64
 #: A perfect difference cover: each non-zero difference modulo PERIOD occurs once among COVER.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-#: Text in a block, and keys in a bucket, about.
-BLOCK_BYTES, BUCKET_KEYS = 2 << 20, 1 << 20
+#: Text in a block of small tables and in one of any, about, and keys in a bucket, about.
+BLOCK_BYTES, MOST_BYTES, BUCKET_KEYS = 2 << 20, 16 << 20, 1 << 20
+#: Up to this much text blocks have BLOCK_BYTES; beyond it they grow as the text's square root, as does their number.
+SMALL_BYTES = 4 << 30
 #: Bytes of the key that names a window's bucket, and windows in a piece at most.
 MINIMIZER, PIECE = 20, 200
 #: A block remembers its tied sample keys by this many low bits; a chance hit only leaves a window for step 2.
@@ -189,30 +195,33 @@ def _restored(data: bytes, length: int) -> Block:
     return Block(table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema), length)
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal seq, size
-        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]).combine_chunks()
-        row = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([_serialized(table.to_batches()[0])], pa.binary())], names=["block", "rows"])
-        held.clear()
-        seq, size = seq + 1, 0
-        return row
+def _to_blocks(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, size
+            table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]).combine_chunks()
+            row = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([_serialized(table.to_batches()[0])], pa.binary())], names=["block", "rows"])
+            held.clear()
+            seq, size = seq + 1, 0
+            return row
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            start = 0
+            for i, n in enumerate(lengths.tolist()):
+                size += n
+                if size >= limit:
+                    held.append(batch.slice(start, i + 1 - start))
+                    start = i + 1
+                    yield flush()
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield flush()
 
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        start = 0
-        for i, n in enumerate(lengths.tolist()):
-            size += n
-            if size >= BLOCK_BYTES:
-                held.append(batch.slice(start, i + 1 - start))
-                start = i + 1
-                yield flush()
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if held:
-        yield flush()
+    return run
 
 
 _SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("base", T.LongType())])
@@ -256,7 +265,7 @@ def _send_samples(length: int, buckets: int):
     return run
 
 
-def _rank_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket at a time: the low bits of each block's keys that two documents have."""
     for r in _each(batches):
         sent = [(x["block"], unpack_sorted(x["keys"]), np.unpackbits(np.frombuffer(x["docs"], np.uint8), count=x["base"]).astype(bool)) for x in r["sent"]]
@@ -291,10 +300,25 @@ class Opened:
         self.start, self.many, self.bucket = start[order], many[order], bucket[order]
         text = text[order]
         new = (np.diff(text, prepend=text[:1] + _U(1)) != 0) | (np.diff(self.bucket, prepend=-1) != 0) if len(text) else np.empty(0, bool)
+        new = self._told_apart(new, length)
         self.first = np.flatnonzero(new)
         self.group = np.cumsum(new) - 1
         self.docs = self.block.doc_ids[self.block.owners(self.start)]
 
+    def _told_apart(self, new: np.ndarray, length: int) -> np.ndarray:
+        """`new` with every piece its own where pieces under one key aren't all equal bytes."""
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        again = np.flatnonzero(~new)
+        like, data = first[group[again]], self.block.data
+        other = self.many[again] != self.many[like]
+        same = np.flatnonzero(~other)
+        for part in np.array_split(same, max(1, len(same) * (PIECE + length) >> 22)):
+            size = self.many[again[part]] + length - 1
+            if len(part):
+                differs = data[_ragged(self.start[again[part]], size)] != data[_ragged(self.start[like[part]], size)]
+                other[part] = np.logical_or.reduceat(differs, np.cumsum(size) - size)
+        return new | np.isin(group, group[again[other]]) if other.any() else new
+
 
 def _send_pieces(length: int, buckets: int):
     """Each block's distinct pieces by bucket: their text, windows and first documents."""
@@ -313,39 +337,92 @@ def _send_pieces(length: int, buckets: int):
     return run
 
 
+class CoverRanks:
+    """The cover sample of `text`, sorted by its suffixes' first `length` bytes; `place` gives a sample position's place in that order."""
+
+    def __init__(self, words: np.ndarray, size: int, length: int):
+        cover = np.zeros(PERIOD, dtype=bool)
+        cover[list(COVER)] = True
+        self.sampled = np.resize(cover, size)
+        at = np.flatnonzero(self.sampled)
+        offsets = range(0, length, 8)
+        at = at[np.lexsort([words[at + k] for k in reversed(offsets)])]
+        self.place = np.zeros(size, dtype=np.int64)
+        self.place[at] = np.arange(len(at))
+        #: Bytes that each suffix in order shares with the one before.
+        self.shared = np.zeros(len(at), dtype=np.int64)
+        open_ = np.arange(1, len(at))
+        for k in offsets:
+            x = words[at[open_] + k] ^ words[at[open_ - 1] + k]
+            self.shared[open_] += (x[:, None] < (_U(1) << np.arange(56, -1, -8, dtype=np.uint64))[None, :]).sum(axis=1)
+            open_ = open_[x == 0]
+
+    def ranks(self, depth: int) -> np.ndarray:
+        """By place, numbers that are equal for suffixes that agree on `depth` bytes and ascend with them."""
+        return np.cumsum(self.shared < depth)
+
+
+def earlier(text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """The least of `docs` among the windows that equal each one; a window is the `length` bytes of `text` at `at`."""
+    best = docs.copy()
+    if not len(at):
+        return best
+    padded = np.zeros(len(text) + length + 16, dtype=np.uint64)
+    padded[: len(text)] = text
+    words = np.zeros(len(text) + length + 8, dtype=np.uint64)
+    for k in range(8):  # the eight bytes from each position on, as a number in byte order
+        words = words << _U(8) | padded[k : k + len(words)]
+    order = np.lexsort((words[at + PERIOD - 8], words[at + 8], words[at]))
+    sorted_at = at[order]
+    new = np.zeros(len(at), dtype=bool)
+    new[0] = True
+    for k in (0, 8, PERIOD - 8):
+        new[1:] |= words[sorted_at[1:] + k] != words[sorted_at[:-1] + k]
+    first = np.flatnonzero(new)
+    d = docs[order]
+    open_ = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)  # other ties are of one document
+    group = np.cumsum(new) - 1
+    tied = np.flatnonzero(open_[group])
+    if not len(tied):
+        return best
+    group, tied = group[tied].astype(np.uint64), order[tied]
+    ranked = CoverRanks(words, len(text), length)
+    at = at[tied]
+    for shift in range(PERIOD):
+        met = np.flatnonzero(ranked.sampled[at + shift])
+        if not len(met):
+            continue
+        keys = group[met] << _U(32) | ranked.ranks(length - shift)[ranked.place[at[met] + shift]].astype(np.uint64)
+        by = np.argsort(keys)
+        keys, met = keys[by], tied[met[by]]
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _U(1)))
+        least = np.repeat(np.minimum.reduceat(docs[met], first), np.diff(np.append(first, len(keys))))
+        best[met] = np.minimum(best[met], least)
+    return best
+
+
 def _sort_windows(length: int):
     """One bucket at a time: for each window of each block's pieces, whether an earlier document has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        expand, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for r in _each(batches):
-            keys, docs, sizes = [], [], []
+            texts, windows, docs, sizes, begin = [], [], [], [], 0
             for x in r["sent"]:
                 own = unpack_numbers(x["docs"]).astype(np.int64) + x["base"]
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["keys"]), dtype=np.uint8)
+                data = np.frombuffer(expand(x["keys"]), dtype=np.uint8)
                 many, text = data[: len(own)].astype(np.int64), data[len(own) :]
                 ends = np.cumsum(many + length - 1)
-                at = _ragged(ends - many - length + 1, many)
-                power, _ = _powers(len(text) + 1)
-                sums = np.zeros(len(text) + 1, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    np.cumsum(_VALUES[text] * power[: len(text)], out=sums[1:])
-                keys.append(Block._keys(sums, at, length))
+                texts.append(text)
+                windows.append(begin + _ragged(ends - many - length + 1, many))
                 docs.append(np.repeat(own, many))
-                sizes.append(len(at))
-            every = np.concatenate(keys)
-            keys.clear()
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            first = np.flatnonzero(np.diff(every, prepend=every[:1] + _U(1)))
-            many = np.diff(np.append(first, len(every)))
-            every = np.concatenate(docs)[order]
-            docs.clear()
-            later = np.empty(len(every), dtype=bool)
-            later[order] = every > np.repeat(np.minimum.reduceat(every, first), many)
+                sizes.append(int(many.sum()))
+                begin += len(text)
+            docs = np.concatenate(docs)
+            later = docs > earlier(np.concatenate(texts), np.concatenate(windows), docs, length)
             ends = np.cumsum(sizes).tolist()
-            pack = zstandard.ZstdCompressor(level=1).compress
             yield _rows([(x["block"], r["bucket"], pack(np.packbits(later[e - n : e]).tobytes())) for x, n, e in zip(r["sent"], sizes, ends, strict=True)], _ANSWER_ARROW)
 
     return run
@@ -402,8 +479,7 @@ def remove_repeats(df: DataFrame, length: int = 50, as_text: bool = False) -> Da
     starts in a document with a smaller doc_id; strings are judged on the input, and never cross
     documents. A null text is empty; texts under `length` bytes are kept. Rows of equal doc_id take nothing
     from each other; a null doc_id counts as greater than all others. Columns of the new names in the
-    input are replaced. An empty table gives no rows. Keys are 64-bit: two different windows agree by
-    chance with a probability of the squared number of open windows over 2**65.
+    input are replaced. An empty table gives no rows. Strings are compared by their bytes.
 
     With `as_text` the result has the columns of `df`, the remaining text among them, and no documents of which
     nothing remains; a character that is cut in part goes as a whole.
@@ -413,11 +489,13 @@ def remove_repeats(df: DataFrame, length: int = 50, as_text: bool = False) -> Da
     spark = df.sparkSession
     docs = (df if as_text else df.drop("n_bytes", "n_removed", "removed_spans", "kept")).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    limit = BLOCK_BYTES if total <= SMALL_BYTES else min(MOST_BYTES, int(BLOCK_BYTES * (total / SMALL_BYTES) ** 0.5))
     name = f"parchwork_blocks_{uuid.uuid4().hex}"
-    written = docs.mapInArrow(tidy(_to_blocks), "block long, rows binary")
+    written = docs.mapInArrow(tidy(_to_blocks(limit)), "block long, rows binary")
     written.write.option("compression", "none").option("path", fresh_path(spark, "blocks")).bucketBy(parts, "block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark.sql(f"DROP TABLE {name}")  # the name only: files under a path of their own stay, and `blocks` reads them
     buckets = max(parts, -(-total * len(COVER) // PERIOD // BUCKET_KEYS))
 
     def answered(sent: DataFrame, sort, label: str, column: str) -> DataFrame:
@@ -425,7 +503,7 @@ def remove_repeats(df: DataFrame, length: int = 50, as_text: bool = False) -> Da
         answers = materialize(in_bucket.mapInArrow(tidy(sort), _ANSWER), label)
         return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(column))
 
-    tied = answered(blocks.mapInArrow(tidy(_send_samples(length, buckets)), _SENT), _rank_samples, "tied", "tied")
+    tied = answered(blocks.mapInArrow(tidy(_send_samples(length, buckets)), _SENT), _count_samples, "tied", "tied")
     opened = blocks.join(tied, "block", "left")
     later = answered(opened.mapInArrow(tidy(_send_pieces(length, buckets)), _SENT), _sort_windows(length), "later", "later")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -1,8 +1,10 @@
 """Near-duplicates and repeats against brute force, with nulls, empty, long, tied and repeated rows."""
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parchwork.llm import _words, components, near_duplicates, suffixes
@@ -143,3 +145,53 @@ def test_sorted_numbers_pack(documents):
     v = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert (suffixes.unpack_sorted(suffixes.pack_sorted(v)) == v).all()
     assert (suffixes.unpack_numbers(suffixes.pack_numbers(v)) == v).all() and len(suffixes.unpack_sorted(suffixes.pack_sorted(v[:0]))) == 0
+
+
+def test_bucket_sorting_tells_windows_by_bytes():
+    """Windows of a bucket at all residues of the cover, in texts of few letters, against a table of them."""
+    rng = np.random.default_rng(3)
+    for letters, size in ((2, 1200), (3, 4000), (200, 3000)):
+        text = rng.integers(0, letters, size).astype(np.uint8)
+        text[size // 2 : size // 2 + 300] = text[:300]
+        text[size - 130 :] = text[7:137]
+        text[900 : 900 + 200] = 255 * (letters == 200)
+        at = np.sort(rng.choice(size - 49, size // 2, replace=False))
+        docs = rng.integers(0, 9, len(at))
+        first = {}
+        for p, d in zip(at.tolist(), docs.tolist(), strict=True):
+            key = text[p : p + 50].tobytes()
+            first[key] = min(first.get(key, d), d)
+        assert suffixes.earlier(text, at, docs, 50).tolist() == [first[text[p : p + 50].tobytes()] for p in at.tolist()]
+
+
+def test_cover_ranks_are_those_of_sorted_suffixes():
+    text = np.random.default_rng(5).integers(97, 99, 600).astype(np.uint8)
+    raw = text.tobytes() + bytes(70)
+    words = np.array([int.from_bytes(raw[k : k + 8], "big") for k in range(660)], dtype=np.uint64)
+    ranked = suffixes.CoverRanks(words, 600, 50)
+    at = [p for p in range(600) if p % suffixes.PERIOD in suffixes.COVER]
+    for depth in (50, 31):
+        want = {x: k + 1 for k, x in enumerate(sorted({raw[p : p + depth] for p in at}))}
+        assert [ranked.ranks(depth)[ranked.place[p]] for p in at] == [want[raw[p : p + depth]] for p in at]
+
+
+def test_pieces_under_one_key_are_compared_by_bytes(documents, monkeypatch):
+    """With one key for all texts, pieces that differ still count as different."""
+    monkeypatch.setattr(suffixes.Block, "_spans", staticmethod(lambda sums, start, end: np.zeros(len(start), np.uint64)))
+    rows = repeats(4)
+    ids = [i for i, _ in sorted(rows, key=lambda r: r[0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([dict(rows)[i] for i in ids])], names=["doc_id", "text"])
+    opened = suffixes.Opened({"rows": suffixes._serialized(batch), "tied": [{"answer": suffixes.pack_sorted(np.arange(1 << suffixes.TABLE_BITS, dtype=np.uint64))}]}, 50, 4)
+    piece = [opened.block.data[a : a + n + 49].tobytes() for a, n in zip(opened.start.tolist(), opened.many.tolist(), strict=True)]
+    assert len(opened.first) > 5 and all(piece[i] == piece[opened.first[g]] for i, g in enumerate(opened.group.tolist()))
+
+
+def test_repeat_query(spark, tmp_path):
+    """The query itself, its digests included, and no table left behind."""
+    rows = repeats(2)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {i: (t or "").encode() for i, t in rows}
+    want = {i: (len(texts[i]), n, spans, hashlib.sha256(kept).hexdigest()) for i, (n, spans, kept) in suffixes.brute_force(texts).items()}
+    found = suffixes.op4_suffix_dedup(spark, str(tmp_path))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("parchwork")]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == want
