@@ -4,7 +4,7 @@ One weight vector scores a text and ordered thresholds cut the score into grades
 P(grade <= k) = sigmoid(threshold[k] - score). From one score come the expected grade and the probability
 of reaching any grade, which is what selection goes by. Features are hashed words, pieces of
 words and runs of marks, each counted once per text, and a few shares that tell repetition,
-shouting and symbols. Hash cells enter only if their presence goes with the grade beyond chance.
+shouting and symbols. Hash cells enter, however many they are, if they mark a lower grade beyond chance.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from parchwork.plans.session import materialize
 _U = np.uint64
 #: Tasks that read the sample.
 TASKS = 16
-#: Hash cells, labelled rows that are fitted at most (those of the least hashes of doc_id), the chi-square that a cell must reach, and cells at most.
-CELLS, SAMPLE, CHI_SQUARE, COLUMNS = 1 << 20, 12_000, 25.0, 768
+#: Hash cells, labelled rows that are fitted at most (those of the least hashes of doc_id), and the chi-square that a cell
+#: must reach: by chance, one of all cells does in two fits.
+CELLS, SAMPLE, CHI_SQUARE = 1 << 20, 12_000, 25.0
+#: Weight of the squared weights in the fit.
+RIDGE = 0.5
 #: Bytes in a piece of a word.
 GRAM = 5
 #: Of texts of MANY words at least; others take the mean.
@@ -94,77 +97,105 @@ def count_cells(cells: list[np.ndarray], grades: np.ndarray, steps: int) -> np.n
     return np.array([np.bincount(np.concatenate([np.empty(0, np.int32), *(c for c, g in zip(cells, grades, strict=True) if g == k)]), minlength=CELLS) for k in range(steps + 1)])
 
 
-def select_cells(counts: np.ndarray, sizes: np.ndarray, least: float = CHI_SQUARE, most: int = COLUMNS) -> np.ndarray:
-    """Cells that are commoner in a grade than in the next one beyond chance, the strongest of each such pair. `sizes`: texts of each grade."""
-    chosen: list[np.ndarray] = []
-    for k in range(len(sizes) - 1):
-        low, high, a, b = counts[k].astype(float), counts[k + 1].astype(float), float(sizes[k]), float(sizes[k + 1])
+def select_cells(counts: np.ndarray, sizes: np.ndarray, least: float = CHI_SQUARE) -> np.ndarray:
+    """All cells that are commoner in a grade than in the next one given beyond chance. `sizes`: texts of each grade."""
+    chosen = [np.empty(0, np.int64)]
+    given = np.flatnonzero(sizes)
+    for k, above in zip(given[:-1], given[1:], strict=True):
+        low, high, a, b = counts[k].astype(float), counts[above].astype(float), float(sizes[k]), float(sizes[above])
         n, present = a + b, low + high
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = np.nan_to_num(n * (low * n - present * a) ** 2 / (present * a * (n - present) * b))
-        found = np.flatnonzero((chi >= least) & (low * b > high * a) & (present >= 3))
-        chosen.append(found[np.argsort(-chi[found], kind="stable")[: most // (len(sizes) - 1)]])
-    return np.unique(np.concatenate([np.empty(0, np.int64), *chosen]))
-
+        chosen.append(np.flatnonzero((chi >= least) & (low * b > high * a) & (present >= 3)))
+    return np.unique(np.concatenate(chosen))
+
+
+class _Likelihood:
+    """Minus the penalised log-likelihood of all grades and its gradient. A text's cells are a run in one array of
+    columns, so work and memory go by the cells that texts hold. The parameters: weights of cells, weights of shares,
+    the first threshold, logarithms of the steps between thresholds."""
+
+    def __init__(self, columns: list[np.ndarray], width: int, shares: np.ndarray, grades: np.ndarray, ridge: float):
+        self.sizes = np.array([len(c) for c in columns])
+        self.flat = np.concatenate([np.empty(0, np.int32), *columns])
+        self.some = np.flatnonzero(self.sizes)
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.some]
+        self.width, self.shares, self.grades, self.ridge = width, shares, grades, ridge
+        self.steps, self.rows = int(grades.max()), np.arange(len(grades))
+        self.weights = width + shares.shape[1]
+
+    def begin(self) -> np.ndarray:
+        """No weights, and thresholds that give the grades their shares."""
+        below = np.cumsum(np.bincount(self.grades, minlength=self.steps + 1) + 0.5)[:-1] / (len(self.grades) + 0.5 * (self.steps + 1))
+        theta = np.log(below / (1 - below))
+        return np.concatenate([np.zeros(self.weights), theta[:1], np.log(np.diff(theta))])
+
+    def thresholds(self, value: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.append(value[self.weights], np.exp(value[self.weights + 1 :])))
+
+    def __call__(self, value: np.ndarray) -> tuple[float, np.ndarray]:
+        score = self.shares @ value[self.width : self.weights]
+        if len(self.some):
+            score[self.some] += np.add.reduceat(value[self.flat], self.starts)
+        up = np.zeros((len(score), self.steps + 2))
+        up[:, -1] = 1
+        up[:, 1:-1] = _sigmoid(self.thresholds(value)[None, :] - score[:, None])
+        slope, g, r = up * (1 - up), self.grades, self.rows
+        p = np.maximum(up[r, g + 1] - up[r, g], 1e-12)
+        by_upper, by_lower = slope[r, g + 1] / p, slope[r, g] / p
+        by_score = by_upper - by_lower  # of the loss
+        theta = (np.bincount(g, by_lower, self.steps + 1)[1:] - np.bincount(g, by_upper, self.steps + 1)[:-1])
+        own = value[: self.weights]
+        tail = np.cumsum(theta[::-1])[::-1]  # a step moves all thresholds after it
+        gradient = np.concatenate([
+            np.bincount(self.flat, np.repeat(by_score, self.sizes), self.width), self.shares.T @ by_score, tail[:1], tail[1:] * np.exp(value[self.weights + 1 :]),
+        ])
+        gradient[: self.weights] += self.ridge * own
+        return float(-np.log(p).sum() + self.ridge / 2 * (own**2).sum()), gradient
+
+
+def _descend(of: _Likelihood, rounds: int, memory: int = 8) -> np.ndarray:
+    """The least value by L-BFGS with halved steps."""
+    value = of.begin()
+    loss, gradient = of(value)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, taken = gradient.copy(), []
+        for moved, turned, scale in reversed(past):
+            taken.append(scale * (moved @ way))
+            way -= taken[-1] * turned
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(gradient).max())
+        for (moved, turned, scale), t in zip(past, reversed(taken), strict=True):
+            way += moved * (t - scale * (turned @ way))
+        step = 1.0
+        while True:
+            new = value - step * way
+            new_loss, new_gradient = of(new)
+            if new_loss <= loss - 1e-4 * step * (gradient @ way) or step < 1e-9:
+                break
+            step /= 2
+        if not new_loss < loss:
+            break
+        moved, turned = new - value, new_gradient - gradient
+        if (curve := moved @ turned) > 1e-12:
+            past = [*past, (moved, turned, 1 / curve)][-memory:]
+        gain, value, loss, gradient = loss - new_loss, new, new_loss, new_gradient
+        if gain < 1e-6 * max(1.0, loss):
+            break
+    return value
 
-def fit(chosen: np.ndarray, cells: list[np.ndarray], shares: np.ndarray, grades: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> Model:
-    """Maximum likelihood under a small ridge, by Fisher scoring with halved steps; grades are 0, 1, 2, ...
 
-    Cells were chosen as marks of lower grades, so their weights are held at zero or below.
-    """
+def fit(chosen: np.ndarray, cells: list[np.ndarray], shares: np.ndarray, grades: np.ndarray, ridge: float = RIDGE, rounds: int = 300) -> Model:
+    """Maximum likelihood of the ordered grades 0, 1, 2, ... under a ridge, over the `chosen` cells and the shares."""
     column = np.full(CELLS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     known = np.isfinite(shares)
     mean = np.where(known, shares, 0).sum(axis=0) / np.maximum(1, known.sum(axis=0))
     scale = np.sqrt(np.where(known, (shares - mean) ** 2, 0).sum(axis=0) / np.maximum(1, known.sum(axis=0))) + 1e-3
-    x = np.zeros((len(grades), len(chosen) + len(SHARES)))
-    for i, c in enumerate(cells):
-        at = column[c]
-        x[i, at[at >= 0]] = 1
-    x[:, len(chosen) :] = np.nan_to_num((shares - mean) / scale)
-    steps, d, flags = int(grades.max()), x.shape[1], len(chosen)
-    rows = np.arange(len(grades))
-
-    def parts(value: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Loss, P(grade) of each row, and its slopes by the score and by each threshold."""
-        theta = value[d:]
-        up = _sigmoid(theta[None, :] - (x @ value[:d])[:, None])
-        p = np.maximum(np.diff(up, axis=1, prepend=0, append=1), 1e-12)
-        slope = up * (1 - up)
-        by = np.zeros((len(grades), steps + 1, steps + 1))
-        by[:, :, 0] = -np.diff(slope, axis=1, prepend=0, append=0)
-        for j in range(steps):
-            by[:, j, j + 1], by[:, j + 1, j + 1] = slope[:, j], -slope[:, j]
-        return float(-np.log(p[rows, grades]).sum() + ridge / 2 * (value[:d] ** 2).sum()), p, by
-
-    below = np.cumsum(np.bincount(grades, minlength=steps + 1))[:-1] / len(grades)
-    value = np.append(np.zeros(d), np.log(below / (1 - below)))
-    loss, p, by = parts(value)
-    for _ in range(rounds):
-        each = by[rows, grades] / p[rows, grades][:, None]
-        gradient = np.append(x.T @ each[:, 0], each[:, 1:].sum(axis=0))
-        gradient[:d] -= ridge * value[:d]
-        information = np.einsum("nka,nkb,nk->nab", by, by, 1 / p)
-        h = np.zeros((d + steps, d + steps))
-        h[:d, :d] = (x * information[:, :1, 0]).T @ x + ridge * np.eye(d)
-        h[:d, d:] = x.T @ information[:, 0, 1:]
-        h[d:, :d] = h[:d, d:].T
-        h[d:, d:] = information[:, 1:, 1:].sum(axis=0) + 1e-6 * np.eye(steps)
-        free = ~(np.append((value[:flags] >= 0) & (gradient[:flags] > 0), np.zeros(len(value) - flags, bool)))
-        step = np.zeros(len(value))
-        step[free] = np.linalg.solve(h[np.ix_(free, free)], gradient[free])
-        for _ in range(20):
-            new = value + step
-            new[:flags] = np.minimum(new[:flags], 0)
-            if (np.diff(new[d:]) > 0).all() and (trial := parts(new))[0] < loss:
-                break
-            step = step / 2
-        else:
-            break
-        gain, value, (loss, p, by) = loss - trial[0], new, trial
-        if gain < 1e-4 * len(grades) ** 0.5:
-            break
-    return Model(column, value[:d], value[d:], mean, scale)
+    columns = [at[at >= 0] for at in (column[c] for c in cells)]
+    of = _Likelihood(columns, len(chosen), np.nan_to_num((shares - mean) / scale), grades, ridge)
+    value = _descend(of, rounds)
+    return Model(column, value[: of.weights], of.thresholds(value), mean, scale)
 
 
 def _graded(batches: Iterator[pa.RecordBatch], column: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], list[int], list[int]]:
@@ -255,7 +286,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 #: A document of the best grade by this probability is kept; with few labels, toxic ones come out between 0.5 and this.
-KEEP = 0.7
+KEEP = 0.8
 
 
 def kept() -> Column:

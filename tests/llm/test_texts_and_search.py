@@ -192,3 +192,35 @@ def test_quality_learns_held_out_grades(spark, documents):
 def test_grades(spark):
     df = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in quality.grades(df).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
+
+
+def test_every_cell_beyond_chance_is_fitted():
+    """Thousands of marks of low grades, each in few texts: all get weights, and texts of held-out mixes are told apart."""
+    rng = np.random.default_rng(0)
+    grades = rng.integers(0, 3, 6000)
+    cells = [np.unique(rng.integers(0, 50_000, 40)) if g == 2 else np.unique(np.append(rng.integers(0, 50_000, 30), 60_000 + g * 1500 + rng.integers(0, 1500, 40))) for g in grades]
+    shares = rng.normal(size=(6000, len(quality.SHARES)))
+    sizes = np.bincount(grades, minlength=3)
+    chosen = quality.select_cells(quality.count_cells([c.astype(np.int32) for c in cells], grades, 2), sizes)
+    assert len(set(chosen) & set(range(60_000, 63_000))) > 2900
+    model = quality.fit(chosen, cells[:5000], shares[:5000], grades[:5000])
+    assert len(model.weights) == len(chosen) + len(quality.SHARES) and (np.diff(model.thresholds) > 0).all()
+    told = [int((model.reached(model.score(c, s)) >= 0.5).sum()) for c, s in zip(cells[5000:], shares[5000:], strict=True)]
+    assert np.mean(np.array(told) == grades[5000:]) > 0.97
+
+
+def test_slopes_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    of = quality._Likelihood([np.array([0, 2]), np.array([], int), np.array([1]), np.array([0])], 3, rng.normal(size=(4, 2)), np.array([0, 1, 2, 2]), 0.3)
+    at = of.begin() + rng.normal(size=7) / 2
+    loss, gradient = of(at)
+    steps = [(of(at + 1e-6 * e)[0] - loss) / 1e-6 for e in np.eye(7)]
+    assert np.allclose(steps, gradient, atol=1e-4)
+
+
+def test_a_grade_that_no_row_has():
+    cells = [np.array([7], np.int32)] * 40 + [np.array([9], np.int32)] * 60
+    grades = np.array([0] * 40 + [2] * 60)
+    chosen = quality.select_cells(quality.count_cells(cells, grades, 2), np.bincount(grades, minlength=3))
+    model = quality.fit(chosen, cells, np.full((100, len(quality.SHARES)), np.nan), grades)
+    assert list(chosen) == [7] and model.reached(model.score(cells[0], np.zeros(6)))[1] < 0.2 < 0.8 < model.reached(model.score(cells[-1], np.zeros(6)))[1]
