@@ -1,19 +1,20 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
 
-Texts are brought to one form (A-Z lowered, each run of separators one blank, a blank at
-both ends), in which a window of words is a plain string that begins and ends with a blank.
-The automaton of all windows reads that form once; a match ends at a blank, whose number
-tells the words hit, and words map back to offsets in the original text.
+Texts are brought to one form: A-Z lowered, cut into words at separators, each word of the benchmark
+two letters of alphabets of their own, any other word two letters of neither. A window is then a
+string of two letters a word that can match at words only, and the automaton, with two nodes
+for a word of a window, reads each text once. Matches map back to words, and words to offsets in the
+original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ from pyspark.sql import types as T
 
 from parchwork.llm._memory import CACHES, tidy
 from parchwork.llm._words import LOWER, NON_WORD
+from parchwork.plans.session import materialize
 
-#: Benchmark text in one automaton, in bytes; a node takes some 50 bytes and a text ten nodes a byte at most.
-#: A larger benchmark is dealt over several automata, which read the documents in turn.
-AUTOMATON_BYTES = 4 << 20
+#: Benchmark text whose windows a Python worker can hold, in bytes: an automaton takes some 100 bytes for one of them, its
+#: table of windows 50. What lies beyond is read by further automata, each in a pass of its own over what the last has written.
+AUTOMATON_BYTES = 8 << 20
+#: Stands for a word that the benchmark doesn't have.
+_OTHER = "\0\0"
 
 _TABLE = bytes(0x20 if c in NON_WORD else c for c in LOWER)
 #: The same words in the original text.
@@ -57,17 +61,35 @@ def windows(items: list[tuple[int, str | None]], width: int) -> dict[str, tuple[
 _automata: dict = CACHES.setdefault("automata", {})
 
 
-def _automaton(key: str, patterns: dict[str, tuple[int, tuple[int, ...]]]):
-    import ahocorasick
+class Windows:
+    """The automaton of `patterns`; `told` gives the words and items of the pattern that a match names."""
 
+    def __init__(self, patterns: dict[str, tuple[int, tuple[int, ...]]]):
+        import ahocorasick
+
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for p in patterns for w in p.encode("latin-1").split()))}
+        base = math.isqrt(len(vocabulary)) + 1
+        first, second = 0x10000, 0x10000 + base  # above all surrogates
+        self.code = {w: chr(first + k // base) + chr(second + k % base) for w, k in vocabulary.items()}
+        self.told = list(patterns.values())
+        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, p in enumerate(patterns):
+            self._automaton.add_word("".join([self.code[w] for w in p.encode("latin-1").split()]), k)
+        if patterns:
+            self._automaton.make_automaton()
+
+    def matches(self, own: list[bytes]) -> list[tuple[int, int]]:
+        """(index of the last word, pattern) of each occurrence in a list of words."""
+        if not self.told:
+            return []
+        code = self.code.get
+        return [(end // 2, k) for end, k in self._automaton.iter("".join([code(w, _OTHER) for w in own]))]
+
+
+def _automaton(key: str, patterns: dict[str, tuple[int, tuple[int, ...]]]) -> Windows:
     if key not in _automata:
         _automata.clear()
-        a = ahocorasick.Automaton()
-        for pattern, value in patterns.items():
-            a.add_word(pattern, value)
-        if patterns:
-            a.make_automaton()
-        _automata[key] = a
+        _automata[key] = Windows(patterns)
     return _automata[key]
 
 
@@ -88,8 +110,7 @@ def _scan(told, first: bool):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = told.value
-        automaton = _automaton(key, patterns)
+        automaton = _automaton(key, told.value)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n = len(texts)
@@ -101,13 +122,9 @@ def _scan(told, first: bool):
             for i, text in enumerate(texts):
                 own = words(text or b"")
                 counts[i] = len(own)
-                form = (b" " + b" ".join(own) + b" ").decode("latin-1")
-                matches = list(automaton.iter(form)) if patterns else []
-                if matches:
-                    blanks = np.flatnonzero(np.frombuffer(form.encode("latin-1"), dtype=np.uint8) == 0x20)
-                    ends = np.searchsorted(blanks, [end for end, _ in matches]).tolist()
-                    ranges[i] = merged([*ranges[i], *((end - width, end) for end, (_, (width, _)) in zip(ends, matches, strict=True))])
-                    items[i] = sorted({*items[i], *(x for _, (_, ids) in matches for x in ids)})
+                if matches := automaton.matches(own):
+                    ranges[i] = merged([*ranges[i], *((end + 1 - automaton.told[k][0], end + 1) for end, k in matches)])
+                    items[i] = sorted({*items[i], *(x for k in {k for _, k in matches} for x in automaton.told[k][1])})
                 if ranges[i]:
                     at = [m.span() for m in _WORD.finditer(text.decode())]
                     spans[i] = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges[i]]
@@ -126,7 +143,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, width: int = 10) ->
     of an item; an item of fewer words, but not none, is one window. A null text has no words;
     such documents stay, with nothing hit. Ranges and spans are half-open, ascending and joined
     where they touch. Repeated items or documents are each counted as the rows they are; an
-    item with a null id takes no part. Columns of these names in the input are replaced.
+    item with a null id takes no part. The benchmark is gathered on the driver and sent to all executors, at most
+    AUTOMATON_BYTES of it at a time. Columns of these names in the input are replaced.
     """
     spark = df.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
@@ -138,6 +156,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, width: int = 10) ->
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
         told = spark.sparkContext.broadcast(windows([tuple(r) for r in mine.collect()], width))
         out = out.mapInArrow(tidy(_scan(told, g == 0), "automata"), schema)
+        if g + 1 < groups:
+            out = materialize(out, "scanned")  # so that no task holds two automata
     return out
 
 
