@@ -2,7 +2,7 @@
 
 Lengths are whole numbers up to the capacity, so the packing is planned on counts by
 length, a table whose size does not depend on the input, and carried out by each piece's
-number among pieces of its length. Documents above a third of the capacity share a bin
+number among pieces of its length, which follows from its range in the order of lengths. Documents above a third of the capacity share a bin
 with one other of their kind at most: they are matched greedily, each with the longest
 partner that still fits. Shorter ones then go, longest first, to the fullest bin that
 has room for them.
@@ -15,17 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchwork.llm._memory import tidy
+from parchwork.llm._ranks import ordered
 from parchwork.llm._tokens import encoder, text_batches, tokenizer_path
 from parchwork.plans.session import materialize
 
-#: Pieces of one length are numbered in this many independent parts.
-PARTS = 32
-
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -124,34 +122,32 @@ def _cut(path: str, end_id: int, capacity: int):
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """`pieces` with `sequence_id` and `offset`. Ties in length go by doc_id and piece; equal rows are interchangeable."""
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
-    pieces = pieces.withColumn("__part", part)
-    # capacity * PARTS rows at most, whatever the input
-    counts = pieces.groupBy("length", "__part").agg(F.count("*").alias("n")).collect()
-    before: dict[tuple[int, int], int] = {}
+    rows, parts = ordered(pieces, "length", [F.col("doc_id"), F.col("piece")], "ordered")
+    # no more rows than lengths, of which there are `capacity`, and ranges, as many as the shuffle has partitions
+    counts = parts.collect()
+    first: list[tuple[int, int, int]] = []
     total: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["__part"])):
-        before[r["length"], r["__part"]] = total.get(r["length"], 0)
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    for r in sorted(counts, key=lambda r: (r["length"], r["__range"])):
+        first.append((r["length"], r["__range"], total.get(r["length"], 0) - r["__least"]))
+        total[r["length"]] = total.get(r["length"], 0) + r["__n"]
     runs, _ = plan(total, capacity)
     table = np.array(sorted(runs) or np.empty((0, 6)), dtype=np.int64).reshape(-1, 6)
-    firsts = np.array([[x, p, n] for (x, p), n in sorted(before.items())] or np.empty((0, 3)), dtype=np.int64).reshape(-1, 3)
+    firsts = np.array(first or np.empty((0, 3)), dtype=np.int64).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # (length, rank) and (length, part) as single sortable numbers
-        span = np.int64(1) << np.int64(45)
-        run_keys, part_keys = table[:, 0] * span + table[:, 1], firsts[:, 0] * PARTS + firsts[:, 1]
+        # (length, rank) and (length, range) as single sortable numbers
+        span, wide = np.int64(1) << np.int64(45), np.int64(1) << np.int64(32)
+        run_keys, part_keys = table[:, 0] * span + table[:, 1], firsts[:, 0] * wide + firsts[:, 1]
         for batch in batches:
-            length, where, row = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__part", "__row"))
-            rank = firsts[np.searchsorted(part_keys, length * PARTS + where), 2] + row - 1
+            length, where, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__range", "__place"))
+            rank = firsts[np.searchsorted(part_keys, length * wide + where), 2] + at
             r = table[np.searchsorted(run_keys, length * span + rank, side="right") - 1]
             i = rank - r[:, 1]
-            batch = batch.drop_columns(["__part", "__row"])
+            batch = batch.drop_columns(["__range", "__place"])
             yield batch.append_column("sequence_id", pa.array(r[:, 3] + i // r[:, 4])).append_column("offset", pa.array(r[:, 5] + i % r[:, 4] * length))
 
-    numbered = pieces.withColumn("__row", F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece")))
-    schema = T.StructType([*(f for f in pieces.schema.fields if f.name != "__part"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInArrow(tidy(run, "encoders"), schema)
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return rows.mapInArrow(tidy(run, "encoders"), schema)
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:

@@ -11,19 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchwork.llm._memory import tidy
+from parchwork.llm._ranks import numbered
 from parchwork.llm._words import mix
 
 _U = np.uint64
 _STEP = _U(2862933555777941757)
 
-#: Each shard's rows are numbered in this many independent pieces, so that no task holds a shard.
-PIECES = 64
-
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard numbers of 64-bit keys, as the paper defines them."""
@@ -59,25 +57,15 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 40) -> DataF
     """`df` with `shard`, `grown_shard` (with one more shard) and `slot`, a gapless number in its shard.
 
     `key` is an integer column; a null key counts as 0 and stays in the result. Rows of equal
-    key share a shard. Slots follow a hash of the key, then the key and the other columns,
-    so rows that tie are equal. An empty table gives no rows. Columns named `shard`,
+    key share a shard. Slots follow a hash of the key, then the key and the other columns, so rows that tie are
+    equal; ranges of that order are numbered each by itself, whatever the keys. An empty table gives no rows. Columns named `shard`,
     `grown_shard`, `slot` in the input are replaced.
     """
-    df = df.drop("shard", "grown_shard", "slot", "__piece")
+    df = df.drop("shard", "grown_shard", "slot")
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType())])
-    piece = F.pmod(F.xxhash64(key), F.lit(PIECES)).cast("int").alias("__piece")
-
-    def placed(rows: DataFrame, as_type: T.StructType) -> DataFrame:
-        return rows.mapInArrow(tidy(_with_shards(key, shards)), as_type).select("*", piece)
-
-    keys = df.select(key)
-    sizes = placed(keys, T.StructType([*keys.schema.fields, *schema.fields[-2:]])).groupBy("shard", "__piece").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    # shards * PIECES rows at most, whatever the input
-    starts = F.broadcast(sizes.select("shard", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
-    order = [F.col(key), *(F.col(f"`{f.name}`") for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType))]
-    number = F.row_number().over(Window.partitionBy("shard", "__piece").orderBy(*order))
-    return placed(df, schema).withColumn("__row", number).join(starts, ["shard", "__piece"]).select(*df.columns, "shard", (F.col("__start") + F.col("__row") - 1).cast("long").alias("slot"), "grown_shard")
+    order = [F.xxhash64(key), F.col(key), *(F.col(f"`{f.name}`") for f in df.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType))]
+    placed = numbered(df.mapInArrow(tidy(_with_shards(key, shards)), schema), "shard", order, "slot", "shards")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), "shard", "slot", "grown_shard")
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parchwork.llm import packing, sharding, token_files
+from pyspark.sql import functions as F
+
+from parchwork.llm import _ranks, _words, packing, sharding, token_files
 from parchwork.llm._tokens import Encoder, tokenizer_path
 from parchwork.plans.session import fresh_path
 
@@ -163,3 +165,53 @@ def test_sharding(documents):
     assert sharding.assign_shards(documents([])).count() == 0
     again = {(r.doc_id, r.text, r.slot) for r in sharding.assign_shards(documents(rows).repartition(3), shards=7).collect()}
     assert len(again - {(r.doc_id, r.text, r.slot) for r in got}) == 0
+
+
+def test_equal_rows_are_dealt_over_ranges(spark, documents):
+    """Numbers are gapless where one key, or one row, is all there is, and no range has it all."""
+    df = spark.createDataFrame([(1, 2048, 7)] * 4000 + [(2, 5, 7)], "piece int, length int, doc_id long").repartition(8)
+    rows, parts = _ranks.ordered(df, "length", [F.col("doc_id")], "t")
+    assert max(r["__n"] for r in parts.collect()) < 2000 and rows.count() == 4001
+    got = _ranks.numbered(df, "length", [F.col("doc_id")], "n", "t").collect()
+    assert sorted(r.n for r in got if r.length == 2048) == list(range(4000)) and [r.n for r in got if r.length == 5] == [0]
+
+
+def test_sharding_query(spark, tmp_path):
+    """Every column of the query by its definition."""
+    rows = [(i, "x" * (i % 7) + "é" * (i % 3)) for i in range(2000)] + [(7, "again"), (7, None), (None, "none"), (-3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    mixed = {i: int(k) for i, k in zip([i for i, _ in rows], _words.mix(np.array([i or 0 for i, _ in rows], dtype=np.int64).view(np.uint64)).tolist(), strict=True)}
+    want = sorted((i is None, i or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "key", jump_by_the_book(mixed[i], 40), jump_by_the_book(mixed[i], 41)) for i, t in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got) == want
+    for s in range(40):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def fewest(lengths, capacity):
+    """Bins of the best packing, by trying all."""
+    best = len(lengths)
+
+    def put(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(lengths):
+            best = len(room)
+            return
+        for x in {r for r in room if r >= lengths[k]}:
+            i = room.index(x)
+            put(k + 1, [*room[:i], x - lengths[k], *room[i + 1 :]])
+        put(k + 1, [*room, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.sampled_from([30, 37, 64]))
+def test_plan_comes_near_the_best_packing(lengths, capacity):
+    _, bins = packing.plan({x: lengths.count(x) for x in set(lengths)}, capacity)
+    best = fewest(lengths, capacity)
+    assert best <= bins <= best + 1 and (bins == best or not all(3 * x > capacity for x in lengths))
