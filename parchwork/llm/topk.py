@@ -1,42 +1,65 @@
-"""Exact top-k inner products through M-trees (Ciaccia, Patella, Zezula 1997).
+"""Exact top-k inner products through an M-tree (Ciaccia, Patella, Zezula 1997) of trees.
 
 Largest inner product is nearest neighbour once every vector gets one more coordinate that
-brings all of them to one norm: |q - x|^2 = |q|^2 + N - 2 q.x, with N the largest squared
-norm. Rows are dealt into trees of about `TREE` vectors. A tree is a table of pages: a page has
+brings all of them to one norm: |q - x|^2 = |q|^2 + N - 2 q.x, with N the largest squared norm.
+
+The root's pivots are a bounded sample; each row goes to its nearest one, and a pivot's rows, a cell with
+a covering radius, make one tree or several of about `TREE` rows. A tree is a table of pages: a page has
 a pivot, a covering radius and the distance to its parent's pivot; a leaf's entries have their
-distances to its pivot. Search pops the most promising page first and ends when no page
-can beat the k-th score; stored distances rule out pages and entries before any product is
-computed. Queries that pop the same page are answered together.
+distances to its pivot. Trees are built once and written.
+
+Search has two waves. Each query first goes to a tree of its nearest cell, which gives a floor, its k-th score there;
+then to the trees of those other cells that can still beat the floor by pivot and radius. Within a tree search pops the
+most promising page first and ends when no page can beat the k-th score; stored distances rule out pages and entries
+before any product is computed. Queries that pop the same page are answered together.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from parchwork.llm._memory import tidy
+from parchwork.plans.session import materialize
 
-TREE, LEAF, FANOUT, QUERIES = 16_384, 256, 16, 1024
+#: Rows of a tree and of a leaf about, children of a page, queries that meet a tree at once, and pivots of the root at most.
+TREE, LEAF, FANOUT, QUERIES, PIVOTS = 16_384, 256, 16, 8192, 4096
 #: Bounds are widened by this share against rounding in distances; scores are whole numbers and exact.
 SLACK = 1e-6
 
 
+def lifted(vectors: np.ndarray, norm: int) -> np.ndarray:
+    """`vectors` with the coordinate that brings their squared norms to `norm`."""
+    flat = vectors.astype(np.float64)
+    return np.column_stack([flat, np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", flat, flat)))])
+
+
+def most(reach: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The best score at a distance of `near` or more; `reach` is |q|^2 + N."""
+    return (reach - np.maximum(0.0, near) ** 2) / 2 + SLACK * reach + SLACK
+
+
 class MTree:
-    """`ids` (int64) and `vectors` (whole numbers, a row each) under squared norms of at most `norm`."""
+    """`ids` (int64) and `vectors` (whole numbers, a row each) under squared norms of at most `norm`.
+
+    `own` are the numbers by which a query leaves out its own row, the ids if not given. `computed` counts
+    the distances and products that searches have computed.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: int, own: np.ndarray | None = None):
         exact = np.float32 if norm < 1 << 23 else np.float64 if norm < 1 << 52 else np.int64
-        self.exact, self.norm = exact, norm
+        self.exact, self.norm, self.computed = exact, norm, 0
         order = np.argsort(ids, kind="stable")
-        self._raw = vectors[order].astype(np.float64)
-        lift = np.sqrt(np.maximum(0.0, norm - np.einsum("ij,ij->i", self._raw, self._raw)))
-        self._points = np.column_stack([self._raw, lift])
-        self.ids, self.vectors = ids[order], vectors[order].astype(exact)
+        self.ids, self.own, self.vectors = ids[order], (ids if own is None else own)[order], vectors[order].astype(exact)
+        self._points = lifted(vectors[order], norm)
         #: Of each page: pivot's row, covering radius, distance to the parent's pivot, child pages, rows of a leaf, their distances to its pivot.
         self.pivot: list[int] = []
         self.radius: list[float] = []
@@ -50,6 +73,16 @@ class MTree:
         self._pivots = np.array(self.pivot, dtype=np.int64)
         self._radii, self._to_parents = np.array(self.radius), np.array(self.to_parent)
 
+    def to_bytes(self) -> bytes:
+        """The pages and vectors; what follows from them is made again."""
+        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("_points", "_rng")}, protocol=5)
+
+    @staticmethod
+    def from_bytes(data: bytes) -> MTree:
+        tree = MTree.__new__(MTree)
+        vars(tree).update(pickle.loads(data))
+        return tree
+
     def _distance(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         return np.sqrt(((self._points[rows] - self._points[pivot]) ** 2).sum(axis=1))
 
@@ -69,26 +102,25 @@ class MTree:
         self.children[page] = np.array([self._grow(rows[nearest == k], int(p), float(np.linalg.norm(self._points[p] - self._points[pivot]))) for k, p in enumerate(pivots) if (nearest == k).any()])
         return page
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(scores, ids) of each query's k best, without rows of its own id; ties to the smaller id."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores, ids) of each query's k best, without rows of its own id; ties to the smaller id. Scores below `floor` may be left out."""
         n = len(query_ids)
         best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(n)]
-        floor = np.full(n, -np.inf)
+        floor = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)
         if not len(self.ids):
             return best
         asked, flat = queries.astype(self.exact), queries.astype(np.float64)
-        norms = np.einsum("ij,ij->i", flat, flat)
-        reach = norms + self.norm  # |q - x|^2 = reach - 2 score
+        reach = np.einsum("ij,ij->i", flat, flat) + self.norm  # |q - x|^2 = reach - 2 score
 
-        def most(near: np.ndarray, q: np.ndarray) -> np.ndarray:
-            """The best score at a distance of `near` or more."""
-            return (reach[q] - np.maximum(0.0, near) ** 2) / 2 + SLACK * reach[q] + SLACK
+        def bound_of(near: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return most(reach[q][:, None], near)
 
         def distance(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0.0, reach[q][:, None] - 2 * (flat[q] @ self._raw[rows].T)))
+            self.computed += len(q) * len(rows)
+            return np.sqrt(np.maximum(0.0, reach[q][:, None] - 2 * (flat[q] @ self.vectors[rows].astype(np.float64).T)))
 
         root = distance(np.arange(n), self._pivots[:1])[:, 0]
-        heaps = [[(-float(m), 0, float(d))] for m, d in zip(most(root - self._radii[0], np.arange(n)), root, strict=True)]
+        heaps = [[(-float(m), 0, float(d))] for m, d in zip(most(reach, root - self._radii[0]), root, strict=True)]
         while True:
             popped: dict[int, tuple[list[int], list[float]]] = {}
             for q, heap in enumerate(heaps):
@@ -105,24 +137,25 @@ class MTree:
             for page, (qs, ds) in popped.items():
                 q, d = np.array(qs), np.array(ds)
                 if (children := self.children[page]) is not None:
-                    early = most(np.abs(d[:, None] - self._to_parents[children]) - self._radii[children], q[:, None].repeat(len(children), 1))
+                    early = bound_of(np.abs(d[:, None] - self._to_parents[children]) - self._radii[children], q)
                     open_ = early >= floor[q][:, None]
                     use = np.flatnonzero(open_.any(axis=0))
                     if not len(use):
                         continue
                     away = distance(q, self._pivots[children[use]])
-                    bound = most(away - self._radii[children[use]], q[:, None].repeat(len(use), 1))
+                    bound = bound_of(away - self._radii[children[use]], q)
                     for i, j in zip(*np.nonzero(open_[:, use] & (bound >= floor[q][:, None])), strict=True):
                         heapq.heappush(heaps[qs[i]], (-float(bound[i, j]), int(children[use[j]]), float(away[i, j])))
                     continue
                 rows, stored = self.rows[page], self.to_pivot[page]
-                open_ = most(np.abs(d[:, None] - stored), q[:, None].repeat(len(rows), 1)) >= floor[q][:, None]
+                open_ = bound_of(np.abs(d[:, None] - stored), q) >= floor[q][:, None]
                 use = np.flatnonzero(open_.any(axis=0))
                 if not len(use):
                     continue
                 ids = self.ids[rows[use]]
+                self.computed += len(q) * len(use)
                 scores = asked[q] @ self.vectors[rows[use]].T
-                good = (scores >= floor[q][:, None]) & (ids != query_ids[q][:, None])
+                good = (scores >= floor[q][:, None]) & (self.own[rows[use]] != query_ids[q][:, None])
                 for i in np.flatnonzero(good.any(axis=1)):
                     at = good[i]
                     s = np.concatenate([best[qs[i]][0], scores[i, at].astype(np.int64)])
@@ -130,7 +163,7 @@ class MTree:
                     top = np.lexsort((x, -s))[:k]
                     best[qs[i]] = s[top], x[top]
                     if len(top) == k:
-                        floor[qs[i]] = s[top[-1]]
+                        floor[qs[i]] = max(floor[qs[i]], s[top[-1]])
 
 
 def _padded(vectors: list, width: int) -> np.ndarray:
@@ -140,52 +173,155 @@ def _padded(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-_HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+class _Root(NamedTuple):
+    """The root's page: pivots (lifted), and of each cell its radius, its first tree and how many trees it has."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    trees: np.ndarray
+    width: int
+    norm: int
+
+    def away(self, vectors: np.ndarray, lift: bool) -> np.ndarray:
+        """Distances to all pivots, of rows (`lift`) or of queries."""
+        points = lifted(vectors, self.norm) if lift else np.column_stack([vectors.astype(np.float64), np.zeros(len(vectors))])
+        squares = np.einsum("ij,ij->i", points, points)[:, None] + np.einsum("ij,ij->i", self.pivots, self.pivots)[None, :]
+        return np.sqrt(np.maximum(0.0, squares - 2 * points @ self.pivots.T))
+
+
+def _to_cells(root: _Root):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = root.away(_padded(batch.column("v").to_pylist(), root.width), lift=True)
+            cell = away.argmin(axis=1)
+            yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("away", pa.array(away[np.arange(len(away)), cell]))
+
+    return run
+
+
+def _home(root: _Root):
+    """The tree that each query asks first: one of its nearest cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = np.where(root.trees > 0, root.away(_padded(batch.column("v").to_pylist(), root.width), lift=False), np.inf)
+            cell = away.argmin(axis=1) if len(away) else np.empty(0, np.int64)
+            yield batch.append_column("tree", pa.array(root.first[cell] + _column(batch, "q") % np.maximum(1, root.trees[cell])))
+
+    return run
+
+
+def _others(root: _Root):
+    """The trees, besides the first one, whose cells can beat each query's floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _padded(batch.column("v").to_pylist(), root.width)
+            reach = (vectors.astype(np.float64) ** 2).sum(axis=1) + root.norm
+            floor, home = batch.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy(), _column(batch, "tree")
+            open_ = (most(reach[:, None], root.away(vectors, lift=False) - root.radius) >= floor[:, None]) & (root.trees > 0)
+            found = [np.concatenate([np.arange(root.first[c], root.first[c] + root.trees[c]) for c in np.flatnonzero(o)] or [np.empty(0, np.int64)]) for o in open_]
+            found = [t[t != h] for t, h in zip(found, home, strict=True)]
+            yield batch.drop_columns(["tree"]).append_column("trees", pa.array(found, pa.list_(pa.int64())))
+
+    return run
+
+
+def _build(width: int, norm: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("rows")[i].values
+                tree = MTree(rows.field("vec_id").to_numpy(zero_copy_only=False), _padded(rows.field("v").to_pylist(), width), norm, rows.field("own").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("tree").slice(i, 1), pa.array([tree.to_bytes()], pa.binary())], names=["tree", "pages"])
+
+    return run
 
 
-def _answer(k: int, width: int, norm: int):
+_HITS = T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+
+
+def _answer(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                t = batch.column("tree")[i].as_py()
-                if t != last:
-                    rows = batch.column("rows")[i].values
-                    last, tree = t, MTree(rows.field("vec_id").to_numpy(zero_copy_only=False), _padded(rows.field("v").to_pylist(), width), norm)
+                if (t := batch.column("tree")[i].as_py()) != last:
+                    last, tree = t, MTree.from_bytes(batch.column("pages")[i].as_py())
                 asked = batch.column("asked")[i].values
-                ids = asked.field("vec_id").to_numpy(zero_copy_only=False)
-                found = tree.search(ids, _padded(asked.field("v").to_pylist(), width), k)
+                q, ids, own = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("q", "vec_id", "own"))
+                floor = asked.field("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+                found = tree.search(own, _padded(asked.field("v").to_pylist(), width), k, floor)
+                many = [len(s) for s, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, [len(s) for s, _ in found])), pa.array(np.concatenate([x for _, x in found])), pa.array(np.concatenate([s for s, _ in found]))], names=_HITS.names
+                    [pa.array(np.repeat(q, many)), pa.array(np.repeat(ids, many)), pa.array(np.concatenate([x for _, x in found])), pa.array(np.concatenate([s for s, _ in found]))], names=_HITS.names
                 )
 
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: each query's k largest inner products among `rows`.
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id") -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: the k largest inner products of each row of `queries` among `rows`.
 
-    Both have vec_id and v, an array of whole numbers; shorter arrays count as ending in zeros.
-    Rows of the query's own vec_id are no candidates. Ties go to the smaller vec_id. Rows whose
-    vec_id or v is null take no part. Fewer candidates than k give all. A repeated query id is asked once.
+    Both have vec_id and v, an array of whole numbers; shorter arrays count as ending in zeros. Each query row is
+    answered, those that repeat a vec_id too. A query leaves out the rows whose column `own`, whole numbers in both
+    tables, is its own. Ties go to the smaller vec_id. Rows whose vec_id or v is null take no part. Fewer candidates
+    than k give all. Products that leave 64 bits, which the score couldn't hold, are an error.
     """
-    rows = rows.where("vec_id is not null and v is not null").select("vec_id", "v")
-    queries = queries.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.first("v").alias("v"))
+    spark = rows.sparkSession
+
+    def taken(df: DataFrame, *more) -> DataFrame:
+        return df.where("vec_id is not null and v is not null").select("vec_id", "v", F.col(own).cast("long").alias("own"), *more)
+
+    rows = materialize(taken(rows), "vectors")
+    queries = materialize(taken(queries, F.monotonically_increasing_id().alias("q")), "queries")
     squared = F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x.cast("decimal(19,0)") * x).cast("decimal(38,0)"))
-    told = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(squared).alias("norm")).first()
-    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(squared).alias("norm")).first()
+    told, asked = (df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(squared).alias("norm")).first() for df in (rows, queries))
+    if not told["n"] or not asked["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     norm = int(max(told["norm"] or 0, asked["norm"] or 0))
     if norm >= 1 << 62:
         raise ValueError("inner products would leave 64 bits")
-    width, trees, blocks = max(told["width"] or 0, asked["width"] or 0), max(1, -(-told["n"] // TREE)), max(1, -(-asked["n"] // QUERIES))
-
-    def dealt(df: DataFrame, name: str, of: str, parts: int) -> DataFrame:
-        return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(of)).agg(F.collect_list(F.struct("vec_id", "v")).alias(name))
-
-    forest = dealt(rows, "rows", "tree", trees)
-    questions = dealt(queries, "asked", "block", blocks).select("asked", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    hits = questions.join(forest, "tree").select("tree", "rows", "asked").mapInArrow(tidy(_answer(k, width, norm)), _HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    width = max(told["width"] or 0, asked["width"] or 0)
+    # PIVOTS rows at most
+    some = rows.orderBy(F.xxhash64("own"), "own").limit(max(1, min(PIVOTS, -(-told["n"] // TREE)))).select("v").collect()
+    pivots = lifted(_padded([r["v"] for r in some], width), norm)
+    none = np.zeros(len(pivots), np.int64)
+    root = _Root(pivots, none, none, none, width, norm)
+
+    cells = rows.mapInArrow(tidy(_to_cells(root)), T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]))
+    cells = materialize(cells, "cells")
+    size, radius = none.copy(), np.zeros(len(pivots))
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():  # a row for each pivot
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    trees = -(-size // TREE)
+    root = root._replace(radius=radius, first=np.cumsum(trees) - trees, trees=trees)
+    cell_rows = spark.createDataFrame([(c, int(f), int(t)) for c, (f, t) in enumerate(zip(root.first, trees, strict=True))], "cell int, first long, trees long")
+    dealt = cells.join(F.broadcast(cell_rows), "cell").withColumn("tree", F.col("first") + F.pmod(F.xxhash64("own"), "trees"))  # rows for pivots only
+    grown = dealt.groupBy("tree").agg(F.collect_list(F.struct("own", "vec_id", "v")).alias("rows"))
+    forest = materialize(grown.mapInArrow(tidy(_build(width, norm)), "tree long, pages binary"), "trees")
+
+    def answered(questions: DataFrame, label: str) -> DataFrame:
+        """Hits of `questions` (q, vec_id, own, v, floor, tree); those of a tree meet it in blocks."""
+        questions = materialize(questions, "questions")
+        many = questions.groupBy("tree").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+        blocks = questions.join(many, "tree").groupBy("tree", F.pmod(F.xxhash64("q"), "blocks").alias("block")).agg(F.collect_list(F.struct("q", "vec_id", "own", "v", "floor")).alias("asked"))
+        return materialize(blocks.join(forest, "tree").select("tree", "pages", "asked").mapInArrow(tidy(_answer(k, width)), _HITS), label)
+
+    homes = T.StructType([*queries.schema.fields, T.StructField("tree", T.LongType())])
+    at_home = materialize(queries.mapInArrow(tidy(_home(root)), homes), "homes")
+    hits = answered(at_home.withColumn("floor", F.lit(None).cast("long")), "hits")
+    if trees.sum() > 1:
+        floors = hits.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        open_ = at_home.join(floors, "q", "left").select("q", "vec_id", "own", "v", "floor", "tree")
+        open_ = open_.mapInArrow(tidy(_others(root)), "q long, vec_id long, own long, v array<long>, floor long, trees array<long>")
+        hits = hits.unionByName(answered(open_.select("q", "vec_id", "own", "v", "floor", F.explode("trees").alias("tree")), "hits"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -197,14 +333,16 @@ def whole_vectors(embeddings: DataFrame, scale: float = 64.0) -> DataFrame:
 
 
 def op7_top_k(spark, sf_dir: str) -> DataFrame:
+    """The best 20 of every row whose vec_id is divisible by 20, among all rows but itself."""
     vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+    vectors = materialize(vectors.withColumn("row", F.monotonically_increasing_id()), "embeddings")  # written, so that the numbers stay what they are
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20, own="row")
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+s AS (SELECT q.n AS q, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -224,3 +224,37 @@ def test_a_grade_that_no_row_has():
     chosen = quality.select_cells(quality.count_cells(cells, grades, 2), np.bincount(grades, minlength=3))
     model = quality.fit(chosen, cells, np.full((100, len(quality.SHARES)), np.nan), grades)
     assert list(chosen) == [7] and model.reached(model.score(cells[0], np.zeros(6)))[1] < 0.2 < 0.8 < model.reached(model.score(cells[-1], np.zeros(6)))[1]
+
+
+def test_each_query_row_is_answered(spark, tmp_path):
+    """Rows that share a vec_id are queries of their own, and candidates of each other."""
+    rows = [(0, [1.0]), (0, [5.0]), (1, [2.0]), (20, [-1.0]), (20, [-1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op7_top_k(spark, str(tmp_path)).collect())
+    v = [(i, int(x[0] * 64)) for i, x in rows]
+    want = []
+    for n, (q, x) in enumerate(v):
+        if q % 20 == 0:
+            found = sorted((-x * y, i) for m, (i, y) in enumerate(v) if m != n)
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
+def test_bounds_spare_distances():
+    """In clusters, under a quarter of all distances is computed, and less with a floor from elsewhere; a stored tree answers alike."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16)) * 400
+    v = np.round(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 6).astype(np.int64)
+    tree = topk.MTree(np.arange(8000), v, int((v**2).sum(axis=1).max()))
+    asked = np.arange(0, 8000, 200)
+    found = tree.search(asked, v[asked], 10)
+    scores = v[asked] @ v.T
+    for q, (s, ids), all_scores in zip(asked, found, scores, strict=True):
+        best = sorted((-x, i) for i, x in enumerate(all_scores.tolist()) if i != q)[:10]
+        assert [(-a, b) for a, b in best] == list(zip(s.tolist(), ids.tolist(), strict=True))
+    first = tree.computed
+    assert first < 0.25 * len(asked) * 8000
+    again = topk.MTree.from_bytes(tree.to_bytes())
+    again.computed = 0
+    with_floor = again.search(asked, v[asked], 10, np.array([s[-1] for s, _ in found]))
+    assert again.computed < first and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(found, with_floor, strict=True))
