@@ -1,8 +1,9 @@
 """Vectorised word hashing over batches of UTF-8 texts.
 
-Texts are joined into one byte array and every word gets a 64-bit polynomial
-hash from prefix sums, so the cost is a few numpy passes over the bytes and no
-Python object is made for a word.
+Texts are joined into one byte array and every word gets a 64-bit hash, eight bytes
+at a time over all words, so the cost is a few numpy passes and no Python object is made for a
+word. Hashes of words and shingles stand for them in keys; where an answer must be exact, `sets_of`
+compares what has equal hashes by bytes.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -55,21 +57,96 @@ def separator_table(separators: bytes) -> np.ndarray:
     return table
 
 
+#: Longer words are hashed one by one.
+_LONG = 256
+#: Of eight bytes, the first k.
+_FIRST = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], dtype=np.uint64)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, without a copy; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def word_bounds(buf: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of `buf`; `blank` marks separators."""
+    if not len(buf):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    edge = np.diff((~blank[buf]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word; words of eight bytes or fewer differ whenever their lengths agree and their bytes don't."""
+    sizes = ends - starts
+    eights = _eights(buf)
+    out = mix(sizes.astype(np.uint64) ^ _U(0x2545F4914F6CDD1D))
+    short = np.flatnonzero(sizes <= _LONG)
+    at = 0
+    while len(short):
+        out[short] = mix(out[short] ^ (eights[starts[short] + at] & _FIRST[np.minimum(sizes[short] - at, 8)]))
+        at += 8
+        short = short[sizes[short] > at]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def word_hashes(data: bytes, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and hash of every word of `data`; `blank` marks separators."""
     buf = np.frombuffer(data, dtype=np.uint8)
-    if not len(buf):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    power, inverse = _powers(len(buf) + 1)
-    is_word = ~blank[buf]
-    edge = np.diff(is_word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(buf) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUES[buf] * power[: len(buf)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return starts, hashes
+    starts, ends = word_bounds(buf, blank)
+    return starts, hashes_of(buf, starts, ends)
+
+
+def _words_differ(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> bool:
+    """Whether two different words have one hash."""
+    order = np.argsort(hashes)
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    i, j = order[same], order[same + 1]
+    sizes = ends - starts
+    if (sizes[i] != sizes[j]).any():
+        return True
+    eights, at = _eights(buf), 0
+    while len(i):
+        if ((eights[starts[i] + at] ^ eights[starts[j] + at]) & _FIRST[np.minimum(sizes[i] - at, 8)]).any():
+            return True
+        at += 8
+        if at > _LONG:
+            return any(buf[starts[a] : ends[a]].tobytes() != buf[starts[b] : ends[b]].tobytes() for a, b in zip(i.tolist(), j.tolist(), strict=True))
+        on = sizes[i] > at
+        i, j = i[on], j[on]
+    return False
+
+
+def sets_of(texts: list[bytes], width: int, separators: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text its sorted distinct shingle hashes, and a sorted set of numbers that are equal among these texts
+    just where shingles are. The second is the first unless two different words or shingles share a hash.
+    """
+    gap = bytes(separators[:1])
+    buf = np.frombuffer(gap.join(texts).translate(LOWER), dtype=np.uint8)
+    starts, ends = word_bounds(buf, separator_table(separators))
+    words = hashes_of(buf, starts, ends)
+    cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    runs = [combine(words[a:b], min(width, b - a)) if b > a else np.empty(0, np.uint64) for a, b in parts]
+    hashed = [np.unique(r) for r in runs]
+    flat = np.concatenate([np.empty(0, np.uint64), *runs])
+    first = np.concatenate([np.empty(0, np.int64), *(np.arange(a, a + len(r)) for (a, _), r in zip(parts, runs, strict=True))])
+    size = np.repeat([min(width, b - a) for a, b in parts], [len(r) for r in runs])
+    order = np.argsort(flat)
+    same = np.flatnonzero(flat[order[1:]] == flat[order[:-1]])
+    i, j = order[same], order[same + 1]
+    last = max(0, len(words) - 1)
+    clash = bool((size[i] != size[j]).any()) or any((words[np.minimum(first[i] + k, last)] != words[np.minimum(first[j] + k, last)])[size[i] > k].any() for k in range(width if len(i) else 0))
+    if not clash and not _words_differ(buf, starts, ends, words):
+        return hashed, hashed
+    number: dict[tuple[bytes, ...], int] = {}
+    every = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    exact = [np.unique(np.array([number.setdefault(tuple(every[k : k + min(width, b - a)]), len(number)) for k in range(a, b - min(width, b - a) + 1)] if b > a else [], dtype=np.uint64)) for a, b in parts]
+    return hashed, exact
 
 
 def combine(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -4,7 +4,7 @@
 2. Each representative gets one banded signature from a single hash per shingle, with optimal
    densification. Documents that agree in a band share a bucket.
 3. A bucket proposes a star: its least member with each other member, never all pairs. Stars
-   are confirmed on full sets and give first components.
+   are confirmed on full sets, of which what has equal hashes is compared by bytes, and give first components.
 4. Where one star's members still fall into several components, the ones outside the centre's
    component are compared with the star's other members, block against block: both sides are
    cut into blocks of bounded size, and a block pair is one row whatever pairs it holds. So no
@@ -51,11 +51,11 @@ def _sketch(width: int, bands: int, rows: int):
         for batch in batches:
             texts = _texts(batch.column("text"))
             sizes, digests, keys = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2), np.int64), [None] * len(texts)
-            for i, _, words in _words.words_of(texts, _words.BLANKS):
-                own = _words.shingles(words, width)
-                if len(own):
-                    sizes[i], keys[i] = len(own), family.band_keys(own)
-                    digests[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
+            for a, b in _words.batched(texts):
+                for i, own, exact in zip(range(a, b), *_words.sets_of(texts[a:b], width, _words.BLANKS), strict=True):
+                    if len(own):
+                        sizes[i], keys[i] = len(exact), family.band_keys(own)
+                        digests[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=_SKETCH.names
             )
@@ -63,24 +63,21 @@ def _sketch(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    return [_words.shingles(words, width) for _, _, words in _words.words_of(texts, _words.BLANKS)]
-
-
 def _confirm(width: int, percent: int):
     """Rows (u, v, text of u, text of v), those of one u together: the linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, center = None, np.empty(0, np.uint64)
         for batch in batches:
             u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            members = _sets(_texts(batch.column("v_text")), width)
-            texts, keep = batch.column("u_text"), []
-            for i, own in enumerate(members):
-                if u[i] != last:
-                    last, center = u[i], _sets([texts[i].as_py().encode()], width)[0]
-                if jaccard_linked(center, own, percent):
-                    keep.append(i)
+            members, centres, keep = _texts(batch.column("v_text")), batch.column("u_text"), []
+            for a, b in _words.batched(members):
+                at, texts = [], []  # each centre once, before the members
+                for i in range(a, b):
+                    if i == a or u[i] != u[i - 1]:
+                        texts.append(centres[i].as_py().encode())
+                    at.append(len(texts) - 1)
+                _, sets = _words.sets_of([*texts, *members[a:b]], width, _words.BLANKS)
+                keep += [i for i, c, own in zip(range(a, b), at, sets[len(texts) :], strict=True) if jaccard_linked(sets[c], own, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=_LINKS.names)
 
     return run
@@ -111,14 +108,14 @@ def links_between(a: list[tuple[int, int, np.ndarray]], b: list[tuple[int, int,
 
 
 def _cross(width: int, percent: int):
-    def docs(rows: list[dict]) -> list[tuple[int, int, np.ndarray]]:
-        return [(r["m"], r["component"], s) for r, s in zip(rows, _sets([r["text"].encode() for r in rows], width), strict=True)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                found += links_between(docs(batch.column("a")[i].as_py()), docs(batch.column("b")[i].as_py()), percent)
+                a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
+                _, sets = _words.sets_of([r["text"].encode() for r in (*a, *b)], width, _words.BLANKS)
+                docs = [(r["m"], r["component"], s) for r, s in zip((*a, *b), sets, strict=True)]
+                found += links_between(docs[: len(a)], docs[len(a) :], percent)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=_LINKS.names)
 
     return run

@@ -195,3 +195,32 @@ def test_repeat_query(spark, tmp_path):
     found = suffixes.op4_suffix_dedup(spark, str(tmp_path))
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("parchwork")]
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == want
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_with_one_polynomial_hash_differ(documents):
+    """The Thue-Morse word and its complement agree under every polynomial modulo a power of two."""
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{x} one two three four five"), (2, f"{y} one two three four five"), (3, f"{x} {y} {x} {y}"), (4, f"{x[:200]} a b c"), (5, f"{y[:200]} a b c")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(documents(rows), width=4).collect()}
+    assert got == brute_near(rows)
+
+
+@pytest.mark.parametrize("what", ["words", "shingles", "nothing"])
+def test_sets_stay_exact_under_equal_hashes(monkeypatch, what):
+    """Where hashes of different words or shingles agree, sets are told by bytes."""
+    if what == "words":
+        monkeypatch.setattr(_words, "hashes_of", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    if what == "shingles":
+        monkeypatch.setattr(_words, "combine", lambda h, n: np.ones(max(0, len(h) - n + 1), np.uint64))
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "é", "w" * 300, "w" * 299 + "v", "x" * 9]) for _ in range(rng.choice([0, 1, 3, 4, 30]))).encode() for _ in range(40)]
+    _, sets = _words.sets_of(texts, 4, _words.BLANKS)
+    words = [t.split() for t in texts]
+    want = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for w in words]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert all(len(np.intersect1d(a, b)) == len(x & y) for a, x in zip(sets, want) for b, y in zip(sets, want))
