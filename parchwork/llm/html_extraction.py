@@ -2,9 +2,10 @@
 
 A page is read once into text blocks, the runs of text between block-level tags. A block is
 described by its words and link density, those of the blocks before and after it (Kohlschuetter
-et al. 2010), whether it stands in an article or under an element that is named as something else,
-and whether it is a heading. A small decision tree, trained on the labelled blocks of the pages
-below, tells main text from the rest.
+et al. 2010), whether it stands in an article or in an element that is by its kind something else,
+whether it is a heading, and by how much the names of an element around it tell of other things and how much of the
+page's words stand beside that element: a name alone decides nothing. A small decision tree, trained on the labelled
+blocks of the pages below, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ EMBEDDED = frozenset("noscript template iframe svg object canvas audio video ann
 FORM = frozenset("form button select option textarea fieldset input datalist".split())
 BOILER = frozenset("nav footer aside menu dialog".split()) | FORM
 CLOSES_ITSELF = frozenset("li dt dd tr td th option p".split())
-#: Words in class, id or role that name something other than main text.
+#: Roles of such elements.
+BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words in class or id that as a rule name something other than main text, and words that often do.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement aside banner breadcrumb breadcrumbs captcha comment comments complementary consent contentinfo cookie cookies copyright disqus "
-    "footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharebar sharing "
-    "sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget header paywall".split()
+    "ad ads advert adverts advertisement aside banner breadcrumb breadcrumbs captcha comment comments complementary contentinfo cookie cookies disqus "
+    "footer gdpr masthead menu modal nav navbar navigation newsletter pagination popup promo promoted related sharebar sidebar signup sponsor sponsored toolbar topbar widget".split()
 )
+HALF_HINTS = frozenset("consent copyright form header legal login notice notices paywall replies reply share sharing skip social subscribe tags".split())
 ARTICLE = frozenset("article main".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--(?:.*?-->|.*\Z)|<[!?/][^>]*>""", re.DOTALL)
@@ -56,6 +59,10 @@ class TextBlock(NamedTuple):
     article: int
     boiler: int
     heading: int
+    #: Shares of hints and of half hints among the names of the innermost element around it that has any, and of the page's words beside that element.
+    hint: float
+    half_hint: float
+    beside: float
     keep: int
 
 
@@ -71,14 +78,40 @@ def _closed(page: str, name: str) -> dict[int, int]:
     return found
 
 
+class _Open(NamedTuple):
+    """An open element and what it adds to all that is in it; `named` is its number among elements with hints, or that of one around it."""
+
+    name: str
+    article: int
+    boiler: int
+    link: int
+    heading: int
+    keep: int
+    named: int
+
+
+def _hint(told: dict[str, str]) -> tuple[float, float]:
+    """Shares of hints and half hints among the names in class and id."""
+    names = _NAME.findall(f"{told.get('class', '')} {told.get('id', '')}")
+    if not names or {"has", "with", "no"} & set(names):
+        return 0.0, 0.0
+    return sum(n in HINTS for n in names) / len(names), sum(n in HALF_HINTS for n in names) / len(names)
+
+
 def blocks(page: str) -> list[TextBlock]:
     """The page's text blocks in order; blocks without visible text are none."""
     out: list[TextBlock] = []
     parts: list[str] = []
     linked: list[str] = []
-    #: Open elements: name, and what they add: article, boiler, link, heading, keep.
-    stack: list[tuple[str, int, int, int, int, int]] = []
+    stack: list[_Open] = []
+    #: How many open elements have a name, so that an end tag of none is passed over at once.
+    count: dict[str, int] = {}
     article = boiler = link = heading = keep = 0
+    #: Of elements with hints: the hint, the words within, and the number of the next one around (-1: none); and each block's.
+    hints: list[tuple[float, float]] = []
+    words_in: list[int] = []
+    around: list[int] = []
+    owner: list[int] = []
     closed: dict[str, dict[int, int]] = {}
     untitled = False
 
@@ -88,15 +121,19 @@ def blocks(page: str) -> list[TextBlock]:
             if text:
                 words = len(text.split(" "))
                 in_links = len(_SPACE.sub(" ", html.unescape(" ".join(linked))).split()) if linked else 0
-                out.append(TextBlock(text, words, min(1.0, in_links / words), int(article > 0), int(boiler > 0), int(heading > 0), int(keep > 0)))
+                owner.append(stack[-1].named if stack else -1)
+                if owner[-1] >= 0:
+                    words_in[owner[-1]] += words
+                out.append(TextBlock(text, words, min(1.0, in_links / words), int(article > 0), int(boiler > 0), int(heading > 0), 0.0, 0.0, 0.0, int(keep > 0)))
             parts.clear()
             linked.clear()
 
     def drop(to: int) -> None:
         nonlocal article, boiler, link, heading, keep
         while len(stack) > to:
-            _, a, b, c, d, e = stack.pop()
-            article, boiler, link, heading, keep = article - a, boiler - b, link - c, heading - d, keep - e
+            e = stack.pop()
+            count[e.name] -= 1
+            article, boiler, link, heading, keep = article - e.article, boiler - e.boiler, link - e.link, heading - e.heading, keep - e.keep
 
     at, n = 0, len(page)
     while at < n:
@@ -118,10 +155,11 @@ def blocks(page: str) -> list[TextBlock]:
         elif name in ("mtd", "mtr"):
             parts.append(" ")
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    drop(k)
-                    break
+            if count.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                drop(k)
             continue
         if name in RAW:
             found = None if untitled and name == "title" else re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -141,30 +179,39 @@ def blocks(page: str) -> list[TextBlock]:
             continue
         if name not in INLINE and stack:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or (stack[k][0] == name and name in CLOSES_ITSELF):
+                if stack[k].name == "p" or (stack[k].name == name and name in CLOSES_ITSELF):
                     drop(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].name not in INLINE:
                     break
         told = dict((k.lower(), (v or "").strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(rest)) if rest.strip(" /") else {}
-        named = set(_NAME.findall(" ".join(told.get(k, "") for k in ("class", "id", "role")))) if name not in ARTICLE and name not in ("html", "body") else set()
         hidden = "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in told.get("style", "").replace(" ", "")
-        is_boiler = name in BOILER or bool(named & HINTS and not named & {"has", "with", "no"} and not (article and named & HINTS == {"header"})) or hidden or (name == "header" and not article)
-        entry = (name, int(name in ARTICLE), int(is_boiler), int(name == "a"), int(len(name) == 2 and name[0] == "h" and name[1] in "123456"), int("data-keep" in told))
-        stack.append(entry)
-        _, a, b, c, d, e = entry
-        article, boiler, link, heading, keep = article + a, boiler + b, link + c, heading + d, keep + e
+        is_boiler = name in BOILER or hidden or told.get("role") in BOILER_ROLES or (name == "header" and not article)
+        named = stack[-1].named if stack else -1
+        if name not in ARTICLE and name not in ("html", "body", "header") and any(hint := _hint(told)):
+            hints.append(hint)
+            words_in.append(0)
+            around.append(named)
+            named = len(hints) - 1
+        e = _Open(name, int(name in ARTICLE), int(is_boiler), int(name == "a"), int(len(name) == 2 and name[0] == "h" and name[1] in "123456"), int("data-keep" in told), named)
+        stack.append(e)
+        count[name] = count.get(name, 0) + 1
+        article, boiler, link, heading, keep = article + e.article, boiler + e.boiler, link + e.link, heading + e.heading, keep + e.keep
     flush()
-    return out
+    for k in range(len(hints) - 1, -1, -1):  # elements come after those around them
+        if around[k] >= 0:
+            words_in[around[k]] += words_in[k]
+    total = sum(b.words for b in out)
+    return [b if k < 0 else b._replace(hint=hints[k][0], half_hint=hints[k][1], beside=1 - words_in[k] / total) for b, k in zip(out, owner, strict=True)]
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "boiler", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "boiler", "heading", "hint", "half_hint", "beside")
 
 
 def features(found: list[TextBlock]) -> list[tuple[float, ...]]:
     """A row for each block; beyond the page's ends there is no word and no link."""
     ends = [(0, 0.0), *((b.words, b.link_density) for b in found), (0, 0.0)]
-    return [(b.words, b.link_density, *ends[k], *ends[k + 2], b.article, b.boiler, b.heading) for k, b in enumerate(found)]
+    return [(b.words, b.link_density, *ends[k], *ends[k + 2], b.article, b.boiler, b.heading, b.hint, b.half_hint, b.beside) for k, b in enumerate(found)]
 
 
 class Leaf(NamedTuple):
@@ -234,13 +281,50 @@ LABELLED = (
     f'<article data-keep><p><a href=1>{_MID}</a></p><p>Or not.</p><p>So.</p></article>',
     f'<main data-keep><p><a href=1>{_MID}</a></p><p>But then it did.</p></main>',
 )
+#: Paragraphs of articles, each with something that stands beside it; no text is in two of them.
+ARTICLES = (
+    (("Court clears the harbour company", "Three judges found on Tuesday that the company had kept to its licence when it dredged the eastern channel.", "The fishermen who had sued it will have to pay their own costs.", "An appeal is open until spring, and their lawyer said that he would read the ruling first.", "Nothing will change in the harbour until then, since the dredgers left in autumn and won't be back before the summer.", "The company's shares rose a little."),
+     ("I have been out there every day for forty years and never saw so little cod.", "Same here.", "Who pays for the nets that they tore, does anybody know?")),
+    (("Who looks good for Saturday", "Quiet Harbour has won both starts on soft ground and carries less weight than last month.", "Her trainer says that she worked well on Monday, and the draw suits her.", "Old Penny wants a longer trip, and the stable hasn't had a winner since the snow went.", "At a price we would rather have the grey, who was stopped twice in the straight when he was third here in the autumn."),
+     ("Odds may change without warning, see the rules of the course for all that applies to bets.", "Play with your head and only if you are of age.")),
+    (("When the meters are read", "The council will read the water meters in all streets north of the canal between the third and the ninth of May.", "Please leave the cellar door open, or write down the figures yourself and hand them in at the town hall.", "Whoever has moved since the last reading should say so beforehand.", "Bills go out in June."),
+     ("Would you like to get our best stories each Friday morning? Leave your address and we will send them to you.", "You can leave at any time.")),
+    (("Why bees dance", "Bees tell each other where to fly by dancing, and the angle of the dance stands for the angle to the sun.", "In the dark of the hive the sun is straight up, so the dancer has to turn all that she saw by a quarter.", "Her sisters read it with their feelers and are rarely wrong by more than a few steps in a hundred.", "How they learn it nobody has seen yet, for young bees dance badly when there is no old one to follow.", "It is the only such speech among insects."),
+     ("The ten most read pieces of the month, chosen by our editors for you from all that appeared in print.", "More of them are in the archive, where you can look for words and for days.")),
+)
+#: Names of elements around whole articles, and of elements beside them.
+WHOLE = ("story legal", "post form-guide", "entry notice", "content tags", "article social-text", "legal", "notice", "page-content login-free", "post header-image", "ad-free story text", "main sidebar-right column", "entry")
+BESIDE = ("comments", "user-comments", "sidebar", "sidebar-widget", "newsletter-box", "promo", "related-posts", "site-notice", "legal", "share social", "cookie-banner", "ad-slot", "footer-text", "subscribe-form")
+
+
+def composed() -> list[str]:
+    """Pages of articles under each name of WHOLE with an element of each name of BESIDE before, within or after them, and
+    pages on which something else is longer than the article."""
+    pages = []
+    for i, whole in enumerate(WHOLE):
+        for j, beside in enumerate(BESIDE):
+            (title, *said), other = ARTICLES[(i + j) % len(ARTICLES)]
+            other = f'<div class="{beside}">' + "".join(f"<p>{t}</p>" for t in other) + "</div>"
+            paragraphs = [f"<h2>{title}</h2>", *(f"<p>{t}</p>" for t in said)]
+            k = (0, len(paragraphs) // 2, len(paragraphs))[(2 * i + j) % 3]
+            inner = "<div data-keep>" + "".join(paragraphs[:k]) + "</div>" + other + "<div data-keep>" + "".join(paragraphs[k:]) + "</div>"
+            # none, a line or a third of the page's words stand beside the whole
+            rest = " ".join(ARTICLES[(i + j + 1) % len(ARTICLES)][1])
+            around = ("", "<footer>The Valley Post</footer>", f"<aside>{rest}</aside><footer>{rest}</footer>")[(i + 2 * j) % 3]
+            pages.append(f'<div class="{whole}">{inner}</div>{around}')
+    for i, large in enumerate(("comments", "user-comments", "comments-area", "sidebar", "related", "popup", "related-posts", "newsletter")):
+        (title, said, *_), _ = ARTICLES[i % len(ARTICLES)]
+        others = "".join(f"<p>{t}</p>" for k, (own, _) in enumerate(ARTICLES) if k != i % len(ARTICLES) for t in own)
+        pages.append(f'<div data-keep><h2>{title}</h2><p>{said}</p></div><div id="{large}">{others}</div>')
+    return pages
+
 
 _trained: list[Leaf | Split] = []
 
 
 def tree() -> Leaf | Split:
     if not _trained:
-        found = [blocks(p) for p in LABELLED]
+        found = [blocks(p) for p in (*LABELLED, *composed())]
         rows = np.array([r for b in found for r in features(b)], dtype=float)
         _trained.append(train(rows, np.array([b.keep for p in found for b in p], dtype=float)))
     return _trained[0]

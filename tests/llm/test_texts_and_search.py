@@ -258,3 +258,36 @@ def test_bounds_spare_distances():
     again.computed = 0
     with_floor = again.search(asked, v[asked], 10, np.array([s[-1] for s, _ in found]))
     assert again.computed < first and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(found, with_floor, strict=True))
+
+
+#: Pages that the tree has not seen: (page, main text).
+HELD_OUT = [
+    ("<div class='story legal'><h1>Mill burns down</h1><p>The old paper mill below the weir burnt down on Sunday night while the town slept.</p><p>Nobody was hurt.</p><p>The owner said that the machines were sold last year and that the walls would be left as they are for now.</p></div>",
+     "Mill burns down\nThe old paper mill below the weir burnt down on Sunday night while the town slept.\nNobody was hurt.\nThe owner said that the machines were sold last year and that the walls would be left as they are for now."),
+    ("<header><a href=1>Turf</a></header><div class='post form-guide'><p>The favourite sweated up before the start and was never in the race after the second bend on the far side.</p><p>Her jockey could not say why, and the vet found nothing wrong with her heart or legs in the evening.</p></div><footer>No bets under eighteen.</footer>",
+     "The favourite sweated up before the start and was never in the race after the second bend on the far side.\nHer jockey could not say why, and the vet found nothing wrong with her heart or legs in the evening."),
+    ("<nav><a href=1>Start</a></nav><article><h2>Cork</h2><p>A cork oak is first peeled when it is twenty-five years old, and then once every nine years.</p><section class='comments'><p>We have two of them at home and they are lovely.</p></section><p>The tree lives on.</p></article><div class='ad'>Corks for all bottles, ten for one.</div>",
+     "Cork\nA cork oak is first peeled when it is twenty-five years old, and then once every nine years.\nThe tree lives on."),
+    ("<div><p>The ferry will not sail before noon, for the ice is still too thick at the mouth of the river.</p></div><div id='comments'><p>They said so yesterday too, and then it sailed at nine and left all of us standing on the quay in the wind.</p><p>I have asked at the office and nobody there knows anything about it, they only read the paper like we do here.</p><p>Take the bus over the bridge, it takes an hour but at least it comes.</p></div>",
+     "The ferry will not sail before noon, for the ice is still too thick at the mouth of the river."),
+    ("<div class='notice'><h1>Road closed</h1><p>From Monday on Mill Lane is closed between the church and the bakery for four weeks, because pipes are laid.</p><p>Buses stop at the school and at the old gate meanwhile, as they did last summer.</p></div><form><p>Was this of use to you?</p><button>Yes</button></form>",
+     "Road closed\nFrom Monday on Mill Lane is closed between the church and the bakery for four weeks, because pipes are laid.\nBuses stop at the school and at the old gate meanwhile, as they did last summer."),
+    ("<main><p>Owls hear a mouse under a foot of snow, and strike at the sound without seeing anything at all.</p><div class='newsletter'><p>Owls in your letter box each week: subscribe now and get the poster for your wall as a gift.</p></div><p>One ear sits higher than the other.</p></main><aside><p>Read next how bats do it, and why moths can hear them before it is too late for the moth.</p></aside>",
+     "Owls hear a mouse under a foot of snow, and strike at the sound without seeing anything at all.\nOne ear sits higher than the other."),
+]
+
+
+@pytest.mark.parametrize("page,want", HELD_OUT)
+def test_extraction_of_pages_not_trained_on(page, want):
+    assert html_extraction.main_text(page) == want
+
+
+def test_deep_and_unmatched_tags_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (25_000, 100_000):
+        began = time.perf_counter()
+        assert html_extraction.blocks("<div>" * n + "</b>" * n + "<p>word</i></div>" * n)[0].text == "word"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1 and took[1] < 20
