@@ -14,7 +14,8 @@ time, in memory that the bucket's size bounds, and long ties go by ranks of a co
    of text to that key's bucket, where equal windows meet.
 3. Sorting a bucket (`earlier`). The bucket's cover sample is sorted by its first `length` bytes and ranked. Its windows
    are sorted by their first PERIOD bytes. Of windows that tie there, any two have a common offset at which both
-   reach a sample suffix: their ranks tell whether the windows agree to the end, and so which document has each first.
+   reach a sample suffix: their ranks tell whether the windows agree to the end. Each tie is compared with its window of the
+   least document, what differs with the least that is left, and after ROUNDS of these all at once, offset by offset.
    Equality is of bytes throughout.
 4. Windows of later documents are removed; where they overlap their union is.
 
@@ -47,6 +48,8 @@ _U = np.uint64
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Text in a block of small tables and in one of any, about, and keys in a bucket, about.
 BLOCK_BYTES, MOST_BYTES, BUCKET_KEYS = 2 << 20, 16 << 20, 1 << 20
+#: Windows that tie are compared with one of them this many times.
+ROUNDS = 6
 #: Up to this much text blocks have BLOCK_BYTES; beyond it they grow as the text's square root, as does their number.
 SMALL_BYTES = 4 << 30
 #: Bytes of the key that names a window's bucket, and windows in a piece at most.
@@ -359,7 +362,33 @@ class CoverRanks:
 
     def ranks(self, depth: int) -> np.ndarray:
         """By place, numbers that are equal for suffixes that agree on `depth` bytes and ascend with them."""
-        return np.cumsum(self.shared < depth)
+        return np.cumsum(self.shared < depth, dtype=np.int32)
+
+
+def _meeting() -> np.ndarray:
+    """For each two residues the least shift that brings both into the cover."""
+    inside = np.isin((np.arange(PERIOD)[:, None] + np.arange(PERIOD)[None, :]) % PERIOD, COVER)  # residue, shift
+    return (inside[:, None, :] & inside[None, :, :]).argmax(axis=2)
+
+
+def _tied(words: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that agree on PERIOD bytes with one of another document, in order of those bytes and then by document, and their ties' numbers."""
+    order = np.lexsort((words[at + PERIOD - 8], words[at + 8], words[at]))
+    sorted_at = at[order]
+    new = np.zeros(len(at), dtype=bool)
+    new[0] = True
+    for k in (0, 8, PERIOD - 8):
+        x = words[sorted_at + k]
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    d = docs[order]
+    open_ = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+    many = np.diff(np.append(first, len(at)))
+    order = order[np.repeat(open_, many)]
+    group = np.repeat(np.arange(np.count_nonzero(open_)), many[open_])
+    _, d = np.unique(docs[order], return_inverse=True)
+    by = np.argsort(group.astype(np.uint64) << _U(32) | d.astype(np.uint64))
+    return order[by], group[by]
 
 
 def earlier(text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -372,29 +401,28 @@ def earlier(text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) ->
     words = np.zeros(len(text) + length + 8, dtype=np.uint64)
     for k in range(8):  # the eight bytes from each position on, as a number in byte order
         words = words << _U(8) | padded[k : k + len(words)]
-    order = np.lexsort((words[at + PERIOD - 8], words[at + 8], words[at]))
-    sorted_at = at[order]
-    new = np.zeros(len(at), dtype=bool)
-    new[0] = True
-    for k in (0, 8, PERIOD - 8):
-        new[1:] |= words[sorted_at[1:] + k] != words[sorted_at[:-1] + k]
-    first = np.flatnonzero(new)
-    d = docs[order]
-    open_ = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)  # other ties are of one document
-    group = np.cumsum(new) - 1
-    tied = np.flatnonzero(open_[group])
-    if not len(tied):
+    left, group = _tied(words, at, docs)
+    if not len(left):
         return best
-    group, tied = group[tied].astype(np.uint64), order[tied]
     ranked = CoverRanks(words, len(text), length)
-    at = at[tied]
+    ranks = np.array([ranked.ranks(length - shift) for shift in range(PERIOD)])
+    meeting, residue = _meeting(), at % PERIOD
+    for _ in range(ROUNDS):
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        centre = np.repeat(left[first], np.diff(np.append(first, len(left))))
+        shift = meeting[residue[left], residue[centre]]
+        same = ranks[shift, ranked.place[at[left] + shift]] == ranks[shift, ranked.place[at[centre] + shift]]
+        best[left[same]] = docs[centre[same]]
+        left, group = left[~same], group[~same]
+        if not len(left):
+            return best
     for shift in range(PERIOD):
-        met = np.flatnonzero(ranked.sampled[at + shift])
+        met = np.flatnonzero(ranked.sampled[at[left] + shift])
         if not len(met):
             continue
-        keys = group[met] << _U(32) | ranked.ranks(length - shift)[ranked.place[at[met] + shift]].astype(np.uint64)
+        keys = group[met].astype(np.uint64) << _U(32) | ranks[shift, ranked.place[at[left[met]] + shift]].astype(np.uint64)
         by = np.argsort(keys)
-        keys, met = keys[by], tied[met[by]]
+        keys, met = keys[by], left[met[by]]
         first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _U(1)))
         least = np.repeat(np.minimum.reduceat(docs[met], first), np.diff(np.append(first, len(keys))))
         best[met] = np.minimum(best[met], least)
@@ -409,19 +437,25 @@ def _sort_windows(length: int):
 
         expand, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for r in _each(batches):
-            texts, windows, docs, sizes, begin = [], [], [], [], 0
+            # equal pieces of different blocks are sorted once, under their first document
+            number: dict[bytes, int] = {}
+            same, many, docs, sizes = [], [], [], []
             for x in r["sent"]:
                 own = unpack_numbers(x["docs"]).astype(np.int64) + x["base"]
-                data = np.frombuffer(expand(x["keys"]), dtype=np.uint8)
-                many, text = data[: len(own)].astype(np.int64), data[len(own) :]
-                ends = np.cumsum(many + length - 1)
-                texts.append(text)
-                windows.append(begin + _ragged(ends - many - length + 1, many))
-                docs.append(np.repeat(own, many))
-                sizes.append(int(many.sum()))
-                begin += len(text)
-            docs = np.concatenate(docs)
-            later = docs > earlier(np.concatenate(texts), np.concatenate(windows), docs, length)
+                data = expand(x["keys"])
+                n = np.frombuffer(data, dtype=np.uint8, count=len(own)).astype(np.int64)
+                ends = (len(own) + np.cumsum(n + length - 1)).tolist()
+                same += [number.setdefault(data[a:b], len(number)) for a, b in zip([len(own), *ends[:-1]], ends, strict=True)]
+                many.append(n)
+                docs.append(own)
+                sizes.append(int(n.sum()))
+            same, many, docs = np.array(same), np.concatenate(many), np.concatenate(docs)
+            least, windows = np.full(len(number), _LAST), np.array([len(t) for t in number]) - length + 1
+            np.minimum.at(least, same, docs)
+            ends = np.cumsum(windows + length - 1)
+            at = _ragged(ends - windows - length + 1, windows)
+            best = earlier(np.frombuffer(b"".join(number), dtype=np.uint8), at, np.repeat(least, windows), length)
+            later = np.repeat(docs, many) > best[_ragged((np.cumsum(windows) - windows)[same], many)]
             ends = np.cumsum(sizes).tolist()
             yield _rows([(x["block"], r["bucket"], pack(np.packbits(later[e - n : e]).tobytes())) for x, n, e in zip(r["sent"], sizes, ends, strict=True)], _ANSWER_ARROW)
 

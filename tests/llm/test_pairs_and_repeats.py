@@ -147,8 +147,10 @@ def test_sorted_numbers_pack(documents):
     assert (suffixes.unpack_numbers(suffixes.pack_numbers(v)) == v).all() and len(suffixes.unpack_sorted(suffixes.pack_sorted(v[:0]))) == 0
 
 
-def test_bucket_sorting_tells_windows_by_bytes():
+@pytest.mark.parametrize("rounds", [0, 1, 6])
+def test_bucket_sorting_tells_windows_by_bytes(monkeypatch, rounds):
     """Windows of a bucket at all residues of the cover, in texts of few letters, against a table of them."""
+    monkeypatch.setattr(suffixes, "ROUNDS", rounds)
     rng = np.random.default_rng(3)
     for letters, size in ((2, 1200), (3, 4000), (200, 3000)):
         text = rng.integers(0, letters, size).astype(np.uint8)
