@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchwork.plans.session import materialize
+from parchwork.plans.session import discard, materialize
 
 
 def _hooked(directed: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours hang on the least of them. The minima are written first, so that
+    """Each node's neighbours hang on the least of them, written. The minima are written first, so that
     the join has an exchange on either side and a node of very many links can be split."""
     least = materialize(directed.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = directed.join(least, "u")
     if large:
-        return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    rest = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v")))
+        hung = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    else:
+        rest = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = rest.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+    out = materialize(hung.distinct(), "edges")
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,8 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = state(down)
     while True:
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide = materialize(_hooked(both, large=True).distinct(), "edges")
-        down = materialize(_hooked(wide, large=False).where("u <> v").distinct(), "edges")
+        wide = _hooked(both, large=True)
+        before, down = down, _hooked(wide, large=False)
+        discard(before, wide)
         now = state(down)
         if now == seen:
             break

@@ -27,7 +27,7 @@ from parchwork.llm import _words
 from parchwork.llm._memory import tidy
 from parchwork.llm._oph import OnePermutation, jaccard_linked
 from parchwork.llm.components import connected_components
-from parchwork.plans.session import materialize
+from parchwork.plans.session import discard, materialize
 
 #: A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS = 5e-6.
 BANDS, ROWS = 52, 7
@@ -136,11 +136,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     with_set = sketch.where("n > 0 and doc_id is not null")
     classes = materialize(with_set.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")
     first = F.col("doc_id") == F.col("rep")
-    members = materialize(with_set.join(classes, ["high", "low"]).select("doc_id", "n", "rep", F.when(first, F.col("keys")).alias("keys")), "members")
+    keyed = materialize(with_set.join(classes, ["high", "low"]).select("doc_id", "n", "rep", F.when(first, F.col("keys")).alias("keys")), "keyed")
+    members = materialize(keyed.drop("keys"), "members")
+    alone = materialize(sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")), "alone")
+    discard(sketch, classes)
 
-    banded = members.where("keys is not null").select("rep", "n", F.explode("keys").alias("key"))
+    banded = keyed.where("keys is not null").select("rep", "n", F.explode("keys").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("size")).where("size > 1").select("key", "c"), "buckets")
     stars = materialize(banded.join(buckets, "key").select("c", F.col("rep").alias("m"), "n").distinct(), "stars")
+    discard(keyed, buckets)
     wanted = stars.select(F.col("m").alias("doc_id")).distinct()
     texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
 
@@ -149,6 +153,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     pairs = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
     links = materialize(pairs.mapInArrow(tidy(_confirm(width, percent)), _LINKS), "links")
     once = materialize(connected_components(links), "components")
+    discard(links)
 
     def component(name: str, of: str) -> DataFrame:
         return once.select(F.col("id").alias(of), F.col("component").alias(name))
@@ -161,14 +166,16 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     parted = open_stars.join(sums, "c").select("c", "m", "component", "side", F.pmod(F.xxhash64("m"), many).alias("chunk"))
     parted = parted.join(texts.select(F.col("doc_id").alias("m"), "text"), "m")
     blocks = materialize(parted.groupBy("c", "side", "chunk").agg(F.collect_list(F.struct("m", "component", "text")).alias("docs")), "blocks")
+    discard(texts, stars, sums)
     a = blocks.where("side = 1").select("c", F.col("chunk").alias("a_chunk"), F.col("docs").alias("a"))
     b = blocks.select("c", "side", "chunk", F.col("docs").alias("b"))
     crossed = a.join(b, "c").where("side = 0 or chunk >= a_chunk").select("a", "b").mapInArrow(tidy(_cross(width, percent)), _LINKS)
     more = materialize(crossed, "links")
+    discard(blocks)
     final = materialize(connected_components(more.unionByName(once.select(F.col("id").alias("u"), F.col("component").alias("v")))), "components")
+    discard(more, once)
 
-    placed = members.select("doc_id", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    placed = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     out = placed.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
