@@ -77,3 +77,18 @@ def test_queries_with_sql(spark, name):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert sorted(tuple(r) for r in df.select(columns).collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, documents, tmp_path):
+    """Null, empty, very long and repeated texts, null ids and columns of names that operators use."""
+    long = " ".join(f"word{k}" for k in range(20_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (4, long), (None, "no id here"), (None, None), (6, "a b c"), (7, "short text of some words")]
+    spark.createDataFrame([(1, 1, 0), (4, 1, None), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "not in any of them"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, empty = documents(rows), documents([])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == (8 if name == "near_duplicates" else len(rows)), name
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sum(r.start == 0 for r in packed) == len(rows) and corpus_pipeline.packed(spark, empty, "").count() == 0
