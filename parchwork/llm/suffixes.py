@@ -12,7 +12,8 @@ time, in memory that the bucket's size bounds, and long ties go by ranks of a co
    are hashes: one that two strings share by chance only lets windows pass.
 2. Buckets. Consecutive windows that are left and whose least MINIMIZER-byte key is the same travel as one piece
    of text to that key's bucket, where equal windows meet.
-3. Sorting a bucket (`earlier`). The bucket's cover sample is sorted by its first `length` bytes and ranked. Its windows
+3. Sorting a bucket (`earlier`). Windows whose hash no other document's window has are left out, since they equal none.
+   The cover sample around the others is sorted by its first `length` bytes and ranked, and they
    are sorted by their first PERIOD bytes. Of windows that tie there, any two have a common offset at which both
    reach a sample suffix: their ranks tell whether the windows agree to the end. Each tie is compared with its window of the
    least document, what differs with the least that is left, and after ROUNDS of these all at once, offset by offset.
@@ -341,13 +342,14 @@ def _send_pieces(length: int, buckets: int):
 
 
 class CoverRanks:
-    """The cover sample of `text`, sorted by its suffixes' first `length` bytes; `place` gives a sample position's place in that order."""
+    """The cover sample of a text of `size` bytes, of which `words` are the eight from each on, sorted by its suffixes' first `length`
+    bytes; `place` gives a sample position's place in that order. Of positions that aren't `wanted` there is none."""
 
-    def __init__(self, words: np.ndarray, size: int, length: int):
+    def __init__(self, words: np.ndarray, size: int, length: int, wanted: np.ndarray | None = None):
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
-        self.sampled = np.resize(cover, size)
-        at = np.flatnonzero(self.sampled)
+        self.sampled = np.tile(cover, size // PERIOD + 1)[:size]
+        at = np.flatnonzero(self.sampled if wanted is None else self.sampled & wanted)
         offsets = range(0, length, 8)
         at = at[np.lexsort([words[at + k] for k in reversed(offsets)])]
         self.place = np.zeros(size, dtype=np.int64)
@@ -371,6 +373,20 @@ def _meeting() -> np.ndarray:
     return (inside[:, None, :] & inside[None, :, :]).argmax(axis=2)
 
 
+def _with_partner(text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Windows whose hash one of another document has too; all others equal none of another document."""
+    power, _ = _powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_VALUES[text] * power[: len(text)], out=sums[1:])
+    keys = Block._keys(sums, at, length)
+    order = np.argsort(keys)
+    keys, d = keys[order], docs[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _U(1)))
+    open_ = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+    return order[np.repeat(open_, np.diff(np.append(first, len(order))))]
+
+
 def _tied(words: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that agree on PERIOD bytes with one of another document, in order of those bytes and then by document, and their ties' numbers."""
     order = np.lexsort((words[at + PERIOD - 8], words[at + 8], words[at]))
@@ -396,15 +412,21 @@ def earlier(text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) ->
     best = docs.copy()
     if not len(at):
         return best
+    some = _with_partner(text, at, docs, length)
+    if not len(some):
+        return best
     padded = np.zeros(len(text) + length + 16, dtype=np.uint64)
     padded[: len(text)] = text
     words = np.zeros(len(text) + length + 8, dtype=np.uint64)
     for k in range(8):  # the eight bytes from each position on, as a number in byte order
         words = words << _U(8) | padded[k : k + len(words)]
-    left, group = _tied(words, at, docs)
+    left, group = _tied(words, at[some], docs[some])
+    left = some[left]
     if not len(left):
         return best
-    ranked = CoverRanks(words, len(text), length)
+    begun = np.cumsum(np.bincount(at[left], minlength=len(text)))
+    begun[PERIOD:] -= begun[:-PERIOD].copy()  # windows that begin less than PERIOD before
+    ranked = CoverRanks(words, len(text), length, begun > 0)
     ranks = np.array([ranked.ranks(length - shift) for shift in range(PERIOD)])
     meeting, residue = _meeting(), at % PERIOD
     for _ in range(ROUNDS):
