@@ -1,7 +1,7 @@
 """The document audit: contextual, grammar, structural, verification and layout stages in a row (the flagship query).
 
-A document is a row; each stage is a projection over it, and what a stage reports is a column. Only the match of quoted
-passages against a canonical table and the roll-up of pages group by document.
+A document is a row and stays one; each stage is a projection over it, and what a stage reports is a column. Only documents
+that hold a page marker are taken apart into pages and put together again, by a key of their row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchwork.functions import text as X
-from parchwork.operators import layout, rules, segment, structural
+from parchwork.functions.dialect import rewrite
+from parchwork.operators import layout, rules, segment, structure_report
+
+#: What stages count, in their order; a document's total is their sum.
+COUNTERS = ("contextual_fixed", "truncated_items", "structural_repaired", "verses_corrected", "tables_fixed", "lists_fixed")
 
 
 def contextual(df: DataFrame, assistant: Column | None = None) -> DataFrame:
@@ -23,35 +27,56 @@ def contextual(df: DataFrame, assistant: Column | None = None) -> DataFrame:
 
 
 def completed(df: DataFrame) -> DataFrame:
-    """Known cuts completed in recognised text; text read directly is complete."""
-    out = df.withColumn("__done", rules.complete(F.col("text")))
+    """Known cuts counted, and completed in recognised text; text read directly is complete."""
+    out = df.withColumns({"truncated_items": rules.truncated(F.col("text")), "__done": rules.complete(F.col("text"))})
     kept = X.guard_pages(F.col("text"), F.col("__done"))
     return out.withColumn("text", F.when(F.col("origin") == "direct", F.col("text")).otherwise(kept)).drop("__done")
 
 
 def structured(df: DataFrame) -> DataFrame:
-    return structural.repaired(rules.with_notes(df))
+    return structure_report.audited(df).withColumn("structural_repaired", F.col("structure.repaired"))
+
+
+def targeted(df: DataFrame) -> DataFrame:
+    """Rules and known misreadings; passages need a canonical table and are matched by `rules.verify`."""
+    out = rules.repair_targets(rules.repair(df, counter="__fixed"))
+    hits = F.aggregate("targets", F.lit(0), lambda n, t: n + t["count"])
+    spaced = F.when(F.col("text").rlike("[﴿﴾]"), rewrite(F.col("text"), rules.SPACED)).otherwise(F.col("text"))
+    return out.withColumns({"verses_corrected": hits, "text": spaced}).drop("__fixed", "targets")
+
+
+_CARRIED = ("doc_id", "file_name", "contextual_fixed", "truncated_items", "structural_repaired", "verses_corrected", "structure")
 
 
 def audit(docs: DataFrame) -> DataFrame:
-    """The result of each document: doc_id, title, language, direction, flags, pages, markdown, plain_text and the stages' figures.
+    """The result of each row: doc_id, title, language, direction, flags, pages, markdown, plain_text, the structural report, the
+    stages' counters and their sum auto_fixed.
 
-    `docs`: doc_id, text, and optionally origin ('direct' or another) and file_name. Null texts count as empty.
+    `docs`: doc_id, text, and optionally origin ('direct' or another) and file_name. Null texts count as empty. Rows are told apart
+    by themselves: repeated or null ids give as many results as there are rows.
     """
     base = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("origin") if "origin" in docs.columns else F.lit("direct")).alias("origin"),
         (F.col("file_name") if "file_name" in docs.columns else F.lit(None).cast("string")).alias("file_name"),
     )
-    staged = structured(completed(contextual(base)))
+
+    # the condition is one on the text as it came, so each side reads and stages its own documents only
+    staged = targeted(structured(completed(contextual(base.withColumn("marked", F.col("text").contains(X.MARKER))))))
     staged = staged.withColumn("text", X.strip_origin(F.col("text")))
-    pages = layout.audit_pages(segment.pages(staged))
-    merged = pages.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), f"\n\n{X.MARKER}\n\n").alias("markdown"),
-        F.count("*").cast("int").alias("pages"), F.sum("tables_fixed").cast("int").alias("tables_fixed"), F.sum("rtl_lines").cast("int").alias("rtl_lines"),
+    figures = ("text", "tables_fixed", "rtl_lines")
+    one = layout.audit_pages(staged.where("not marked").withColumnRenamed("text", "page"), _CARRIED).select(*_CARRIED, F.lit(1).alias("pages"), *figures, F.size("list_issues").alias("lists_fixed"))
+    rows = staged.where("marked").withColumn("__row", F.monotonically_increasing_id())
+    # no text is without a page; an inner explode would have that pushed down through every step's expressions
+    paged = rows.select("__row", *_CARRIED, F.posexplode_outer(segment.page_texts(F.col("text"))).alias("page_no", "page"))
+    many = layout.audit_pages(paged, ("__row", "page_no", *_CARRIED)).groupBy("__row").agg(
+        *(F.min_by(c, "page_no").alias(c) for c in _CARRIED), F.count("*").cast("int").alias("pages"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), f"\n\n{X.MARKER}\n\n").alias("text"),
+        F.sum("tables_fixed").cast("int").alias("tables_fixed"), F.sum("rtl_lines").cast("int").alias("rtl_lines"), F.sum(F.size("list_issues")).cast("int").alias("lists_fixed"),
     )
-    out = merged.join(staged.select("doc_id", "file_name", "contextual_fixed"), "doc_id")
-    m = F.col("markdown")
+    out = one.unionByName(many.drop("__row"))
+    m = F.col("text")
     return out.select(
         "doc_id", X.title(m, F.col("file_name")).alias("title"), X.language_label(m, F.lit("auto")).alias("language"), F.when(X.is_rtl(m), "rtl").otherwise("ltr").alias("direction"),
-        X.has_math(m).alias("has_math"), X.has_table(m).alias("has_tables"), "pages", "tables_fixed", "rtl_lines", "contextual_fixed", "markdown", X.plain_text(m).alias("plain_text"),
+        X.has_math(m).alias("has_math"), X.has_table(m).alias("has_tables"), "pages", "rtl_lines", *COUNTERS, sum((F.col(c) for c in COUNTERS), F.lit(0)).alias("auto_fixed"), "structure",
+        m.alias("markdown"), X.plain_text(m).alias("plain_text"),
     )

@@ -71,16 +71,18 @@ def merged_findings(own: DataFrame, assistant: DataFrame) -> DataFrame:
 CONTENTS = f"(?iu)#+{S}*(?:الفهرس|فهرس{S}+المحتويات|جدول{S}+المحتويات)[^\\n]*\\n+(\\|?[^\\n]+\\|\\n\\|?[-:{BLANKS}|]+\\|\\n(?:\\|[^\\n]+\\|\\n*+)++)"
 
 
-def calibrated_contents(df: DataFrame) -> DataFrame:
-    """`df` (doc_id, text) with the page numbers of its table of contents put right, and `moved`, how many were wrong.
+def calibrated_contents(df: DataFrame, column: str = "text", told: str | None = None) -> DataFrame:
+    """`df` with the page numbers of the table of contents in `column` put right, and `moved`, how many were wrong; `told` names a
+    column for (old, new, topic) of each.
 
     A topic's page is the number of page breaks or rules between the table and its first heading or bold mention, plus 2. Topics are
     matched literally, whatever signs they hold.
     """
-    found = df.withColumn("__table", F.regexp_extract("text", CONTENTS, 1)).withColumn("__from", F.regexp_instr("text", F.lit(CONTENTS)))
+    t = F.col(column)
+    found = df.withColumn("__table", F.when(t.rlike(CONTENTS), F.regexp_extract(t, CONTENTS, 1)).otherwise("")).withColumn("__from", F.when(t.rlike(CONTENTS), F.regexp_instr(t, F.lit(CONTENTS))))
     has = F.col("__table") != ""
-    whole = F.regexp_extract("text", CONTENTS, 0)
-    found = found.withColumn("__rest", F.when(has, F.substring(F.col("text"), F.col("__from") + F.length(whole), F.length("text"))))
+    whole = F.regexp_extract(t, CONTENTS, 0)
+    found = found.withColumn("__rest", F.when(has, F.substring(t, F.col("__from") + F.length(whole), F.length(t))))
     rows = F.slice(F.split(trim(F.col("__table")), "\n"), 3, 1 << 20)
 
     def moved(row: Column) -> Column:
@@ -90,22 +92,24 @@ def calibrated_contents(df: DataFrame) -> DataFrame:
         at = F.regexp_instr(F.col("__rest"), F.concat(F.lit(f"(?iu)(?:#+{S}*|\\*\\*{S}*)\\Q"), term, F.lit("\\E")))
         page = F.regexp_count(F.substring(F.col("__rest"), F.lit(1), at - 1), F.lit(f"(?:\\A|\\n){MARKER}|(?:\\A|\\n)---(?:\\n|\\z)")) + 2
         new = F.concat(F.lit("| "), topic, F.lit(" | "), page.cast("string"), F.lit(" |"))
-        return F.when((F.size(cells) >= 2) & (at > 0) & (listed > 0) & (listed != page), F.struct(row.alias("old"), new.alias("new")))
+        return F.when((F.size(cells) >= 2) & (at > 0) & (listed > 0) & (listed != page), F.struct(row.alias("old"), new.alias("new"), topic.alias("topic")))
 
     edits = F.filter(F.transform(rows, moved), lambda e: e.isNotNull())
-    found = found.withColumn("__edits", F.when(has, edits).otherwise(F.expr("cast(array() as array<struct<old:string,new:string>>)")))
+    found = found.withColumn("__edits", F.when(has, edits).otherwise(F.expr("cast(array() as array<struct<old:string,new:string,topic:string>>)")))
 
     def put(text: Column, e: Column) -> Column:
         at = F.position(e["old"], text)
         return F.concat(F.substring(text, F.lit(1), at - 1), e["new"], F.substring(text, at + F.length(e["old"]), F.length(text)))
 
-    return found.withColumns({"text": F.aggregate("__edits", F.col("text"), put), "moved": F.size("__edits")}).drop("__table", "__from", "__rest", "__edits")
+    return found.withColumns({column: F.aggregate("__edits", t, put), "moved": F.size("__edits"), told or "__edits": F.col("__edits")}).drop("__table", "__from", "__rest", "__edits")
+
+
+EMPTY_CELL = f"\\|{S}*([^|\\n]*المكي[^|\\n]*)\\|{S}*\\|{S}*{EOL}"
 
 
 def completed_comparison(text: Column) -> Column:
     """The empty right cell of the first row that has the left one of a known comparison."""
-    row = f"\\|{S}*([^|\\n]*المكي[^|\\n]*)\\|{S}*\\|{S}*{EOL}"
-    return F.regexp_replace(text, f"(?s)\\A(.*?)(?:{row})", "$1| $2 | " + MADANI + " |")
+    return F.regexp_replace(text, f"(?s)\\A(.*?)(?:{EMPTY_CELL})", "$1| $2 | " + MADANI + " |")
 
 
 # Month names, digits and the words of a date label.

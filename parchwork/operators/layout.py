@@ -53,8 +53,8 @@ def stabilized(rows: Column, width: Column) -> Column:
     )
 
 
-def audit_pages(paged: DataFrame) -> DataFrame:
-    """doc_id, page_no, and of each page: text, tables, lists, rtl_lines, table_issues, list_issues, n_lines, status."""
+def audit_pages(paged: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
+    """The columns `keys`, and of each `page`: text, tables, lists, rtl_lines, table_issues, list_issues, n_lines, status."""
     # lines are marked by kind and joined, and neighbouring table lines become one piece: runs without a fold
     table, ends, item, between = MARKS
 
@@ -62,12 +62,12 @@ def audit_pages(paged: DataFrame) -> DataFrame:
         return F.when(is_table_line(x), F.concat(F.lit(table), x, F.lit(ends))).when(is_list_line(x), F.concat(F.lit(item), x)).otherwise(x)
 
     joined = F.replace(F.array_join(F.transform(F.split("page", "\n", -1), marked), between), F.lit(ends + between + table), F.lit("\n"))
-    pieces = paged.select("doc_id", "page_no", F.split(joined, between, -1).alias("pieces"))
+    pieces = paged.select(*keys, F.split(joined, between, -1).alias("pieces"))
     kind = lambda g: F.when(g.startswith(table), "table").when(g.startswith(item), "list").otherwise("text")
-    grouped = pieces.select("doc_id", "page_no", F.transform("pieces", lambda g: F.struct(kind(g).alias("kind"), F.split(F.translate(g, table + ends + item, ""), "\n", -1).alias("lines"))).alias("groups"))
+    grouped = pieces.select(*keys, F.transform("pieces", lambda g: F.struct(kind(g).alias("kind"), F.split(F.translate(g, table + ends + item, ""), "\n", -1).alias("lines"))).alias("groups"))
     # cells, then widths, are values of their own before a row asks for them
-    grouped = grouped.select("doc_id", "page_no", F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["lines"][0].alias("line"), F.when(g["kind"] == "table", F.transform(g["lines"], cells)).alias("cells"))).alias("groups"))
-    grouped = grouped.select("doc_id", "page_no", F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["line"].alias("line"), g["cells"].alias("cells"), width_of(g["cells"]).alias("width"), F.when(g["kind"] == "list", trim(g["line"])).otherwise(g["line"]).alias("plain"))).alias("groups"))
+    grouped = grouped.select(*keys, F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["lines"][0].alias("line"), F.when(g["kind"] == "table", F.transform(g["lines"], cells)).alias("cells"))).alias("groups"))
+    grouped = grouped.select(*keys, F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["line"].alias("line"), g["cells"].alias("cells"), width_of(g["cells"]).alias("width"), F.when(g["kind"] == "list", trim(g["line"])).otherwise(g["line"]).alias("plain"))).alias("groups"))
     none = F.expr("cast(null as struct<lines: array<string>, columns: int, balanced: boolean, headed: boolean>)")
     made = F.transform(
         "groups",
@@ -77,7 +77,7 @@ def audit_pages(paged: DataFrame) -> DataFrame:
         ),
     )
     blank = F.array(F.lit(""))
-    built = grouped.select("doc_id", "page_no", made.alias("m"))
+    built = grouped.select(*keys, made.alias("m"))
     tables, lists = F.filter("m", lambda g: g["kind"] == "table"), F.filter("m", lambda g: g["kind"] == "list")
     issues = F.flatten(F.transform(tables, lambda g: F.filter(F.array(
         F.when(g["table"]["balanced"], F.concat(F.lit(BALANCED.split("{}")[0]), g["table"]["columns"].cast("string"), F.lit(BALANCED.split("{}")[1]))), F.when(g["table"]["headed"], F.lit(HEADED)),
@@ -87,14 +87,14 @@ def audit_pages(paged: DataFrame) -> DataFrame:
     out = F.flatten(F.transform("m", lambda g: F.when(g["kind"] == "table", F.concat(blank, g["table"]["lines"], blank)).otherwise(F.array(g["fixed"]))))
     kept = F.regexp_replace(F.array_join(out, "\n"), f"(?:\\n{S}*+)++\\z|\\A{S}*+\\z", "")
     report = built.select(
-        "doc_id", "page_no", kept.alias("body"), F.size(tables).alias("tables"), F.size(lists).alias("lists"),
+        *keys, kept.alias("body"), F.size(tables).alias("tables"), F.size(lists).alias("lists"),
         F.size(F.filter("m", lambda g: (g["kind"] == "text") & is_rtl(g["fixed"]))).alias("rtl_lines"), issues.alias("table_issues"), listed.alias("list_issues"),
         F.size(F.filter(tables, lambda g: g["table"]["balanced"] | g["table"]["headed"])).alias("tables_fixed"),
     )
     n_lines = F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n", -1)))
     crowded = (F.col("n_lines") > CROWDED_LINES) & (F.col("tables") >= CROWDED_TABLES)
     status = F.when((F.size("table_issues") > 0) | (F.size("list_issues") > 0), "repaired").when(crowded, "warning").otherwise("perfect")
-    return report.withColumn("n_lines", n_lines).select("doc_id", "page_no", trim(F.col("body")).alias("text"), "tables", "lists", "rtl_lines", "table_issues", "list_issues", "tables_fixed", "n_lines", status.alias("status"))
+    return report.withColumn("n_lines", n_lines).select(*keys, trim(F.col("body")).alias("text"), "tables", "lists", "rtl_lines", "table_issues", "list_issues", "tables_fixed", "n_lines", status.alias("status"))
 
 
 def roll_up(audited: DataFrame) -> DataFrame:

@@ -83,6 +83,36 @@ RULES: tuple[Rule, ...] = (
     Rule("dot_flood", "critical", "عام", None, None, "(?:\\.{20,}+[ \\t]*+\\n*+|\\.{10,}+[ \\t]*+\\n*+(?=\\.{10}))(?:\\.{10,}+[ \\t]*+\\n*+)*+", "..... [تم تطهير سيل النقاط وإعادة النصوص المحذوفة] ....."),
 )
 
+# Where each rule of table A applies, and what it says.
+RULE_NOTES: tuple[tuple[str, str], ...] = (
+    ("جدول وجوه الإعراب / الآيات الكريمة", "تحريف خطير في الآية القرآنية بسورة النبأ؛ كُتبت \"لِّيَنِينَ\" والصواب: ﴿لَّابِثِينَ فِيهَا أَحْقَابًا﴾، وهي حال من الضمير في ﴿لِلطَّاغِينَ﴾."),
+    ("أسئلة سورة النبأ / بنك التدريبات", "خطأ في الكلمة القرآنية بسورة النبأ؛ كُتبت \"مقاماً\" والصواب: ﴿إِنَّ لِلْمُتَّقِينَ مَفَازًا﴾، مفعل من الفوز يصلح أن يكون مصدراً ميمياً أو اسم مكان."),
+    ("أسئلة وتدريبات سورة النبأ", "تحريف في قوله تعالى: ﴿وَبَنَيْنَا فَوْقَكُمْ سَبْعًا شِدَادًا﴾؛ كُتبت بكسر السين \"سِباعاً\" والصواب بالفتح \"سَبْعًا\" جمع سبع سماوات."),
+    ("جدول القراءات والأسئلة / سورة عبس", "تحريف شنيع لقوله تعالى في سورة عبس: ﴿أَنَّا صَبَبْنَا الْمَاءَ صَبًّا﴾؛ دُمجت الكلمات خطأً بسبب الـ OCR لتصبح \"أناصبنا\"."),
+    ("أسئلة الخيارات والاختبارات / سورة عبس", "تحريف شنيع للفظ القرآني في سورة عبس في قوله تعالى: ﴿أَوْ يَذَّكَّرُ فَتَنفَعَهُ الذِّكْرَىٰ﴾؛ كُتبت \"فستعفيه الذكرى\"."),
+    ("أسئلة صح وخطأ / سورة النازعات", "تحريف للفظ القرآني في فاتحة سورة النازعات: ﴿وَالنَّازِعَاتِ غَرْقًا﴾؛ كُتبت \"غرفة\" والصواب غرقاً أي مبالغة وإغراقاً في النزع."),
+    ("أسئلة التطبيقات وصح وخطأ / سورة عبس", "تناقض علمي؛ وُضعت علامة صح أمام أن القضب هو البر والشعير، بينما الشرح يؤكد أن القضب هو ما يؤكل رطباً، أما البر والشعير فهما الحب."),
+    ("أسئلة التطبيقات والأحكام / سورة عبس", "تناقض علمي؛ وُضعت علامة خطأ أمام أن الاستفهام تقريري بالرغم من أن الشرح يقرر أنه استفهام تقريري توبيخي لبيان حقارة أصل خلق الإنسان."),
+    ("أسئلة الاختيارات / سورة المطففين", "سقوط الإجابة الصحيحة من بين الأقواس؛ الصحابي الجليل الذي بكى نحيباً هو عبد الله بن عمر رضي الله عنهما."),
+    ("أسئلة سورة النازعات / التدبير", "سؤال مبتور انقطع قبل توضيح الإجابة الفقهية والتفسيرية المقررة بالأزهر."),
+    ("مبادئ علوم القرآن / التعريف", "جملة تعريفية مبتورة بسيل نقاط حذفت التعريف العلمي المعتمد."),
+    ("جدول وجوه الإعراب / الآيات الكريمة", "خطأ طباعي فادح نتج عن قراءة خاطئة للـ OCR لحرف الفاء كـ قاف. الصواب: ﴿مَّا تَرَىٰ فِي خَلْقِ الرَّحْمَٰنِ مِن تَفَاوُتٍ﴾. \"مِن\" حرف جر زائد لتأكيد النفي، و\"تَفَاوُتٍ\" مجرور لفظاً منصوب محلاً مفعول به."),
+    ("جدول وجوه الإعراب (جواب الأمر)", "تحريف خطير في الإعراب؛ كُتبت \"بِقَلْبٍ\" والصواب هو الفعل المضارع ﴿يَنقَلِبْ﴾ المجزوم في جواب الأمر ﴿ثُمَّ ارْجِعِ الْبَصَرَ كَرَّتَيْنِ يَنقَلِبْ إِلَيْكَ الْبَصَرُ خَاسِئًا﴾ وعلامة جزمه السكون."),
+    ("جدول وجوه الإعراب / معاني الكلمات", "خلط بين آيات القرآن؛ كُتبت \"خاشعاً\" والصواب في سورة الملك: ﴿يَنقَلِبْ إِلَيْكَ الْبَصَرُ خَاسِئًا وَهُوَ حَسِيرٌ﴾. خاسئاً: أي ذليلاً صاغراً كليلاً عن رؤية عيب أو خلل، وهي حال منصوبة."),
+    ("جدول الإعراب وأسئلة الاختيارات (سؤال 2)", "تصحيف شنيع للمعنى؛ كُتبت \"يخيف\" (من الخوف) والصواب: ﴿أَأَمِنتُم مَّن فِي السَّمَاءِ أَن يَخْسِفَ بِكُمُ الْأَرْضَ﴾. الفعل مشتق من \"الخسف\" وهو الغؤور في الأرض."),
+    ("جدول الأسرار البلاغية", "إيراد جملة ملفقة تماماً مكان الآية! التفسير البلاغي يذكر: \"استعارة مكنية، شبه شدة استعارها وحسيسها بصوت الحمار\"، والآية الشريفة هي: ﴿إِذَا أُلْقُوا فِيهَا سَمِعُوا لَهَا شَهِيقًا وَهِيَ تَفُورُ﴾."),
+    ("قسم الأسئلة المجمعة وتدريبات السورة", "تحريف لأداة النفي والجزم؛ كُتبت \"أليأتيكم\" والصواب: ﴿كُلَّمَا أُلْقِيَ فِيهَا فَوْجٌ سَأَلَهُمْ خَزَنَتُهَا أَلَمْ يَأْتِكُمْ نَذِيرٌ﴾."),
+    ("السؤال الرابع / معاني الكلمات", "خطأ في نقل الكلمة القرآنية؛ كُتبت \"صنفت\" والمطلوب في المنهج الأزهري معنى قوله تعالى: ﴿أَوَلَمْ يَرَوْا إِلَى الطَّيْرِ فَوْقَهُمْ صَافَّاتٍ وَيَقْبِضْنَ﴾."),
+    ("صفحة 16 / الهامش السفلي للحديث الثاني", "خطأ مطبعي في تخريج الحديث؛ كُتبت \"راوية\" والصواب \"رواية ابن ماجه\"."),
+    ("صفحة 10 / السؤال الثامن", "سقوط كلمة أساسية من نص الحديث النبوي الشريف في السؤال الثامن: كُتبت \"النساء الرجال\" والصواب: \"النساء شقائق الرجال\"."),
+    ("صفحة 29 / أسئلة الحديث الثالث", "خيارات أسئلة عائمة ومبتورة ناتجة عن سيل النقاط الذي طمس السؤال الأصلي."),
+    ("صفحة 42 / جدول البيوع المنهي عنها", "تكرار غير مقصود للعبارة في الجدول الفقهي أفسد تنسيق خانات المقارنة."),
+    ("صفحة 44 / ختام باب البيع الفاسد", "انقطاع النص فجأة وبتر الملف بالكامل في منتصف شرح \"بيع الحاضر للبادي\" دون إكمال المسألة أو ذكر أسئلتها."),
+    ("صفحة 35 / السطر الأخير من جدول نية الصيام", "خطأ إملائي بوضع تاء مربوطة بدلاً من الهاء في \"نيته\"."),
+    ("صفحة 61 / درس محرمات الإحرام", "بتر مفاجئ وكارثي للملف في منتصف الكلمة والجملة، ترتب عليه ضياع أكثر من 135 صفحة من باقي منهج الفقه الشافعي."),
+    ("صفحات التنقيط المتكررة (مثل ص 29-36 بالحديث، وص 21-24 بالفقه)", "حلقة تكرار لانهائية لرمز النقطة (...) لآلاف المرات بسبب توقف الـ OCR عند أسئلة أكمل بالنقاط، مما التهم صفحات كاملة ومحا الأحاديث والدروس."),
+)
+
 # Table B.
 TARGETS: tuple[Target, ...] = (
     Target("النبأ", 23, "لّ?ِيَنِينَ|لينين", "لَّابِثِينَ"),
@@ -125,3 +155,23 @@ NOTES: tuple[tuple[str, str, str, str], ...] = (
     ("عبس", "قضباً", "٢", "(٢) القضب: هو الفصة وما يقطع ويؤكل رطباً من النبات كالبرسيم والقثاء والخيار للدواب، أما البر والشعير فهما الحب."),
     ("عبس", "الصاخة", "٣", "(٣) الصاخة: الصيحة العظيمة التي تصخ الأسماع أي تصمها من شدة هولها يوم القيامة، وهي النفخة الثانية للبعث."),
 )
+
+# What the completions and the notes are.
+COMPLETION_REASONS: tuple[str, ...] = (
+    "حرف جر معلق (بـ) متبوع بانقطاع مفاجئ أدى لبتر باب محرمات الإحرام وباقي المنهج",
+    "انقطاع الجملة الوصفية والتعليلية في ختام باب البيع الفاسد وسقوط باقي الأبواب",
+    "سند حديث معلق بدون ذكر المتن (مبتدأ بدون خبر مقول القول)",
+)
+NOTE_TITLES: tuple[str, ...] = (
+    "هامش توضيح مفهوم النسخ الشرعي في الموضوع الثالث",
+    "هامش توضيح حكمة التدرج التشريعي لنزول القرآن",
+    "هامش تفسير أحقاباً والسنون في سورة النبأ",
+    "هامش تفسير الحميم والغساق في سورة النبأ",
+    "هامش تفسير كأساً دهاقاً في سورة النبأ",
+    "هامش بيان معنى غرقاً في سورة النازعات",
+    "هامش بيان معنى الحافرة في سورة النازعات",
+    "هامش بيان اسم الوادي المقدس طوى في سورة النازعات",
+    "هامش بيان معنى بأيدي سفرة في سورة عبس",
+    "هامش توضيح معنى القضب في سورة عبس",
+    "هامش بيان الصاخة في سورة عبس",
+)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from parchwork.functions.dialect import S, count, first_only, rewrite, round_half_up, trim
 from parchwork.functions.text import BRACKETS, DOTS, NESTED_BRACKETS, Step, has_arabic, has_dot_flood, has_truncation, search_key, subject
-from parchwork.operators.rule_tables import COMPLETIONS, NOTES, OTHER_SURAH, RULES, SURAH_NUMBERS, TARGETS, spelled
-from parchwork.operators.structural import NOTES_TITLE, displaced_notes, ends_hanging, is_curriculum_cut
+from parchwork.operators.rule_tables import COMPLETION_REASONS, COMPLETIONS, NOTES, OTHER_SURAH, RULE_NOTES, RULES, SURAH_NUMBERS, TARGETS, spelled
+from parchwork.operators.structural import NOTES_TITLE, PARTICLES, displaced_notes, ends_hanging, is_curriculum_cut
 
 #: Points off the quality score.
 CRITICAL, WARNING, FLOOD, CUT = 18, 5, 30, 40
@@ -22,6 +22,9 @@ MINOR = ("الملف سليم بشكل عام، مع وجود (", ") ملاحظ
 WRONG = ("تم اكتشاف (", ") أخطاء حرجة تشمل تحريفات في الآيات والأحاديث ونواقص في الجداول. يجب إصلاح الملف قبل الاعتماد.")
 DAMAGED = ("الملف تالف جسيماً: يحتوي على (", ") أخطاء حرجة، مع وجود سيل نقاط متكرر أدى لمحو أجزاء واسعة وبتر المنهج قبل اكتماله. شكوى المراجع صحيحة 100%.")
 EMPTY = "المستند فارغ."
+ALERT = "تنبيه نحوي وأكاديمي حرج: يبدو أن الملف مبتور أو ناقص بشكل كبير في منتصف الجملة والمنهج! تم رصد انقطاع تركيبي مفتوح وسقوط صفحات كاملة."
+CUT_VERDICT, WHOLE_VERDICT = "تم رصد بتر نحوي مفتوح وانقطاع في الجمل الأكاديمية", "التراكيب النحوية متصلة وخالية من البتر المفاجئ"
+HANGS_ON = ("انقطاع النص فجأة على أداة أو حرف معلق («", "») بدون استكمال المعنى النحوي")
 HANGING = "... [يتطلب استكمال النص بناءً على المنهج الأزهري المقرر]"
 
 
@@ -34,21 +37,21 @@ def _literal(put: str) -> str:
 
 
 def errors(text: Column) -> Column:
-    """An array of (ord, category, severity, subject, surah, ayah, found, correct, context): the rules of table A that match."""
-    found = []
-    for i, r in enumerate(RULES):
+    """An array of (ord, category, severity, subject, location, surah, ayah, found, correct, explanation, context): the rules of table A that match."""
+    found, arabic = [], has_arabic(text)
+    for i, (r, (location, explanation)) in enumerate(zip(RULES, RULE_NOTES, strict=True)):
         p = spelled(r.pattern)
         at = F.regexp_instr(text, F.lit(p)) - 1
         start = F.greatest(F.lit(0), at - 50)
         context = trim(F.regexp_replace(F.substring(text, start + 1, at + 80 - start), "\\n++", " "))
         row = F.struct(
-            F.lit(i).alias("ord"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.subject).alias("subject"), F.lit(r.surah).cast("string").alias("surah"), F.lit(r.ayah).cast("int").alias("ayah"),
-            shortened(F.regexp_substr(text, F.lit(p)), 40, 35).alias("found"), F.lit(r.put if len(r.put) <= 60 else r.put[:55] + "...").alias("correct"), context.alias("context"),
+            F.lit(i).alias("ord"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.subject).alias("subject"), F.lit(location).alias("location"), F.lit(r.surah).cast("string").alias("surah"), F.lit(r.ayah).cast("int").alias("ayah"),
+            shortened(F.regexp_substr(text, F.lit(p)), 40, 35).alias("found"), F.lit(r.put if len(r.put) <= 60 else r.put[:55] + "...").alias("correct"), F.lit(explanation).alias("explanation"), context.alias("context"),
         )
-        # but for dots every rule needs Arabic letters: one cheap test spares the others
-        needed = text.rlike(p) if r.category == "dot_flood" else has_arabic(text) & text.rlike(p)
-        found.append(F.when(needed, row))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+        found.append(F.when(text.rlike(p), row))
+    # but for dots every rule needs Arabic letters: one test spares the others
+    present = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.when(arabic, present).otherwise(F.filter(F.array(*(x for x, r in zip(found, RULES, strict=True) if r.category == "dot_flood")), lambda x: x.isNotNull()))
 
 
 def audit(df: DataFrame) -> DataFrame:
@@ -75,33 +78,39 @@ def audit(df: DataFrame) -> DataFrame:
     )
 
 
-def repair(df: DataFrame, column: str = "text", counter: str = "fixed") -> DataFrame:
-    """`df` with `column` after all rules of table A in their order, then dots and brackets; `counter` counts replacements.
+def repair(df: DataFrame, column: str = "text", counter: str = "fixed", items: str | None = None) -> DataFrame:
+    """`df` with `column` after all rules of table A in their order, then dots and brackets; `counter` counts replacements and
+    `items`, if named, holds the errors of the text as it came.
 
-    Verses come in ornate brackets. Dots are compressed after the rules, or the flood rule would find none.
+    Verses come in ornate brackets. Dots are compressed after the rules, or the flood rule would find none. Texts without Arabic
+    letters meet the rule on dots alone, and a rule that matches nothing rewrites nothing.
     """
-    out = df.withColumn(counter, F.lit(0))
+    out = df if items is None else df.withColumn(items, errors(F.col(column)))
+    out = out.withColumns({counter: F.lit(0), "__arabic": has_arabic(F.col(column))})
     for r in RULES:
         p, put = spelled(r.pattern), f"﴿{r.put}﴾" if r.category == "quran_verse" else r.put
-        out = out.withColumns({counter: F.col(counter) + count(F.col(column), p), column: F.regexp_replace(F.col(column), p, _literal(put))})
-    return out.withColumn(column, rewrite(F.col(column), [*DOTS, *NESTED_BRACKETS]))
+        found = count(F.col(column), p)
+        out = out.withColumn("__n", found if r.category == "dot_flood" else F.when(F.col("__arabic"), found).otherwise(0))
+        out = out.withColumns({counter: F.col(counter) + F.col("__n"), column: F.when(F.col("__n") > 0, F.regexp_replace(F.col(column), p, _literal(put))).otherwise(F.col(column))})
+    return out.withColumn(column, F.when(F.col("__arabic") | F.col(column).rlike("\\.{5}|\\.[ \\t]+\\.|[﴿﴾]"), rewrite(F.col(column), [*DOTS, *NESTED_BRACKETS])).otherwise(F.col(column))).drop("__arabic", "__n")
 
 
 def repair_targets(df: DataFrame, column: str = "text") -> DataFrame:
     """`df` with known misreadings of table B put right, and `targets`: (ord, surah_no, ayah, found, count) of those that occurred.
 
     """
-    out, reports = df, []
+    out, reports = df.withColumn("__arabic", has_arabic(F.col(column))), []
     for i, t in enumerate(TARGETS):
         p = spelled(t.pattern)
+        here = F.col("__arabic") & F.col(column).rlike(p)
         name = f"__t{i}"
         row = F.struct(F.lit(i).alias("ord"), F.lit(SURAH_NUMBERS.get(t.surah, OTHER_SURAH)).alias("surah_no"), F.lit(t.ayah).alias("ayah"), F.regexp_substr(F.col(column), F.lit(p)).alias("found"), count(F.col(column), p).alias("count"))
         # of a phrase about a bracketed word, what stands after the bracket is kept
         head, _, rest = t.pattern.partition("﴾?_")
         taken = spelled(f"{head}﴾(?=_{rest})|{head}_{rest}") if rest else p
-        out = out.withColumns({name: F.when(F.col(column).rlike(p), row), column: F.regexp_replace(F.col(column), taken, _literal(f"﴿{t.put}﴾"))})
+        out = out.withColumns({name: F.when(here, row), column: F.when(F.col("__arabic"), F.regexp_replace(F.col(column), taken, _literal(f"﴿{t.put}﴾"))).otherwise(F.col(column))})
         reports.append(name)
-    return out.withColumn("targets", F.filter(F.array(*reports), lambda x: x.isNotNull())).drop(*reports)
+    return out.withColumn("targets", F.filter(F.array(*reports), lambda x: x.isNotNull())).drop("__arabic", *reports)
 
 
 def complete(text: Column) -> Column:
@@ -113,23 +122,37 @@ def complete(text: Column) -> Column:
 
 
 def grammar(df: DataFrame) -> DataFrame:
-    """doc_id, sentences, critical, abrupt, and the cut that was found: cut_text, completion, confidence (nulls if none)."""
+    """doc_id, sentences, critical, abrupt, the cut that was found: cut_text, completion, reason, confidence (nulls if none), alert (null
+    unless critical) and verdict."""
     t = trim(F.col("text"))
-    known = F.lit(None).cast("struct<completion:string,critical:boolean>")
-    for c in reversed(COMPLETIONS):
-        known = F.when(t.rlike(c.pattern), F.struct(F.lit(c.put).alias("completion"), F.lit(c.critical).alias("critical"))).otherwise(known)
+    known = F.lit(None).cast("struct<completion:string,critical:boolean,reason:string>")
+    for c, reason in reversed(list(zip(COMPLETIONS, COMPLETION_REASONS, strict=True))):
+        known = F.when(t.rlike(c.pattern), F.struct(F.lit(c.put).alias("completion"), F.lit(c.critical).alias("critical"), F.lit(reason).alias("reason"))).otherwise(known)
     sentences = F.size(F.filter(F.split(t, "[.؟!;\\n]+", -1), lambda x: F.length(trim(x)) > 5))
     rows = df.select("doc_id", t.alias("t"), known.alias("known"), ends_hanging(F.col("text")).alias("hanging"), (is_curriculum_cut(F.col("text"))).alias("cut"), sentences.alias("sentences"))
     hangs = F.col("hanging") & F.col("known").isNull()
     empty = F.col("t") == ""
     tail = lambda n: F.substring(F.col("t"), F.greatest(F.lit(1), F.length("t") - n + 1), F.lit(n))
+    critical = ~empty & (F.coalesce(F.col("known.critical"), F.lit(False)) | hangs | F.col("cut"))
+    particle = trim(F.regexp_substr("t", F.lit(PARTICLES)))
     return rows.select(
-        "doc_id", F.when(empty, 0).otherwise(F.col("sentences")).alias("sentences"), (~empty & (F.coalesce(F.col("known.critical"), F.lit(False)) | hangs | F.col("cut"))).alias("critical"),
+        "doc_id", F.when(empty, 0).otherwise(F.col("sentences")).alias("sentences"), critical.alias("critical"),
         (~empty & (F.col("known").isNotNull() | hangs | F.col("cut"))).alias("abrupt"), F.when(F.col("known").isNotNull(), tail(80)).when(hangs & ~empty, tail(60)).alias("cut_text"),
-        F.when(F.col("known").isNotNull(), F.col("known.completion")).when(hangs & ~empty, HANGING).alias("completion"), F.when(F.col("known").isNotNull(), 0.98).when(hangs & ~empty, 0.9).alias("confidence"),
+        F.when(F.col("known").isNotNull(), F.col("known.completion")).when(hangs & ~empty, HANGING).alias("completion"),
+        F.when(F.col("known").isNotNull(), F.col("known.reason")).when(hangs & ~empty, F.concat(F.lit(HANGS_ON[0]), particle, F.lit(HANGS_ON[1]))).alias("reason"),
+        F.when(critical, ALERT).alias("alert"), F.when(empty, EMPTY).when(critical, CUT_VERDICT).otherwise(WHOLE_VERDICT).alias("verdict"), F.when(F.col("known").isNotNull(), 0.98).when(hangs & ~empty, 0.9).alias("confidence"),
     )
 
 
+def truncated(text: Column) -> Column:
+    """How many cuts `grammar` reports: one or none."""
+    t = trim(text)
+    known = F.lit(False)
+    for c in COMPLETIONS:
+        known = known | t.rlike(c.pattern)
+    return F.when(has_arabic(text) & (known | ends_hanging(text)), 1).otherwise(0)
+
+
 def missing_notes(text: Column) -> Column:
     """Notes that the text's topics need and that it lacks. A text that treats abrogation, or gradual legislation, anywhere counts as having every note of its number."""
     found = []
@@ -140,8 +163,9 @@ def missing_notes(text: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def with_notes(df: DataFrame, column: str = "text") -> DataFrame:
+def with_notes(df: DataFrame, column: str = "text", keep: bool = False) -> DataFrame:
     """`df` with displaced and missing notes in a block at the end of `column`, numbered from 1; nothing changes if there are none.
+    With `keep` the columns __moved and __missing hold both kinds.
 
     Each step is a projection of its own, so that no text is computed twice.
     """
@@ -150,12 +174,13 @@ def with_notes(df: DataFrame, column: str = "text") -> DataFrame:
     cut = F.aggregate("__moved", t, lambda x, n: F.concat(F.substring(x, F.lit(1), F.position(n, x) - 1), F.substring(x, F.position(n, x) + F.length(n), F.length(x))))
     out = out.withColumn("__without", F.when(F.size("__moved") > 0, cut).otherwise(t))
     without = F.col("__without")
-    out = out.withColumn("__notes", F.when(has_arabic(without), F.concat("__moved", missing_notes(without))).otherwise(F.col("__moved")))
+    out = out.withColumn("__missing", F.when(has_arabic(without), missing_notes(without)).otherwise(F.expr("cast(array() as array<string>)")))
+    out = out.withColumn("__notes", F.concat("__moved", "__missing"))
     out = out.withColumn("__bare", F.transform("__notes", lambda n: F.regexp_replace(n, f"\\A(?:\\([١-٩1-9]\\)|\\[\\^[0-9]+\\]){S}*+", "")))
     block = F.array_join(F.transform("__bare", lambda n, i: F.concat(F.lit("[^"), (i + 1).cast("string"), F.lit("]: ("), (i + 1).cast("string"), F.lit(") "), n, F.lit("\n\n"))), "")
     more = F.array_join(F.filter(F.transform("__bare", lambda n, i: F.when(~without.contains(n), F.concat(F.lit("[^fn-"), (i + 1).cast("string"), F.lit("]: "), n, F.lit("\n")))), lambda x: x.isNotNull()), "")
     noted = F.when(F.size("__notes") == 0, t).when(without.contains("**الهوامش والحواشي"), F.concat(without, more)).otherwise(F.concat(trim(without), F.lit(NOTES_TITLE), block))
-    return out.withColumn(column, noted).drop("__moved", "__without", "__notes", "__bare")
+    return out.withColumn(column, noted).drop("__without", "__notes", "__bare", *([] if keep else ["__moved", "__missing"]))
 
 
 def accuracy(detected: Column, corrected: Column) -> Column:

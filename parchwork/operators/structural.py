@@ -20,6 +20,8 @@ HEADINGS: list[tuple[str, str]] = [
     ("###", f"\\*{{0,2}}(?:معاني{S}+المفردات|الإعراب|اللطائف{S}+البلاغية|ما{S}+يستفاد{S}+من{S}+الآيات|الدروس{S}+المستفادة|أسئلة{S}+وتدريبات|بنك{S}+الأسئلة)\\*{{0,2}}"),
     ("###", f"المبحث{S}+(?:الأول|الثاني|الثالث|الرابع)[^\\n]*"),
 ]
+#: Letters that headings begin with.
+HEADING_LETTERS = "اأسمبل"
 RUNNING = f"(سلاح{S}+الأزهري|مذكرة{S}+التفسير|تفسير{S}+القرآن{S}+الكريم)(?:[ \\t]*\\1)++"
 PRINCIPLES = f"مبادئ{S}+علوم{S}+القرآن"
 LETTERED = [
@@ -100,33 +102,56 @@ def displaced_notes(text: Column) -> Column:
     return F.filter(F.transform(found, trim), lambda x: ~has_block | (F.position(x, text) - 1 <= F.length(text) * 0.85))
 
 
+FIRST_LINE = "\\A[ \\t]*([^\\n#\\-*|]{4,60})"
+
+
+def has_title(text: Column) -> Column:
+    return text.rlike(f"{BOL}#[ \\t]+[^\\n#]+")
+
+
+def title_parts(text: Column, file_name: Column) -> tuple[Column, Column]:
+    """The first line, if a title may be made of it (else empty), and the title: the file's name, the first line or a default."""
+    first = F.regexp_extract(text, FIRST_LINE, 1)
+    named = F.when(file_name.isNotNull(), rewrite(file_name, [Step(f"(?iu)\\.(?:pdf|docx|md|txt){END}", ""), Step("_", " ")])).when(first != "", trim(first)).otherwise(DEFAULT_TITLE)
+    return first, named
+
+
 def add_title(text: Column, file_name: Column) -> Column:
     """A first-level heading, if there is none: the first line itself if it will do, else the file's name, else the first line or a default."""
-    first = F.regexp_extract(text, "\\A[ \\t]*([^\\n#\\-*|]{4,60})", 1)
-    whole = F.regexp_extract(text, "\\A[ \\t]*[^\\n#\\-*|]{4,60}", 0)
-    named = F.when(file_name.isNotNull(), rewrite(file_name, [Step(f"(?iu)\\.(?:pdf|docx|md|txt){END}", ""), Step("_", " ")])).when(first != "", trim(first)).otherwise(DEFAULT_TITLE)
+    first, named = title_parts(text, file_name)
+    whole = F.regexp_extract(text, FIRST_LINE, 0)
     in_place = (F.length(first) > 5) & ~first.contains("...")
     titled = F.when(in_place, F.concat(F.lit("# "), trim(first), F.substring(text, F.length(whole) + 1, F.length(text)))).otherwise(F.concat(F.lit("# "), named, F.lit("\n\n"), text))
-    return F.when(text.rlike(f"{BOL}#[ \\t]+[^\\n#]+"), text).otherwise(titled)
+    return F.when(has_title(text), text).otherwise(titled)
+
+
+def heading_of(line: Column) -> Column:
+    """The number of the first of HEADINGS that a line without a heading's mark fits, or null."""
+    fit = F.lit(None).cast("int")
+    for k in range(len(HEADINGS) - 1, -1, -1):
+        fit = F.when(line.rlike(f"\\A[ \\t]*(?:{HEADINGS[k][1]}){END}"), k).otherwise(fit)
+    # one cheap test spares the six
+    return F.when(line.rlike(f"\\A[ \\t]*[*{HEADING_LETTERS}]") & ~line.rlike(f"\\A[#{BLANKS}]*#"), fit)
+
+
+def bare_heading(line: Column) -> Column:
+    return F.regexp_replace(trim(line), "\\A\\*++|\\*++\\z", "")
 
 
 def promote_headings(text: Column) -> Column:
     """Lines that are a topic's name become headings of its level. Works on lines, so an earlier text that holds the same words stays as it is."""
+    marks = F.array(*(F.lit(level + " ") for level, _ in HEADINGS))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), heading_of(x).alias("k")))
+    return F.array_join(F.transform(lines, lambda x: F.when(x["k"].isNull(), x["line"]).otherwise(F.concat(F.element_at(marks, x["k"] + 1), bare_heading(x["line"])))), "\n")
 
-    def line(x: Column) -> Column:
-        done = x
-        for level, pattern in reversed(HEADINGS):
-            bare = F.regexp_replace(trim(x), "\\A\\*++|\\*++\\z", "")
-            done = F.when(~x.rlike(f"\\A[#{BLANKS}]*#") & x.rlike(f"\\A[ \\t]*{pattern}{END}"), F.concat(F.lit(level + " "), bare)).otherwise(done)
-        return done
 
-    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+def is_lettered(text: Column) -> Column:
+    return text.rlike(PRINCIPLES) & text.rlike(f"(?:\\A|\\n)[ \\t]*[أA]\\.{S}*تعريف{S}+القرآن")
 
 
 def renumber_letters(text: Column) -> Column:
     """Lettered main topics get numbers where the subject's principles are treated."""
-    wanted = text.rlike(PRINCIPLES) & text.rlike(f"(?:\\A|\\n)[ \\t]*[أA]\\.{S}*تعريف{S}+القرآن")
-    return F.when(wanted, rewrite(text, LETTERED)).otherwise(text)
+    return F.when(is_lettered(text), rewrite(text, LETTERED)).otherwise(text)
 
 
 def collapse_headers(text: Column) -> Column:
@@ -139,8 +164,16 @@ def collapse_lines(text: Column) -> Column:
     return F.regexp_replace(text, f"{BOL}([^\\n]{{5,50}})\\n++\\1{EOL}", "$1")
 
 
+def complete_horses(text: Column) -> Column:
+    return F.regexp_replace(text, HORSES, HORSES_FULL.replace("$", "\\$"))
+
+
+def complete_sciences(text: Column) -> Column:
+    return F.regexp_replace(text, SCIENCES, SCIENCES_FULL)
+
+
 def complete_cuts(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, HORSES, HORSES_FULL.replace("$", "\\$")), SCIENCES, SCIENCES_FULL)
+    return complete_sciences(complete_horses(text))
 
 
 def repaired(df: DataFrame, column: str = "text", file_name: str = "file_name") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parchwork.functions.dialect import quoted
+from parchwork.plans.session import spread
 
 FIRST = 1_000_000_000
 
@@ -63,7 +64,7 @@ def texts(spark: SparkSession) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and the inline texts."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(texts(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(texts(spark))
 
 
 def literal(value: object) -> str:

@@ -10,6 +10,7 @@ from parchwork.functions import text as X
 from parchwork.functions.dialect import quoted, rewrite, rewrite_sql, trim_sql
 from parchwork.operators import conversion
 from parchwork.plans.fixtures import CORPUS_SQL, corpus, values_sql
+from parchwork.plans.session import spread
 from parchwork.sources import docx, pages
 from parchwork.streaming import resume
 
@@ -37,7 +38,7 @@ SQL["snk01c_inline_tokens"] = (
     "SELECT doc_id, kind, count(*) AS n, sum(length(token))::BIGINT AS chars FROM k GROUP BY ALL"
 )
 _STRIP = [*X.BREAKS, *X.TAGS_UNBOUND, *X.ARTIFACTS]
-QUERIES["snk01f_strip_html"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", rewrite(F.col("html"), _STRIP).alias("text"))
+QUERIES["snk01f_strip_html"] = lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", rewrite(F.col("html"), _STRIP).alias("text"))
 SQL["snk01f_strip_html"] = f"SELECT page_id, {rewrite_sql('html', _STRIP)} AS text FROM pages"
 QUERIES["snk01e_html_tables"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", html_tables.strip_html(F.col("text")).alias("text"))
 QUERIES["txt01_standard_arabic"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", presentation.to_standard_arabic(F.col("text")).alias("text"))
@@ -123,3 +124,17 @@ QUERIES["snk03_archives"] = lambda spark, sf_dir: conversion.archives(
     spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("archive_id"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
 ).select("archive_id", (F.length("zip") > 0).alias("made"))
 SQL["snk03_archives"] = "SELECT DISTINCT conv_id AS archive_id, TRUE AS made FROM conversations"
+
+
+def _rasters(spark, sf_dir: str) -> DataFrame:
+    """Embeddings as grey images of one row, the scale of each by its vec_id."""
+    grey = F.transform("embedding", lambda x: F.pmod(F.floor(x.cast("double") * 64).cast("int") + F.col("vec_id").cast("int") % 200, F.lit(256)))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", grey.alias("grey"))
+    data = F.unhex(F.array_join(F.transform("grey", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return rows.select(F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(1).alias("height"), F.size("grey").alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
+
+
+QUERIES["img03_aged"] = lambda spark, sf_dir: images.enhance(_rasters(spark, sf_dir)).select("origin", F.round("min_luma", 6).alias("least"), F.round("max_luma", 6).alias("greatest"), "aged")
+_GREY = "list_transform(embedding, lambda x: (((floor(x::DOUBLE * 64)::INTEGER + vec_id % 200) % 256) + 256) % 256)"
+SQL["img03_aged"] = f"SELECT origin, least::DOUBLE AS least, greatest::DOUBLE AS greatest, least > 30 OR greatest < 225 OR greatest - least < 170 AS aged FROM (SELECT vec_id::VARCHAR AS origin, list_min({_GREY}) AS least, list_max({_GREY}) AS greatest FROM embeddings)"
+QUERIES["img04_enhanced"] = lambda spark, sf_dir: images.enhance(_rasters(spark, sf_dir)).select("origin", "width", "data")

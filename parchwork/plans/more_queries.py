@@ -49,10 +49,12 @@ def script_run_counts(df: DataFrame) -> DataFrame:
 QUERIES["snk01d_script_runs"] = lambda spark, sf_dir: script_run_counts(corpus(spark, sf_dir))
 
 # Stages and guards ---------------------------------------------------------------------------------------------------
-QUERIES["g02_guarded_stage"] = lambda spark, sf_dir: audit.contextual(corpus(spark, sf_dir).withColumn("origin", F.lit("recognized")), F.lit("")).select("doc_id", F.length("text").alias("n"))
+# an answer that loses text, one that loses page markers, and one that is taken
+_ANSWER = lambda: F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.length("text") * 0.7)).when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", X.MARKER, "")).otherwise(F.concat("text", F.lit("\nchecked")))
+QUERIES["g02_guarded_stage"] = lambda spark, sf_dir: audit.contextual(corpus(spark, sf_dir).withColumn("origin", F.lit("recognized")), _ANSWER()).select("doc_id", "text", "contextual_fixed")
 QUERIES["rul07_grammar_stage"] = lambda spark, sf_dir: audit.completed(corpus(spark, sf_dir).withColumn("origin", F.when(F.col("doc_id") % 2 == 0, "direct").otherwise("recognized"))).select("doc_id", "text")
 QUERIES["rul08_contextual_stage"] = lambda spark, sf_dir: audit.contextual(corpus(spark, sf_dir).withColumn("origin", F.lit("direct"))).select("doc_id", "text", "contextual_fixed")
-QUERIES["str14_structural_stage"] = lambda spark, sf_dir: audit.structured(corpus(spark, sf_dir).withColumn("file_name", F.lit(None).cast("string"))).select("doc_id", "text")
+QUERIES["str14_structural_stage"] = lambda spark, sf_dir: audit.structured(corpus(spark, sf_dir).withColumn("file_name", F.lit(None).cast("string"))).select("doc_id", "text", "structural_repaired")
 
 
 def severity_counts(spark, sf_dir: str) -> DataFrame:
@@ -61,8 +63,6 @@ def severity_counts(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["agg03_severities"] = severity_counts
-QUERIES["agg04_fix_totals"] = lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + F.col("l_quantity") + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("long").alias("fixes"))
-SQL["agg04_fix_totals"] = "SELECT l_orderkey, l_linenumber, (l_linenumber + l_quantity + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS fixes FROM lineitem"
 QUERIES["lay05_rtl_lines"] = lambda spark, sf_dir: segment.lines(segment.pages(corpus(spark, sf_dir))).groupBy("doc_id", "page_no").agg(F.count(F.when(X.is_rtl(F.col("line")), 1)).alias("rtl"))
 _A, _L = count_sql("x", X.ARABIC), count_sql("x", X.LATIN)
 SQL["lay05_rtl_lines"] = f"WITH {PARTS} SELECT doc_id, page_no, count(*) FILTER ({_A} > 0 AND {_A} >= {_L} * 0.3) AS rtl FROM l GROUP BY ALL"

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchwork.functions import text as X
-from parchwork.functions.dialect import trim, trim_sql
-from parchwork.operators import audit, fuzzy, rules
+from parchwork.functions.dialect import quoted, trim, trim_sql
+from parchwork.operators import audit, fuzzy, rules, structural, structure_report
 from parchwork.plans.fixtures import CORPUS_SQL, corpus
+from parchwork.plans.session import spread
 from parchwork.plans.text_queries import KEY_SQL
 
 QUERIES: dict = {}
@@ -57,7 +58,8 @@ QUERIES["fuz06_accuracy"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/
 SQL["fuz06_accuracy"] = "SELECT o_orderkey, (CASE WHEN o_orderkey % 13 = 0 THEN 100 ELSE floor((o_orderkey % 13 - o_orderkey % 17) / (o_orderkey % 13)::DOUBLE * 100 + 0.5) END)::INTEGER AS accuracy FROM orders"
 QUERIES["fuz07_verification"] = lambda spark, sf_dir: rules.verify(corpus(spark, sf_dir), _canonical(spark, sf_dir))
 QUERIES["rul01_audit"] = lambda spark, sf_dir: rules.audit(corpus(spark, sf_dir)).select("doc_id", F.size("errors").alias("errors"), "critical", "warnings", "score", "distorted", "dot_flood", "truncated", "subject", "summary")
-QUERIES["rul02_repair"] = lambda spark, sf_dir: rules.repair(corpus(spark, sf_dir))
+QUERIES["rul01_errors"] = lambda spark, sf_dir: rules.audit(corpus(spark, sf_dir)).select("doc_id", F.inline("errors"))
+QUERIES["rul02_repair"] = lambda spark, sf_dir: rules.repair(corpus(spark, sf_dir), items="items").withColumn("items", F.transform("items", lambda x: x["ord"]))
 QUERIES["rul03_targets"] = lambda spark, sf_dir: rules.repair_targets(corpus(spark, sf_dir)).select("doc_id", "text", F.size("targets").alias("targets"))
 QUERIES["rul05_completions"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", rules.complete(F.col("text")).alias("text"))
 QUERIES["rul06_grammar"] = lambda spark, sf_dir: rules.grammar(corpus(spark, sf_dir))
@@ -67,7 +69,7 @@ QUERIES["document_audit"] = lambda spark, sf_dir: audit.audit(corpus(spark, sf_d
 
 def clean_by_source(spark, sf_dir: str) -> DataFrame:
     """Documents cleaned and counted by source: one scan, one partial aggregate."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", X.plain_text(X.clean_markdown(F.col("text"))).alias("t"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("source", X.plain_text(X.clean_markdown(F.col("text"))).alias("t"))
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("t")).alias("chars"), F.sum(F.size(F.split("t", "\n"))).cast("long").alias("lines"), F.count(F.when(X.is_rtl(F.col("t")), 1)).alias("rtl"))
 
 
@@ -83,3 +85,39 @@ def _register_clean() -> None:
 
 
 _register_clean()
+
+
+def _untitled(spark, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumn("file_name", F.lit(None).cast("string"))
+
+
+def structure_reports(spark, sf_dir: str) -> DataFrame:
+    """The structural report of every document, its findings aside."""
+    r = structure_report.audited(_untitled(spark, sf_dir))
+    return r.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), *(F.col(f"structure.{c}").alias(c) for c in ("sections", "total", "missing_headers", "numbering", "footnotes", "repaired", "verdict", "flawed")))
+
+
+def structure_issues(spark, sf_dir: str) -> DataFrame:
+    """Every finding of the structural report, of documents and inline texts."""
+    r = structure_report.audited(corpus(spark, sf_dir).withColumn("file_name", F.lit(None).cast("string")))
+    # an inner explode asks for non-empty arrays, a condition that would be pushed down through every step's expressions
+    return r.select("doc_id", F.posexplode_outer("structure.issues").alias("n", "x")).where("n is not null").select("doc_id", "n", "x.*")
+
+
+QUERIES["str14_report"], QUERIES["str14_issues"] = structure_reports, structure_issues
+# documents have no Arabic letters, so of all findings the missing title and skipped numbers can occur
+_FIRST, _WHOLE = "regexp_extract(text, '^[ \\t]*([^\\n#\\-*|]{4,60})', 1)", "regexp_extract(text, '^[ \\t]*[^\\n#\\-*|]{4,60}')"
+_NUMBERS = "list_transform(regexp_extract_all(t, '(?m)^[ \\t]*([0-9]+)\\.[ \\t]+', 1), lambda x: x::BIGINT)"
+_SAID = f"{quoted(structure_report.VERDICT[0])} || array_to_string(list_filter([{', '.join(f'CASE WHEN {c} > 0 THEN {quoted(a)} || {c} || {quoted(b)} END' for c, (a, b) in zip(('footnotes', 'missing_headers', 'numbering', 'repaired'), structure_report.VERDICT_PARTS, strict=True))}], lambda x: x IS NOT NULL), {quoted(structure_report.COMMA)}) || {quoted(structure_report.VERDICT[1])}"
+SQL["str14_report"] = f"""
+WITH a AS (SELECT doc_id, text, {trim_sql('text')} = '' AS blank, regexp_matches(text, '(?m)^#[ \\t]+[^\\n#]+') AS titled, {_FIRST} AS f, {_WHOLE} AS w FROM documents),
+b AS (SELECT *, CASE WHEN blank OR titled THEN text WHEN length(f) > 5 AND NOT contains(f, '...') THEN '# ' || {trim_sql('f')} || substr(text, length(w) + 1)
+                ELSE '# ' || CASE WHEN f <> '' THEN {trim_sql('f')} ELSE {quoted(structural.DEFAULT_TITLE)} END || chr(10) || chr(10) || text END AS t FROM a),
+c AS (SELECT *, {_NUMBERS} AS n FROM b),
+d AS (SELECT *, CASE WHEN blank OR len(n) < 3 THEN 0 ELSE len(list_filter(range(2, len(n) + 1), lambda i: n[i - 1] > 0 AND n[i] > 1 AND n[i] > n[i - 1] + 1 AND n[i] - n[i - 1] <= 3)) END::INTEGER AS numbering,
+             CASE WHEN blank OR titled THEN 0 ELSE 1 END AS missing_headers, 0 AS footnotes FROM c),
+e AS (SELECT *, missing_headers AS repaired, missing_headers + numbering AS total FROM d)
+SELECT doc_id, split_part(t, chr(10), 1) AS title, CASE WHEN blank THEN 0 ELSE greatest(1, len(regexp_extract_all(t, '(?m)^#{{1,3}}[ \\t]+'))) END::INTEGER AS sections, total, missing_headers, numbering, footnotes, repaired,
+       CASE WHEN blank THEN {quoted(structural.EMPTY)} WHEN total > 0 THEN {_SAID} ELSE {quoted(structural.SOUND)} END AS verdict, total > 0 AS flawed FROM e
+"""
+QUERIES["agg04_fix_totals"] = lambda spark, sf_dir: audit.audit(corpus(spark, sf_dir)).select("doc_id", *audit.COUNTERS, "auto_fixed")

@@ -34,6 +34,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as there are cores, if it has fewer: a small table is often one file of one row group,
+    and what is computed on each text costs more than moving it once. A table of more partitions stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 

@@ -147,7 +147,11 @@ def cut(t: Column) -> Column:
 
 for name, f, least, share in (("g01_guard_client", X.guard_client, 5000, 0.8), ("g03_guard_server", X.guard_server, 8000, 0.75)):
     per_text(name, {"n_chars": (lambda t, f=f: F.length(f(t, F.substring(t, F.lit(1), F.expr("cast((length(text) * (70 + doc_id % 30)) div 100 as int)")))), f"CASE WHEN length(text) > {least} AND (length(text) * (70 + doc_id % 30)) // 100 < length(text) * {share} THEN length(text) ELSE (length(text) * (70 + doc_id % 30)) // 100 END::INTEGER")})
-per_text("g04_guard_pages", {"same": (lambda t: X.guard_pages(t, F.regexp_replace(t, X.MARKER, "")) == t, "TRUE")})
+# every second rewrite loses its markers, the others grow
+per_text("g04_guard_pages", {"n_chars": (
+    lambda t: F.length(X.guard_pages(t, F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(t, X.MARKER, "")).otherwise(F.concat(t, F.lit("x"))))),
+    "(length(text) + doc_id % 2)::INTEGER",
+)})
 
 
 def files(spark: SparkSession) -> DataFrame:

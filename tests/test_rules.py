@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parchwork.operators import audit, fuzzy, rules, structural
+from parchwork.operators import audit, fuzzy, rules, structural, structure_report
 from parchwork.operators.rule_tables import COMPLETIONS, RULES, TARGETS, loose, spelled
 
 #: A text that each rule of table A is made for, in order.
@@ -97,3 +97,68 @@ def test_audit_keeps_pages_apart(spark):
     out = {r.doc_id: r for r in audit.audit(df).collect()}
     assert out[0].pages == 2 and out[0].title == "Title" and "---PAGE_BREAK---" in out[0].markdown
     assert out[1].markdown == "" and out[2].markdown == ""
+
+
+def reports(spark, rows, file_name=None):
+    df = texts(spark, rows).withColumn("file_name", F.lit(file_name).cast("string"))
+    return {r.doc_id: r for r in structure_report.audited(df).collect()}
+
+
+def test_structure_report_of_sound_and_empty_texts(spark):
+    out = reports(spark, ["", "  \n", "# T\ntext of it", None])
+    for k in (0, 1, 3):
+        assert (out[k].structure.total, out[k].structure.sections, out[k].structure.verdict, out[k].structure.flawed) == (0, 0, structural.EMPTY, False)
+    assert out[1].text == "  \n" and out[3].text is None
+    assert (out[2].structure.sections, out[2].structure.issues, out[2].structure.verdict) == (1, [], structural.SOUND)
+
+
+def test_structure_report_names_each_finding(spark):
+    """A row for each step that finds something, in order, numbered as a whole."""
+    text = "\n".join([
+        "# عنوان", "س: ما معنى الآية؟", "(١) أي: السنون", "ج: كذا", "الموضوع الأول: تعريف", "**الإعراب**", "1. a", "3. b", "4. c",
+        "سلاح الأزهري سلاح الأزهري", "| القرآن المكي | |", "علوم القرآن هي .....",
+    ])
+    r = reports(spark, [text])[0]
+    found = [(x.id, x.category, x.severity, x.repaired) for x in r.structure.issues]
+    assert found == [
+        ("footnote-displaced-1", "displaced_footnote", "critical", True), ("header-unformatted-2", "missing_header", "info", True), ("header-unformatted-3", "missing_header", "info", True),
+        ("numbering-skip-4", "mismatched_numbering", "warning", False), ("header-dedup-5", "missing_header", "warning", True), ("table-cell-madani-6", "missing_header", "critical", True),
+        ("definition-repair-ulum-quran", "missing_header", "critical", True),
+    ]
+    assert [x.found for x in r.structure.issues][:4] == ["(١) أي: السنون", "الموضوع الأول: تعريف", "**الإعراب**", "3."]
+    assert [x.fixed for x in r.structure.issues][1:4] == ["## الموضوع الأول: تعريف", "### الإعراب", None]
+    s = r.structure
+    assert (s.footnotes, s.missing_headers, s.numbering, s.repaired, s.total) == (1, 2, 1, 6, 7)
+    assert s.verdict == "تم الفحص الهيكلي الشامل: ضبط 1 هوامش سفلية، تصحيح 2 ترويسات وعناوين، معايرة 1 تدرجات ترقيم هرمي، استكمال 6 خانات وجمل مبتورة وتطهير تكرارات طفيلية لضمان المطابقة الكاملة لأصل الـ PDF."
+    assert "[^1]: (1) أي: السنون" in r.text and "\n### الإعراب\n" in r.text and "| سورة البقرة" in r.text
+
+
+def test_structure_report_titles_and_contents(spark):
+    out = reports(spark, ["first line of it\nmore", "- x"], "my_file.pdf")
+    assert [(x.id, x.found, x.fixed) for x in out[0].structure.issues] == [("header-missing-h1", "first line of it", "# my file")] and out[0].text == "# first line of it\nmore"
+    assert out[1].structure.issues[0].found == structure_report.H1_FOUND and out[1].text == "# my file\n\n- x"
+    book = "# كتاب\n\n## الفهرس\n| الموضوع | الصفحة |\n|---|---|\n| سورة عبس | 9 |\n\n---PAGE_BREAK---\n## عبس\nنص"
+    r = reports(spark, [book])[0]
+    assert [(x.id, x.found, x.fixed) for x in r.structure.issues] == [("index-mismatch-1", "| سورة عبس | 9 |", "| سورة عبس | 3 |")] and "| سورة عبس | 3 |" in r.text
+
+
+def test_rule_rows_say_where_and_why(spark):
+    rows = rules.audit(texts(spark, ["قال: لينين هنا", "plain"])).collect()
+    (e,) = rows[0].errors
+    assert (e.category, e.location, e.surah, e.ayah, e.found) == ("quran_verse", "جدول وجوه الإعراب / الآيات الكريمة", "سورة النبأ", 23, "لينين") or e.found.strip() == "لينين"
+    assert e.explanation.startswith("تحريف خطير") and rows[1].errors == []
+    fixed = {r.doc_id: r for r in rules.repair(texts(spark, ["قال: لينين هنا", "dots .........", "plain"]), items="items").collect()}
+    assert len(fixed[0]["items"]) == fixed[0].fixed == 1 and fixed[1].text == "dots ....." and fixed[2].text == "plain"
+
+
+def test_grammar_report_says_why(spark):
+    r = {x.doc_id: x for x in rules.grammar(texts(spark, ["هذا الكلام عن من", "جملة كاملة هنا.", ""])).collect()}
+    assert r[0].alert == rules.ALERT and r[0].verdict == rules.CUT_VERDICT and "«من»" in r[0].reason
+    assert r[1].alert is None and r[1].verdict == rules.WHOLE_VERDICT and r[2].verdict == rules.EMPTY
+
+
+def test_audit_counts_add_up_and_rows_stay_apart(spark):
+    df = spark.createDataFrame([(1, "قال: لينين هنا"), (1, "other text"), (None, "a\n\n---PAGE_BREAK---\n\nb"), (None, "x")], "doc_id long, text string")
+    rows = audit.audit(df).collect()
+    assert sorted((r.doc_id or 0, r.pages) for r in rows) == [(0, 1), (0, 2), (1, 1), (1, 1)]
+    assert all(r.auto_fixed == sum(r[c] for c in audit.COUNTERS) for r in rows) and max(r.contextual_fixed for r in rows) == 1
