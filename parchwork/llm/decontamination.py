@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from parchwork.llm._memory import CACHES, tidy
 from parchwork.llm._words import LOWER, NON_WORD
-from parchwork.plans.session import materialize
+from parchwork.plans.session import materialize, spread
 
 #: Benchmark text whose windows a Python worker can hold, in bytes: an automaton takes some 100 bytes for one of them, its
 #: table of windows 50. What lies beyond is read by further automata, each in a pass of its own over what the last has written.
@@ -150,7 +150,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, width: int = 10) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // AUTOMATON_BYTES))
-    out = df.drop(*(f.name for f in _FOUND)).withColumn("text", F.col("text").cast("string"))
+    out = spread(df).drop(*(f.name for f in _FOUND)).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*out.schema.fields, *_FOUND])
     for g in range(groups):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)

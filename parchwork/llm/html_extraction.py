@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from parchwork.llm._memory import tidy
+from parchwork.plans.session import spread
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -353,7 +355,7 @@ def extract_text(df: DataFrame, column: str = "html") -> DataFrame:
     text, gives the empty text. Rows are independent; columns named text or n_chars are replaced.
     """
     rest = [f for f in df.schema.fields if f.name not in (column, "text", "n_chars")]
-    pages = df.select(*(F.col(f"`{f.name}`") for f in rest), F.col(column).cast("string").alias(column))
+    pages = spread(df).select(*(F.col(f"`{f.name}`") for f in rest), F.col(column).cast("string").alias(column))
     return pages.mapInArrow(tidy(_extract(column)), T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 

@@ -27,7 +27,7 @@ from parchwork.llm import _words
 from parchwork.llm._memory import tidy
 from parchwork.llm._oph import OnePermutation, jaccard_linked
 from parchwork.llm.components import connected_components
-from parchwork.plans.session import discard, materialize
+from parchwork.plans.session import discard, materialize, spread
 
 #: A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS = 5e-6.
 BANDS, ROWS = 52, 7
@@ -132,7 +132,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(tidy(_sketch(width, bands, rows)), _SKETCH), "sketch")
+    sketch = materialize(spread(docs).mapInArrow(tidy(_sketch(width, bands, rows)), _SKETCH), "sketch")
     with_set = sketch.where("n > 0 and doc_id is not null")
     classes = materialize(with_set.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")
     first = F.col("doc_id") == F.col("rep")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from parchwork.llm._memory import tidy
 from parchwork.llm._ranks import ordered
 from parchwork.llm._tokens import encoder, text_batches, tokenizer_path
-from parchwork.plans.session import materialize
+from parchwork.plans.session import materialize, spread
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -159,7 +159,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> Da
     on its own. An empty table gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(docs.mapInArrow(tidy(_cut(tokenizer, end_id, capacity), "encoders"), PIECES), "pieces")
+    pieces = materialize(spread(docs).mapInArrow(tidy(_cut(tokenizer, end_id, capacity), "encoders"), PIECES), "pieces")
     return place(pieces, capacity)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from parchwork.llm import _words
 from parchwork.llm._memory import tidy
-from parchwork.plans.session import materialize
+from parchwork.plans.session import materialize, spread
 
 _U = np.uint64
 #: Tasks that read the sample.
@@ -271,7 +271,7 @@ def classify(df: DataFrame, model: Model | None, top: int = 2) -> DataFrame:
 
     A null text counts as empty. Without a model both are null. Columns of these names in the input are replaced.
     """
-    out = df.drop("expected_grade", "p_top").withColumn("text", F.col("text").cast("string"))
+    out = spread(df).drop("expected_grade", "p_top").withColumn("text", F.col("text").cast("string"))
     if model is None:
         return out.withColumns({"expected_grade": F.lit(None).cast("double"), "p_top": F.lit(None).cast("double")})
     told = df.sparkSession.sparkContext.broadcast(model)
