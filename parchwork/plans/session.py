@@ -37,6 +37,8 @@ def ship(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many partitions as there are cores, if it has fewer: a small table is often one file of one row group,
     and what is computed on each text costs more than moving it once. A table of more partitions stays where it is."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # its partitions are the shuffle's, and to ask for them would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
