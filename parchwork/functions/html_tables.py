@@ -34,8 +34,9 @@ def _tables(texts: pd.Series) -> pd.Series:
 
 
 def tables_to_markdown(text: Column) -> Column:
-    """Only texts with a table go through Python."""
-    return F.when(text.contains("<table"), _tables(text)).otherwise(text)
+    """Of texts without a table Python gets a null."""
+    some = text.contains("<table")
+    return F.when(some, _tables(F.when(some, text))).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:

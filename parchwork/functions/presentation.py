@@ -84,12 +84,14 @@ def _text_function(f):
 
 
 def to_standard_arabic(text: Column) -> Column:
-    """Only texts with such forms go through Python."""
-    return F.when(text.rlike("[\ufb50-\ufdff\ufe70-\ufeff]"), _text_function(standard)(text)).otherwise(text)
+    """Of texts without such forms Python gets a null."""
+    some = text.rlike("[\ufb50-\ufdff\ufe70-\ufeff]")
+    return F.when(some, _text_function(standard)(F.when(some, text))).otherwise(text)
 
 
 def protect_formulas(text: Column) -> Column:
-    return F.when(text.contains("$"), _text_function(protected_formulas)(text)).otherwise(text)
+    some = text.contains("$")
+    return F.when(some, _text_function(protected_formulas)(F.when(some, text))).otherwise(text)
 
 
 def formula_text(text: Column) -> Column:

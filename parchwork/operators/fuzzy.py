@@ -64,9 +64,13 @@ def best_matches(snippets: DataFrame, canonical: DataFrame) -> DataFrame:
     asked = asked.where(~((F.col("words") >= 2) & (F.col("size") < 2)) & ~((F.col("words") >= 3) & (F.col("size") < F.col("words") - 1)))
     by_window = asked.join(windows, "size").where(F.col("words") <= F.col("of")).select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", (F.col("size") == F.col("of")).alias("whole"), F.lit(WINDOW).alias("least"))
     whole = c.select("ord", F.lit(0).alias("kind"), F.lit(0).alias("rank"), F.lit(0).alias("at"), F.col("normalized").alias("phrase"), F.lit(True).alias("whole"), F.lit(WHOLE).alias("least"))
-    if canonical.count() > DIMENSION:
-        raise ValueError(f"a canonical table has {DIMENSION} passages at most")
-    by_whole = s.join(F.broadcast(whole), F.lit(True)).select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", "whole", "least")
+    blocks = -(-canonical.count() // DIMENSION)
+    if blocks <= 1:
+        pairs = s.join(F.broadcast(whole), F.lit(True))
+    else:  # too large to send whole: blocks of it, each of which the snippets meet
+        dealt = whole.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)))
+        pairs = s.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
+    by_whole = pairs.select("snippet_id", "key", "ord", "kind", "rank", "at", "phrase", "whole", "least")
     scored = by_whole.unionByName(by_window).withColumn("score", key_similarity(F.col("key"), F.col("phrase"))).where("score >= least")
     first = Window.partitionBy("snippet_id").orderBy(F.desc("score"), "ord", "kind", "rank", "at")
     return scored.withColumn("n", F.row_number().over(first)).where("n = 1").select("snippet_id", "ord", "score", "whole", "phrase")

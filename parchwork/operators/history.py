@@ -17,9 +17,13 @@ def lookup(history: DataFrame, value: object, key: str = "id") -> DataFrame:
     return history.where(F.col(key) == F.lit(value))
 
 
-def upsert(history: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of `new` take the place of rows of their key."""
-    return history.join(new.select(key), key, "left_anti").select(history.columns).unionByName(new)
+def upsert(history: DataFrame, new: DataFrame, key: str = "id", time: str = "timestamp") -> DataFrame:
+    """Rows of `new` take the place of rows of their key. Of several rows of one key the newest counts, of equally new ones the
+    greatest by the other columns in their order."""
+    rest = [c for c in new.columns if c not in (key, time)]
+    by = ([time] if time in new.columns else []) + rest
+    last = new.groupBy(key).agg(F.max(F.struct(*by)).alias("__last")).select(key, "__last.*").select(new.columns)
+    return history.join(last.select(key), key, "left_anti").select(history.columns).unionByName(last)
 
 
 def bounded(history: DataFrame, bound: int = BOUND, time: str = "timestamp", key: str = "id") -> DataFrame:

@@ -105,12 +105,29 @@ def word_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["src03_word_round_trip"] = word_round_trip
-QUERIES["src03d_markdown_tables"] = lambda spark, sf_dir: table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))).alias("r")).select("n_regionkey", F.array_join(layout.stabilized(F.col("r"), F.lit(2))["lines"], "\n").alias("markdown"))
-SQL["src03d_markdown_tables"] = (
-    "WITH r AS (SELECT n_regionkey, list('| ' || n_nationkey || ' | ' || n_name || ' |' ORDER BY n_nationkey::VARCHAR) AS v FROM nation GROUP BY 1) SELECT n_regionkey, array_to_string(list_concat(v[1:1], ['| ---: | ---: |'], v[2:]), chr(10)) AS markdown FROM r"
-)
-QUERIES["snk07_single_page"] = lambda spark, sf_dir: history.merged_pages(spark.createDataFrame([(1, 1)], "doc_id long, ord long"), spark.createDataFrame([(1, 1, "image")], "doc_id long, page_no long, page string"))
-SQL["snk07_single_page"] = f"SELECT 1::BIGINT AS merged_no, 1::BIGINT AS doc_id, 1::BIGINT AS page_no, {quoted('image')} AS page"
+def _table_rows(spark, sf_dir: str) -> DataFrame:
+    """Of each region a table of its nations, with rows of one to three cells and pipes in some."""
+    cells = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.concat("n_name", F.lit(" | x")))).when(F.col("n_nationkey") % 3 == 1, F.array(F.col("n_nationkey").cast("string"), F.col("n_name"))).otherwise(F.array(F.lit(""), F.col("n_name"), F.lit("a|b")))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("cells")))), lambda r: r["cells"]).alias("rows"))
+
+
+QUERIES["src03d_markdown_tables"] = lambda spark, sf_dir: _table_rows(spark, sf_dir).select("n_regionkey", docx.markdown_tables(F.col("rows")).alias("markdown"))
+SQL["src03d_markdown_tables"] = """
+WITH r AS (SELECT n_regionkey, n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [n_name || ' | x'] WHEN 1 THEN [n_nationkey::VARCHAR, n_name] ELSE ['', n_name, 'a|b'] END AS c FROM nation),
+w AS (SELECT n_regionkey, max(len(c)) AS w FROM r GROUP BY 1),
+l AS (SELECT n_regionkey, list('| ' || array_to_string(list_transform(list_resize(c, w, ''), lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |' ORDER BY n_nationkey) AS v, any_value(w) AS w FROM r JOIN w USING (n_regionkey) GROUP BY 1)
+SELECT n_regionkey, array_to_string(list_concat(v[1:1], ['| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |'], v[2:]), chr(10)) AS markdown FROM l
+"""
+
+
+def single_pages(spark, sf_dir: str) -> DataFrame:
+    """Each image a document of one page, merged in order."""
+    images = table(spark, sf_dir, "embeddings")
+    return history.merged_pages(images.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("ord")), images.select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("page_no"), F.col("label").cast("string").alias("page")))
+
+
+QUERIES["snk07_single_page"] = single_pages
+SQL["snk07_single_page"] = "SELECT row_number() OVER (ORDER BY vec_id) AS merged_no, vec_id AS doc_id, 1::BIGINT AS page_no, label::VARCHAR AS page FROM embeddings"
 
 
 def isolated_failures(spark, sf_dir: str) -> DataFrame:

@@ -14,9 +14,12 @@ from typing import NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from parchwork.functions.dialect import round_half_up
 from parchwork.functions.presentation import script_runs, standard
@@ -92,6 +95,12 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([*lines[:1], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if rows else ""
 
 
+@pandas_udf(T.StringType())
+def markdown_tables(tables: pd.Series) -> pd.Series:
+    """`markdown_table` of a column of arrays of arrays of cells; null cells are empty."""
+    return tables.map(lambda rows: markdown_table([[c or "" for c in r] for r in rows]), na_action="ignore")
+
+
 def parse(data: bytes) -> Document:
     """A document of its bytes. Raises ValueError if they are no Word document."""
     try:

@@ -162,3 +162,19 @@ def test_audit_counts_add_up_and_rows_stay_apart(spark):
     rows = audit.audit(df).collect()
     assert sorted((r.doc_id or 0, r.pages) for r in rows) == [(0, 1), (0, 2), (1, 1), (1, 1)]
     assert all(r.auto_fixed == sum(r[c] for c in audit.COUNTERS) for r in rows) and max(r.contextual_fixed for r in rows) == 1
+
+
+def test_a_large_canonical_table_gives_the_same_matches(spark, monkeypatch):
+    canonical = rules.keys_of(spark.createDataFrame([(k, f"passage number {k} of the book on mills and rivers") for k in range(40)], "ord long, text string"))
+    asked = spark.createDataFrame([(k, f"passage nmber {k} of the book on mills and rivers") for k in range(5, 15)], "snippet_id long, text string")
+    want = sorted(fuzzy.best_matches(asked, canonical).collect())
+    monkeypatch.setattr(fuzzy, "DIMENSION", 7)
+    assert len(want) == 10 and sorted(fuzzy.best_matches(asked, canonical).collect()) == want
+
+
+def test_upsert_of_repeated_keys(spark):
+    from parchwork.operators import history
+
+    old = spark.createDataFrame([(1, 10, "a"), (2, 10, "b")], "id long, timestamp long, name string")
+    new = spark.createDataFrame([(2, 11, "c"), (2, 12, "d"), (3, 5, "e"), (3, 5, "f")], "id long, timestamp long, name string")
+    assert sorted(tuple(r) for r in history.upsert(old, new).collect()) == [(1, 10, "a"), (2, 12, "d"), (3, 5, "f")]
