@@ -178,3 +178,15 @@ def test_upsert_of_repeated_keys(spark):
     old = spark.createDataFrame([(1, 10, "a"), (2, 10, "b")], "id long, timestamp long, name string")
     new = spark.createDataFrame([(2, 11, "c"), (2, 12, "d"), (3, 5, "e"), (3, 5, "f")], "id long, timestamp long, name string")
     assert sorted(tuple(r) for r in history.upsert(old, new).collect()) == [(1, 10, "a"), (2, 12, "d"), (3, 5, "f")]
+
+
+# One corruption in several vocalisations, and what each becomes.
+VARIANTS = [
+    ("﴿سِبَاعًا شِدَادًا﴾", "سَبْعًا"), ("﴿سِباعاً شِدَادًا﴾", "سَبْعًا"), ("﴿سِبَاعاً شِدَادًا﴾", "سَبْعًا"), ("سِباعاً شداداً", "سَبْعًا"), ("﴿مِنْ تَقُوتُ﴾", "مِن تَفَاوُتٍ"),
+    ("مِنْ تَقُوتُ", "مِن تَفَاوُتٍ"), ("﴿من تقوت﴾", "مِن تَفَاوُتٍ"), ("الْبَصَرُ خَاشِعًا", "الْبَصَرُ خَاسِئًا"), ("البصر خاشعاً", "الْبَصَرُ خَاسِئًا"), ("البصر خاشعا", "الْبَصَرُ خَاسِئًا"),
+]
+
+
+def test_rules_take_any_vocalisation_but_no_missing_letter(spark):
+    out = {r.doc_id: r.text for r in rules.repair(texts(spark, [t for t, _ in VARIANTS] + ["مِنْ تَقُتُ"])).collect()}
+    assert all(want in out[i] for i, (_, want) in enumerate(VARIANTS)) and out[len(VARIANTS)] == "مِنْ تَقُتُ"
