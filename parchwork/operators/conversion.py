@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchwork.functions.dialect import BLANKS, EOL, S, trim
+from parchwork.functions.dialect import BLANKS, END, EOL, S, trim
 from parchwork.functions.text import MARKER
 
 #: Characters of a text that the contextual and the grammar check see.
@@ -35,6 +35,23 @@ def server_wait(attempt: int) -> float:
     return min(10.0, 1.5 + 1.2 * attempt)
 
 
+#: Seconds of cooldown up to which the server waits itself; beyond, the client is told to.
+OWN_WAIT = 10
+
+
+def server_round(attempt: Column, cooldown: Column, jitter: Column) -> Column:
+    """What a round of retries does: (pause, action, seconds). `attempt` counts from 0, `cooldown` are the seconds until the first
+    model is ready (0 or less: one is), `jitter` at most half a second.
+
+    From the second round on there is a pause. With no model ready the round waits out a short cooldown, and hands a long one
+    to the client, who gets status 429 and the seconds to wait.
+    """
+    pause = F.when(attempt > 0, F.least(F.lit(10.0), 1.5 + 1.2 * attempt + jitter)).otherwise(F.lit(0.0))
+    wait = F.greatest(F.lit(1), F.ceil(cooldown)).cast("int")
+    action = F.when(cooldown <= 0, "send").when(wait <= OWN_WAIT, "wait").otherwise("delegate")
+    return F.struct(pause.alias("pause"), action.alias("action"), F.when(cooldown > 0, wait + 1).alias("seconds"))
+
+
 def each_row(df: DataFrame, column: str, work: Callable[[str], str] | None, attempts: int = 10, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """`df` with `answer`, `status` ('done', 'failed' or 'offline') and `error`: `work` on each row's `column`, tried again on errors.
 
@@ -149,6 +166,35 @@ def archives(df: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"archive_id {dict(df.dtypes)['archive_id']}, zip binary")
 
 
+# Lines of a package's summary.
+PACKAGE_RULE, PACKAGE_LINE = "=======================================================", "-------------------------------------------------------"
+PACKAGE_HEAD = ("تقرير حزمة تحويل المستندات المتتالية (Batch Word Package)", "تاريخ التصدير: ", "اتجاه المستندات: من اليمين لليسار (RTL معتمد 100%)")
+PACKAGE_ITEM = (". ", ".docx — [", " صفحة] — تطابق تام 1:1 مع أصل الـ PDF")
+PACKAGE_TOTALS = ("إجمالي المستندات المحولة: ", " ملف", "إجمالي عدد الصفحات: ", " صفحة", "كافة المستندات مهيأة بتنسيق Microsoft Word الأصلي مع اتجاه اليمين لليسار.")
+
+
+def package_summaries(items: DataFrame, dated: Column) -> DataFrame:
+    """archive_id, documents, pages, failed and summary, the text that goes with an archive, of `items` (archive_id, ord, name, pages, done).
+
+    Only items that are done are listed, in order; one without a page count, or of none, counts as one page. `failed` are the others.
+    An archive without a done item has no summary. `dated` is the date as it is shown.
+    """
+    done = F.coalesce(F.col("done"), F.lit(False))
+    pages = F.when(F.col("pages") > 0, F.col("pages")).otherwise(1).cast("long")
+    row = F.struct("ord", F.regexp_replace("name", f"\\.[^/.]+{END}", "").alias("name"), pages.alias("pages"))
+    grouped = items.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.when(done, row))).alias("items"), F.count(F.when(~done, 1)).alias("failed"))
+    before, between, after = PACKAGE_ITEM
+    lines = F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(before), x["name"], F.lit(between), x["pages"].cast("string"), F.lit(after)))
+    n, total = F.size("items").cast("long"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["pages"])
+    title, date, direction = PACKAGE_HEAD
+    a, b, c, d, last = PACKAGE_TOTALS
+    text = F.concat_ws(
+        "\n", F.lit(PACKAGE_RULE), F.lit(title), F.concat(F.lit(date), dated), F.lit(direction), F.lit(PACKAGE_RULE + "\n"), F.array_join(lines, "\n"), F.lit("\n" + PACKAGE_LINE),
+        F.concat(F.lit(a), n.cast("string"), F.lit(b)), F.concat(F.lit(c), total.cast("string"), F.lit(d)), F.lit(last), F.lit(PACKAGE_LINE),
+    )
+    return grouped.select("archive_id", n.alias("documents"), total.alias("pages"), "failed", F.when(n > 0, text).alias("summary"))
+
+
 def repeated_lines(df: DataFrame) -> DataFrame:
     """doc_id, line_no, line: lines of 5 to 50 characters that follow their equal, blank lines aside."""
     lines = df.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where("line <> ''")

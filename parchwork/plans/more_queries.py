@@ -143,5 +143,29 @@ def isolated_failures(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["sch07_isolated_failures"] = isolated_failures
 SQL["sch07_isolated_failures"] = "SELECT conv_id, turn, CASE WHEN contains(lower(substr(text, 1, 2)), 'a') THEN 'failed' ELSE 'done' END AS status, CASE WHEN contains(lower(substr(text, 1, 2)), 'a') THEN 'ValueError: no' END AS error FROM conversations"
-QUERIES["sch03_server_waits"] = lambda spark, sf_dir: spark.createDataFrame([(k, conversion.server_wait(k)) for k in range(10)], "attempt int, seconds double")
-SQL["sch03_server_waits"] = "SELECT k::INTEGER AS attempt, least(10.0, 1.5 + 1.2 * k)::DOUBLE AS seconds FROM range(10) r(k)"
+_ROUND = lambda: conversion.server_round(F.col("l_linenumber") - 1, F.col("l_quantity") - 20 - F.col("l_tax"), F.col("l_discount") * 5)
+QUERIES["sch03_server_rounds"] = lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _ROUND().alias("r")).select("l_orderkey", "l_linenumber", F.round("r.pause", 6).alias("pause"), "r.action", "r.seconds")
+SQL["sch03_server_rounds"] = """
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN least(10.0, 1.5 + 1.2 * (l_linenumber - 1) + l_discount * 5) ELSE 0.0 END AS pause, l_quantity - 20 - l_tax AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(pause::DOUBLE, 6) AS pause, CASE WHEN c <= 0 THEN 'send' WHEN greatest(1, ceil(c)) <= 10 THEN 'wait' ELSE 'delegate' END AS action, CASE WHEN c > 0 THEN (greatest(1, ceil(c)) + 1)::INTEGER END AS seconds FROM r
+"""
+
+
+def package_summaries(spark, sf_dir: str) -> DataFrame:
+    """The summaries of each customer's orders, taken for documents."""
+    o = table(spark, sf_dir, "orders")
+    items = o.select(F.col("o_custkey").alias("archive_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("doc.v"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("name"), (F.col("o_orderkey") % 30).alias("pages"), (F.col("o_orderstatus") == "F").alias("done"))
+    return conversion.package_summaries(items, F.lit("today"))
+
+
+QUERIES["snk03_summaries"] = package_summaries
+_HEAD = "chr(10) || ".join(f"{quoted(x)} || " for x in (conversion.PACKAGE_RULE, conversion.PACKAGE_HEAD[0], conversion.PACKAGE_HEAD[1] + "today", conversion.PACKAGE_HEAD[2], conversion.PACKAGE_RULE)) + "chr(10) || chr(10)"
+_ITEM = f"n || {quoted(conversion.PACKAGE_ITEM[0])} || 'doc.v' || o_orderkey || {quoted(conversion.PACKAGE_ITEM[1])} || p || {quoted(conversion.PACKAGE_ITEM[2])}"
+_TOTALS = f"chr(10) || chr(10) || {quoted(conversion.PACKAGE_LINE)} || chr(10) || {quoted(conversion.PACKAGE_TOTALS[0])} || documents || {quoted(conversion.PACKAGE_TOTALS[1])} || chr(10) || {quoted(conversion.PACKAGE_TOTALS[2])} || pages || {quoted(conversion.PACKAGE_TOTALS[3])} || chr(10) || {quoted(conversion.PACKAGE_TOTALS[4])} || chr(10) || {quoted(conversion.PACKAGE_LINE)}"
+SQL["snk03_summaries"] = f"""
+WITH o AS (SELECT *, o_orderstatus = 'F' AS done, CASE WHEN o_orderkey % 30 > 0 THEN o_orderkey % 30 ELSE 1 END AS p FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM o WHERE done),
+a AS (SELECT o_custkey, count(*) FILTER (done) AS documents, coalesce(sum(p) FILTER (done), 0)::BIGINT AS pages, count(*) FILTER (NOT done) AS failed FROM o GROUP BY 1),
+l AS (SELECT o_custkey, string_agg({_ITEM}, chr(10) ORDER BY n) AS items FROM r GROUP BY 1)
+SELECT o_custkey AS archive_id, documents, pages, failed, CASE WHEN documents > 0 THEN {_HEAD} || items || {_TOTALS} END AS summary FROM a LEFT JOIN l USING (o_custkey)
+"""
