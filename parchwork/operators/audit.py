@@ -33,6 +33,40 @@ def completed(df: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("origin") == "direct", F.col("text")).otherwise(kept)).drop("__done")
 
 
+#: What an assistant says about a text's grammar; each part may be null.
+ASSISTANT = "struct<items:array<struct<text:string,completion:string,reason:string,confidence:double>>,critical:boolean,abrupt:boolean,verdict:string,alert:string,completed:string>"
+# Of an assistant's finding without a reason or confidence.
+ASSISTANT_REASON, ASSISTANT_CONFIDENCE = "توقع نحوي عبر الذكاء الاصطناعي", 0.9
+
+
+def grammar_stage(df: DataFrame, assistant: Column | None = None) -> DataFrame:
+    """doc_id, text, sentences, items, critical, abrupt, verdict and alert: cuts found, and known ones completed in recognised text.
+
+    `df` has doc_id, text and origin. `assistant` is an answer of type ASSISTANT, null where there is none or it failed; direct text isn't sent to
+    one. Its findings follow the own ones but for those of the same text; its completed text counts only if it is longer.
+    """
+    told = F.lit(None).cast(ASSISTANT) if assistant is None else assistant
+    out = rules.grammar(df.withColumn("told", F.when(F.col("origin") != "direct", told)), ("text", "origin", "told"))
+    own = F.when(F.col("cut_text").isNotNull(), F.array(F.struct(F.col("cut_text").alias("text"), "completion", "reason", "confidence"))).otherwise(F.expr("cast(array() as array<struct<text:string,completion:string,reason:string,confidence:double>>)"))
+    out = out.withColumn("own", own)
+    taken = F.transform(
+        F.filter("told.items", lambda x: ~F.exists("own", lambda y: y["text"] == F.coalesce(x["text"], F.lit("")))),
+        lambda x: F.struct(
+            F.coalesce(x["text"], F.lit("")).alias("text"), F.coalesce(x["completion"], F.lit("")).alias("completion"),
+            F.coalesce(F.nullif(x["reason"], F.lit("")), F.lit(ASSISTANT_REASON)).alias("reason"), F.coalesce(F.nullif(x["confidence"], F.lit(0.0)), F.lit(ASSISTANT_CONFIDENCE)).alias("confidence"),
+        ),
+    )
+    critical = F.col("critical") | F.coalesce("told.critical", F.lit(False))
+    done = F.when(F.col("origin") == "direct", F.col("text")).otherwise(X.guard_pages(F.col("text"), rules.complete(F.col("text"))))
+    out = out.withColumn("done", done)
+    longer = F.length("told.completed") > F.length("done")
+    return out.select(
+        "doc_id", F.when(longer, X.guard_pages(F.col("done"), F.col("told.completed"))).otherwise(F.col("done")).alias("text"), "sentences", F.concat("own", F.coalesce(taken, F.slice("own", 1, 0))).alias("items"),
+        critical.alias("critical"), (F.col("abrupt") | F.coalesce("told.abrupt", F.lit(False))).alias("abrupt"), F.coalesce(F.nullif(F.col("told.verdict"), F.lit("")), F.col("verdict")).alias("verdict"),
+        F.when(critical, F.coalesce(F.nullif(F.col("told.alert"), F.lit("")), F.col("alert"))).alias("alert"),
+    )
+
+
 def structured(df: DataFrame) -> DataFrame:
     return structure_report.audited(df).withColumn("structural_repaired", F.col("structure.repaired"))
 

@@ -121,22 +121,22 @@ def complete(text: Column) -> Column:
     return F.when(has_arabic(text), done).otherwise(text)
 
 
-def grammar(df: DataFrame) -> DataFrame:
+def grammar(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, sentences, critical, abrupt, the cut that was found: cut_text, completion, reason, confidence (nulls if none), alert (null
-    unless critical) and verdict."""
+    unless critical) and verdict; and the columns `keep` of `df`."""
     t = trim(F.col("text"))
     known = F.lit(None).cast("struct<completion:string,critical:boolean,reason:string>")
     for c, reason in reversed(list(zip(COMPLETIONS, COMPLETION_REASONS, strict=True))):
         known = F.when(t.rlike(c.pattern), F.struct(F.lit(c.put).alias("completion"), F.lit(c.critical).alias("critical"), F.lit(reason).alias("reason"))).otherwise(known)
     sentences = F.size(F.filter(F.split(t, "[.؟!;\\n]+", -1), lambda x: F.length(trim(x)) > 5))
-    rows = df.select("doc_id", t.alias("t"), known.alias("known"), ends_hanging(F.col("text")).alias("hanging"), (is_curriculum_cut(F.col("text"))).alias("cut"), sentences.alias("sentences"))
+    rows = df.select("doc_id", *keep, t.alias("t"), known.alias("known"), ends_hanging(F.col("text")).alias("hanging"), (is_curriculum_cut(F.col("text"))).alias("cut"), sentences.alias("sentences"))
     hangs = F.col("hanging") & F.col("known").isNull()
     empty = F.col("t") == ""
     tail = lambda n: F.substring(F.col("t"), F.greatest(F.lit(1), F.length("t") - n + 1), F.lit(n))
     critical = ~empty & (F.coalesce(F.col("known.critical"), F.lit(False)) | hangs | F.col("cut"))
     particle = trim(F.regexp_substr("t", F.lit(PARTICLES)))
     return rows.select(
-        "doc_id", F.when(empty, 0).otherwise(F.col("sentences")).alias("sentences"), critical.alias("critical"),
+        "doc_id", *keep, F.when(empty, 0).otherwise(F.col("sentences")).alias("sentences"), critical.alias("critical"),
         (~empty & (F.col("known").isNotNull() | hangs | F.col("cut"))).alias("abrupt"), F.when(F.col("known").isNotNull(), tail(80)).when(hangs & ~empty, tail(60)).alias("cut_text"),
         F.when(F.col("known").isNotNull(), F.col("known.completion")).when(hangs & ~empty, HANGING).alias("completion"),
         F.when(F.col("known").isNotNull(), F.col("known.reason")).when(hangs & ~empty, F.concat(F.lit(HANGS_ON[0]), particle, F.lit(HANGS_ON[1]))).alias("reason"),

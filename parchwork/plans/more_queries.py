@@ -52,7 +52,16 @@ QUERIES["snk01d_script_runs"] = lambda spark, sf_dir: script_run_counts(corpus(s
 # an answer that loses text, one that loses page markers, and one that is taken
 _ANSWER = lambda: F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.length("text") * 0.7)).when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", X.MARKER, "")).otherwise(F.concat("text", F.lit("\nchecked")))
 QUERIES["g02_guarded_stage"] = lambda spark, sf_dir: audit.contextual(corpus(spark, sf_dir).withColumn("origin", F.lit("recognized")), _ANSWER()).select("doc_id", "text", "contextual_fixed")
-QUERIES["rul07_grammar_stage"] = lambda spark, sf_dir: audit.completed(corpus(spark, sf_dir).withColumn("origin", F.when(F.col("doc_id") % 2 == 0, "direct").otherwise("recognized"))).select("doc_id", "text")
+
+
+def grammar_stage(spark, sf_dir: str) -> DataFrame:
+    """Direct and recognised texts, some with an assistant's answer."""
+    t = corpus(spark, sf_dir).withColumn("origin", F.when(F.col("doc_id") % 2 == 0, "direct").otherwise("recognized"))
+    said = F.expr(f"cast(named_struct('items', array(named_struct('text', left(text, 20), 'completion', 'x', 'reason', cast(null as string), 'confidence', 0.8D)), 'critical', doc_id % 5 = 0, 'abrupt', false, 'verdict', '', 'alert', cast(null as string), 'completed', concat(text, ' end')) as {audit.ASSISTANT})")
+    return audit.grammar_stage(t, F.when(F.col("doc_id") % 3 > 0, said))
+
+
+QUERIES["rul07_grammar_stage"] = grammar_stage
 QUERIES["rul08_contextual_stage"] = lambda spark, sf_dir: audit.contextual(corpus(spark, sf_dir).withColumn("origin", F.lit("direct"))).select("doc_id", "text", "contextual_fixed")
 QUERIES["str14_structural_stage"] = lambda spark, sf_dir: audit.structured(corpus(spark, sf_dir).withColumn("file_name", F.lit(None).cast("string"))).select("doc_id", "text", "structural_repaired")
 

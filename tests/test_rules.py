@@ -190,3 +190,18 @@ VARIANTS = [
 def test_rules_take_any_vocalisation_but_no_missing_letter(spark):
     out = {r.doc_id: r.text for r in rules.repair(texts(spark, [t for t, _ in VARIANTS] + ["مِنْ تَقُتُ"])).collect()}
     assert all(want in out[i] for i, (_, want) in enumerate(VARIANTS)) and out[len(VARIANTS)] == "مِنْ تَقُتُ"
+
+
+def test_grammar_stage_merges_an_assistant(spark):
+    df = spark.createDataFrame([(1, "هذا الكلام عن من", "recognized"), (2, "هذا الكلام عن من", "direct"), (3, "جملة كاملة هنا.", "recognized")], "doc_id long, text string, origin string")
+    said = F.expr(
+        "cast(named_struct('items', array(named_struct('text', text, 'completion', 'again', 'reason', '', 'confidence', 0.5D), named_struct('text', 'other', 'completion', cast(null as string), 'reason', '', 'confidence', cast(null as double))), "
+        f"'critical', true, 'abrupt', false, 'verdict', 'told', 'alert', '', 'completed', concat(text, ' more')) as {audit.ASSISTANT})"
+    )
+    out = {r.doc_id: r for r in audit.grammar_stage(df, said).collect()}
+    assert [x.text for x in out[1]["items"]] == ["هذا الكلام عن من", "other"] and out[1].text.endswith(" more") and (out[1].verdict, out[1].alert) == ("told", rules.ALERT)
+    assert (out[1]["items"][1].completion, out[1]["items"][1].reason, out[1]["items"][1].confidence) == ("", audit.ASSISTANT_REASON, audit.ASSISTANT_CONFIDENCE)
+    assert len(out[2]["items"]) == 1 and out[2].text == "هذا الكلام عن من" and out[2].verdict == rules.CUT_VERDICT
+    assert len(out[3]["items"]) == 2 and out[3].critical and not out[3].abrupt and out[3].alert is None
+    alone = {r.doc_id: r for r in audit.grammar_stage(df).collect()}
+    assert alone[3]["items"] == [] and alone[3].text == "جملة كاملة هنا."
