@@ -138,3 +138,24 @@ QUERIES["img03_aged"] = lambda spark, sf_dir: images.enhance(_rasters(spark, sf_
 _GREY = "list_transform(embedding, lambda x: (((floor(x::DOUBLE * 64)::INTEGER + vec_id % 200) % 256) + 256) % 256)"
 SQL["img03_aged"] = f"SELECT origin, least::DOUBLE AS least, greatest::DOUBLE AS greatest, least > 30 OR greatest < 225 OR greatest - least < 170 AS aged FROM (SELECT vec_id::VARCHAR AS origin, list_min({_GREY}) AS least, list_max({_GREY}) AS greatest FROM embeddings)"
 QUERIES["img04_enhanced"] = lambda spark, sf_dir: images.enhance(_rasters(spark, sf_dir)).select("origin", "width", "data")
+
+
+def direct_answers(spark, sf_dir: str) -> DataFrame:
+    """Conversations as uploads: some without a payload, some with a broken one, some without a text layer."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k = F.col("doc_id") % 7
+    payload = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "data:application/pdf;base64,%%%").otherwise(F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.encode(F.col("doc_id").cast("string"), "UTF-8"))))
+    uploads = turns.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.concat(F.lit("scan.v"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), payload.alias("payload"))
+    layer = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.when(F.col("conv_id") % 3 > 0, F.col("text")).alias("page"))
+    return pages.direct_answers(uploads, layer).drop("markdown")
+
+
+QUERIES["src02_answers"] = direct_answers
+SQL["src02_answers"] = f"""
+WITH p AS (SELECT conv_id AS doc_id, count(*)::INTEGER AS n, string_agg(CASE WHEN conv_id % 3 > 0 THEN coalesce(text, '') ELSE '' END, chr(10) || chr(10) || '{X.MARKER}' || chr(10) || chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY 1),
+s AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN 400 WHEN 1 THEN 500 ELSE 200 END::INTEGER AS status, length(regexp_replace(raw, '\\s+', '', 'g')) > {pages.DIGITAL} AS digital FROM p),
+a AS (SELECT *, status = 200 AND digital AS success FROM s)
+SELECT doc_id, status, success, CASE WHEN status = 400 THEN {quoted(pages.NO_PAYLOAD)} WHEN status = 500 THEN {quoted(pages.BROKEN)} WHEN NOT success THEN {quoted(pages.NO_LAYER)} END AS error,
+       CASE WHEN success THEN 'scan.v' || doc_id END AS title, CASE WHEN success THEN 'English' END AS language, CASE WHEN success THEN 'ltr' END AS direction, CASE WHEN success THEN FALSE END AS has_arabic,
+       CASE WHEN success THEN contains(raw, '|') END AS has_tables, CASE WHEN success THEN n END AS total_pages, CASE WHEN success THEN {quoted(pages.METHOD)} END AS method, CASE WHEN success THEN raw END AS plain_text FROM a
+"""
