@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.llm import chat, decontamination, html_extraction, near_duplicates, packing, quality, sharding, suffixes, token_files, topk
+from parchwork.llm import chat, conversation_repair, decontamination, html_extraction, language_id, near_duplicates, packing, periodic_runs, quality, sharding, suffixes, token_files, topk
 from parchwork.plans.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ _QUERIES: dict[str, Query] = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 _ORACLES: dict[str, str] = {
@@ -29,6 +32,7 @@ _ORACLES: dict[str, str] = {
     "op5_near_duplicates": near_duplicates.ORACLE_SQL,
     "op6_chat": chat.ORACLE_SQL,
     "op7_top_k": topk.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
 
 
