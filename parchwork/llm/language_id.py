@@ -58,9 +58,9 @@ def _is_letter() -> np.ndarray:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hash cells of all n-grams of letters in `text`, lower-cased, a stretch of anything else being one blank."""
+    """Hash cells of all n-grams of letters in `text`, lower-cased, a stretch of anything else being one blank, as is a seam between chunks."""
     for at in range(0, len(text), CHUNK):
-        codes = np.frombuffer(text[max(0, at - GRAM) : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        codes = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         codes = np.where(_is_letter()[codes], codes, 0)
         codes = np.concatenate([[0], codes, [0]]).astype(np.uint32)
         codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
@@ -144,7 +144,7 @@ def fit(languages: list[str], column: np.ndarray, x: np.ndarray, of: np.ndarray,
         return 1 / counts[of[rows]] / np.count_nonzero(counts) * 100
 
     used = _Bits(x[~aside], codes[of[~aside]], weights(~aside))
-    value = _descend(used, rounds).reshape(used.shape)
+    value = (_descend(used, rounds) if codes.size else used.begin()).reshape(used.shape)
     temperature = 1.0
     if aside.any():
         margins, w = x[aside] @ value[:-1] + value[-1], weights(aside)
