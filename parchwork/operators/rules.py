@@ -13,6 +13,7 @@ from parchwork.functions.dialect import S, count, first_only, rewrite, round_hal
 from parchwork.functions.text import BRACKETS, DOTS, NESTED_BRACKETS, Step, has_arabic, has_dot_flood, has_truncation, search_key, subject
 from parchwork.operators.rule_tables import COMPLETION_REASONS, COMPLETIONS, NOTES, OTHER_SURAH, RULE_NOTES, RULES, SURAH_NUMBERS, TARGETS, spelled
 from parchwork.operators.structural import NOTES_TITLE, PARTICLES, displaced_notes, ends_hanging, is_curriculum_cut
+from parchwork.plans.session import materialize
 
 #: Points off the quality score.
 CRITICAL, WARNING, FLOOD, CUT = 18, 5, 30, 40
@@ -195,20 +196,22 @@ def verify(df: DataFrame, canonical: DataFrame) -> DataFrame:
     """doc_id, text, detected, corrected, accuracy: rules, targets, then quoted passages against `canonical` (ord, normalized, text).
 
     A passage whose best match reads otherwise is replaced, its first occurrence, by the canonical reading. If the canonical text
-    and its search key have different numbers of words a window has no reading, and the whole passage stands for it.
+    and its search key have different numbers of words a window has no reading, and the whole passage stands for it. Rows are told apart by
+    themselves, whatever their doc_id: repaired texts are written once under a number of their own, to which edits come back. A null text stays null.
     """
     from parchwork.operators.fuzzy import best_matches, passages
 
     fixed = repair_targets(repair(df.select("doc_id", "text"), counter="__fixed")).drop("__fixed")
-    found = passages(fixed).select("doc_id", "n", "passage").withColumn("snippet_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n").cast("string")))
+    fixed = materialize(fixed.withColumn("__row", F.monotonically_increasing_id()), "verify")
+    found = passages(fixed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "n", "passage").withColumn("snippet_id", F.struct("__row", "n"))
     best = best_matches(found.select("snippet_id", F.col("passage").alias("text")), canonical.select("ord", "normalized"))
     words = canonical.select("ord", F.col("text").alias("canonical_text"), "normalized")
     matched = found.join(best, "snippet_id").join(words, "ord")
     reading = F.when(F.col("whole") | (F.size(F.split("canonical_text", " ")) != F.size(F.split("normalized", " "))), F.col("canonical_text")).otherwise(
         F.array_join(F.slice(F.split("canonical_text", " "), F.size(F.split(F.substring(F.concat(F.lit(" "), F.col("normalized"), F.lit(" ")), F.lit(1), F.position(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")), F.concat(F.lit(" "), F.col("normalized"), F.lit(" ")))), " ")) - 1, F.size(F.split("phrase", " "))), " ")
     )
-    edits = matched.select("doc_id", "n", "passage", reading.alias("reading")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "passage", "reading"))).alias("edits"))
-    out = fixed.join(edits, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.expr("cast(array() as array<struct<n:int,passage:string,reading:string>>)")))
+    edits = matched.select("__row", "n", "passage", reading.alias("reading")).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("n", "passage", "reading"))).alias("edits"))
+    out = fixed.join(edits, "__row", "left").withColumn("edits", F.coalesce("edits", F.expr("cast(array() as array<struct<n:int,passage:string,reading:string>>)")))
 
     def put(t: Column, e: Column) -> Column:
         at = F.position(e["passage"], t)

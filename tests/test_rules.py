@@ -164,12 +164,75 @@ def test_audit_counts_add_up_and_rows_stay_apart(spark):
     assert all(r.auto_fixed == sum(r[c] for c in audit.COUNTERS) for r in rows) and max(r.contextual_fixed for r in rows) == 1
 
 
-def test_a_large_canonical_table_gives_the_same_matches(spark, monkeypatch):
-    canonical = rules.keys_of(spark.createDataFrame([(k, f"passage number {k} of the book on mills and rivers") for k in range(40)], "ord long, text string"))
-    asked = spark.createDataFrame([(k, f"passage nmber {k} of the book on mills and rivers") for k in range(5, 15)], "snippet_id long, text string")
-    want = sorted(fuzzy.best_matches(asked, canonical).collect())
-    monkeypatch.setattr(fuzzy, "DIMENSION", 7)
-    assert len(want) == 10 and sorted(fuzzy.best_matches(asked, canonical).collect()) == want
+def test_verification_goes_by_row(spark):
+    canonical = rules.keys_of(spark.createDataFrame([(1, "الْحَمْدُ لِلَّهِ رَبِّ الْعَالَمِينَ")], "ord int, text string"))
+    wrong = "قال: «الحمد لله رب العالمين» ثم"
+    rows = [(None, wrong), (5, wrong), (5, "no quotation here"), (6, wrong), (7, None)]
+    out = [(r.doc_id, r.detected, r.corrected, r.accuracy) for r in rules.verify(spark.createDataFrame(rows, "doc_id long, text string"), canonical).collect()]
+    assert sorted(out, key=str) == sorted([(None, 1, 1, 0), (5, 1, 1, 0), (5, 0, 0, 100), (6, 1, 1, 0), (7, 0, 0, 100)], key=str)
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _similar(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return max(0.75, min(len(a), len(b)) / max(len(a), len(b)))
+    ta, tb = ({w for w in x.split(" ") if len(w) > 1} for x in (a, b))
+    return max(len(ta & tb) / len(ta | tb) if ta and tb else 0.0, 1 - _distance(a, b) / max(len(a), len(b)))
+
+
+def _best(key: str, passages: list[tuple[int, str]]):
+    """Every passage and every window of the asked sizes."""
+    w, found = len(key.split()), []
+    for o, p in passages:
+        parts = p.split()
+        if _similar(key, p) >= 0.7:
+            found.append((-_similar(key, p), o, 0, 0, 0, p))
+        for rank, size in enumerate((w, w + 1, max(1, w - 1))):
+            if w <= len(parts) and size <= len(parts) and not (w >= 2 and size < 2):
+                windows = ((at, " ".join(parts[at : at + size])) for at in range(len(parts) - size + 1))
+                found += [(-s, o, 1, rank, at, x) for at, x in windows if (s := _similar(key, x)) >= 0.78]
+    return min(found)[:2] + min(found)[-1:] if found else None
+
+
+def test_the_index_misses_no_match(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = ["ab", "abc", "c", "caba", "bca", "acbcab", "bb", "cab", "bacb", "d"]
+    passages = sorted({" ".join(rng.choices(vocabulary, k=rng.randint(1, 9))) for _ in range(60)})
+    asked = []
+    for _ in range(150):
+        words = rng.choice(passages).split()
+        at, size = rng.randrange(len(words)), rng.randint(1, 9)
+        text = list(" ".join(words[at : at + size]))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(text) + 1)
+            text[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "x", " "])
+        asked.append(" ".join("".join(text).split()))
+    canonical = spark.createDataFrame(list(enumerate(passages)), "ord long, normalized string")
+    rows = fuzzy.best_matches(spark.createDataFrame(list(enumerate(asked)), "snippet_id long, text string"), canonical).collect()
+    got = {r.snippet_id: (r.ord, r.phrase, round(r.score, 9)) for r in rows}
+    want = {k: (b[1], b[2], round(-b[0], 9)) for k, key in enumerate(asked) if len(key) >= 3 and (b := _best(key, list(enumerate(passages))))}
+    assert got == want and len(want) > 100
+
+
+def test_matching_odd_rows(spark):
+    canonical = spark.createDataFrame([(1, "river stone"), (1, "river stone"), (2, None), (3, ""), (4, "x")], "ord long, normalized string")
+    asked = spark.createDataFrame([(1, "river stone"), (1, "river stone"), (None, "river stome"), (2, None), (3, ""), (4, "xx"), (5, "far away")], "snippet_id long, text string")
+    assert sorted(map(str, ((r.snippet_id, r.ord, r.whole) for r in fuzzy.best_matches(asked, canonical).collect()))) == sorted(map(str, [(1, 1, True), (1, 1, True), (None, 1, True)]))
+    assert fuzzy.best_matches(asked.where("false"), canonical).count() == fuzzy.best_matches(asked, canonical.where("false")).count() == 0
+    plan = fuzzy.best_matches(asked, canonical)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_upsert_of_repeated_keys(spark):
