@@ -125,7 +125,8 @@ def damage(df: DataFrame) -> DataFrame:
     """`df` (doc_id, text), in which the query makes the end of each text periodic whose crc32 of doc_id is divisible by 10."""
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    with_words = df.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, words)).withColumn("a", F.col("g") % F.size("words"))
+    some = df.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, words))
+    with_words = some.withColumn("words", F.when(F.size("words") > 0, F.col("words"))).withColumn("a", F.col("g") % F.size("words"))
     with_words = with_words.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
     cycled = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.col("words")[(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")]))
     return with_words.select("doc_id", F.when(F.size("words") > 0, F.array_join(cycled, " ")).otherwise(F.col("text")).alias("text"))
