@@ -1,7 +1,8 @@
 """Rule engines: detection, ordered rewrites, completions and verification (RUL, FUZ-5 to FUZ-7, STR-2, STR-3).
 
-Rules are literals in the plan. Detection reads the text as it came, so its rules are independent of each other; rewrites
-see what earlier ones left and are one projection each.
+Rules are data: an array of patterns and replacements in the plan, over which rewrites are folded, so a plan doesn't grow
+with its rules, and each rule sees what earlier ones left. Detection reads the text as it came, so its rules are independent of each
+other. A text is searched once for the words that rules need; without any of them no rule is tried.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parchwork.functions.dialect import S, count, first_only, rewrite, round_half_up, trim
 from parchwork.functions.text import BRACKETS, DOTS, NESTED_BRACKETS, Step, has_arabic, has_dot_flood, has_truncation, search_key, subject
+from parchwork.operators import prefilter
 from parchwork.operators.rule_tables import COMPLETION_REASONS, COMPLETIONS, NOTES, OTHER_SURAH, RULE_NOTES, RULES, SURAH_NUMBERS, TARGETS, spelled
 from parchwork.operators.structural import NOTES_TITLE, PARTICLES, displaced_notes, ends_hanging, is_curriculum_cut
 from parchwork.plans.session import materialize
@@ -37,22 +39,33 @@ def _literal(put: str) -> str:
     return put.replace("\\", "\\\\").replace("$", "\\$")
 
 
+#: Which rules and targets can occur in a text; the rule on dots needs no word.
+RULE_WORDS, TARGET_WORDS = prefilter.of([r.pattern for r in RULES]), prefilter.of([t.pattern for t in TARGETS])
+_FLOODS = [spelled(r.pattern) for r in RULES if r.category == "dot_flood"]
+
+
 def errors(text: Column) -> Column:
     """An array of (ord, category, severity, subject, location, surah, ayah, found, correct, explanation, context): the rules of table A that match."""
-    found, arabic = [], has_arabic(text)
-    for i, (r, (location, explanation)) in enumerate(zip(RULES, RULE_NOTES, strict=True)):
+
+    def row(i: int) -> Column:
+        r, (location, explanation) = RULES[i], RULE_NOTES[i]
         p = spelled(r.pattern)
         at = F.regexp_instr(text, F.lit(p)) - 1
         start = F.greatest(F.lit(0), at - 50)
         context = trim(F.regexp_replace(F.substring(text, start + 1, at + 80 - start), "\\n++", " "))
-        row = F.struct(
+        found = F.struct(
             F.lit(i).alias("ord"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.subject).alias("subject"), F.lit(location).alias("location"), F.lit(r.surah).cast("string").alias("surah"), F.lit(r.ayah).cast("int").alias("ayah"),
             shortened(F.regexp_substr(text, F.lit(p)), 40, 35).alias("found"), F.lit(r.put if len(r.put) <= 60 else r.put[:55] + "...").alias("correct"), F.lit(explanation).alias("explanation"), context.alias("context"),
         )
-        found.append(F.when(text.rlike(p), row))
+        return F.when(text.rlike(p), found)
+
+    def matching(words: Column) -> Column:
+        every = F.array(*(F.when(RULE_WORDS.may(i, words), row(i)) for i in range(len(RULES))))
+        return F.filter(F.when(F.size(words) > 0, every).otherwise(floods), lambda x: x.isNotNull())
+
+    floods = F.array(*(row(i) for i, r in enumerate(RULES) if r.category == "dot_flood"))
     # but for dots every rule needs Arabic letters: one test spares the others
-    present = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(arabic, present).otherwise(F.filter(F.array(*(x for x, r in zip(found, RULES, strict=True) if r.category == "dot_flood")), lambda x: x.isNotNull()))
+    return F.when(has_arabic(text), F.flatten(F.transform(F.array(RULE_WORDS.found(text)), matching))).otherwise(F.filter(floods, lambda x: x.isNotNull()))
 
 
 def audit(df: DataFrame) -> DataFrame:
@@ -84,34 +97,48 @@ def repair(df: DataFrame, column: str = "text", counter: str = "fixed", items: s
     `items`, if named, holds the errors of the text as it came.
 
     Verses come in ornate brackets. Dots are compressed after the rules, or the flood rule would find none. Texts without Arabic
-    letters meet the rule on dots alone, and a rule that matches nothing rewrites nothing.
+    letters meet the rule on dots alone; a text in which no rule can occur is not folded over. A null text stays null, with a count of 0.
     """
-    out = df if items is None else df.withColumn(items, errors(F.col(column)))
-    out = out.withColumns({counter: F.lit(0), "__arabic": has_arabic(F.col(column))})
-    for r in RULES:
-        p, put = spelled(r.pattern), f"﴿{r.put}﴾" if r.category == "quran_verse" else r.put
-        found = count(F.col(column), p)
-        out = out.withColumn("__n", found if r.category == "dot_flood" else F.when(F.col("__arabic"), found).otherwise(0))
-        out = out.withColumns({counter: F.col(counter) + F.col("__n"), column: F.when(F.col("__n") > 0, F.regexp_replace(F.col(column), p, _literal(put))).otherwise(F.col(column))})
-    return out.withColumn(column, F.when(F.col("__arabic") | F.col(column).rlike("\\.{5}|\\.[ \\t]+\\.|[﴿﴾]"), rewrite(F.col(column), [*DOTS, *NESTED_BRACKETS])).otherwise(F.col(column))).drop("__arabic", "__n")
+    t, text, arabic = F.col(column), F.col("__fixed.text"), F.col("__arabic")
+    out = df if items is None else df.withColumn(items, errors(t))
+    rules = F.array(*(F.struct(F.lit(spelled(r.pattern)).alias("p"), F.lit(_literal(f"﴿{r.put}﴾" if r.category == "quran_verse" else r.put)).alias("put"), F.lit(r.category == "dot_flood").alias("flood")) for r in RULES))
+    begun = F.struct(t.alias("text"), F.lit(0).alias("n"))
 
+    def apply(done: Column, r: Column) -> Column:
+        hit = (arabic | r["flood"]) & F.rlike(done["text"], r["p"])
+        return F.when(hit, F.struct(F.regexp_replace(done["text"], r["p"], r["put"]).alias("text"), (done["n"] + F.regexp_count(done["text"], r["p"])).alias("n"))).otherwise(done)
 
-def repair_targets(df: DataFrame, column: str = "text") -> DataFrame:
-    """`df` with known misreadings of table B put right, and `targets`: (ord, surah_no, ayah, found, count) of those that occurred.
+    suspect = F.lit(False)
+    for p in _FLOODS:
+        suspect = suspect | t.rlike(p)
+    out = out.withColumn("__arabic", has_arabic(t))
+    out = out.withColumn("__fixed", F.when(suspect | (arabic & (F.size(RULE_WORDS.found(t)) > 0)), F.aggregate(rules, begun, apply)).otherwise(begun))
+    spaced = F.when(arabic | text.rlike("\\.{5}|\\.[ \\t]+\\.|[﴿﴾]"), rewrite(text, [*DOTS, *NESTED_BRACKETS])).otherwise(text)
+    return out.withColumns({counter: F.col("__fixed.n"), column: spaced}).drop("__arabic", "__fixed")
 
-    """
-    out, reports = df.withColumn("__arabic", has_arabic(F.col(column))), []
-    for i, t in enumerate(TARGETS):
-        p = spelled(t.pattern)
-        here = F.col("__arabic") & F.col(column).rlike(p)
-        name = f"__t{i}"
-        row = F.struct(F.lit(i).alias("ord"), F.lit(SURAH_NUMBERS.get(t.surah, OTHER_SURAH)).alias("surah_no"), F.lit(t.ayah).alias("ayah"), F.regexp_substr(F.col(column), F.lit(p)).alias("found"), count(F.col(column), p).alias("count"))
+
+_TARGETS = "array<struct<ord:int,surah_no:int,ayah:int,found:string,count:int>>"
+
+
+def repair_targets(df: DataFrame, column: str = "text") -> DataFrame:
+    """`df` with known misreadings of table B put right, and `targets`: (ord, surah_no, ayah, found, count) of those that occurred."""
+    t, rows = F.col(column), []
+    for i, x in enumerate(TARGETS):
+        p = spelled(x.pattern)
         # of a phrase about a bracketed word, what stands after the bracket is kept
-        head, _, rest = t.pattern.partition("﴾?_")
+        head, _, rest = x.pattern.partition("﴾?_")
         taken = spelled(f"{head}﴾(?=_{rest})|{head}_{rest}") if rest else p
-        out = out.withColumns({name: F.when(here, row), column: F.when(F.col("__arabic"), F.regexp_replace(F.col(column), taken, _literal(f"﴿{t.put}﴾"))).otherwise(F.col(column))})
-        reports.append(name)
-    return out.withColumn("targets", F.filter(F.array(*reports), lambda x: x.isNotNull())).drop("__arabic", *reports)
+        rows.append(F.struct(F.lit(i).alias("ord"), F.lit(SURAH_NUMBERS.get(x.surah, OTHER_SURAH)).alias("surah_no"), F.lit(x.ayah).alias("ayah"), F.lit(p).alias("p"), F.lit(taken).alias("taken"), F.lit(_literal(f"﴿{x.put}﴾")).alias("put")))
+    begun = F.struct(t.alias("text"), F.expr(f"cast(array() as {_TARGETS})").alias("targets"))
+
+    def apply(done: Column, r: Column) -> Column:
+        told = F.struct(r["ord"].alias("ord"), r["surah_no"].alias("surah_no"), r["ayah"].alias("ayah"), F.regexp_substr(done["text"], r["p"]).alias("found"), F.regexp_count(done["text"], r["p"]).alias("count"))
+        put = F.struct(F.regexp_replace(done["text"], r["taken"], r["put"]).alias("text"), F.concat(done["targets"], F.array(told)).alias("targets"))
+        return F.when(F.rlike(done["text"], r["p"]), put).otherwise(done)
+
+    suspect = has_arabic(t) & (F.size(TARGET_WORDS.found(t)) > 0)
+    out = df.withColumn("__hit", F.when(suspect, F.aggregate(F.array(*rows), begun, apply)).otherwise(begun))
+    return out.withColumns({"targets": F.col("__hit.targets"), column: F.col("__hit.text")}).drop("__hit")
 
 
 def complete(text: Column) -> Column:
