@@ -1,11 +1,13 @@
 """The structural auditor's report: one row of an array for each finding, counts and a verdict (STR-1 to STR-14).
 
-Each step is a projection: what it finds is appended to the report, then the text is rewritten, so later steps see earlier
-edits. Findings are (id, category, severity, title, found, fixed, repaired), in the order of the steps.
+A state of text and findings goes from step to step within one expression: what a step finds is appended to the report, then the
+text is rewritten, so later steps see earlier edits, and the plan doesn't grow with the steps. Findings are (id, category, severity, title, found, fixed, repaired), in the order of the steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,23 +87,40 @@ def audited(df: DataFrame, column: str = "text", file_name: str = "file_name", r
     issues = F.when(blank, F.expr(f"cast(array() as {_ISSUES})")).otherwise(_notes(F.col("__moved"), F.col("__missing")))
     out = out.withColumn("__issues", issues).drop("__moved", "__missing")
 
-    def step(found: Column, rewritten: Column, only: Column) -> None:
-        nonlocal out
-        out = out.withColumns({"__issues": F.when(only, F.concat("__issues", found)).otherwise(F.col("__issues")), column: F.when(only, rewritten).otherwise(t)})
+    state = F.array(F.struct(t.alias("text"), F.col("__issues").alias("issues")))  # of one element, so that a lambda can name it
+
+    def step(only: Column, rewritten: Callable[[Column], Column] | None, found: Callable[[Column], Column] | None) -> None:
+        nonlocal state
+
+        def taken(s: Column) -> Column:
+            text, issues = s["text"], s["issues"]
+            return F.struct((rewritten(text) if rewritten else text).alias("text"), (F.concat(issues, found(text)) if found else issues).alias("issues"))
+
+        state = F.transform(state, lambda s: F.when(only, taken(s)).otherwise(s))
+
+    def untitled(x: Column) -> Column:
+        first, named = structural.title_parts(x, name)
+        return _if(~structural.has_title(x), _issue("header-missing-h1", _HEADER, "warning", H1_TITLE, F.when(first != "", F.substring(first, 1, 50)).otherwise(H1_FOUND), F.concat(F.lit("# "), named)))
+
+    def skips(x: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(x, F.lit(f"{BOL}[ \\t]*+([0-9]++)\\.[ \\t]++"), F.lit(1)), lambda n: n.try_cast("bigint"))
+        return F.flatten(F.transform(F.array(numbers), _skips))
+
+    def wherever(pattern: str, issue: Column) -> Callable[[Column], Column]:
+        return lambda x: _if(x.rlike(pattern), issue)
 
-    first, named = structural.title_parts(t, name)
-    untitled = _issue("header-missing-h1", _HEADER, "warning", H1_TITLE, F.when(first != "", F.substring(first, 1, 50)).otherwise(H1_FOUND), F.concat(F.lit("# "), named))
-    step(_if(~structural.has_title(t), untitled), structural.add_title(t, name), ~blank)
     in_arabic = ~blank & arabic
-    step(_promoted(F.split(t, "\n", -1)), structural.promote_headings(t), in_arabic)
-    step(_if(structural.is_lettered(t), _issue("numbering-hierarchy-mabadi", _NUMBERS, "critical", LETTERED_TITLE, LETTERED_FOUND, LETTERED_FIXED)), structural.renumber_letters(t), in_arabic)
-    out = out.withColumn("__numbers", F.transform(F.regexp_extract_all(column, F.lit(f"{BOL}[ \\t]*+([0-9]++)\\.[ \\t]++"), F.lit(1)), lambda x: x.try_cast("bigint")))
-    out = out.withColumn("__issues", F.when(blank, F.col("__issues")).otherwise(F.concat("__issues", _skips(F.col("__numbers"))))).drop("__numbers")
-    step(_if(t.rlike(structural.RUNNING), _issue("header-dedup-", _HEADER, "warning", RUNNING_TITLE, RUNNING_FOUND, RUNNING_FIXED)), structural.collapse_headers(t), in_arabic)
-    out = out.withColumn(column, F.when(blank, t).otherwise(structural.collapse_lines(t)))
-    step(_if(t.rlike(conversion.EMPTY_CELL), _issue("table-cell-madani-", _HEADER, "critical", CELL_TITLE, CELL_FOUND, f"| {conversion.MADANI} |")), conversion.completed_comparison(t), in_arabic)
-    step(_if(t.rlike(structural.HORSES), _issue("question-repair-khayl", _HEADER, "critical", HORSES_TITLE, HORSES_FOUND, HORSES_FIXED)), structural.complete_horses(t), in_arabic)
-    step(_if(t.rlike(structural.SCIENCES), _issue("definition-repair-ulum-quran", _HEADER, "critical", SCIENCES_TITLE, SCIENCES_FOUND, SCIENCES_FIXED)), structural.complete_sciences(t), in_arabic)
+    step(~blank, lambda x: structural.add_title(x, name), untitled)
+    step(in_arabic, structural.promote_headings, lambda x: _promoted(F.split(x, "\n", -1)))
+    step(in_arabic, structural.renumber_letters, lambda x: _if(structural.is_lettered(x), _issue("numbering-hierarchy-mabadi", _NUMBERS, "critical", LETTERED_TITLE, LETTERED_FOUND, LETTERED_FIXED)))
+    step(~blank, None, skips)
+    step(in_arabic, structural.collapse_headers, wherever(structural.RUNNING, _issue("header-dedup-", _HEADER, "warning", RUNNING_TITLE, RUNNING_FOUND, RUNNING_FIXED)))
+    step(~blank, structural.collapse_lines, None)
+    step(in_arabic, conversion.completed_comparison, wherever(conversion.EMPTY_CELL, _issue("table-cell-madani-", _HEADER, "critical", CELL_TITLE, CELL_FOUND, f"| {conversion.MADANI} |")))
+    step(in_arabic, structural.complete_horses, wherever(structural.HORSES, _issue("question-repair-khayl", _HEADER, "critical", HORSES_TITLE, HORSES_FOUND, HORSES_FIXED)))
+    step(in_arabic, structural.complete_sciences, wherever(structural.SCIENCES, _issue("definition-repair-ulum-quran", _HEADER, "critical", SCIENCES_TITLE, SCIENCES_FOUND, SCIENCES_FIXED)))
+    out = out.withColumn("__state", state)
+    out = out.withColumns({column: F.col("__state")[0]["text"], "__issues": F.col("__state")[0]["issues"]}).drop("__state")
     out = conversion.calibrated_contents(out, column, told="__calibrated")
     before, after = CONTENTS_TITLE
     calibrated = F.transform("__calibrated", lambda e: _issue("index-mismatch-", _NUMBERS, "warning", F.concat(F.lit(before), e["topic"], F.lit(after)), e["old"], e["new"]))
