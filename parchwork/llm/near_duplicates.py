@@ -1,6 +1,7 @@
 """Near-duplicate documents by one-permutation MinHash, with links confirmed on full shingle sets.
 
-1. Documents of equal shingle sets form a class; its least doc_id stands for it from here on.
+1. Documents of the same words in the same order, by a cryptographic digest of the words' bytes, form a class; its least doc_id
+   stands for it from here on. Equal sets of other orders agree in every band and are linked like other pairs.
 2. Each representative gets one banded signature from a single hash per shingle, with optimal
    densification. Documents that agree in a band share a bucket.
 3. A bucket proposes a star: its least member with each other member, never all pairs. Stars
@@ -14,11 +15,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,11 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _digest(text: bytes) -> bytes:
+    """Of the words' bytes: texts of one digest are one class. Equal sets of other orders share all bands and are linked as pairs."""
+    return hashlib.blake2b(b" ".join(text.translate(_words.LOWER).split()), digest_size=16).digest()
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = OnePermutation(bands, rows)
@@ -55,7 +61,7 @@ def _sketch(width: int, bands: int, rows: int):
                 for i, own, exact in zip(range(a, b), *_words.sets_of(texts[a:b], width, _words.BLANKS), strict=True):
                     if len(own):
                         sizes[i], keys[i] = len(exact), family.band_keys(own)
-                        digests[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
+                        digests[i] = np.frombuffer(_digest(texts[i]), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=_SKETCH.names
             )

@@ -226,3 +226,10 @@ def test_sets_stay_exact_under_equal_hashes(monkeypatch, what):
     want = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for w in words]
     assert [len(s) for s in sets] == [len(s) for s in want]
     assert all(len(np.intersect1d(a, b)) == len(x & y) for a, x in zip(sets, want) for b, y in zip(sets, want))
+
+
+def test_words_of_one_hash_link_nothing(documents):
+    # two words of sixteen bytes that the word hash can't tell apart
+    rows = [(1, "fvgokprz!@!!!![! red green blue"), (2, "hktljffo>|d6w*de red green blue"), (3, "FVGOKPRZ!@!!!![!\tred  green blue\n"), (4, "a b c d e a b c d"), (5, "b c d e a b c d e a b"), (6, "e a b c d e a b c d e")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(documents(rows), width=4).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False), 4: (5, 4, True), 5: (5, 4, False), 6: (5, 4, False)}
