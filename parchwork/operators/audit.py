@@ -6,6 +6,8 @@ that hold a page marker are taken apart into pages and put together again, by a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,24 @@ ASSISTANT = "struct<items:array<struct<text:string,completion:string,reason:stri
 ASSISTANT_REASON, ASSISTANT_CONFIDENCE = "توقع نحوي عبر الذكاء الاصطناعي", 0.9
 
 
+# The verdict that stands for an answer that failed.
+FAILED_VERDICT = "تم فحص القواعد النحوية محلياً"
+
+
+def clean_report() -> Column:
+    """What counts as an assistant's answer where the call failed: no finding, and nothing completed."""
+    return F.from_json(F.lit(json.dumps({"items": [], "critical": False, "abrupt": False, "verdict": FAILED_VERDICT}, ensure_ascii=False)), ASSISTANT)
+
+
+def answered(answer: Column, failed: Column) -> Column:
+    """An answer of type ASSISTANT, or the clean report where the call failed or its answer can't be read (null)."""
+    return F.when(F.coalesce(failed, F.lit(False)) | answer.isNull(), clean_report()).otherwise(answer)
+
+
 def grammar_stage(df: DataFrame, assistant: Column | None = None) -> DataFrame:
     """doc_id, text, sentences, items, critical, abrupt, verdict and alert: cuts found, and known ones completed in recognised text.
 
-    `df` has doc_id, text and origin. `assistant` is an answer of type ASSISTANT, null where there is none or it failed; direct text isn't sent to
+    `df` has doc_id, text and origin. `assistant` is an answer of type ASSISTANT, null where none was asked for (`answered` stands for failed calls); direct text isn't sent to
     one. Its findings follow the own ones but for those of the same text; its completed text counts only if it is longer.
     """
     told = F.lit(None).cast(ASSISTANT) if assistant is None else assistant

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.operators import ranges
+
 #: Rows that the bounded view keeps.
 BOUND = 20
 
@@ -42,16 +44,23 @@ def mark(history: DataFrame, keys: DataFrame, column: str = "downloaded", key: s
     return history.join(marked, key, "left").select(*rest, F.coalesce("__hit", F.col(column), F.lit(False)).alias(column)).select(history.columns)
 
 
-def merged_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """One document of all pages: `documents` (doc_id, ord) in order, `pages` (doc_id, page_no, page). merged_no counts from 1.
+# What isn't merged, and the error of a merger without pages.
+NOT_MERGED, NO_PAGES = "docx", "لم يتم إضافة أي صفحات للملف المدمج"
+
+
+def merged_pages(documents: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """One document of all pages: `documents` (doc_id, ord[, kind]) in order, `pages` (doc_id, page_no, page). merged_no counts from 1.
 
-    Page numbers come from running sums of page counts, so only counts, not pages, are put in one order.
+    Word documents (kind docx) are skipped, as are pages of no document. Order is by ord, doc_id and page_no, nulls first. Numbers come from
+    sums over ranges of that order, so a document of any size is dealt over tasks. With `strict` a merger without pages is an error,
+    which costs a look for one row.
     """
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n")).join(documents, "doc_id")
-    before = Window.orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
-    return pages.withColumn("__own", own).join(starts, "doc_id").select((F.col("__start") + F.col("__own")).alias("merged_no"), "doc_id", "page_no", "page")
+    merged = documents.where(~F.coalesce(F.col("kind") == NOT_MERGED, F.lit(False))) if "kind" in documents.columns else documents
+    found = pages.select("doc_id", "page_no", "page").join(merged.select("doc_id", "ord"), "doc_id")
+    if strict and found.isEmpty():
+        raise ValueError(NO_PAGES)
+    numbered = ranges.running(found, [F.col("ord"), F.col("doc_id"), F.col("page_no")], F.lit(1), "merged_no")
+    return numbered.select("merged_no", "doc_id", "page_no", "page")
 
 
 def archive_totals(items: DataFrame, done: Column, pages: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchwork.functions import text as X
 from parchwork.operators import batch, history
-from parchwork.plans.fixtures import values_sql
+from parchwork.plans.fixtures import dealt, dealt_sql, values_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,8 +92,11 @@ MESSAGES: tuple[tuple[str, int], ...] = (
 )
 
 
-def _messages(spark) -> DataFrame:
-    return spark.createDataFrame(list(MESSAGES), "message string, status int")
+def _messages(spark, sf_dir: str) -> DataFrame:
+    """Events as a provider's answers: event_id, message, status. Every third one names a wait of its own."""
+    rows = dealt(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", MESSAGES, ("said", "status"))
+    wait = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" retry in "), F.floor("value").cast("string"), F.lit("s"))).otherwise("")
+    return rows.select("event_id", F.concat("said", wait).alias("message"), "status")
 
 
 _WAIT = "ceil(try_cast(CASE WHEN regexp_matches(message, '(?i)retry in [0-9.]+s') THEN regexp_extract(message, '(?i)retry in ([0-9.]+)s', 1) WHEN regexp_matches(message, '(?i)retryDelay\"?:\\s*\"[0-9]+s\"') THEN regexp_extract(message, '(?i)retryDelay\"?:\\s*\"([0-9]+)s\"', 1) END AS DOUBLE))::INTEGER"
@@ -107,22 +110,29 @@ _KIND = (
     f"CASE WHEN {_has('404', 'NOT_FOUND', 'no longer available')} THEN 'not_found' WHEN {_has('GenerateRequestsPerDay')} OR ({_has('free_tier_requests')} AND ({_has('limit: 500')} OR coalesce(wait > 300, FALSE))) THEN 'quota_daily' "
     f"WHEN {_has('GenerateRequestsPerMinute', 'limit: 5', 'limit: 15', '429', 'RESOURCE_EXHAUSTED')} OR coalesce(wait <= 120, FALSE) OR {_has('rate limit', of='lower(message)')} THEN 'quota_minute' WHEN {_has('503', 'UNAVAILABLE')} OR {_has('high demand', 'peak demand', 'overloaded', of='lower(message)')} THEN 'busy' END"
 )
-_M = f"m AS (SELECT *, {_WAIT} AS wait FROM {values_sql(MESSAGES, 'message, status')})"
-QUERIES["err01_provider_errors"] = lambda spark, sf_dir: _messages(spark).select("message", batch.provider_error(F.col("message")).alias("kind"), batch.retry_seconds(F.col("message")).alias("wait"))
-SQL["err01_provider_errors"] = f"WITH {_M} SELECT message, {_KIND} AS kind, wait FROM m"
-QUERIES["err02_responses"] = lambda spark, sf_dir: _messages(spark).select("message", batch.response_class(F.col("message")).alias("r")).select("message", "r.status", "r.daily", "r.retry_after")
+_ANSWERS = f"(SELECT event_id, said || CASE WHEN event_id % 3 = 0 THEN ' retry in ' || floor(value)::BIGINT || 's' ELSE '' END AS message, status FROM {dealt_sql('events', 'event_id', MESSAGES, ('said', 'status'))})"
+_M = f"m AS (SELECT *, {_WAIT} AS wait FROM {_ANSWERS})"
+QUERIES["err01_provider_errors"] = lambda spark, sf_dir: _messages(spark, sf_dir).select("event_id", batch.provider_error(F.col("message")).alias("kind"), batch.retry_seconds(F.col("message")).alias("wait"))
+SQL["err01_provider_errors"] = f"WITH {_M} SELECT event_id, {_KIND} AS kind, wait FROM m"
+QUERIES["err02_responses"] = lambda spark, sf_dir: _messages(spark, sf_dir).select("event_id", batch.response_class(F.col("message")).alias("r")).select("event_id", "r.status", "r.daily", "r.retry_after")
 _BUSY = f"({_has('503', 'UNAVAILABLE')} OR {_has('high demand', 'peak demand', 'overloaded', 'temporary', of='lower(message)')})"
 _LIMITED, _DAILY = f"({_has('429', 'RESOURCE_EXHAUSTED', 'Quota exceeded')} OR {_has('rate limit', 'quota', of='lower(message)')})", f"({_has('GenerateRequestsPerDay')} OR ({_has('free_tier_requests')} AND ({_has('limit: 500')} OR coalesce(wait, 15) > 300)))"
-SQL["err02_responses"] = f"WITH {_M} SELECT message, CASE WHEN {_BUSY} THEN 503 WHEN {_LIMITED} THEN 429 ELSE 500 END AS status, NOT {_BUSY} AND {_LIMITED} AND {_DAILY} AS daily, CASE WHEN {_BUSY} THEN greatest(6, least(25, coalesce(wait, 15))) WHEN {_LIMITED} AND {_DAILY} THEN 60 WHEN {_LIMITED} THEN greatest(10, least(65, coalesce(wait, 15) + 2)) END AS retry_after FROM m"
-QUERIES["err03_throttled"] = lambda spark, sf_dir: _messages(spark).select("message", batch.is_throttled(F.col("status"), F.col("message")).alias("throttled"))
-SQL["err03_throttled"] = f"WITH {_M} SELECT message, status IN (429, 502, 503, 504) OR {_has('peak demand', 'high demand', 'rate limit', 'quota', 'overloaded', of='lower(message)')} OR {_has('ضغطاً مؤقتاً', 'UNAVAILABLE', 'استجابة غير صالحة', 'تعذر الاتصال', '503', '429')} AS throttled FROM m"
-QUERIES["sch02_cooldowns"] = lambda spark, sf_dir: _messages(spark).select("message", batch.cooldown_seconds(batch.provider_error(F.col("message")), batch.retry_seconds(F.col("message"))).alias("seconds"))
-SQL["sch02_cooldowns"] = f"WITH {_M}, k AS (SELECT *, {_KIND} AS kind FROM m) SELECT message, CASE kind WHEN 'quota_daily' THEN coalesce(wait + 10, 86400) WHEN 'quota_minute' THEN coalesce(least(75, wait + 2), 15) WHEN 'busy' THEN 4 END AS seconds FROM k"
-QUERIES["agg07_least_cooldown"] = lambda spark, sf_dir: _messages(spark).agg(F.min(batch.retry_seconds(F.col("message"))).alias("seconds"))
+SQL["err02_responses"] = f"WITH {_M} SELECT event_id, CASE WHEN {_BUSY} THEN 503 WHEN {_LIMITED} THEN 429 ELSE 500 END AS status, NOT {_BUSY} AND {_LIMITED} AND {_DAILY} AS daily, CASE WHEN {_BUSY} THEN greatest(6, least(25, coalesce(wait, 15))) WHEN {_LIMITED} AND {_DAILY} THEN 60 WHEN {_LIMITED} THEN greatest(10, least(65, coalesce(wait, 15) + 2)) END AS retry_after FROM m"
+QUERIES["err03_throttled"] = lambda spark, sf_dir: _messages(spark, sf_dir).select("event_id", batch.is_throttled(F.col("status"), F.col("message")).alias("throttled"))
+SQL["err03_throttled"] = f"WITH {_M} SELECT event_id, status IN (429, 502, 503, 504) OR {_has('peak demand', 'high demand', 'rate limit', 'quota', 'overloaded', of='lower(message)')} OR {_has('ضغطاً مؤقتاً', 'UNAVAILABLE', 'استجابة غير صالحة', 'تعذر الاتصال', '503', '429')} AS throttled FROM m"
+QUERIES["sch02_cooldowns"] = lambda spark, sf_dir: _messages(spark, sf_dir).select("event_id", batch.cooldown_seconds(batch.provider_error(F.col("message")), batch.retry_seconds(F.col("message"))).alias("seconds"))
+SQL["sch02_cooldowns"] = f"WITH {_M}, k AS (SELECT *, {_KIND} AS kind FROM m) SELECT event_id, CASE kind WHEN 'quota_daily' THEN coalesce(wait + 10, 86400) WHEN 'quota_minute' THEN coalesce(least(75, wait + 2), 15) WHEN 'busy' THEN 4 END AS seconds FROM k"
+QUERIES["agg07_least_cooldown"] = lambda spark, sf_dir: _messages(spark, sf_dir).agg(F.min(batch.retry_seconds(F.col("message"))).alias("seconds"))
 SQL["agg07_least_cooldown"] = f"WITH {_M} SELECT min(wait) AS seconds FROM m"
-MODELS: tuple[tuple, ...] = ((0, "quick", 50, False), (1, "broad", None, True), (2, "newest", 70, True), (3, "large", None, False), (4, "small", 200, False))
-_MODEL_SQL = values_sql(MODELS, "ord, model, cooled_until, blacklisted")
-QUERIES["sch01_models"] = lambda spark, sf_dir: batch.available_models(spark.createDataFrame(list(MODELS), "ord int, model string, cooled_until long, blacklisted boolean"), F.lit(100)).select("ord", "model")
+
+
+def _models(spark, sf_dir: str) -> DataFrame:
+    """Suppliers as models: some rest until a moment, some are barred."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("model"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 200).alias("cooled_until"), (F.col("s_suppkey") % 4 == 1).alias("blacklisted"))
+
+
+_MODEL_SQL = "(SELECT s_suppkey AS ord, s_name AS model, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 200 END AS cooled_until, s_suppkey % 4 = 1 AS blacklisted FROM supplier)"
+QUERIES["sch01_models"] = lambda spark, sf_dir: batch.available_models(_models(spark, sf_dir), F.lit(100)).select("ord", "model")
 SQL["sch01_models"] = f"WITH a AS (SELECT *, coalesce(cooled_until > 100, FALSE) AS cooling FROM {_MODEL_SQL} WHERE NOT blacklisted OR (cooled_until IS NOT NULL AND cooled_until <= 100)) SELECT ord, model FROM a WHERE NOT cooling OR (SELECT count(*) FROM a WHERE NOT cooling) = 0"
 QUERIES["sch04_retry_waits"] = lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", batch.retry_wait(F.expr("case when event_id % 2 = 0 then 'short' else 'long' end"), F.expr("cast(event_id % 25 as int)"), F.expr("case when event_id % 5 = 0 then cast(event_id % 90 as int) end")).alias("seconds"))
 SQL["sch04_retry_waits"] = "SELECT event_id, (CASE WHEN event_id % 5 = 0 THEN least(65, event_id % 90 + 2) WHEN event_id % 2 = 0 THEN least(20, 6 + 3 * (event_id % 25)) ELSE least(35, greatest(12, 10 + 4 * (event_id % 25))) END)::INTEGER AS seconds FROM events"

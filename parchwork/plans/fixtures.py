@@ -6,6 +6,7 @@ The same rows serve the queries and, as VALUES, their SQL counterparts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parchwork.functions.dialect import quoted
 from parchwork.plans.session import spread
@@ -67,6 +68,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(texts(spark))
 
 
+def dealt(df: DataFrame, key: str, rows: tuple[tuple, ...], columns: tuple[str, ...]) -> DataFrame:
+    """`df` with `columns` from `rows`, dealt in turn by `key`."""
+    cells = {c: F.element_at(F.array(*(F.lit(r[k]) for r in rows)), (F.pmod(F.col(key), F.lit(len(rows))) + 1).cast("int")) for k, c in enumerate(columns)}
+    return df.withColumns(cells)
+
+
+def dealt_sql(table: str, key: str, rows: tuple[tuple, ...], columns: tuple[str, ...]) -> str:
+    return f"(SELECT * FROM {table} JOIN {values_sql(tuple((i, *r) for i, r in enumerate(rows)), ', '.join(('dealt', *columns)))} ON {key} % {len(rows)} = dealt)"
+
+
 def literal(value: object) -> str:
     return "NULL" if value is None else quoted(value) if isinstance(value, str) else str(value)
 

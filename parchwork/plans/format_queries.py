@@ -110,10 +110,19 @@ SQL["str09_repeated_lines"] = (
 CONTENTS: tuple[tuple[int, str], ...] = (
     (1, "# فهرس المحتويات\n| الموضوع | الصفحة |\n|---|---|\n| سورة الملك | 9 |\n| باب (ثان) | 3 |\n\n## الملك\nنص\n---PAGE_BREAK---\n**باب (ثان)** نص\n"), (2, "no table"), (3, "| المكي كذا | |\nx"),
 )
-QUERIES["str13_contents"] = lambda spark, sf_dir: conversion.calibrated_contents(spark.createDataFrame(list(CONTENTS), "doc_id int, text string"))
-SQL["str13_contents"] = f"SELECT doc_id, CASE WHEN doc_id = 1 THEN replace(text, '| سورة الملك | 9 |', '| سورة الملك | 2 |') ELSE text END AS text, CASE WHEN doc_id = 1 THEN 1 ELSE 0 END AS moved FROM {values_sql(CONTENTS, 'doc_id, text')}"
-QUERIES["str10_comparison"] = lambda spark, sf_dir: spark.createDataFrame(list(CONTENTS), "doc_id int, text string").select("doc_id", conversion.completed_comparison(F.col("text")).alias("text"))
-SQL["str10_comparison"] = f"SELECT doc_id, CASE WHEN doc_id = 3 THEN '| المكي كذا  | {conversion.MADANI} |' || chr(10) || 'x' ELSE text END AS text FROM {values_sql(CONTENTS, 'doc_id, text')}"
+
+
+def _with_contents(spark, sf_dir: str) -> DataFrame:
+    """All documents and texts with a table of contents or a comparison; those have negative ids."""
+    own = spark.createDataFrame([(-i, t) for i, t in CONTENTS], "doc_id long, text string")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(own)
+
+
+_WITH_CONTENTS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id::BIGINT, text FROM {values_sql(CONTENTS, 'doc_id, text')})"
+QUERIES["str13_contents"] = lambda spark, sf_dir: conversion.calibrated_contents(_with_contents(spark, sf_dir))
+SQL["str13_contents"] = f"SELECT doc_id, CASE WHEN doc_id = -1 THEN replace(text, '| سورة الملك | 9 |', '| سورة الملك | 2 |') ELSE text END AS text, CASE WHEN doc_id = -1 THEN 1 ELSE 0 END AS moved FROM {_WITH_CONTENTS}"
+QUERIES["str10_comparison"] = lambda spark, sf_dir: _with_contents(spark, sf_dir).select("doc_id", conversion.completed_comparison(F.col("text")).alias("text"))
+SQL["str10_comparison"] = f"SELECT doc_id, CASE WHEN doc_id = -3 THEN '| المكي كذا  | {conversion.MADANI} |' || chr(10) || 'x' ELSE text END AS text FROM {_WITH_CONTENTS}"
 QUERIES["txt35_date_labels"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", conversion.date_label(F.col("o_orderdate"), F.lit("1995-03-15").cast("date")).alias("label"))
 _MONTHS = ", ".join(f"'{m}'" for m in conversion.MONTHS)
 SQL["txt35_date_labels"] = (

@@ -10,7 +10,7 @@ from parchwork.functions import text as X
 from parchwork.functions.dialect import count_sql, quoted, trim
 from parchwork.operators import audit, batch, conversion, history, layout, rules, segment
 from parchwork.operators.rule_tables import loose
-from parchwork.plans.fixtures import CORPUS_SQL, PAIRS, corpus, values_sql
+from parchwork.plans.fixtures import CORPUS_SQL, corpus, values_sql
 from parchwork.plans.layout_queries import PARTS
 from parchwork.plans.session import fresh_path
 from parchwork.sources import docx
@@ -27,12 +27,20 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 WORDS = ("درس", "تقوت")
 QUERIES["txt06_loose_words"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", *(X.count(F.col("text"), loose(w)).alias(f"w{i}") for i, w in enumerate(WORDS)))
 SQL["txt06_loose_words"] = f"WITH {CORPUS_SQL} SELECT doc_id, {', '.join(f'{count_sql(chr(116) + chr(101) + chr(120) + chr(116), loose(w))} AS w{i}' for i, w in enumerate(WORDS))} FROM corpus"
-_ASCII = tuple(p for p in PAIRS if all(x.isascii() for x in p))
-QUERIES["fuz01_distances"] = lambda spark, sf_dir: spark.createDataFrame(list(_ASCII), "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("distance"))
-SQL["fuz01_distances"] = f"SELECT a, b, levenshtein(a, b)::INTEGER AS distance FROM {values_sql(_ASCII, 'a, b')}"
-FORMULAS = ((1, "\\frac{a}{b} \\times \\pi"), (2, "\\sqrt{x} \\le y"), (3, "\\left(z\\right) \\unknown q"))
-QUERIES["snk01g_formulas"] = lambda spark, sf_dir: spark.createDataFrame(list(FORMULAS), "id int, tex string").select("id", presentation.formula_text(F.col("tex")).alias("plain"))
-SQL["snk01g_formulas"] = "SELECT * FROM (VALUES (1, '(a ÷ b) × π'), (2, '√(x) ≤ y'), (3, '(z)  q')) v(id, plain)"
+QUERIES["fuz01_distances"] = lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", F.lower("p_type")).alias("distance"))
+SQL["fuz01_distances"] = "SELECT p_partkey, levenshtein(p_name, lower(p_type))::INTEGER AS distance FROM part"
+
+
+def _formulas(spark, sf_dir: str) -> DataFrame:
+    """A formula of each order's keys."""
+    a, b = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    fraction, root = F.concat(F.lit("\\frac{"), a, F.lit("}{"), b, F.lit("} \\times \\pi")), F.concat(F.lit("\\sqrt{"), b, F.lit("} \\le y"))
+    tex = F.when(F.col("o_orderkey") % 3 == 0, fraction).when(F.col("o_orderkey") % 3 == 1, root).otherwise(F.concat(F.lit("\\left(z"), a, F.lit("\\right) \\unknown q")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", presentation.formula_text(tex).alias("plain"))
+
+
+QUERIES["snk01g_formulas"] = _formulas
+SQL["snk01g_formulas"] = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '(' || o_orderkey || ' ÷ ' || o_custkey || ') × π' WHEN 1 THEN '√(' || o_custkey || ') ≤ y' ELSE '(z' || o_orderkey || ')  q' END AS plain FROM orders"
 
 
 def script_run_counts(df: DataFrame) -> DataFrame:

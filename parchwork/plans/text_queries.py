@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchwork.functions import text as X
 from parchwork.functions.dialect import ARABIC, BLANKS, LATIN, S, count_sql, quoted, re2, rewrite, rewrite_sql, trim, trim_sql
-from parchwork.plans.fixtures import CORPUS_SQL, FILES, PAIRS, corpus, values_sql
+from parchwork.plans.fixtures import CORPUS_SQL, FILES, PAIRS, corpus, dealt, dealt_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,14 +154,19 @@ per_text("g04_guard_pages", {"n_chars": (
 )})
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILES), "name string, mime string, size long")
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each page: page_id, name, mime, size."""
+    rows = dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"), "page_id", FILES, ("ending", "mime", "least"))
+    return rows.select("page_id", F.concat(F.col("page_id").cast("string"), F.lit("_"), F.col("ending")).alias("name"), "mime", (F.col("least") + F.col("page_id") % 50).cast("long").alias("size"))
+
+
+_FILES = f"(SELECT page_id, page_id || '_' || ending AS name, mime, (least + page_id % 50)::BIGINT AS size FROM {dealt_sql('pages', 'page_id', FILES, ('ending', 'mime', 'least'))})"
 
 
 def per_file(name: str, columns: dict[str, tuple[Callable[[Column, Column], Column], str]]) -> None:
     """A query with a row for each file; `columns`: expression of name and type, and SQL."""
-    QUERIES[name] = lambda spark, sf_dir: files(spark).select("name", *(f(F.col("name"), F.col("mime")).alias(c) for c, (f, _) in columns.items()))
-    SQL[name] = f"SELECT name, {', '.join(f'{sql} AS {c}' for c, (_, sql) in columns.items())} FROM {values_sql(FILES, 'name, mime, size')}"
+    QUERIES[name] = lambda spark, sf_dir: files(spark, sf_dir).select("page_id", "name", *(f(F.col("name"), F.col("mime")).alias(c) for c, (f, _) in columns.items()))
+    SQL[name] = f"SELECT page_id, name, {', '.join(f'{sql} AS {c}' for c, (_, sql) in columns.items())} FROM {_FILES}"
 
 
 _LOW = "lower(name)"
@@ -176,11 +181,27 @@ per_file("txt26_base_names", {
     c: (lambda n, m, used=used: rewrite(n, used), rewrite_sql("name", used))
     for c, used in (("any_suffix", [X.ANY_SUFFIX]), ("pdf", [X.PDF_SUFFIX]), ("docx", [X.DOCX_SUFFIX]), ("download", X.DOWNLOAD_SUFFIX), ("without_pages", [X.ANY_SUFFIX, X.PAGE_RANGE]))
 })
-URLS = (("data:application/pdf;base64,JVBERi0=",), ("data:image/png;base64,AAAA",), ("JVBERi0=",), ("data:,x",))
-QUERIES["txt27_data_urls"] = lambda spark, sf_dir: spark.createDataFrame(list(URLS), "url string").select("url", X.data_url_payload(F.col("url")).alias("payload"), X.data_url_mime(F.col("url")).alias("mime"))
-SQL["txt27_data_urls"] = f"SELECT url, regexp_replace(url, '^data:[^;,]*(?:;[^,]*)?,', '') AS payload, CASE WHEN regexp_matches(url, '^data:[^;,]+') THEN regexp_extract(url, '^data:([^;,]+)', 1) END AS mime FROM {values_sql(URLS, 'url')}"
-QUERIES["src06_queue_dedupe"] = lambda spark, sf_dir: files(spark).unionByName(files(spark).where("size > 100")).join(files(spark).where("size % 20 = 0").select("name", "size"), ["name", "size"], "left_anti").select("name", "size")
-SQL["src06_queue_dedupe"] = f"WITH f AS {values_sql(FILES, 'name, mime, size')} SELECT name, size::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE size > 100) WHERE (name, size) NOT IN (SELECT (name, size) FROM f WHERE size % 20 = 0)"
+URLS = (("data:application/pdf;base64,",), ("data:image/png;base64,",), ("",), ("data:,",))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as the payload of a URL."""
+    rows = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", URLS, ("head",))
+    return rows.select("doc_id", F.concat("head", F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("url"))
+
+
+QUERIES["txt27_data_urls"] = lambda spark, sf_dir: _urls(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace(X.data_url_payload(F.col("url")), "\\s", "")).alias("payload"), X.data_url_mime(F.col("url")).alias("mime"))
+SQL["txt27_data_urls"] = f"WITH u AS (SELECT doc_id, head || base64(encode(coalesce(text, ''))) AS url FROM {dealt_sql('documents', 'doc_id', URLS, ('head',))}) SELECT doc_id, md5(regexp_replace(url, '^data:[^;,]*(?:;[^,]*)?,', '')) AS payload, CASE WHEN regexp_matches(url, '^data:[^;,]+') THEN regexp_extract(url, '^data:([^;,]+)', 1) END AS mime FROM u"
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some come twice, without those whose name and size are in the queue already."""
+    every = files(spark, sf_dir)
+    return every.unionByName(every.where("size > 100")).join(every.where("size % 20 = 0").select("name", "size"), ["name", "size"], "left_anti").select("name", "size")
+
+
+QUERIES["src06_queue_dedupe"] = _queue
+SQL["src06_queue_dedupe"] = f"WITH f AS {_FILES} SELECT name, size FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE size > 100) WHERE (name, size) NOT IN (SELECT (name, size) FROM f WHERE size % 20 = 0)"
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,5 +240,11 @@ def similarity_sql(a: str, b: str) -> str:
     return key_similarity_sql(key(a), key(b))
 
 
-QUERIES["fuz02_pairs"] = lambda spark, sf_dir: spark.createDataFrame(list(PAIRS), "a string, b string").select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 9).alias("score"))
-SQL["fuz02_pairs"] = f"SELECT a, b, round({similarity_sql('a', 'b')}, 9) AS score FROM {values_sql(PAIRS, 'a, b')}"
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair of phrases for each part, with the part's name in both."""
+    rows = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", PAIRS, ("x", "y"))
+    return rows.select("p_partkey", F.concat_ws(" ", "x", "p_name").alias("a"), F.concat_ws(" ", "p_name", "y").alias("b"))
+
+
+QUERIES["fuz02_pairs"] = lambda spark, sf_dir: _pairs(spark, sf_dir).select("p_partkey", F.round(similarity(F.col("a"), F.col("b")), 9).alias("score"))
+SQL["fuz02_pairs"] = f"SELECT p_partkey, round({similarity_sql('a', 'b')}, 9) AS score FROM (SELECT p_partkey, x || ' ' || p_name AS a, p_name || ' ' || y AS b FROM {dealt_sql('part', 'p_partkey', PAIRS, ('x', 'y'))})"
