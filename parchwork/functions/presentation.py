@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from parchwork.functions.dialect import ARABIC, BLANKS
+
 FORMS = re.compile("[\ufb50-\ufdff\ufe70-\ufeff]+")
 _ARABIC = re.compile("[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff]")
 _NEUTRAL = re.compile("[0-9A-Za-z\\s.,:;!?()\\[\\]{}'\"«»\\-–—/\\\\%*+=<>@#&_]")
@@ -24,6 +26,17 @@ def standard(text: str) -> str:
     return FORMS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
 
 
+# Signs that stay in the run in which they stand.
+NEUTRAL = f"0-9A-Za-z{BLANKS}.,:;!?()\\[\\]{{}}'\"«»\\-–—/\\\\%*+=<>@#&_"
+#: A run of Arabic with the neutral signs behind it, or of anything else.
+SCRIPT_RUN = f"{ARABIC}[{ARABIC[1:-1]}{NEUTRAL}]*+|[^{ARABIC[1:-1]}]++"
+
+
+def script_run_rows(text: Column) -> Column:
+    """An array of (text, arabic), the runs of either script in order; together they are the text. Null for null, empty for an empty text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(SCRIPT_RUN), F.lit(0)), lambda r: F.struct(r.alias("text"), r.rlike(f"\\A{ARABIC}").alias("arabic")))
+
+
 def script_runs(text: str) -> list[tuple[str, bool]]:
     """Runs of text and whether they are Arabic. Latin letters, digits and signs belong to the run that they stand in."""
     runs: list[list] = []

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from parchwork.functions import presentation
 from parchwork.functions import text as X
-from parchwork.functions.dialect import count_sql, quoted, trim
+from parchwork.functions.dialect import count_sql, quoted, re2, trim
 from parchwork.operators import audit, batch, conversion, history, layout, rules, segment
 from parchwork.operators.rule_tables import loose
 from parchwork.plans.fixtures import CORPUS_SQL, corpus, values_sql
 from parchwork.plans.layout_queries import PARTS
 from parchwork.plans.session import fresh_path
 from parchwork.sources import docx
+from parchwork.streaming import settle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,6 +55,11 @@ def script_run_counts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", (F.length(began) - F.length(F.replace(began, F.lit("ع"), F.lit("")))).alias("arabic"), (F.length(F.replace(began, F.lit("ع"), F.lit("")))).alias("other"))
 
 
+QUERIES["snk01d_runs"] = lambda spark, sf_dir: corpus(spark, sf_dir).select("doc_id", F.posexplode(presentation.script_run_rows(F.col("text"))).alias("run_no", "r")).select("doc_id", "run_no", "r.arabic", F.md5("r.text").alias("run"))
+SQL["snk01d_runs"] = (
+    f"WITH {CORPUS_SQL}, r AS (SELECT doc_id, regexp_extract_all(text, {quoted(re2(presentation.SCRIPT_RUN))}) AS v FROM corpus), u AS (SELECT doc_id, (generate_subscripts(v, 1) - 1)::INTEGER AS run_no, unnest(v) AS run FROM r) "
+    f"SELECT doc_id, run_no, regexp_matches(run, {quoted('^' + X.ARABIC)}) AS arabic, md5(run) AS run FROM u"
+)
 QUERIES["snk01d_script_runs"] = lambda spark, sf_dir: script_run_counts(corpus(spark, sf_dir))
 
 # Stages and guards ---------------------------------------------------------------------------------------------------
@@ -143,6 +149,23 @@ def single_pages(spark, sf_dir: str) -> DataFrame:
     return history.merged_pages(images.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("ord")), images.select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("page_no"), F.col("label").cast("string").alias("page")))
 
 
+def settled_chunks(spark, sf_dir: str) -> DataFrame:
+    """Turns as chunks of a conversation whose lines are pages; some fail, and the rest is rescued."""
+    c = table(spark, sf_dir, "conversations").where("turn >= 0")
+    n = c.groupBy("conv_id").agg((F.max("turn") + 1).cast("int").alias("n_chunks"))
+    failed = (F.col("conv_id") * 7 + F.col("turn")) % 11 == 0
+    chunks = c.join(n, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), "n_chunks", F.split("text", "\n", -1).alias("pages"), failed.alias("failed"), F.timestamp_seconds("turn").alias("ts"))
+    return settle.settled(chunks)
+
+
+QUERIES["sch06_settled_chunks"] = settled_chunks
+SQL["sch06_settled_chunks"] = """
+WITH c AS (SELECT conv_id AS doc_id, turn, string_split(text, chr(10)) AS p, (conv_id * 7 + turn) % 11 = 0 AS f FROM conversations WHERE turn >= 0),
+g AS (SELECT *, bool_and(NOT f AND turn = no) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS good, max(turn) OVER (PARTITION BY doc_id) + 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS no FROM c)),
+s AS (SELECT doc_id, p, coalesce(sum(len(p)) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM g WHERE good)
+SELECT doc_id, start + generate_subscripts(p, 1) AS page_no, unnest(p) AS page, FALSE AS rescue FROM s
+UNION ALL SELECT doc_id, coalesce(sum(len(p)) FILTER (good), 0)::BIGINT + 1, NULL, TRUE FROM g GROUP BY doc_id HAVING count(*) FILTER (good) < max(n)
+"""
 QUERIES["snk07_single_page"] = single_pages
 SQL["snk07_single_page"] = "SELECT row_number() OVER (ORDER BY vec_id) AS merged_no, vec_id AS doc_id, 1::BIGINT AS page_no, label::VARCHAR AS page FROM embeddings"
 

@@ -95,3 +95,17 @@ def test_script_run_counts_follow_the_runs(spark):
     for r in script_run_counts(df).collect():
         runs = presentation.script_runs(values[r.doc_id])
         assert (r.arabic, r.other) == (sum(a for _, a in runs), sum(not a for _, a in runs)), values[r.doc_id]
+
+
+def test_script_runs_are_the_text(spark):
+    from pyspark.sql import functions as F
+
+    from parchwork.functions import presentation
+    from parchwork.plans.fixtures import TEXTS
+
+    rows = [*TEXTS, "12 أب cd é ف.", "é ", "中文 و x", "\U0001f600 ع \U0001f600\U0001f600ع", "ا" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(-1, None)], "i int, t string")
+    out = {r.i: r.v for r in df.select("i", presentation.script_run_rows(F.col("t")).alias("v")).collect()}
+    assert out.pop(-1) is None
+    for i, t in enumerate(rows):
+        assert [(r.text, r.arabic) for r in out[i]] == presentation.script_runs(t)

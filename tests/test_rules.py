@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +270,54 @@ def test_grammar_stage_merges_an_assistant(spark):
     assert len(out[3]["items"]) == 2 and out[3].critical and not out[3].abrupt and out[3].alert is None
     alone = {r.doc_id: r for r in audit.grammar_stage(df).collect()}
     assert alone[3]["items"] == [] and alone[3].text == "جملة كاملة هنا."
+
+
+def test_prefilter_takes_what_every_match_holds():
+    from parchwork.operators import prefilter
+
+    assert prefilter.required("{سباعا}(?=(?:_)?{شدادا})|﴿{سباعا}﴾") == {"سباعا"}
+    assert prefilter.required("(?:قرأ|كتب)_هذه_السورة") == {"السورة"} and prefilter.required("لّ?ِيَنِينَ|لينين") == {"لينين"}
+    assert prefilter.required("\\.{20,}+") == prefilter.required("كلمة|[ابت]+") == prefilter.required("هم?") == frozenset()
+    assert all(prefilter.required(r.pattern) for r in rules.RULES if r.category != "dot_flood") and all(prefilter.required(t.pattern) for t in rules.TARGETS)
+
+
+def test_prefilter_passes_every_match(spark):
+    """Made texts: pieces of rules' matches, their words, diacritics and fillers in any order."""
+    import random
+
+    from parchwork.plans.fixtures import TEXTS
+
+    rng = random.Random(4)
+    words = sorted({w for r in (*rules.RULES, *rules.TARGETS) for w in re.findall("[ء-ي]{2,}", r.pattern)})
+    pieces = [*words, *(t for t, _ in VARIANTS), *(x for t in TEXTS for x in t.split("\n") if x), "﴿", "﴾", "......", "\n", "plain"]
+    marks = "ًَُِّْٰـ"
+    made = []
+    for _ in range(10_000):
+        x = " ".join(rng.choices(pieces, k=rng.randint(1, 8)))
+        made.append("".join(c + rng.choice(marks) if rng.random() < 0.1 else c for c in x) if rng.random() < 0.5 else x)
+    df = texts(spark, [*TEXTS, *made])
+    for patterns, told in ((rules.RULES, rules.RULE_WORDS), (rules.TARGETS, rules.TARGET_WORDS)):
+        missed = [F.col("text").rlike(rules.spelled(r.pattern)) & ~told.may(k, F.col("w")) for k, r in enumerate(patterns)]
+        hits = [F.col("text").rlike(rules.spelled(r.pattern)).cast("int") for r in patterns]
+        row = df.withColumn("w", told.found(F.col("text"))).agg(*(F.max(m.cast("int")).alias(f"m{k}") for k, m in enumerate(missed)), sum(map(F.sum, hits), F.lit(0)).alias("hits"), F.sum((F.size("w") == 0).cast("int")).alias("spared")).first()
+        assert not any(row[f"m{k}"] for k in range(len(patterns))) and row["hits"] > 500 and row["spared"] > 500
+
+
+def test_merged_pages_are_numbered_over_ranges(spark):
+    from parchwork.operators import history, ranges
+
+    documents = spark.createDataFrame([(1, 2, "pdf"), (2, 1, "image"), (3, 0, "docx"), (4, 3, None)], "doc_id long, ord int, kind string")
+    pages = spark.createDataFrame([(1, k, f"p{k}") for k in range(500)] + [(2, 1, "i"), (3, 1, "w"), (4, 1, "n"), (9, 1, "x")], "doc_id long, page_no long, page string")
+    out = sorted(map(tuple, history.merged_pages(documents, pages, strict=True).collect()))
+    assert [r[0] for r in out] == list(range(1, 503)) and [r[1] for r in out] == [2, *[1] * 500, 4] and [r[2] for r in out[1:501]] == list(range(500))
+    with pytest.raises(ValueError, match=history.NO_PAGES):
+        history.merged_pages(documents.where("kind = 'docx'"), pages, strict=True)
+    assert history.merged_pages(documents.where("false"), pages).count() == 0
+    sums = ranges.running(spark.createDataFrame([(None, None), (3, 5), (1, 2), (2, None)], "k int, n int"), [F.col("k")], F.col("n"), "total")
+    assert sorted(((r.k, r.total) for r in sums.collect()), key=str) == [(1, 2), (2, 2), (3, 7), (None, 0)]
+
+
+def test_a_failed_call_is_a_clean_report(spark):
+    df = spark.createDataFrame([(1, "هذا الكلام عن من", "recognized", True), (2, "جملة كاملة هنا.", "recognized", False)], "doc_id long, text string, origin string, broke boolean")
+    out = {r.doc_id: r for r in audit.grammar_stage(df, audit.answered(F.lit(None).cast(audit.ASSISTANT), F.col("broke"))).collect()}
+    assert out[1].verdict == out[2].verdict == audit.FAILED_VERDICT and out[1].critical and not out[2].critical and out[2]["items"] == []
