@@ -7,6 +7,7 @@ a long run would exhaust the stack, and if it differs the RE2 pattern that an SQ
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -35,10 +36,54 @@ class Step(NamedTuple):
     sql_put: str | None = None
 
 
+#: A pattern's pieces: an inline flag, a class, an escape (of a code point too), or a character; and what may follow one.
+_PIECE = re.compile(r"\(\?[a-z]+\)|\[(?:\\.|[^\]\\])*\]|\\x\{\w+\}|\\.|.", re.DOTALL)
+_TIMES = re.compile(r"([?*+]|\{([0-9]+)(,?)[0-9]*\})[+?]?")
+_SIGNS = {"\\n": "\n", "\\t": "\t", "\\r": "\r", "\\f": "\f"}
+
+
+def needed(pattern: str) -> str:
+    """The longest text that stands in every match of `pattern` as it is; empty if there is none outside of groups, classes and alternatives."""
+    runs, depth, at, any_case = [""], 0, 0, False
+    while at < len(pattern):
+        piece = _PIECE.match(pattern, at)[0]
+        at += len(piece)
+        times = _TIMES.match(pattern, at)
+        at = times.end() if times else at
+        if piece.startswith("(?") and piece.endswith(")"):
+            any_case = any_case or "i" in piece
+            continue
+        depth += (piece == "(") - (piece == ")")
+        if piece == "|" and not depth:
+            return ""
+        sign = _SIGNS.get(piece) or (piece[1:] if piece[0] == "\\" and not piece[1].isalnum() and len(piece) == 2 else piece)
+        plain = len(sign) == 1 and not (len(piece) == 1 and piece in "()[]{}.^$|?*+\\") and not (any_case and sign.isalpha())
+        least = 1 if not times else 0 if times[1] in ("?", "*") else int(times[2] or 1)
+        if depth or not plain or not least:
+            runs.append("")
+            continue
+        runs[-1] += sign * least
+        if times:  # there may be more of it before what follows
+            runs.append("")
+    return max(runs, key=len)
+
+
 def rewrite(text: Column, steps: list[Step]) -> Column:
+    """All steps in their order. A step whose pattern needs a text that isn't there is passed over, which costs a search for that text alone."""
+    state = F.array(text)  # of one element, so that a lambda can name what the last step left
+
+    def apply(s: Step):
+        need = needed(s.pattern)
+
+        def one(x: Column) -> Column:
+            done = F.regexp_replace(x, s.pattern, s.put)
+            return F.when(F.contains(x, F.lit(need)), done).otherwise(x) if need else done
+
+        return one
+
     for s in steps:
-        text = F.regexp_replace(text, s.pattern, s.put)
-    return text
+        state = F.transform(state, apply(s))
+    return F.get(state, F.lit(0))
 
 
 def quoted(value: str) -> str:
