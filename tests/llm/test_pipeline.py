@@ -64,10 +64,10 @@ def test_leaks_of_items_without_an_id(spark, documents, tmp_path):
 
 def test_registered(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op5_near_duplicates", "op6_chat", "op7_top_k"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_near_duplicates", "op6_chat", "op7_top_k", "op11_conversation_repair"])
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
