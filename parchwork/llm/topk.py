@@ -288,8 +288,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id")
     if norm >= 1 << 62:
         raise ValueError("inner products would leave 64 bits")
     width = max(told["width"] or 0, asked["width"] or 0)
-    # PIVOTS rows at most
-    some = rows.orderBy(F.xxhash64("own"), "own").limit(max(1, min(PIVOTS, -(-told["n"] // TREE)))).select("v").collect()
+    # PIVOTS rows at most, chosen on the executors among about twice as many: collected in order, each task would send so many to the driver
+    wanted = max(1, min(PIVOTS, -(-told["n"] // TREE)))
+    few = rows.where(F.xxhash64("own") < min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * wanted + 64) // told["n"]))
+    some = materialize(few.orderBy(F.xxhash64("own"), "own").limit(wanted).select("v"), "pivots").collect() or rows.select("v").limit(1).collect()
     pivots = lifted(_padded([r["v"] for r in some], width), norm)
     none = np.zeros(len(pivots), np.int64)
     root = _Root(pivots, none, none, none, width, norm)
@@ -311,14 +313,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id")
         questions = materialize(questions, "questions")
         many = questions.groupBy("tree").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
         blocks = questions.join(many, "tree").groupBy("tree", F.pmod(F.xxhash64("q"), "blocks").alias("block")).agg(F.collect_list(F.struct("q", "vec_id", "own", "v", "floor")).alias("asked"))
-        return materialize(blocks.join(forest, "tree").select("tree", "pages", "asked").mapInArrow(tidy(_answer(k, width)), _HITS), label)
+        # neither side is small: Spark takes the size of compressed files for theirs, and would broadcast them through the driver
+        return materialize(blocks.hint("merge").join(forest, "tree").select("tree", "pages", "asked").mapInArrow(tidy(_answer(k, width)), _HITS), label)
 
     homes = T.StructType([*queries.schema.fields, T.StructField("tree", T.LongType())])
     at_home = materialize(queries.mapInArrow(tidy(_home(root)), homes), "homes")
     hits = answered(at_home.withColumn("floor", F.lit(None).cast("long")), "hits")
     if trees.sum() > 1:
         floors = hits.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        open_ = at_home.join(floors, "q", "left").select("q", "vec_id", "own", "v", "floor", "tree")
+        open_ = at_home.join(floors.hint("merge"), "q", "left").select("q", "vec_id", "own", "v", "floor", "tree")
         open_ = open_.mapInArrow(tidy(_others(root)), "q long, vec_id long, own long, v array<long>, floor long, trees array<long>")
         hits = hits.unionByName(answered(open_.select("q", "vec_id", "own", "v", "floor", F.explode("trees").alias("tree")), "hits"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -240,6 +241,28 @@ def test_each_query_row_is_answered(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_no_vectors_go_through_the_driver(spark, monkeypatch):
+    """Queries and trees are never broadcast, and pivots are chosen on the executors, a bounded number of them collected."""
+    plans, written = [], topk.materialize
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(topk, "materialize", seen)
+    for name, value in (("TREE", 50), ("LEAF", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    ids, v = list(range(400)), rng.integers(-60, 60, (400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_top(ids, v, 20)
+    assert "pivots" in [label for label, _ in plans]
+    assert not [plan for _, plan in plans if re.search(r"BroadcastExchange.*\n.*(ObjectHashAggregate|FileScan|Scan parquet)", plan)]
+
+
 def test_bounds_spare_distances():
     """In clusters, under a quarter of all distances is computed, and less with a floor from elsewhere; a stored tree answers alike."""
     rng = np.random.default_rng(0)
