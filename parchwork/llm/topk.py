@@ -9,9 +9,13 @@ a pivot, a covering radius and the distance to its parent's pivot; a leaf's entr
 distances to its pivot. Trees are built once and written.
 
 Search has two waves. Each query first goes to a tree of its nearest cell, which gives a floor, its k-th score there;
-then to the trees of those other cells that can still beat the floor by pivot and radius. Within a tree search pops the
-most promising page first and ends when no page can beat the k-th score; stored distances rule out pages and entries
-before any product is computed. Queries that pop the same page are answered together.
+then to the trees of those other cells that can still beat the floor by pivot and radius. The first wave pops the most
+promising page first and ends when no page can beat the k-th score; the second is a range search, which takes every page
+that may hold a score of the floor or more, and the floor rises from tree to tree. Stored distances rule out pages and
+entries before any product is computed. Queries that open the same page are answered together.
+
+In the second wave queries are dealt into strips and trees into parts. A strip meets a part in a tile: a query travels
+once for each part that it needs, a tree once for each strip, and of a tile's hits the k best of each query are kept.
 """
 
 from __future__ import annotations
@@ -32,10 +36,19 @@ from parchwork.plans.session import materialize
 
 #: Rows of a tree and of a leaf about, children of a page, queries that meet a tree at once, and pivots of the root at most.
 TREE, LEAF, FANOUT, QUERIES, PIVOTS = 16_384, 256, 16, 8192, 4096
+#: Queries of a strip about, tiles at least, parts at least where there are many strips, bytes of a part's trees about, and hits that wait to be cut to the k best.
+STRIP, TILES, PARTS, PART_BYTES, HITS = 65_536, 64, 16, 32 << 20, 1 << 20
+#: Spark's name of a type of whole numbers.
+_NAMES = {np.int8: "tinyint", np.int16: "smallint", np.int32: "int", np.int64: "bigint"}
 #: Bounds are widened by this share against rounding in distances; scores are whole numbers and exact.
 SLACK = 1e-6
 
 
+def whole(norm: int) -> type:
+    """The smallest type that holds components of vectors of a squared norm of `norm` at most."""
+    return np.int8 if norm < 1 << 14 else np.int16 if norm < 1 << 30 else np.int32 if norm < 1 << 62 else np.int64
+
+
 def lifted(vectors: np.ndarray, norm: int) -> np.ndarray:
     """`vectors` with the coordinate that brings their squared norms to `norm`."""
     flat = vectors.astype(np.float64)
@@ -70,17 +83,19 @@ class MTree:
         self._rng = np.random.default_rng(len(ids))
         if len(ids):
             self._grow(np.arange(len(ids)), 0, 0.0)
+            self._settle()
         self._pivots = np.array(self.pivot, dtype=np.int64)
         self._radii, self._to_parents = np.array(self.radius), np.array(self.to_parent)
 
     def to_bytes(self) -> bytes:
         """The pages and vectors; what follows from them is made again."""
-        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("_points", "_rng")}, protocol=5)
+        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("_points", "_rng")} | {"vectors": self.vectors.astype(whole(self.norm))}, protocol=5)
 
     @staticmethod
     def from_bytes(data: bytes) -> MTree:
         tree = MTree.__new__(MTree)
         vars(tree).update(pickle.loads(data))
+        tree.vectors = tree.vectors.astype(tree.exact)
         return tree
 
     def _distance(self, rows: np.ndarray, pivot: int) -> np.ndarray:
@@ -102,6 +117,60 @@ class MTree:
         self.children[page] = np.array([self._grow(rows[nearest == k], int(p), float(np.linalg.norm(self._points[p] - self._points[pivot]))) for k, p in enumerate(pivots) if (nearest == k).any()])
         return page
 
+    def _settle(self) -> None:
+        """Put each leaf's rows side by side, in order of their distances to its pivot."""
+        order, at = [], 0
+        for page, rows in enumerate(self.rows):
+            if rows is not None:
+                by = np.argsort(self.to_pivot[page], kind="stable")
+                order.append(rows[by])
+                self.rows[page], self.to_pivot[page] = np.arange(at, at := at + len(rows), dtype=np.int32), self.to_pivot[page][by]
+        order = np.concatenate(order)
+        place = np.argsort(order)
+        self.ids, self.own, self.vectors, self._points = self.ids[order], self.own[order], self.vectors[order], self._points[order]
+        self.pivot = [int(place[p]) for p in self.pivot]
+
+    def within(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of the query, score, id) of the rows that score `floor` or more, without rows of the query's own id, leaf by leaf. `floor` may rise meanwhile."""
+        if not len(self.ids):
+            return
+        asked, flat = queries.astype(self.exact), queries.astype(np.float64)
+        reach = np.einsum("ij,ij->i", flat, flat) + self.norm  # |q - x|^2 = reach - 2 score
+        square = reach * (1 + 2 * SLACK) + 2 * SLACK - 2 * floor  # `most` at this distance is the floor
+        far = np.where(square < 0, -1.0, np.sqrt(np.maximum(0.0, square)))
+
+        def distance(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            self.computed += len(q) * len(rows)
+            return np.sqrt(np.maximum(0.0, reach[q][:, None] - 2 * (flat[q] @ self.vectors[rows].astype(np.float64).T)))
+
+        everyone = np.arange(len(queries))
+        root = distance(everyone, self._pivots[:1])[:, 0]
+        q = np.flatnonzero(np.maximum(0.0, root - self._radii[0]) <= far)
+        stack = [(0, q, root[q])] if len(q) else []
+        while stack:
+            page, q, d = stack.pop()
+            if (children := self.children[page]) is not None:
+                open_ = np.abs(d[:, None] - self._to_parents[children]) - self._radii[children] <= far[q][:, None]
+                use = np.flatnonzero(open_.any(axis=0))
+                away = distance(q, self._pivots[children[use]])
+                open_ = open_[:, use] & (away - self._radii[children[use]] <= far[q][:, None])
+                for j in np.flatnonzero(open_.any(axis=0)):
+                    at = np.flatnonzero(open_[:, j])
+                    stack.append((int(children[use[j]]), q[at], away[at, j]))
+                continue
+            first, stored = int(self.rows[page][0]), self.to_pivot[page]
+            low, high = first + np.searchsorted(stored, (d - far[q]).min()), first + np.searchsorted(stored, (d + far[q]).max(), side="right")
+            if low >= high:
+                continue
+            self.computed += len(q) * int(high - low)
+            scores = asked[q] @ self.vectors[low:high].T
+            least = floor[q] if self.exact is np.int64 else floor[q].astype(self.exact)
+            i, j = np.divmod(np.flatnonzero(scores >= least[:, None]), high - low)
+            others = self.own[low + j] != query_ids[q[i]]
+            i, j = i[others], j[others]
+            if len(i):
+                yield q[i], scores[i, j].astype(np.int64), self.ids[low + j]
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(scores, ids) of each query's k best, without rows of its own id; ties to the smaller id. Scores below `floor` may be left out."""
         n = len(query_ids)
@@ -173,6 +242,20 @@ def _padded(vectors: list, width: int) -> np.ndarray:
     return out
 
 
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    lengths, flat = vectors.value_lengths().to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width), dtype=flat.dtype)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
+
+
+def _floors(scores: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """None for a floor is none; scores beyond 2^53 are rounded, as they are wherever they meet a floor."""
+    return np.array(scores.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy())
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -197,7 +280,7 @@ class _Root(NamedTuple):
 def _to_cells(root: _Root):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            away = root.away(_padded(batch.column("v").to_pylist(), root.width), lift=True)
+            away = root.away(_matrix(batch.column("v"), root.width), lift=True)
             cell = away.argmin(axis=1)
             yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("away", pa.array(away[np.arange(len(away)), cell]))
 
@@ -209,25 +292,28 @@ def _home(root: _Root):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            away = np.where(root.trees > 0, root.away(_padded(batch.column("v").to_pylist(), root.width), lift=False), np.inf)
+            away = np.where(root.trees > 0, root.away(_matrix(batch.column("v"), root.width), lift=False), np.inf)
             cell = away.argmin(axis=1) if len(away) else np.empty(0, np.int64)
             yield batch.append_column("tree", pa.array(root.first[cell] + _column(batch, "q") % np.maximum(1, root.trees[cell])))
 
     return run
 
 
-def _others(root: _Root):
-    """The trees, besides the first one, whose cells can beat each query's floor."""
+def _others(root: _Root, parts: int):
+    """The parts in which trees, besides the first one, stand whose cells can beat each query's floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stand = np.zeros((len(root.trees), parts))  # trees of each cell in each part
+        np.add.at(stand, (np.repeat(np.arange(len(root.trees)), root.trees), np.arange(root.trees.sum()) % parts), 1)
         for batch in batches:
-            vectors = _padded(batch.column("v").to_pylist(), root.width)
-            reach = (vectors.astype(np.float64) ** 2).sum(axis=1) + root.norm
-            floor, home = batch.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy(), _column(batch, "tree")
-            open_ = (most(reach[:, None], root.away(vectors, lift=False) - root.radius) >= floor[:, None]) & (root.trees > 0)
-            found = [np.concatenate([np.arange(root.first[c], root.first[c] + root.trees[c]) for c in np.flatnonzero(o)] or [np.empty(0, np.int64)]) for o in open_]
-            found = [t[t != h] for t, h in zip(found, home, strict=True)]
-            yield batch.drop_columns(["tree"]).append_column("trees", pa.array(found, pa.list_(pa.int64())))
+            vectors = _matrix(batch.column("v"), root.width).astype(np.float64)
+            reach = (vectors**2).sum(axis=1) + root.norm
+            floor, home = _floors(batch.column("floor")), _column(batch, "tree")
+            open_ = most(reach[:, None], root.away(vectors, lift=False) - root.radius) >= floor[:, None]
+            asks, every = open_ @ stand, np.arange(len(home))
+            asks[every, home % parts] -= open_[every, np.searchsorted(root.first, home, side="right") - 1]
+            i, part = np.nonzero(asks > 0)
+            yield batch.append_column("parts", pa.ListArray.from_arrays(np.searchsorted(i, np.arange(len(home) + 1)).astype(np.int32), pa.array(part, pa.int64())))
 
     return run
 
@@ -237,7 +323,7 @@ def _build(width: int, norm: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = batch.column("rows")[i].values
-                tree = MTree(rows.field("vec_id").to_numpy(zero_copy_only=False), _padded(rows.field("v").to_pylist(), width), norm, rows.field("own").to_numpy(zero_copy_only=False))
+                tree = MTree(rows.field("vec_id").to_numpy(zero_copy_only=False), _matrix(rows.field("v"), width), norm, rows.field("own").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([batch.column("tree").slice(i, 1), pa.array([tree.to_bytes()], pa.binary())], names=["tree", "pages"])
 
     return run
@@ -255,8 +341,7 @@ def _answer(k: int, width: int):
                     last, tree = t, MTree.from_bytes(batch.column("pages")[i].as_py())
                 asked = batch.column("asked")[i].values
                 q, ids, own = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("q", "vec_id", "own"))
-                floor = asked.field("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
-                found = tree.search(own, _padded(asked.field("v").to_pylist(), width), k, floor)
+                found = tree.search(own, _matrix(asked.field("v"), width), k)
                 many = [len(s) for s, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(q, many)), pa.array(np.repeat(ids, many)), pa.array(np.concatenate([x for _, x in found])), pa.array(np.concatenate([s for s, _ in found]))], names=_HITS.names
@@ -265,6 +350,52 @@ def _answer(k: int, width: int):
     return run
 
 
+class _Best:
+    """The k best hits (number of the query, score, id) so far; `floor` rises to each query's k-th score."""
+
+    def __init__(self, k: int, floor: np.ndarray):
+        self.k, self.floor, self.waiting = k, floor, 0
+        self.hits = [(np.empty(0, np.int64),) * 3]
+
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> bool:
+        """Whether floors have risen."""
+        self.hits.append((q, scores, ids))
+        self.waiting += len(q)
+        return self.waiting > HITS and self.cut()
+
+    def cut(self) -> bool:
+        q, scores, ids = (np.concatenate(x) for x in zip(*self.hits, strict=True))
+        order = np.lexsort((ids, -scores, q))
+        q, scores, ids = q[order], scores[order], ids[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last, kept = rank == self.k - 1, rank < self.k
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], scores[last])
+        self.hits, self.waiting = [(q[kept], scores[kept], ids[kept])], 0
+        return True
+
+
+def _tile(k: int, width: int):
+    """The k best hits of each of a strip's queries in a part's trees, but for the query's home tree."""
+
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        strip, part = (t.combine_chunks() for t in tables)
+        q, ids, own, home = (strip.column(c).to_numpy() for c in ("q", "vec_id", "own", "tree"))
+        best = _Best(k, _floors(strip.column("floor")))
+        vectors = _matrix(pa.concat_arrays(strip.column("v").chunks), width) if len(q) else None
+        for i in range(part.num_rows if len(q) else 0):
+            tree, asks = MTree.from_bytes(part.column("pages")[i].as_py()), np.flatnonzero(home != part.column("tree")[i].as_py())
+            for block in (asks[at : at + QUERIES] for at in range(0, len(asks), QUERIES)):
+                floor = best.floor[block]
+                for at, scores, found in tree.within(own[block], vectors[block], floor):
+                    if best.add(block[at], scores, found):
+                        floor[:] = best.floor[block]
+        best.cut()
+        at, scores, found = best.hits[0]
+        yield pa.table([q[at], ids[at], found, scores], names=_HITS.names)
+
+    return lambda strip, part: next(tidy(run)(iter((strip, part))))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k largest inner products of each row of `queries` among `rows`.
 
@@ -287,7 +418,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id")
     norm = int(max(told["norm"] or 0, asked["norm"] or 0))
     if norm >= 1 << 62:
         raise ValueError("inner products would leave 64 bits")
-    width = max(told["width"] or 0, asked["width"] or 0)
+    width, kind = max(told["width"] or 0, asked["width"] or 0), _NAMES[whole(norm)]
+    rows, queries = (df.withColumn("v", F.col("v").cast(f"array<{kind}>")) for df in (rows, queries))
     # PIVOTS rows at most, chosen on the executors among about twice as many: collected in order, each task would send so many to the driver
     wanted = max(1, min(PIVOTS, -(-told["n"] // TREE)))
     few = rows.where(F.xxhash64("own") < min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * wanted + 64) // told["n"]))
@@ -308,22 +440,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, own: str = "vec_id")
     grown = dealt.groupBy("tree").agg(F.collect_list(F.struct("own", "vec_id", "v")).alias("rows"))
     forest = materialize(grown.mapInArrow(tidy(_build(width, norm)), "tree long, pages binary"), "trees")
 
-    def answered(questions: DataFrame, label: str) -> DataFrame:
-        """Hits of `questions` (q, vec_id, own, v, floor, tree); those of a tree meet it in blocks."""
-        questions = materialize(questions, "questions")
-        many = questions.groupBy("tree").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-        blocks = questions.join(many, "tree").groupBy("tree", F.pmod(F.xxhash64("q"), "blocks").alias("block")).agg(F.collect_list(F.struct("q", "vec_id", "own", "v", "floor")).alias("asked"))
-        # neither side is small: Spark takes the size of compressed files for theirs, and would broadcast them through the driver
-        return materialize(blocks.hint("merge").join(forest, "tree").select("tree", "pages", "asked").mapInArrow(tidy(_answer(k, width)), _HITS), label)
-
+    # joins of vectors go by exchange: Spark takes the size of compressed files for theirs, and would broadcast them through the driver
     homes = T.StructType([*queries.schema.fields, T.StructField("tree", T.LongType())])
     at_home = materialize(queries.mapInArrow(tidy(_home(root)), homes), "homes")
-    hits = answered(at_home.withColumn("floor", F.lit(None).cast("long")), "hits")
-    if trees.sum() > 1:
+    many = at_home.groupBy("tree").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    blocks = at_home.join(F.broadcast(many), "tree").groupBy("tree", F.pmod(F.xxhash64("q"), "blocks").alias("block")).agg(F.collect_list(F.struct("q", "vec_id", "own", "v")).alias("asked"))  # a row for each tree
+    hits = materialize(blocks.hint("merge").join(forest, "tree").select("tree", "pages", "asked").mapInArrow(tidy(_answer(k, width)), _HITS), "hits")
+    if (n := int(trees.sum())) > 1:
+        strips = -(-asked["n"] // STRIP)
+        parts = min(n, max(-(-TILES // strips), PARTS, -(-n * TREE * (width * np.dtype(whole(norm)).itemsize + 32) // PART_BYTES)))
         floors = hits.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         open_ = at_home.join(floors.hint("merge"), "q", "left").select("q", "vec_id", "own", "v", "floor", "tree")
-        open_ = open_.mapInArrow(tidy(_others(root)), "q long, vec_id long, own long, v array<long>, floor long, trees array<long>")
-        hits = hits.unionByName(answered(open_.select("q", "vec_id", "own", "v", "floor", F.explode("trees").alias("tree")), "hits"))
+        open_ = open_.mapInArrow(tidy(_others(root, parts)), f"q long, vec_id long, own long, v array<{kind}>, floor long, tree long, parts array<long>")
+        strip = open_.select("q", "vec_id", "own", "v", "floor", "tree", F.pmod(F.xxhash64("q"), F.lit(strips)).alias("strip"), F.explode("parts").alias("part"))
+        part = forest.select("tree", "pages", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("strip"), (F.col("tree") % parts).alias("part"))
+        tiles = strip.groupBy("strip", "part").cogroup(part.groupBy("strip", "part"))
+        hits = hits.unionByName(materialize(tiles.applyInArrow(_tile(k, width), _HITS), "hits"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

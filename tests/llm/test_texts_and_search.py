@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,7 +251,7 @@ def test_no_vectors_go_through_the_driver(spark, monkeypatch):
         return written(df, label)
 
     monkeypatch.setattr(topk, "materialize", seen)
-    for name, value in (("TREE", 50), ("LEAF", 16)):
+    for name, value in (("TREE", 50), ("STRIP", 7), ("TILES", 4), ("PARTS", 2)):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     ids, v = list(range(400)), rng.integers(-60, 60, (400, 8))
@@ -263,6 +264,47 @@ def test_no_vectors_go_through_the_driver(spark, monkeypatch):
     assert not [plan for _, plan in plans if re.search(r"BroadcastExchange.*\n.*(ObjectHashAggregate|FileScan|Scan parquet)", plan)]
 
 
+@pytest.mark.parametrize("scale", [3, 40, 10**3, 10**6, 10**9])
+def test_tiles_keep_the_best_outside_the_home_tree(scale, monkeypatch):
+    """Over stored trees of many leaves, with copies, floors or none, and hits cut on the way."""
+    for name, value in (("LEAF", 16), ("FANOUT", 4), ("QUERIES", 7), ("HITS", 100)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(scale)
+    v = np.round(np.concatenate([rng.normal(size=(300, 6)), rng.normal(size=(300, 6)) * 0.01 + 1]) * scale).astype(np.int64)
+    v[100:160] = v[0]
+    ids, norm = rng.permutation(600), int((v**2).sum(axis=1).max())
+    trees = [topk.MTree(ids[t::3], v[t::3], norm) for t in range(3)]
+    part = pa.table({"tree": [0, 1, 2], "pages": pa.array([t.to_bytes() for t in trees], pa.binary())})
+    asked = np.arange(0, 600, 20)
+    scores = v[asked] @ v.T
+    want, floors = {}, []
+    for n, q in enumerate(asked):
+        away = [(-s, i) for m, (s, i) in enumerate(zip(scores[n].tolist(), ids.tolist(), strict=True)) if m != q and m % 3 != q % 3]
+        want[int(ids[q])] = [(i, -s) for s, i in sorted(away)[:5]]
+        floors.append([None, -sorted(away)[9][0], -sorted(away)[5][0]][n % 3])
+    own = pa.array(ids[asked])
+    strip = pa.table({"q": np.arange(len(asked)), "vec_id": own, "own": own, "v": pa.array(v[asked].tolist()), "floor": pa.array(floors, pa.int64()), "tree": asked % 3})
+    got = {}
+    hits = topk._tile(5, 6)(strip, part)
+    for r in sorted(hits.to_pylist(), key=lambda r: (-r["score"], r["vec_id"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want
+    assert topk._tile(5, 6)(strip.slice(0, 0), part).num_rows == topk._tile(5, 6)(strip, part.slice(0, 0)).num_rows == 0
+
+
+def test_a_range_search_spares_distances():
+    """In clusters the second wave computes under a quarter of all distances."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16)) * 400
+    v = np.round(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 6).astype(np.int64)
+    tree = topk.MTree(np.arange(8000), v, int((v**2).sum(axis=1).max()))
+    asked = np.arange(0, 8000, 200)
+    floor = np.sort(v[asked] @ v.T, axis=1)[:, -10].astype(np.float64)
+    hits = sum(len(q) for q, _, _ in tree.within(asked, v[asked], floor))
+    assert hits == sum(int((v[a] @ v.T >= f).sum() - (v[a] @ v[a] >= f)) for a, f in zip(asked, floor, strict=True))
+    assert tree.computed < 0.25 * len(asked) * 8000
+
+
 def test_bounds_spare_distances():
     """In clusters, under a quarter of all distances is computed, and less with a floor from elsewhere; a stored tree answers alike."""
     rng = np.random.default_rng(0)
